@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,26 +150,25 @@ class PieceCodec:
         self.width = [1 if k == 6 else len(p.encode()) for p, k in zip(self.pieces, self.kinds)]
         self.raw = [bytes([int(p[3:5], 16)]) if k == 6 else p.replace(MARK, " ").encode() for p, k in zip(self.pieces, self.kinds)]
         #: Source bytes under each piece where a mark is one space.
-        self.source = [w if k == 6 else w - 2 * p.count(MARK) for p, k, w in zip(self.pieces, self.kinds, self.width)]
-        self.plain = self.plain and max(self.source, default=0) < 256
-        self.names = [str(i) for i in range(len(self.pieces))]
+        self.source = np.array([w if k == 6 else w - 2 * p.count(MARK) for p, k, w in zip(self.pieces, self.kinds, self.width)])
+        #: Decimal ids, each with a comma behind it, padded by zero bytes.
+        self.names = np.zeros((len(self.pieces), 6), dtype=np.uint8)
+        for i in range(min(len(self.pieces), 65536)):
+            self.names[i, : len(f"{i},")] = list(f"{i},".encode())
+        self.plain = self.plain and len(self.pieces) <= 65536
         self.mark = self.sp.piece_to_id(MARK)
-        self.store: dict[str, tuple[str, bytes, bytes]] = {}
+        self.store: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
-        """Stores ids as text, source bytes under pieces and decoded bytes of words.
+        """Stores the ids of words, packed.
 
         Each word starts with a space, which stands for the mark that the
         model itself puts before a text.
         """
-        for word, ids in zip(words, self.sp.encode([w[1:] for w in words], num_threads=1)):
-            if word == " ":
-                ids = [self.mark]
-            self.store[word] = (
-                ",".join([self.names[i] for i in ids]),
-                bytes([self.source[i] for i in ids]),
-                b"".join([self.raw[i] for i in ids]),
-            )
+        found = self.sp.encode([w[1:] for w in words], num_threads=1)
+        self.store.update(zip(words, [np.array(ids, dtype=np.uint16).tobytes() if len(ids) > 60 else array("H", ids).tobytes() for ids in found]))
+        if " " in self.store:
+            self.store[" "] = array("H", [self.mark]).tobytes()
 
     def encode(self, text: str) -> tuple[str, int, np.ndarray, str]:
         return next(self.encode_many([text]))
@@ -180,7 +180,7 @@ class PieceCodec:
         before the text covers nothing.
         """
         cut = [_WORD.findall(" " + t) if t and self.plain and MARK not in t else None for t in texts]
-        wanted = {w for words in cut if words for w in words}
+        wanted = set().union(*[words for words in cut if words])
         new = wanted.difference(self.store)
         if len(self.store) + len(new) > STORE:
             self.store.clear()
@@ -193,12 +193,18 @@ class PieceCodec:
             elif words is None:
                 yield self._general(text)
             else:
-                parts = map(self.store.__getitem__, words)
-                ids, lengths, decoded = (sep.join(x) for sep, x in zip((",", b"", b""), zip(*parts)))
-                borders = np.zeros(len(lengths) + 1, dtype=np.int64)
-                np.cumsum(np.frombuffer(lengths, dtype=np.uint8), out=borders[1:])
+                ids = np.frombuffer(b"".join(map(self.store.__getitem__, words)), dtype=np.uint16)
+                borders = np.empty(len(ids) + 1, dtype=np.int64)
+                borders[0] = 0
+                np.cumsum(self.source[ids], out=borders[1:])
                 borders[1:] -= 1  # the mark before the text is no byte of the source
-                yield ids, len(lengths), borders, decoded.decode("utf-8", "replace")[1:]
+                digits = self.names[ids].ravel()
+                joined = digits[digits != 0][:-1].tobytes().decode()
+                yield joined, len(ids), borders, self.decode(ids)
+
+    def decode(self, ids: np.ndarray) -> str:
+        """Text of ids that started with the added mark, as the model decodes it."""
+        return b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
 
     def _general(self, text: str) -> tuple[str, int, np.ndarray, str]:
         """The same for any model and text: the model's ids, laid over the mapped text."""
