@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fieldglass.llm.common import table
 from fieldglass.llm.exact_dedup import exact_dedup
 from fieldglass.llm.language_id import identify_language
+from fieldglass.llm.near_dup import near_duplicates
 from fieldglass.llm.sentencepiece_codec import encode_documents
 
 
@@ -42,13 +43,39 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 """
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), s AS (
+  SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(words) - 4, 1) + 1), lambda i: array_to_string(words[i:i + 4], ' ')))) AS shingle
+  FROM w WHERE len(words) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))
+), reach AS (
+  SELECT doc_id AS id, doc_id AS other FROM documents
+  UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other
+), c AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+SELECT c.id AS doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.id = component_id AS kept
+FROM c LEFT JOIN n ON n.doc_id = c.id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_sentencepiece": op3_sentencepiece,
         "op5_language_id": op5_language_id,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_minhash": op8_minhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op7_exact_dedup": OP7_SQL, "op8_minhash": OP8_SQL}
