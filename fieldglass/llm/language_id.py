@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.llm.common import columns_only, held_out, written
@@ -131,21 +132,33 @@ def identify_language(
     results, an empty table an empty one; other columns are ignored. A row
     with a null id is learnt from, as it is not held out.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(learn(docs, id_col, text_col, lang_col, bits, max_langs))
-    rows = columns_only(docs, id_col, text_col).select(
-        F.col(f"`{id_col}`").alias("id"), held_out(id_col).alias("held_out"), F.col(f"`{text_col}`").alias("text")
-    )
-    id_type = rows.schema["id"].dataType.simpleString()
-
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for b in batches:
-            names, scores = _score(model, b.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                names=["id", "held_out", "lang_pred", "score"],
-            )
+    named = language_of(docs, id_col, text_col, lang_col, bits, max_langs)
+    return docs.select(
+        F.col(f"`{id_col}`"), held_out(f"`{id_col}`").alias("held_out"), named(F.col(f"`{text_col}`")).alias("_found")
+    ).select(F.col(f"`{id_col}`"), "held_out", "_found.lang_pred", "_found.score")
+
+
+def language_of(docs: DataFrame, id_col: str, text_col: str, lang_col: str, bits: int, max_langs: int) -> Callable[[Column], Column]:
+    """A function of a text column that gives struct(lang_pred, score), learnt from ``docs``."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, id_col, text_col, lang_col, bits, max_langs))
+
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(texts: pd.Series) -> pd.DataFrame:
+        names, scores = _score(shared.value, texts.tolist())
+        return pd.DataFrame({"lang_pred": names, "score": scores})
 
-    out = rows.mapInArrow(predict, f"id {id_type}, held_out boolean, lang_pred string, score double")
-    return out.withColumnRenamed("id", id_col)
+    return predict
+
+
+def known_language(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    bits: int = 15, max_langs: int = 256, least: float = 0.5,
+) -> DataFrame:
+    """The documents whose language is found with a score of ``least`` or more, with all their columns.
+
+    Texts without a letter (``und``) go.
+    """
+    named = language_of(docs, id_col, text_col, lang_col, bits, max_langs)
+    found = docs.withColumn("_found", named(F.col(f"`{text_col}`")))
+    kept = found.where((F.col("_found.lang_pred") != "und") & (F.col("_found.score") >= least))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fieldglass.llm.common import table
 from fieldglass.llm.exact_dedup import exact_dedup
 from fieldglass.llm.language_id import identify_language
+from fieldglass.llm.mixing import CAP_ROUNDS, MARGINS, POWERS, RATE, ROUNDS, mix
 from fieldglass.llm.near_dup import near_duplicates
 from fieldglass.llm.sentencepiece_codec import encode_documents
 
@@ -21,6 +22,47 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def _mixing_sql() -> str:
+    """Raking by windows, round after round, as CTEs."""
+    steps = [r"""
+WITH t AS (
+  SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
+    CASE WHEN contains(coalesce(text, ''), 'token = ') THEN 'configuration' WHEN contains(coalesce(text, ''), '@') THEN 'contact'
+      WHEN contains(coalesce(text, ''), ' | ') THEN 'table' WHEN contains(coalesce(text, ''), 'License') THEN 'licence' ELSE 'prose' END AS topic,
+    greatest(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')), 1) AS n_tokens
+  FROM documents
+), cells AS (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS mass FROM t GROUP BY ALL)"""]
+    for m in MARGINS:
+        steps.append(
+            f"{m}_p AS (SELECT {m}, pow(sum(mass)::DOUBLE, {POWERS[m]}) AS p FROM cells GROUP BY {m}), "
+            f"{m}_t AS (SELECT {m}, p / sum(p) OVER () AS {m}_to FROM {m}_p)"
+        )
+    steps.append("f0 AS (SELECT cells.*, mass::DOUBLE AS w, source_to, lang_to, topic_to FROM cells JOIN source_t USING (source) JOIN lang_t USING (lang) JOIN topic_t USING (topic))")
+    n = 0
+    for _ in range(ROUNDS):
+        for m in MARGINS:
+            steps.append(f"f{n + 1} AS MATERIALIZED (SELECT * REPLACE ({m}_to * w / sum(w) OVER (PARTITION BY {m}) AS w) FROM f{n})")
+            n += 1
+    steps.append(
+        f"k0 AS (SELECT source, lang, topic, mass, sum(mass::DOUBLE) OVER () AS all_mass, w / sum(w) OVER () * sum(mass::DOUBLE) OVER () / mass AS weight, {RATE}::DOUBLE AS k FROM f{n})"
+    )
+    for i in range(CAP_ROUNDS):
+        steps.append(
+            f"k{i + 1} AS MATERIALIZED (SELECT * REPLACE (coalesce(greatest(k, (all_mass * {RATE} - sum(CASE WHEN k * weight >= 1 THEN mass ELSE 0 END) OVER ())"
+            f" / nullif(sum(CASE WHEN k * weight >= 1 THEN 0.0::DOUBLE ELSE mass * weight END) OVER (), 0)), k) AS k) FROM k{i})"
+        )
+    return ", ".join(steps) + f"""
+SELECT doc_id, source, lang, topic, n_tokens::BIGINT AS n_tokens, floor(weight * 1e6 + 0.5) / 1e6 AS weight,
+  floor(least(1.0, k * weight) * 1e6 + 0.5) / 1e6 AS probability,
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE < least(1.0, k * weight) AS kept
+FROM t JOIN k{CAP_ROUNDS} USING (source, lang, topic)
+"""
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), piece_model(), keep_pieces=False)
 
@@ -70,6 +112,7 @@ FROM c LEFT JOIN n ON n.doc_id = c.id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": op1_mixing,
         "op3_sentencepiece": op3_sentencepiece,
         "op5_language_id": op5_language_id,
         "op7_exact_dedup": op7_exact_dedup,
@@ -78,4 +121,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL, "op8_minhash": OP8_SQL}
+    return {"op1_mixing": _mixing_sql(), "op7_exact_dedup": OP7_SQL, "op8_minhash": OP8_SQL}
