@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from fieldglass.llm.common import table
 from fieldglass.llm.exact_dedup import exact_dedup
 from fieldglass.llm.language_id import identify_language
+from fieldglass.llm.lm_scoring import backoff_scores
 from fieldglass.llm.mixing import CAP_ROUNDS, MARGINS, POWERS, RATE, ROUNDS, mix
 from fieldglass.llm.near_dup import near_duplicates
 from fieldglass.llm.sentencepiece_codec import encode_documents
+from fieldglass.llm.topk import top_k
 
 
 def piece_model() -> str:
@@ -63,6 +65,27 @@ FROM t JOIN k{CAP_ROUNDS} USING (source, lang, topic)
 """
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def op4_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), piece_model(), keep_pieces=False)
 
@@ -113,7 +136,9 @@ FROM c LEFT JOIN n ON n.doc_id = c.id
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_topk": op2_topk,
         "op3_sentencepiece": op3_sentencepiece,
+        "op4_backoff_lm": op4_backoff_lm,
         "op5_language_id": op5_language_id,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_minhash": op8_minhash,
@@ -121,4 +146,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": _mixing_sql(), "op7_exact_dedup": OP7_SQL, "op8_minhash": OP8_SQL}
+    return {"op1_mixing": _mixing_sql(), "op2_topk": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op8_minhash": OP8_SQL}
