@@ -15,6 +15,7 @@ from fieldglass.llm.mixing import CAP_ROUNDS, MARGINS, POWERS, RATE, ROUNDS, mix
 from fieldglass.llm.near_dup import near_duplicates
 from fieldglass.llm.sentencepiece_codec import encode_documents
 from fieldglass.llm.topk import top_k
+from fieldglass.llm.toxicity import toxicity
 
 
 def piece_model() -> str:
@@ -133,6 +134,10 @@ FROM c LEFT JOIN n ON n.doc_id = c.id
 """
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -142,6 +147,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": op5_language_id,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_minhash": op8_minhash,
+        "op9_toxicity": op9_toxicity,
     }
 
 
