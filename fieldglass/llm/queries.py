@@ -13,6 +13,7 @@ from fieldglass.llm.language_id import identify_language
 from fieldglass.llm.lm_scoring import backoff_scores
 from fieldglass.llm.mixing import CAP_ROUNDS, MARGINS, POWERS, RATE, ROUNDS, mix
 from fieldglass.llm.near_dup import near_duplicates
+from fieldglass.llm.pii import personal_data
 from fieldglass.llm.sentencepiece_codec import encode_documents
 from fieldglass.llm.topk import top_k
 from fieldglass.llm.toxicity import toxicity
@@ -95,6 +96,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
 
 
+def op6_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -145,6 +150,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sentencepiece": op3_sentencepiece,
         "op4_backoff_lm": op4_backoff_lm,
         "op5_language_id": op5_language_id,
+        "op6_semi_markov_pii": op6_semi_markov_pii,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_minhash": op8_minhash,
         "op9_toxicity": op9_toxicity,
