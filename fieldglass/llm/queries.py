@@ -14,6 +14,7 @@ from fieldglass.llm.lm_scoring import backoff_scores
 from fieldglass.llm.mixing import CAP_ROUNDS, MARGINS, POWERS, RATE, ROUNDS, mix
 from fieldglass.llm.near_dup import near_duplicates
 from fieldglass.llm.pii import personal_data
+from fieldglass.llm.secret_scan import scan_secrets
 from fieldglass.llm.sentencepiece_codec import encode_documents
 from fieldglass.llm.topk import top_k
 from fieldglass.llm.toxicity import toxicity
@@ -100,6 +101,10 @@ def op6_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -154,6 +159,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_exact_dedup": op7_exact_dedup,
         "op8_minhash": op8_minhash,
         "op9_toxicity": op9_toxicity,
+        "op10_secret_forest": op10_secret_forest,
     }
 
 
