@@ -19,87 +19,42 @@ from pyspark.sql import functions as F
 
 from fieldglass.llm.common import columns_only, written
 from fieldglass.llm.graph import components
+from fieldglass.llm.hashing import P, WordHashes, mix
 
 WORDS = 5
 COORDS = 48
 MATCHES = 22
 #: Sets of one list that a task compares with as many others.
 BLOCK = 512
-#: Bytes of a text that are hashed at a time (cut at white space).
-PIECE = 1 << 20
 #: Ids of which the list may be broadcast (8 MB).
 FEW = 1_000_000
 
-_P = np.uint64(0x9E3779B97F4A7C15)
-_R = np.uint64(0xD6E8FEB86659FD93)
-_R_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-with np.errstate(over="ignore"):
-    _CODE = _mix(np.arange(1, 257, dtype=np.uint64) * _P)
-_CODE[65:91] = _CODE[97:123]  # A-Z as a-z
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, *range(9, 14)]] = True
-
 
 class Shingler:
-    """Hashes (64 bits) of the distinct word shingles of texts, by whole-array arithmetic.
-
-    A word's hash is a polynomial of random codes of its bytes, read off
-    running sums; a shingle's hash mixes those of its words in order.
-    """
+    """Hashes (64 bits) of the distinct word shingles of texts; each mixes its words' hashes in order."""
 
     def __init__(self, words: int = WORDS) -> None:
         self.words = words
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            with np.errstate(over="ignore"):
-                self.up = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, _R)]))
-                self.down = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, _R_INVERSE)]))
-
-    def _words(self, data: np.ndarray) -> np.ndarray:
-        edge = np.diff(np.concatenate([[True], _SPACE[data], [True]]).astype(np.int8))
-        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        self._powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_CODE[data] * self.up[: len(data)], out=sums[1:])
-        return _mix((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64) * _P)
+        self.hashes = WordHashes()
 
     def set_of(self, text: str | None) -> np.ndarray:
         """Sorted distinct hashes; one for all words where there are fewer than a shingle has."""
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        data = np.frombuffer(raw, dtype=np.uint8)
-        found, at = [], 0
+        w = self.hashes.of(text)
+        if not len(w):
+            return w
+        size = min(len(w), self.words)
+        n = len(w) - size + 1
+        h = np.full(n, size, dtype=np.uint64)
         with np.errstate(over="ignore"):
-            while at < len(data):
-                end = min(at + PIECE, len(data))
-                while end < len(data) and not _SPACE[data[end]]:
-                    end += 1
-                found.append(self._words(data[at:end]))
-                at = end
-            w = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            if not len(w):
-                return w
-            size = min(len(w), self.words)
-            n = len(w) - size + 1
-            h = np.full(n, size, dtype=np.uint64)
             for j in range(size):
-                h = _mix(h * _P + w[j : j + n])
-            return np.unique(h)
+                h = mix(h * P + w[j : j + n])
+        return np.unique(h)
 
 
 def multipliers(count: int) -> np.ndarray:
     """Odd multipliers, one for each coordinate of a signature."""
     with np.errstate(over="ignore"):
-        return _mix(np.arange(1, count + 1, dtype=np.uint64) * _P) | np.uint64(1)
+        return mix(np.arange(1, count + 1, dtype=np.uint64) * P) | np.uint64(1)
 
 
 def signature(hashes: np.ndarray, mult: np.ndarray) -> np.ndarray:
@@ -205,7 +160,7 @@ def _star_links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _compare_block(t: pa.Table, percent: int) -> list[tuple[int, int]]:
     """Links that join different roots among one block pair of one list."""
     key = t.column("key")[0].as_py()
-    coord = key >> 32 if key >= 0 else (key >> 32)
+    coord = key >> 32
     side = t.column("side").to_numpy()
     rep, root, n = (t.column(c).to_numpy() for c in ("rep", "root", "n"))
     mask = t.column("mask").to_numpy()
