@@ -1,4 +1,4 @@
 """All registered queries of the library, without the training-data operators."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from fieldglass.plans import detection, text  # noqa: F401  (each registers its queries)
+from fieldglass.plans.registry import QUERIES, SQL  # noqa: F401
