@@ -8,10 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.llm.common import columns_only, whole, written
+from fieldglass.llm.hashing import WordHashes
 
 #: Words are numbered by hash; bits of a number (three fit 63 bits).
 BITS = 21
@@ -19,42 +21,23 @@ ORDER = 3
 #: N-grams of two and more words that occur less often count as unseen.
 LEAST = 2
 BACKOFF = 0.4
-#: Tokens of the documents that are asked for together, and of one part of the counts.
-BLOCK_TOKENS = 1_000_000
+#: Characters of the documents that are asked for together, and tokens of one part of the counts.
+BLOCK_CHARS = 6_000_000
 PART_TOKENS = 4_000_000
-STORE = 400_000
 
+Counts = dict[int, tuple[np.ndarray, np.ndarray]]
 
-class Words:
-    """Numbers of words, remembered up to a bound."""
 
-    def __init__(self) -> None:
-        self.store: dict[bytes, bytes] = {}
 
-    def of(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-        new = set().union(*cut).difference(self.store)
-        if len(self.store) + len(new) > STORE:
-            self.store.clear()
-            new = set().union(*cut)
-        shift = 64 - BITS
-        self.store.update((w, (xxhash.xxh3_64_intdigest(w) >> shift).to_bytes(4, "little")) for w in new)
-        return [np.frombuffer(b"".join(map(self.store.__getitem__, words)), dtype="<u4").astype(np.uint64) for words in cut]
-
-
-def grams(tokens: list[np.ndarray], order: int) -> np.ndarray:
-    """Keys of all n-grams of one length within the documents, document by document.
-
-    A key holds the words' numbers; the length is no part of it.
-    """
-    out = []
-    for t in tokens:
-        if len(t) >= order:
-            key = t[: len(t) - order + 1].copy()
-            for j in range(1, order):
-                key = (key << np.uint64(BITS)) | t[j : len(t) - order + 1 + j]
-            out.append(key)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+def grams(t: np.ndarray, order: int) -> np.ndarray:
+    """Keys of all n-grams of one length; a key holds the words' numbers, not the length."""
+    n = len(t) - order + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    key = t[:n].copy()
+    for j in range(1, order):
+        key = (key << np.uint64(BITS)) | t[j : n + j]
+    return key
 
 
 def _planes(sorted_keys: np.ndarray) -> bytes:
@@ -76,49 +59,68 @@ def _part(keys: np.ndarray, order: int, parts: int) -> np.ndarray:
     return ((h ^ (h >> np.uint64(29))) % np.uint64(parts)).astype(np.int64)
 
 
-def _split(tokens: list[np.ndarray], parts: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For each length and part: distinct keys of a block of documents and how often each occurs."""
-    for order in range(1, ORDER + 1):
-        keys, n = np.unique(grams(tokens, order), return_counts=True)
-        part = _part(keys, order, parts)
-        by = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[by], np.arange(parts + 1))
-        for p in range(parts):
-            at = by[cuts[p] : cuts[p + 1]]
-            if len(at):
-                yield order, p, keys[at], n[at]
+def _split(keys: np.ndarray, order: int, parts: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """By part: a block's distinct keys of one length and how often each occurs."""
+    distinct, n = np.unique(keys, return_counts=True)
+    part = _part(distinct, order, parts)
+    by = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[by], np.arange(parts + 1))
+    for p in range(parts):
+        at = by[cuts[p] : cuts[p + 1]]
+        if len(at):
+            yield order, p, distinct[at], n[at]
+
+
+_ASKED = "block long, ord int, part int, keys binary, n binary"
+
+
+def _asked(block: int, rows: list) -> pa.Table:
+    return pa.table({
+        "block": pa.array([block] * len(rows), pa.int64()), "ord": pa.array([r[0] for r in rows], pa.int32()),
+        "part": pa.array([r[1] for r in rows], pa.int32()), "keys": pa.array([_planes(r[2]) for r in rows], pa.binary()),
+        "n": pa.array([r[3].astype("<u4").tobytes() for r in rows], pa.binary()),
+    })
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """Blocks of documents of some million tokens, a row each: (block, n_tokens, ids, texts)."""
+    """Blocks of documents, a row each: (block, n_tokens, ids, lengths, texts compressed together)."""
+    names = ["block", "n_tokens", "ids", "sizes", "texts"]
 
-    def row(ids: list, texts: list[str]) -> pa.RecordBatch:
+    def row(ids: list, raw: list[bytes]) -> pa.RecordBatch:
         name = xxhash.xxh3_64_intdigest(f"{ids[0]} {ids[-1]} {len(ids)} {uuid.uuid4()}".encode()) >> 1
-        n = sum(len(t.encode("utf-8", "surrogatepass").split()) for t in texts)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([name], pa.int64()), pa.array([n], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.string()))],
-            names=["block", "n_tokens", "ids", "texts"],
-        )
+        values = [name, sum(len(t.split()) for t in raw), ids, [len(t) for t in raw], zstandard.compress(b"".join(raw), 3)]
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, room = [], [], BLOCK_TOKENS * 5
+        ids: list = []
+        raw: list[bytes] = []
+        room = BLOCK_CHARS
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
                 ids.append(i)
-                texts.append(t)
-                room -= len(t)
+                raw.append(t.as_py().encode("utf-8", "surrogatepass"))
+                room -= len(raw[-1])
                 if room <= 0:
-                    yield row(ids, texts)
-                    ids, texts, room = [], [], BLOCK_TOKENS * 5
+                    yield row(ids, raw)
+                    ids, raw, room = [], [], BLOCK_CHARS
         if ids:
-            yield row(ids, texts)
+            yield row(ids, raw)
+
+    return docs.mapInArrow(run, "block long, n_tokens long, ids array<long>, sizes array<long>, texts binary")
+
 
-    return docs.mapInArrow(run, "block long, n_tokens long, ids array<long>, texts array<string>")
+def _tokens(sizes: list[int], texts: bytes) -> list[np.ndarray]:
+    raw, at, out = zstandard.decompress(texts), 0, []
+    words = WordHashes()
+    for n in sizes:
+        out.append(words.of_bytes(raw[at : at + n]) >> np.uint64(64 - BITS))
+        at += n
+    return out
 
 
 def _count_part(t: pa.Table) -> pa.Table:
     """Sums the blocks' counts of one length and part, and answers each block."""
-    blocks = t.column("block").to_pylist()
     keys = [_keys(x.as_py()) for x in t.column("keys")]
     n = [np.frombuffer(x.as_buffer(), dtype="<u4") for c in t.column("n").chunks for x in c]
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
@@ -129,44 +131,80 @@ def _count_part(t: pa.Table) -> pa.Table:
     for k in keys:
         answer.append(total[place[at : at + len(k)]].astype("<u4").tobytes())
         at += len(k)
-    return pa.table({"block": pa.array(blocks, pa.int64()), "ord": t.column("ord"), "part": t.column("part"), "n": pa.array(answer, pa.binary())})
+    return pa.table({"block": t.column("block"), "ord": t.column("ord"), "part": t.column("part"), "n": pa.array(answer, pa.binary())})
 
 
-def _score_block(docs: pa.Table, counts: pa.Table, parts: int, total: int) -> pa.Table:
-    """Scores of the documents of one block, given the counts of all its n-grams."""
-    if not docs.num_rows:
-        return pa.table({"id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "log_score": pa.array([], pa.float64())})
-    tokens = Words().of(docs.column("texts")[0].as_py())
-    answers = {(o, p): np.frombuffer(x.as_buffer(), dtype="<u4") for o, p, x in zip(
-        counts.column("ord").to_pylist(), counts.column("part").to_pylist(), (y for c in counts.column("n").chunks for y in c))}
-    known: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {o: ([], []) for o in range(1, ORDER + 1)}
-    for o, p, keys, _ in _split(tokens, parts):
-        known[o][0].append(keys)
-        known[o][1].append(answers[(o, p)])
-    tables = {}
-    for o, (k, n) in known.items():
-        if k:
-            k1, n1 = np.concatenate(k), np.concatenate(n)
-            by = np.argsort(k1)
-            tables[o] = k1[by], n1[by].astype(np.float64)
-    scores = []
+def _known(asked: Iterator[tuple[int, int, np.ndarray, np.ndarray]], answers: dict[tuple[int, int], np.ndarray]) -> Counts:
+    """Sorted keys and their counts by length: what was asked beside the answers."""
+    found: dict[int, list] = {}
+    for o, p, keys, _ in asked:
+        found.setdefault(o, []).append((keys, answers[(o, p)]))
+    out = {}
+    for o, x in found.items():
+        keys, n = np.concatenate([k for k, _ in x]), np.concatenate([c for _, c in x])
+        by = np.argsort(keys)
+        out[o] = keys[by], n[by].astype(np.float64)
+    return out
+
+
+def _of(known: Counts, t: np.ndarray, order: int) -> np.ndarray:
+    """Counts of a document's n-grams, position by position."""
+    g = grams(t, order)
+    return known[order][1][np.searchsorted(known[order][0], g)] if len(g) else np.zeros(0)
+
+
+def _short(tokens: list[np.ndarray], parts: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    for order in range(1, ORDER):
+        yield from _split(np.concatenate([grams(t, order) for t in tokens]), order, parts)
+
+
+def _hopeful(tokens: list[np.ndarray], known: Counts) -> list[np.ndarray]:
+    """For each document, where the longest n-gram may be seen: both shorter ones within it are."""
+    out = []
     for t in tokens:
-        c = {o: tables[o][1][np.searchsorted(tables[o][0], grams([t], o))] for o in tables if len(t) >= o}
-        if not len(t):
-            scores.append(0.0)
-            continue
-        log = np.log(c[1] / total) + (ORDER - 1) * np.log(BACKOFF)
-        for o in range(2, ORDER + 1):
-            if o in c:
-                context = c[o - 1][: len(c[o])]
-                seen = (c[o] > 0) & (context > 0)
+        c = _of(known, t, ORDER - 1)
+        out.append((c[:-1] > 0) & (c[1:] > 0) if len(c) > 1 else np.zeros(0, bool))
+    return out
+
+
+def _long(tokens: list[np.ndarray], hopeful: list[np.ndarray], parts: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    yield from _split(np.concatenate([grams(t, ORDER)[h] for t, h in zip(tokens, hopeful)]), ORDER, parts)
+
+
+def _score_block(docs: pa.Table, counts: pa.Table, parts: int, total: int) -> pa.Table:
+    """Scores of the documents of one block, given the counts of its n-grams."""
+    ids, scores, n_tokens = [], [], []
+    if docs.num_rows:
+        ids = docs.column("ids")[0].as_py()
+        tokens = _tokens(docs.column("sizes")[0].as_py(), docs.column("texts")[0].as_py())
+        answers = _answers(counts)
+        known = _known(_short(tokens, parts), answers)
+        hopeful = _hopeful(tokens, known)
+        known |= _known(_long(tokens, hopeful, parts), answers)
+        step = float(np.log(BACKOFF))
+        for t, h in zip(tokens, hopeful):
+            n_tokens.append(len(t))
+            if not len(t):
+                scores.append(0.0)
+                continue
+            c = {o: _of(known, t, o) for o in range(1, ORDER)}
+            longest = np.zeros(len(h))
+            if h.any():
+                longest[h] = known[ORDER][1][np.searchsorted(known[ORDER][0], grams(t, ORDER)[h])]
+            c[ORDER] = longest
+            # words near the beginning have shorter histories and aren't backed off for that
+            log = np.log(c[1] / total) + step * np.minimum(np.arange(len(t)), ORDER - 1)
+            for o in range(2, ORDER + 1):
+                seen = c[o] > 0
                 at = np.flatnonzero(seen) + o - 1
-                log[at] = np.log(c[o][seen] / context[seen]) + (ORDER - o) * np.log(BACKOFF)
-        # words near the beginning have shorter histories and are not backed off for that
-        for i in range(min(ORDER - 1, len(t))):
-            log[i] -= (ORDER - 1 - i) * np.log(BACKOFF)
-        scores.append(float(log.sum()))
-    return pa.table({"id": pa.array(docs.column("ids")[0].as_py(), pa.int64()), "n_tokens": pa.array([len(t) for t in tokens], pa.int64()), "log_score": pa.array(scores, pa.float64())})
+                log[at] = np.log(c[o][seen] / c[o - 1][: len(seen)][seen]) + step * (np.minimum(at, ORDER - 1) - (o - 1))
+            scores.append(float(log.sum()))
+    return pa.table({"id": pa.array(ids, pa.int64()), "n_tokens": pa.array(n_tokens, pa.int64()), "log_score": pa.array(scores, pa.float64())})
+
+
+def _answers(counts: pa.Table) -> dict[tuple[int, int], np.ndarray]:
+    n = (np.frombuffer(x.as_buffer(), dtype="<u4") for c in counts.column("n").chunks for x in c)
+    return dict(zip(zip(counts.column("ord").to_pylist(), counts.column("part").to_pylist()), n))
 
 
 def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,12 +216,13 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n-gram's context, times 0.4 for each word of history given up; the
     document's is the sum of logarithms.
 
-    Documents are read in blocks. Each block asks for its distinct n-grams;
-    the tables of counts are partitioned by hash, so that one part sums the
-    blocks' numbers and answers them, and the answers join the block's
-    n-grams again. A frequent n-gram is one number for a block, however often
-    it occurs. Words are numbered by a 21-bit hash; words that share a number
-    share their counts.
+    Documents are read in blocks. Each block asks for its distinct 1- and
+    2-grams; the tables of counts are partitioned by hash, so that one part
+    sums the blocks' numbers and answers them, and the answers join the
+    block's n-grams again. Then it asks for the 3-grams whose two 2-grams are
+    both seen, as no others can be. A frequent n-gram is one number for a
+    block, however often it occurs. Words are numbered by a 21-bit hash; words
+    that share a number share their counts.
 
     Null and empty texts have no token and score 0 (mean null). Repeated rows
     are counted and returned each. An empty table gives an empty result. Other
@@ -195,25 +234,30 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = max(1, -(-total // PART_TOKENS))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-
         for b in batches:
             for i in range(b.num_rows):
-                rows = list(_split(words.of(b.column(1)[i].as_py()), parts))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([b.column(0)[i].as_py()] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()),
-                     pa.array([r[1] for r in rows], pa.int32()), pa.array([_planes(r[2]) for r in rows], pa.binary()),
-                     pa.array([r[3].astype("<u4").tobytes() for r in rows], pa.binary())],
-                    names=["block", "ord", "part", "keys", "n"],
-                )
+                tokens = _tokens(b.column(1)[i].as_py(), b.column(2)[i].as_py())
+                yield from _asked(b.column(0)[i].as_py(), list(_short(tokens, parts))).to_batches()
 
-    asked = blocks.select("block", "texts").mapInArrow(ask, "block long, ord int, part int, keys binary, n binary")
-    answers = asked.groupBy("ord", "part").applyInArrow(_count_part, "block long, ord int, part int, n binary")
+    def ask_long(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows:
+            return _asked(0, [])
+        tokens = _tokens(a.column("sizes")[0].as_py(), a.column("texts")[0].as_py())
+        known = _known(_short(tokens, parts), _answers(b))
+        return _asked(a.column("block")[0].as_py(), list(_long(tokens, _hopeful(tokens, known), parts)))
 
     def score(a: pa.Table, b: pa.Table) -> pa.Table:
         return _score_block(a, b, parts, total)
 
-    out = blocks.select("block", "ids", "texts").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "id long, n_tokens long, log_score double")
+    answered = "block long, ord int, part int, n binary"
+    texts = blocks.select("block", "ids", "sizes", "texts")
+    short = texts.select("block", "sizes", "texts").mapInArrow(ask, _ASKED).groupBy("ord", "part").applyInArrow(_count_part, answered)
+    short = written(short)
+    longer = texts.groupBy("block").cogroup(short.groupBy("block")).applyInArrow(ask_long, _ASKED)
+    longer = longer.groupBy("ord", "part").applyInArrow(_count_part, answered)
+    out = texts.groupBy("block").cogroup(short.unionByName(longer).groupBy("block")).applyInArrow(
+        score, "id long, n_tokens long, log_score double"
+    )
     return out.select(
         F.col("id").alias(id_col), "n_tokens", F.round("log_score", 3).alias("log_score"),
         F.round(F.col("log_score") / F.nullif(F.col("n_tokens"), F.lit(0)), 6).alias("mean_log_score"),

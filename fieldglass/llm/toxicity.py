@@ -9,6 +9,7 @@ it. Words carry marks for their beginning and end.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,18 +30,23 @@ _WEIGHT = np.array([DECAY ** (b + 1) for _, b in _PAIRS], dtype=np.float32)
 LONGEST = 24
 STORE = 300_000
 #: Labelled documents that are learnt from, at most, of either label.
-SAMPLE = {1: 3000, 0: 6000}
+SAMPLE = {1: 2000, 0: 4000}
 LANDMARKS = 96
 #: One labelled document in so many is kept for the calibration.
 CALIBRATE = 4
+#: Share of the toxic documents that a positive word occurs in, at least.
+SUPPORT = 0.004
 #: Rounds in which the worst-looking clean words are added as negatives.
 MINING = 3
 INSTANCES = 6000
+#: Most frequent clean words that mining looks at.
+MINED = 100_000
 THRESHOLD = 0.3
 
 #: Digits and signs that stand for letters inside a word.
 _LOOKALIKE = str.maketrans("013457$@", "oieastsa")
 _SPELLED = re.compile(r"(?<!\w)(?:\w[\W_]{1,2}){3,}\w(?!\w)")
+_AGAIN = re.compile(r"(.).*\1.*(.).*\2|(.).*\3.*\3|(..).*\4")
 _NOT_WORD = re.compile(r"[\W_]+")
 
 
@@ -78,7 +84,7 @@ def _codes(words: list[str]) -> np.ndarray:
 
 
 def triples(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the character triples of each word, and their weights (norm 1 by length)."""
+    """Numbers of the character triples of each word, and their weights, scaled to norm 1."""
     codes = np.pad(_codes(words), ((0, 0), (0, REACH)))
     width = codes.shape[1] - REACH
     first = codes[:, :width]
@@ -89,21 +95,26 @@ def triples(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids[:, :, k] = (first << 12) | (codes[:, a : a + width] << 6) | last
         weight[:, :, k] = np.where(last > 0, _WEIGHT[k], 0)
     ids, weight = ids.reshape(len(words), -1), weight.reshape(len(words), -1)
-    norm = np.sqrt((weight**2).sum(axis=1, keepdims=True))
-    return ids, weight / np.maximum(norm, 1e-9)
+    norm = (weight**2).sum(axis=1)
+    again = np.flatnonzero([_AGAIN.search(w) is not None for w in words])
+    if len(again):  # triples that occur more than once add up before they are squared
+        key = (np.arange(len(again))[:, None] << 18 | ids[again]).ravel()
+        by = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.diff(key[by], prepend=-1))
+        sums = np.add.reduceat(weight[again].ravel()[by], first)
+        norm[again] = np.bincount(key[by][first] >> 18, weights=sums**2, minlength=len(again))
+    return ids, weight / np.sqrt(np.maximum(norm, 1e-18))[:, None]
 
 
 def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Kernel values of words and landmarks."""
     out = np.zeros((len(words), len(landmarks)))
+    parts = [triples(words[at : at + 256]) for at in range(0, len(words), 256)]
     li, lw = triples(landmarks)
-    table = np.zeros((len(landmarks), 1 << 18), dtype=np.float32)
-    for k in range(len(landmarks)):
-        np.add.at(table[k], li[k], lw[k])
-    for at in range(0, len(words), 256):
-        i, w = triples(words[at : at + 256])
-        for k in range(len(landmarks)):
-            out[at : at + 256, k] = (table[k][i] * w).sum(axis=1)
+    for k in range(len(landmarks)):  # one landmark's table is in memory at a time
+        table = np.bincount(li[k], weights=lw[k], minlength=1 << 18)
+        for n, (i, w) in enumerate(parts):
+            out[n * 256 : n * 256 + 256, k] = (table[i] * w).sum(axis=1)
     return out
 
 
@@ -228,7 +239,7 @@ def fit(sample: pd.DataFrame) -> Machine:
     seen = {1: Counter(), 0: Counter()}
     for y, words in zip(toxic, sample["words"]):
         seen[int(y)].update({c for w in words for c in _pieces(clean(w)) if len(c) > 2})
-    odds = {w: np.log((k + 0.1) / (n1 + 0.2)) - np.log((seen[0][w] + 0.1) / (n0 + 0.2)) for w, k in seen[1].items() if k >= 2}
+    odds = {w: np.log((k + 0.1) / (n1 + 0.2)) - np.log((seen[0][w] + 0.1) / (n0 + 0.2)) for w, k in seen[1].items() if k >= max(3, SUPPORT * n1)}
     # favoured by toxic texts clearly more than by chance
     good = sorted((w for w, o in odds.items() if o > 2.5 and seen[1][w] - (seen[0][w] / n0) * n1 > 2.5 * np.sqrt(1 + (seen[0][w] / n0) * n1)), key=lambda w: (-seen[1][w] * odds[w], w))
     good = good[: INSTANCES // 3]
@@ -243,7 +254,7 @@ def fit(sample: pd.DataFrame) -> Machine:
     bad = list(dict.fromkeys([*bad, *hard, *inner]))
     landmarks = list(dict.fromkeys([*_spread(good, LANDMARKS), *bad[: LANDMARKS // 4]]))
     table, offset = _table(good, bad, landmarks, seen)
-    clean_words = sorted(w for w in seen[0] if w not in taken)
+    clean_words = sorted((w for w in seen[0] if w not in taken), key=lambda w: (-seen[0][w], w))[:MINED]
     for _ in range(MINING):  # clean words that look worst are negatives and landmarks of the next machine
         now = Machine(table, offset, np.zeros(5))
         worst = np.argsort(-np.array(now.word_scores(clean_words)) * np.log1p([seen[0][w] for w in clean_words]), kind="stable")
@@ -280,7 +291,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
             words = [sorted(set(words_of(t))) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.string()))], names=["toxic", "words"])
 
-    return fit(rows.mapInArrow(split, "toxic int, words array<string>").toPandas())
+    found = rows.mapInArrow(split, "toxic int, words array<string>").toArrow()
+    # one object for each distinct word, however many documents hold it
+    words = [[sys.intern(w) for w in x.as_py()] for x in found.column("words")]
+    return fit(pd.DataFrame({"toxic": found.column("toxic").to_numpy(), "words": words}))
 
 
 def toxicity(
