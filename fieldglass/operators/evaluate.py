@@ -96,6 +96,6 @@ def latency(rows: DataFrame, ms: str = "ms") -> DataFrame:
 def photo_tags(rows: DataFrame) -> DataFrame:
     """Condition tags of photos from their measures: brightness, glare, screen share, tilt, players."""
     return rows.withColumn("tags", F.array_compact(F.array(
-        F.when(F.col("mean_gray") < 80, "dark").otherwise("bright"), F.when(F.col("glare_share") > 0.02, "glare"),
+        F.when(F.col("mean_gray") < 90, "dark").otherwise("bright"), F.when(F.col("glare_share") > 0.02, "glare"),
         F.when(F.col("screen_share") < 0.40, "far"), F.when(F.abs("tilt") > 8, "rotated"), F.when(F.size("scores") > 1, "two_players"),
     )))

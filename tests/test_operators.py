@@ -168,3 +168,26 @@ def test_readers(spark, tmp_path):
     assert readers.detector_size(spark, str(param)) == 1024
     r = one(spark, writers.reading_json(readers.reading_of(F.lit('{"score": 5}'))).alias("j"), readers.shrink_power(F.lit(9000), F.lit(10)).alias("p"))
     assert json.loads(r["j"])["score"] == 5 and r["p"] == 4
+
+
+def test_pixels(spark):
+    from fieldglass.operators import pixels
+
+    picture = ["XX..X", "X...X", "..X..", "XX..X"]
+    mask = spark.createDataFrame([("a", x, y) for y, row in enumerate(picture) for x, c in enumerate(row) if c == "X"], "key string, x int, y int")
+    got = sorted((r["x"], r["y"], r["w"], r["h"], r["area"]) for r in pixels.components(mask).collect())
+    assert got == [(0, 0, 2, 2, 3), (0, 2, 3, 2, 3), (4, 0, 1, 2, 2), (4, 3, 1, 1, 1)]
+    assert pixels.components(mask.limit(0)).count() == 0
+    rows = spark.createDataFrame([("a", x, y, 200 if 8 <= y < 16 else 20) for y in range(24) for x in range(3)], "key string, x int, y int, gray int")
+    assert tuple(pixels.focus_band(rows).first()) == ("a", 6, 18)
+    h = one(spark, pixels.hsv(F.lit(0), F.lit(0), F.lit(255)).alias("r"), pixels.hsv(F.lit(255), F.lit(0), F.lit(0)).alias("b"), pixels.hsv(F.lit(7), F.lit(7), F.lit(7)).alias("n"))
+    assert (tuple(h["r"]), tuple(h["b"]), tuple(h["n"])) == ((0, 255, 255), (120, 255, 255), (0, 0, 7))
+
+
+def test_stream(spark, catalog, tmp_path):
+    from fieldglass.streaming.readings import native_stream, trusted, write_readings
+
+    spark.createDataFrame([("a", json.dumps({"titles": [{"raw": "bee"}], "score": 7, "score_margin": 0.5}))], "key string, native string").write.json(str(tmp_path / "in"))
+    write_readings(native_stream(spark, str(tmp_path / "in")), catalog, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert [r["song"]["value"] for r in trusted(got, "song").collect()] == ["Bee"]
