@@ -1,0 +1,154 @@
+"""Search, personal data, toxicity and secrets on small tables."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from fieldglass.llm import pii
+from fieldglass.llm.secret_scan import CANDIDATE, candidates_of, judged, labelled_findings, scan_secrets, train
+from fieldglass.llm.topk import top_k
+from fieldglass.llm.toxicity import toxicity
+
+DOCS = "doc_id long, text string, score double, held_out boolean, id int, lang string"
+
+
+def docs(spark, texts):
+    return spark.createDataFrame([(i, t, 0.5, True, 1, "x") for i, t in enumerate(texts)], DOCS)
+
+
+def brute_top(vectors, k):
+    usable = {i: [int(np.floor(1024 * float(x))) for x in v] for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
+    out = []
+    for q in usable:
+        if q % 100 == 0:
+            s = sorted((-sum(a * b for a, b in zip(usable[q], v)), c) for c, v in usable.items() if c != q and len(v) == len(usable[q]))
+            out += [(q, r + 1, c, -m) for r, (m, c) in enumerate(s[:k])]
+    return sorted(out)
+
+
+def test_top_k(spark, monkeypatch):
+    import fieldglass.llm.topk as tk
+
+    rng = np.random.default_rng(1)
+    vectors = [(i, [float(x) for x in np.round(rng.normal(size=4), 1)]) for i in range(400)]
+    vectors += [(1000, None), (1100, []), (1200, [1.0, None, 0.0, 0.0]), (1300, [1.0, float("nan"), 0.0, 0.0]), (1400, [float("inf")] * 4), (None, [1.0] * 4), (1500, [1.0, 2.0]), (1501, [1.0, 1.0]), (1600, [0.0] * 4)]
+    df = spark.createDataFrame([(i, v, 3, 4) for i, v in vectors], "vec_id long, embedding array<double>, rank int, score int")
+    want = brute_top(vectors, 10)
+    for shard, block in ((16384, 2048), (60, 2)):
+        monkeypatch.setattr(tk, "SHARD_ROWS", shard)
+        monkeypatch.setattr(tk, "BLOCK_ROWS", block)
+        assert sorted(map(tuple, top_k(df).collect())) == want
+    assert top_k(df.limit(0)).count() == 0
+    assert {r["query_id"] for r in top_k(df, df.where("vec_id = 7")).collect()} == {7}
+
+
+def slow_base(t):
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m[0])
+        if 16 <= len(d) <= 19 and pii.luhn(d):
+            out.append(("card", m.start(), m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t):
+        if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out.append(("phone", m.start(), m.end()))
+    return out
+
+
+def test_base_spans_are_the_patterns():
+    rng = np.random.default_rng(2)
+    pieces = ["a", "b@", "@", ".", "x.y", "-", " ", "+", "1", "23", "4111111111111111", "4111 1111 1111 1111", "255", "256.", "(", ")", "é", "+1 803 555 1234", "10.0.0.1", "\n", "%", "001.002.003.004"]
+    for _ in range(4000):
+        t = "".join(rng.choice(pieces, rng.integers(0, 14)))
+        assert pii.base_spans(t) == slow_base(t), repr(t)
+
+
+@pytest.fixture(scope="module")
+def field():
+    return pii.trained_field()
+
+
+def test_field_on_other_sentences(field):
+    right = wrong = missed = 0
+    for text, truth in pii.labelled_sentences(150, seed=5):
+        got = set(field.decode(text))
+        right, wrong, missed = right + len(got & set(truth)), wrong + len(got - set(truth)), missed + len(set(truth) - got)
+    assert right > 0.9 * (right + missed) and wrong < 0.05 * right
+
+
+def test_decoding_is_the_best_of_all_cuts(field):
+    """Dynamic programming against all sets of segments that don't overlap."""
+    text = "call (803) 555-5351 or ssn 123-45-6789 now"
+    tokens, segs = field.segments(text)
+    scores = field.scores(segs)
+
+    def best(at):
+        if at >= len(tokens):
+            return 0.0
+        return max([best(at + 1), *[scores[k].max() + best(j) for k, (i, j, _) in enumerate(segs) if i == at]])
+
+    got = field.decode(text)
+    place = {(tokens[i][0], tokens[j - 1][1]): k for k, (i, j, _) in enumerate(segs)}
+    assert abs(sum(scores[place[(s, e)]][pii.TYPES.index(t)] for t, s, e in got) - best(0)) < 1e-9
+    assert got == [("phone", 5, 19), ("ssn", 27, 38)]
+
+
+def test_personal_data(spark, field):
+    texts = [None, "", "mail a.b@c.example.com, tel (803) 555-5351", "x" * 3000 + " 10.0.0.1 " + "y" * 3000, "plain words only", "é +1 803 555 1234 é"]
+    got = {r["doc_id"]: r for r in pii.personal_data(docs(spark, texts), field=field).collect()}
+    for i, t in enumerate(texts):
+        base = slow_base(t or "")
+        joined = ",".join(f"{k}:{s}:{e}" for k, s, e in base)
+        assert got[i]["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in pii.KINDS[:4]] == [sum(b[0] == k for b in base) for k in pii.KINDS[:4]]
+        assert set(joined.split(",")) <= set(got[i]["spans"].split(","))
+    assert "phone:28:42" in got[2]["spans"] and got[4]["spans"] == ""
+    assert pii.personal_data(docs(spark, []), field=field).count() == 0
+
+
+def test_toxicity(spark):
+    rng = np.random.default_rng(4)
+    plain = [f"{a}{b}{c}" for a in ("an", "er", "lo", "mi") for b in ("ca", "tu", "re") for c in ("", "n", "th")]
+    bad = ["idiot", "moron", "worthless"]
+    texts, toxic = [], []
+    for i in range(400):
+        words = list(rng.choice(plain, 30))
+        toxic.append(int(i % 3 == 0))
+        if toxic[-1]:
+            words[int(rng.integers(30))] = str(rng.choice(bad))
+        texts.append(" ".join(words))
+    extra = [None, "", " ".join(plain[:20]) + " i d i o t " + plain[3], " ".join(plain[:20]) + " mo.ron " + plain[3], " ".join(plain), "zz " * 20000]
+    labels = spark.createDataFrame([(i, 1, y) for i, y in enumerate(toxic)], "doc_id long, score int, toxic int")
+    got = {r["doc_id"]: r for r in toxicity(docs(spark, texts + extra), labels).collect()}
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert all(got[i]["held_out"] == (i in held) for i in range(400))
+    assert np.mean([got[i]["predicted"] == toxic[i] for i in held]) > 0.95
+    assert got[402]["predicted"] == 1 and got[403]["predicted"] == 1 and got[404]["predicted"] == 0
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got.values()) and len(got) == 406
+    assert toxicity(docs(spark, []), labels.limit(0)).count() == 0
+    assert toxicity(docs(spark, ["a b c"]), labels.limit(0)).first()["predicted"] == 0
+
+
+def test_secret_candidates_and_places(spark):
+    key = "a1" * 20
+    texts = [f'x token = "{key}" and {key}\n{key}', f"{key}", None, "", "no candidates at all", f"é {key} é", "-----BEGIN RSA PRIVATE KEY-----", "w" * 5000, f"{key[:16]}==x"]
+    got = {(r["id"], r["start"]): r["candidate"] for r in candidates_of(docs(spark, texts), "doc_id", "text").collect()}
+    want = {(i, m.start()): m[0] for i, t in enumerate(texts) for m in re.finditer(CANDIDATE, t or "")}
+    assert got == want and len(got) == 7
+
+
+def test_secret_forest(spark):
+    findings = labelled_findings(spark, 3000)
+    from pyspark.sql import functions as F
+
+    part = F.pmod(F.xxhash64("candidate", "before"), F.lit(4)) == 0
+    found = judged(findings.where(part), train(findings.where(~part))).groupBy((F.col("label") == 1).alias("y"), "secret").count().collect()
+    assert sum(r["count"] for r in found if r["y"] == r["secret"]) > 0.97 * sum(r["count"] for r in found)
+    key = hashlib.sha256(b"x").hexdigest()[:40]
+    texts = [f'her ther token = "{key}" and', f"the commit {key} was", "card 4111111111111111 and", None]
+    got = {r["doc_id"]: r["secret"] for r in scan_secrets(docs(spark, texts), findings=findings).collect()}
+    assert got == {0: True, 1: False, 2: False}
+    assert scan_secrets(docs(spark, []), findings=findings).count() == 0
