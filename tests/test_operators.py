@@ -191,3 +191,14 @@ def test_stream(spark, catalog, tmp_path):
     write_readings(native_stream(spark, str(tmp_path / "in")), catalog, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert [r["song"]["value"] for r in trusted(got, "song").collect()] == ["Bee"]
+
+
+def test_segments(spark):
+    from fieldglass.operators import segments
+
+    c = spark.createDataFrame([("a", 0, 0, 4), ("a", 1, 5, 4), ("a", 2, 10, 4), ("b", 0, 0, 3)], "key string, ord int, x int, w int")
+    got = sorted((r["key"], r["part"], r["x1"], r["x2"]) for r in segments.merge_to(c, 2).collect())
+    assert got == [("a", 0, 0, 9), ("a", 1, 10, 14), ("b", 0, 0, 3)]
+    q = spark.createDataFrame([(1, [10.0, 5.0, 110.0, 5.0, 110.0, 55.0, 10.0, 55.0])], "key int, quad array<double>")
+    h = segments.homographies(q, 100, 50).first()["h"]
+    assert np.allclose(h, [1, 0, 10, 0, 1, 5, 0, 0, 1], atol=1e-9)
