@@ -16,7 +16,8 @@ def split_merged(components: DataFrame, profile: DataFrame) -> DataFrame:
     of its height in width and at least 6 wide is cut at the first emptiest
     column from 30 to 70 percent, unless that holds over 0.55 of the fullest.
     """
-    low, high = (F.lit(0.30).cast("float") * F.col("w")).cast("int"), (F.lit(0.70).cast("float") * F.col("w")).cast("int")
+    # single precision throughout: at 10 columns, 0.70 gives 7 there and 6 in double precision
+    low, high = ((F.lit(share).cast("float") * F.col("w")).cast("float").cast("int") for share in (0.30, 0.70))
     cols = profile.join(components.select("key", "ord", "w"), ["key", "ord"])
     most = F.max("n").over(Window.partitionBy("key", "ord"))
     inner = cols.withColumn("most", most).where((F.col("at") >= low) & (F.col("at") < high))
