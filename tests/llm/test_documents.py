@@ -221,3 +221,31 @@ def test_backoff_scores(spark):
         assert got[i]["n_tokens"] == len(w)
         assert abs(got[i]["log_score"] - want) < 2e-3, (i, w[:5], got[i], want)
     assert backoff_scores(docs(spark, [])).count() == 0
+
+
+def brute_backoff(texts, least):
+    """Log scores by counting tuples of words."""
+    tokens = [words(t) for t in texts]
+    counts = Counter(tuple(w[i : i + o]) for w in tokens for o in (1, 2, 3) for i in range(len(w) - o + 1))
+    total = sum(len(w) for w in tokens)
+    seen = lambda g: counts[g] if len(g) == 1 or counts[g] >= least else 0
+
+    def score(g):
+        if len(g) == 1:
+            return counts[g] / total
+        return seen(g) / seen(g[:-1]) if seen(g) else 0.4 * score(g[1:])
+
+    return [sum(math.log(score(tuple(w[max(0, k - 2) : k + 1]))) for k in range(len(w))) for w in tokens]
+
+
+def test_backoff_words_share_no_counts(spark, monkeypatch):
+    """So many words that 21-bit numbers would make some thousand of them share counts; small parts."""
+    import fieldglass.llm.lm_scoring as lm
+
+    monkeypatch.setattr(lm, "PART_TOKENS", 40_000)
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"v{k}" for k in rng.integers(0, 100_000, 300)) for _ in range(500)] + [None, ""]
+    texts += texts[:40]
+    got = {r["doc_id"]: r["log_score"] for r in backoff_scores(docs(spark, texts)).collect()}
+    for i, want in enumerate(brute_backoff(texts, lm.LEAST)):
+        assert abs(got[i] - want) < 2e-3, (i, got[i], want)
