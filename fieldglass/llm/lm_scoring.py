@@ -17,8 +17,8 @@ from fieldglass.llm.common import columns_only, whole, written
 from fieldglass.llm.hashing import WordHashes
 
 ORDER = 3
-#: N-grams of two and more words that occur less often count as unseen.
-LEAST = 2
+#: N-grams of two and more words that occur less often count as unseen; 1 keeps all counts.
+LEAST = 1
 BACKOFF = 0.4
 #: Characters of the documents that are asked for together, and tokens of one part of the counts.
 BLOCK_CHARS = 6_000_000
@@ -217,8 +217,8 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per input row: id, ``n_tokens``, ``log_score``, ``mean_log_score``.
 
     Words are what ASCII white space separates, with A-Z lower-cased. Counts
-    of 1- to 3-grams cover all documents; longer n-grams that occur less than
-    ``least`` times are unseen. A word's score is the share of its longest
+    of 1- to 3-grams cover all documents, and none is dropped unless ``least``
+    asks for that: longer n-grams that occur less often are then unseen. A word's score is the share of its longest
     seen n-gram in that n-gram's context, times 0.4 for each word of history
     given up; the document's is the sum of logarithms.
 

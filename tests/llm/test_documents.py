@@ -249,3 +249,12 @@ def test_backoff_words_share_no_counts(spark, monkeypatch):
     got = {r["doc_id"]: r["log_score"] for r in backoff_scores(docs(spark, texts)).collect()}
     for i, want in enumerate(brute_backoff(texts, lm.LEAST)):
         assert abs(got[i] - want) < 2e-3, (i, got[i], want)
+
+
+def test_backoff_keeps_all_counts(spark):
+    """N-grams that occur once count; pruning is an option."""
+    texts = [t for t in TEXTS if t is None or len(t) < 5000]
+    for options, least in (({}, 1), ({"least": 2}, 2), ({"least": 3}, 3)):
+        got = {r["doc_id"]: r["log_score"] for r in backoff_scores(docs(spark, texts), **options).collect()}
+        for i, want in enumerate(brute_backoff(texts, least)):
+            assert abs(got[i] - want) < 2e-3, (i, least, got[i], want)
