@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +13,12 @@ from fieldglass.llm.common import whole, written
 MARGINS = ("source", "lang", "topic")
 #: A category for rows that have none.
 NONE = "(none)"
-#: Raking rounds; each scales the cells to the three marginals in turn.
+#: Raking rounds between two looks at the marginals; each scales the cells to the three in turn.
 ROUNDS = 10
+#: Largest relative error of a marginal at which raking ends.
+TOLERANCE = 1e-5
+#: Raking also ends, with a warning, where this many looks haven't lowered the error by a thousandth.
+STALLED = 3
 #: Rounds that find the factor at which capped probabilities give the rate.
 CAP_ROUNDS = 6
 #: Marginal target shares are proportional to token mass to these powers.
@@ -61,13 +68,15 @@ def token_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def rake(cells: DataFrame, powers: dict[str, float] = POWERS, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, powers: dict[str, float] = POWERS, targets: dict[str, DataFrame] | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """Cells (source, lang, topic, mass) with ``w``: shares fitted to the target marginals.
 
     Iterative proportional fitting: in each round the cells of every source,
     then language, then topic are scaled to that category's target share.
     Targets are tables (category, share) where given (a category that isn't in
-    one gets no weight), else proportional to observed mass to a power.
+    one gets no weight), else proportional to observed mass to a power. Rounds
+    go on until every marginal is within ``tolerance`` of its target; targets
+    that contradict each other end in a warning that gives the error left.
     """
     fit = cells.withColumn("w", F.col("mass").cast("double"))
     for m in MARGINS:
@@ -81,10 +90,54 @@ def rake(cells: DataFrame, powers: dict[str, float] = POWERS, targets: dict[str,
             share = powered.crossJoin(F.broadcast(total)).select(m, (F.col("p") / F.col("all")).alias(f"{m}_to"))
             fit = fit.join(share, m)
     fit = written(fit)
-    for _ in range(rounds):
-        for m in MARGINS:
-            fit = fit.withColumn("w", F.col(f"{m}_to") * F.col("w") / F.sum("w").over(Window.partitionBy(m)))
-    return fit.select(*MARGINS, "mass", F.coalesce("w", F.lit(0.0)).alias("w"))
+    if fit.count() <= FEW:  # cells that would be broadcast anyway
+        return _raked_here(fit, tolerance)
+    errors: list[float] = []
+    while True:
+        for _ in range(ROUNDS):
+            for m in MARGINS:
+                fit = fit.withColumn("w", F.coalesce(F.try_divide(F.col(f"{m}_to") * F.col("w"), F.sum("w").over(Window.partitionBy(m))), F.lit(0.0)))
+        fit = written(fit)
+        errors.append(marginal_error(fit))  # one number comes back from each look
+        if _ended(errors, tolerance):
+            break
+    return fit.select(*MARGINS, "mass", "w")
+
+
+def _ended(errors: list[float], tolerance: float) -> bool:
+    """Whether raking is done, or gets no further, by the errors after every ``ROUNDS`` rounds."""
+    if errors[-1] <= tolerance:
+        return True
+    if len(errors) > STALLED and min(errors[-STALLED:]) > 0.999 * min(errors[:-STALLED]):
+        warnings.warn(f"raking ends {errors[-1]:.2g} off a marginal's target: the targets contradict each other or are met too slowly", stacklevel=3)
+        return True
+    return False
+
+
+def _raked_here(fit: DataFrame, tolerance: float) -> DataFrame:
+    """The same rounds over few cells in the driver."""
+    cells = fit.collect()
+    w = np.array([r["w"] for r in cells], dtype=float)
+    place = {m: np.unique(np.array([r[m] for r in cells], dtype=object), return_inverse=True)[1] for m in MARGINS if cells}
+    to = {m: np.array([r[f"{m}_to"] for r in cells], dtype=float) for m in MARGINS}
+    errors: list[float] = []
+    while cells:
+        for _ in range(ROUNDS):
+            for m in MARGINS:
+                of = np.bincount(place[m], weights=w)[place[m]]
+                w = np.divide(to[m] * w, of, out=np.zeros_like(w), where=of > 0)
+        off = [np.abs(np.bincount(place[m], weights=w)[place[m]][to[m] > 0] / to[m][to[m] > 0] - 1).max(initial=0) for m in MARGINS]
+        errors.append(float(max(off)))
+        if _ended(errors, tolerance):
+            break
+    rows = [(*(r[m] for m in MARGINS), r["mass"], float(x)) for r, x in zip(cells, w)]
+    return fit.sparkSession.createDataFrame(rows, fit.select(*MARGINS, "mass", "w").schema)
+
+
+def marginal_error(fit: DataFrame) -> float:
+    """The largest error of a marginal, as a share of its target, in cells with weights and targets."""
+    off = [F.abs(F.try_divide(F.sum("w").over(Window.partitionBy(m)), F.col(f"{m}_to")) - 1) for m in MARGINS]
+    return fit.select(F.greatest(*off).alias("off")).agg(F.max("off")).first()[0] or 0.0
 
 
 def probabilities(fit: DataFrame, rate: float = RATE, rounds: int = CAP_ROUNDS) -> DataFrame:
@@ -123,7 +176,8 @@ def mix(
 ) -> DataFrame:
     """One row per input row: id, source, lang, topic, n_tokens, weight, probability, kept.
 
-    Token mass is summed by cell over all rows, raked to the marginals, and
+    Token mass is summed by cell over all rows, raked until the marginals are
+    met (see ``rake``), and
     each document is kept with its cell's probability by a number drawn from
     its id, so the same id always meets the same decision (repeated rows
     too). Null source, lang or topic are a category of their own; null and

@@ -12,7 +12,7 @@ import pytest
 from fieldglass.llm.exact_dedup import exact_dedup, sha256_hex
 from fieldglass.llm.language_id import identify_language
 from fieldglass.llm.lm_scoring import backoff_scores
-from fieldglass.llm.mixing import mix
+from fieldglass.llm.mixing import mix, rake
 from fieldglass.llm.near_dup import near_duplicates
 from fieldglass.llm.sentencepiece_codec import CharacterMap, PieceCodec, encode_documents
 
@@ -258,3 +258,36 @@ def test_backoff_keeps_all_counts(spark):
         got = {r["doc_id"]: r["log_score"] for r in backoff_scores(docs(spark, texts), **options).collect()}
         for i, want in enumerate(brute_backoff(texts, least)):
             assert abs(got[i] - want) < 2e-3, (i, least, got[i], want)
+
+
+def test_raking_goes_on_until_marginals_are_met(spark):
+    """Sources that are mostly of one language take more than ten rounds; contradicting targets are told of."""
+    cells = []
+    for i in range(100):
+        mass = 10_000_000 // (i + 1)
+        cells += [(f"s{i}", f"l{i % 4}", "t", mass), (f"s{i}", f"l{(i + 1) % 4}", "t", mass // 100)]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, mass long")
+    powers = {"source": 0.7, "lang": 0.8, "topic": 0.8}
+    got = rake(df, powers).collect()
+    for place, m in enumerate(("source", "lang", "topic")):
+        mass, w = Counter(), Counter()
+        for r in got:
+            mass[r[place]] += r["mass"]
+            w[r[place]] += r["w"]
+        total = sum(x ** powers[m] for x in mass.values())
+        assert all(abs(w[k] / (x ** powers[m] / total) - 1) < 1e-4 for k, x in mass.items()), m
+    apart = spark.createDataFrame([("a", "en", "t", 5), ("b", "de", "t", 5)], "source string, lang string, topic string, mass long")
+    half = [("a", 0.5), ("b", 0.5)], [("en", 0.8), ("de", 0.2)]
+    targets = {m: spark.createDataFrame(x, "category string, share double") for m, x in zip(("source", "lang"), half)}
+    with pytest.warns(UserWarning, match="contradict"):
+        assert len(rake(apart, targets=targets).collect()) == 2
+
+
+def test_raking_in_rounds_of_windows(spark, monkeypatch):
+    import fieldglass.llm.mixing as mixing
+
+    df = spark.createDataFrame([(s, g, "t", m) for s, g, m in (("a", "x", 90), ("a", "y", 10), ("b", "x", 20), ("b", "y", 80))], "source string, lang string, topic string, mass long")
+    want = {r[:2]: r["w"] for r in rake(df).collect()}
+    monkeypatch.setattr(mixing, "FEW", 0)
+    got = {r[:2]: r["w"] for r in rake(df).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
