@@ -18,13 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The session's ``spark.checkpoint.dir`` is used as it is; only where it is
-    unset (single-machine tests) a temporary folder is made.
+    Where it is unset, a temporary folder will do on one machine (local
+    sessions, as in tests); on a cluster executors couldn't see each other's
+    files, so that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='fieldglass-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -39,7 +42,16 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fieldglass-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._fieldglass_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a work table of ``written`` that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._fieldglass_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def whole(text: str | Column) -> Column:
@@ -55,3 +67,19 @@ def held_out(id_col: str) -> Column:
 def columns_only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that further columns of any name can't clash."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def whole_rows(df: DataFrame) -> DataFrame:
+    """Each row as one struct ``doc``, beside which helper columns of any name can't clash; ``doc.*`` undoes it."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"))
+
+
+def one_of_each(rows: DataFrame, copies: str, *keys: str) -> DataFrame:
+    """Rows (doc, copies, keys) as documents, one of those that repeat.
+
+    Rows with one copy go on as they are; only the others are shuffled by
+    their keys, with one row a key and task.
+    """
+    alone = rows.where(F.col(copies) == 1).select("doc")
+    again = rows.where(F.col(copies) > 1).groupBy(*keys).agg(F.first("doc").alias("doc")).select("doc")
+    return alone.unionByName(again).select("doc.*")

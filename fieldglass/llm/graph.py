@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import written
+from fieldglass.llm.common import dropped, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,12 +25,15 @@ def components(links: DataFrame) -> DataFrame:
         new = labels.join(near, labels["rep"] == near["a"], "left").select(
             "rep", F.col("root").alias("old"), F.least("root", "least").alias("root")
         )
-        jump = labels.select(F.col("rep").alias("at"), F.col("root").alias("further"))
+        labels_ = labels.select("rep", "root")
+        jump = labels_.select(F.col("rep").alias("at"), F.col("root").alias("further"))
         new = new.join(jump, new["root"] == jump["at"], "left").select(
             "rep", "old", F.least("root", "further").alias("root")
         )
         new = written(new)
         done = new.where("old != root").limit(1).count() == 0
-        labels = new.select("rep", "root")
+        dropped(labels)  # each round reads the one before alone
+        labels = new
         if done:
+            dropped(both)
             return labels

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import columns_only, written
+from fieldglass.llm.common import columns_only, dropped, one_of_each, whole_rows, written
 from fieldglass.llm.graph import components
 from fieldglass.llm.hashing import P, WordHashes, mix
 
@@ -26,8 +26,10 @@ COORDS = 48
 MATCHES = 22
 #: Sets of one list that a task compares with as many others.
 BLOCK = 512
-#: Ids of which the list may be broadcast (8 MB).
-FEW = 1_000_000
+#: Members of one leader that a task compares with it, about.
+STAR = 256
+#: Rows of ids and places that may be broadcast (some 20 MB).
+FEW = 300_000
 
 
 class Shingler:
@@ -117,57 +119,121 @@ def _shared_lists(reps: DataFrame) -> DataFrame:
     return shared.withColumn("mask", mask).select("rep", "mask", F.explode("at").alias("x")).select("rep", "mask", "x.key")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Full shingle sets of the wanted documents (rep, mask)."""
-    if wanted.count() <= FEW:
-        wanted = F.broadcast(wanted)
-    rows = docs.join(wanted, docs["id"] == wanted["rep"]).select("rep", "mask", "text")
+def _with_sets(docs: DataFrame, ask: DataFrame) -> DataFrame:
+    """Rows (key, i, j, side, rep, root, mask) of ``ask`` with the full shingle set and signature of their document."""
+    if ask.count() <= FEW:
+        ask = F.broadcast(ask)
+    rows = docs.join(ask, docs["id"] == ask["rep"]).select(*PLACES, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, mult = Shingler(), multipliers(COORDS)
         for b in batches:
             for at in range(0, b.num_rows, 200):
                 p = b.slice(at, 200)
-                sets = [shingler.set_of(t.as_py()) for t in p.column(2)]
-                cols = [p.column(0), p.column(1), pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([signature(s, mult).tobytes() for s in sets], pa.binary()),
-                        pa.array([s.tobytes() for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["rep", "mask", "n", "sig", "hashes"])
+                last, sets, sigs = None, [], []
+                for rep, text in zip(p.column("rep").to_pylist(), p.column("text")):
+                    if rep != last:  # a document's rows follow each other
+                        last, s = rep, shingler.set_of(text.as_py())
+                        packed, sig = s.tobytes(), signature(s, mult).tobytes()
+                    sets.append(packed)
+                    sigs.append(sig)
+                cols = [*p.columns[:-1], pa.array([len(s) // 8 for s in sets], pa.int64()), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=[*PLACES, "n", "sig", "hashes"])
 
-    return rows.mapInArrow(run, "rep long, mask long, n long, sig binary, hashes binary")
+    return rows.mapInArrow(run, f"{_PLACED}, n long, sig binary, hashes binary")
 
 
-def _star_links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between each list's leader and its members, confirmed on full sets."""
+#: Where a set is compared: list or leader, two block numbers, side (0 left, 1 right, 2 both), and what is known of the set.
+PLACES = ["key", "i", "j", "side", "rep", "root", "mask"]
+_PLACED = "key long, i int, j int, side int, rep long, root long, mask long"
+
+
+def _star_pairs(lists: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (rep, lead) of each list's leader and members whose signatures agree often enough."""
     leader = lists.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep")).alias("lead"))
     pairs = lists.join(leader, "key").select("rep", F.col("lead.rep").alias("lead")).where("rep != lead").distinct()
-    members = sets.select("rep", "sig", "hashes")
-    leads = sets.select(F.col("rep").alias("lead"), F.col("sig").alias("sig2"), F.col("hashes").alias("hashes2"))
-    rows = pairs.join(members, "rep").join(leads, "lead").select("rep", "lead", "sig", "sig2", "hashes", "hashes2")
+    sig = reps.select("rep", "sig")
+    rows = pairs.join(sig, "rep").join(sig.select(F.col("rep").alias("lead"), F.col("sig").alias("sig2")), "lead").select("rep", "lead", "sig", "sig2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, z, keep = b.column(0), b.column(1), []
-            for i in range(b.num_rows):
-                s, t, u, v = (np.frombuffer(b.column(k)[i].as_buffer(), dtype=d) for k, d in ((2, "<u4"), (3, "<u4"), (4, "<u8"), (5, "<u8")))
-                keep.append(int((s == t).sum()) >= MATCHES and alike(u, v, percent))
-            m = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(m), z.filter(m)], names=["a", "b"])
+            s, t = (b.column(k).flatten().to_numpy().reshape(-1, COORDS) for k in (2, 3))
+            yield b.select([0, 1]).filter(pa.array((s == t).sum(axis=1) >= MATCHES))
+
+    return rows.mapInArrow(run, "rep long, lead long")
+
+
+def _star_links(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among pairs (rep, lead), confirmed on full sets.
 
-    return rows.mapInArrow(run, "a long, b long")
+    A leader's members are dealt out in blocks of some ``STAR``, to each of
+    which the leader's set is copied.
+    """
+    size = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("blocks"))
+    members = pairs.join(size, "lead").select("rep", "lead", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("i"))
+    leads = size.select(F.col("lead").alias("rep"), "lead", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
+    ask = members.withColumn("side", F.lit(1)).unionByName(leads.withColumn("side", F.lit(0)))
+    ask = written(ask.select(F.col("lead").alias("key"), "i", F.lit(0).alias("j"), "side", "rep", F.col("rep").alias("root"), F.lit(0).cast("long").alias("mask")))
+
+    def compare(t: pa.Table) -> pa.Table:
+        side, rep = t.column("side").to_numpy(), t.column("rep").to_numpy()
+        sets = _sets_of(t)
+        lead = np.flatnonzero(side == 0)[0]
+        a = [int(rep[k]) for k in np.flatnonzero(side == 1) if alike(sets[k], sets[lead], percent)]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array([int(rep[lead])] * len(a), pa.int64())})
+
+    out = _with_sets(docs, ask).select("key", "i", "side", "rep", "hashes").groupBy("key", "i").applyInArrow(compare, "a long, b long")
+    links = written(out)
+    dropped(ask)
+    return links
+
+
+def _sets_of(t: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), dtype="<u8") for c in t.column("hashes").chunks for x in c]
+
+
+class _Block:
+    """The sets of one list that two blocks hold, and which pairs of them the signatures leave open."""
+
+    def __init__(self, t: pa.Table, percent: int) -> None:
+        self.percent, self.coord = percent, t.column("key")[0].as_py() >> 32
+        side = t.column("side").to_numpy()
+        self.root, self.n = t.column("root").to_numpy(), t.column("n").to_numpy()
+        self.bits = (t.column("mask").to_numpy()[:, None] >> np.arange(COORDS)[None, :]) & 1 == 1
+        sig = t.column("sig").combine_chunks()
+        flat = sig.flatten().to_numpy() if pa.types.is_list(sig.type) else np.frombuffer(b"".join(x.as_py() for x in sig), dtype="<i4")
+        self.sig = flat.reshape(-1, COORDS)
+        self.same = bool((side == 2).any())  # a block with itself
+        self.left = np.flatnonzero((side == 0) | (side == 2))
+        self.right = np.flatnonzero(side == 1) if not self.same else self.left
+
+    def open_pairs(self) -> Iterator[tuple[int, np.ndarray]]:
+        """For each left set, the right ones that may be alike, aren't connected yet and meet first in this list."""
+        sig, root, n, bits = self.sig, self.root, self.n, self.bits
+        for i in self.left:
+            others = self.right[self.right > i] if self.same else self.right
+            eq = sig[others] == sig[i]
+            ok = (eq.sum(axis=1) >= MATCHES) & (root[others] != root[i])
+            ok &= 100 * np.minimum(n[others], n[i]) >= self.percent * np.maximum(n[others], n[i])
+            # a pair belongs to the first list that both prefixes share
+            ok &= (eq & bits[others] & bits[i]).argmax(axis=1) == self.coord
+            if ok.any():
+                yield int(i), others[ok]
+
+
+def _open_rows(t: pa.Table, percent: int) -> pa.Table:
+    """Rows of one block pair that have a partner by the signatures."""
+    hit = np.zeros(t.num_rows, dtype=bool)
+    for i, others in _Block(t, percent).open_pairs():
+        hit[i] = True
+        hit[others] = True
+    return t.select(PLACES).filter(pa.array(hit))
 
 
 def _compare_block(t: pa.Table, percent: int) -> list[tuple[int, int]]:
     """Links that join different roots among one block pair of one list."""
-    key = t.column("key")[0].as_py()
-    coord = key >> 32
-    side = t.column("side").to_numpy()
-    rep, root, n = (t.column(c).to_numpy() for c in ("rep", "root", "n"))
-    mask = t.column("mask").to_numpy()
-    bits = (mask[:, None] >> np.arange(COORDS)[None, :]) & 1 == 1
-    sig = np.frombuffer(b"".join(x.as_py() for x in t.column("sig")), dtype="<u4").reshape(-1, COORDS)
-    sets = [np.frombuffer(x.as_buffer(), dtype="<u8") for c in t.column("hashes").chunks for x in c]
-    up = {r: r for r in root.tolist()}
+    block, sets, rep = _Block(t, percent), _sets_of(t), t.column("rep").to_numpy()
+    up = {r: r for r in block.root.tolist()}
 
     def top(x: int) -> int:
         while up[x] != x:
@@ -176,40 +242,31 @@ def _compare_block(t: pa.Table, percent: int) -> list[tuple[int, int]]:
         return x
 
     out = []
-    same = bool((side == 2).any())  # a block with itself
-    left = np.flatnonzero((side == 0) | (side == 2))
-    right = np.flatnonzero(side == 1) if not same else left
-    for i in left:
-        others = right[right > i] if same else right
-        eq = sig[others] == sig[i]
-        ok = (eq.sum(axis=1) >= MATCHES) & (root[others] != root[i])
-        ok &= (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))
-        # a pair belongs to the first list that both prefixes share
-        ok &= (eq & bits[others] & bits[i]).argmax(axis=1) == coord
-        for j in others[ok]:
-            x, y = top(int(root[i])), top(int(root[j]))
+    for i, others in block.open_pairs():
+        for j in others:
+            x, y = top(int(block.root[i])), top(int(block.root[j]))
             if x != y and alike(sets[i], sets[j], percent):
                 up[max(x, y)] = min(x, y)
                 out.append((int(rep[i]), int(rep[j])))
     return out
 
 
-def _other_links(lists: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _other_links(docs: DataFrame, lists: DataFrame, roots: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Links between sets of one list that are not yet connected.
 
     In each list the sets outside its largest component (the minor ones) are
-    compared with each other and with the rest, block by block. Lists that are
-    one component cost nothing further, and a large group that is mostly
+    compared with each other and with the rest, block by block: first by
+    signatures, then, for sets that have a partner left, in full. Lists that
+    are one component cost nothing further, and a large group that is mostly
     connected costs minor sets times group size, in tasks of bounded size.
     """
-    rows = lists.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    rows = written(rows.select("rep", "key", "root"))
+    rows = written(lists.join(roots, "rep", "left").select("rep", "mask", "key", F.coalesce("root", "rep").alias("root")))
     per = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
     major = per.groupBy("key").agg(F.max(F.struct("k", "root")).alias("m"), F.sum("k").alias("size"))
     major = major.where("m.k < size").select("key", F.col("m.root").alias("major"), F.col("m.k").alias("k"), "size")
     open_ = rows.join(major, "key")
     minors, majors = F.ceil((F.col("size") - F.col("k")) / BLOCK), F.ceil(F.col("k") / BLOCK)
-    open_ = open_.select("rep", "key", "root", (F.col("root") != F.col("major")).alias("minor"), minors.cast("int").alias("nm"), majors.cast("int").alias("nj"))
+    open_ = open_.select("rep", "mask", "key", "root", (F.col("root") != F.col("major")).alias("minor"), minors.cast("int").alias("nm"), majors.cast("int").alias("nj"))
     own = F.pmod(F.xxhash64("rep"), F.when(F.col("minor"), F.col("nm")).otherwise(F.col("nj"))).cast("int")
     struct = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
     # a minor block meets minor blocks (numbered from 0) and major ones (numbered behind them)
@@ -220,16 +277,19 @@ def _other_links(lists: DataFrame, roots: DataFrame, sets: DataFrame, percent: i
         F.transform(F.sequence(F.lit(0), F.col("nj") - 1), lambda j: struct(F.col("own"), j + F.col("nm"), 0)),
     )
     major_tiles = F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda i: struct(i, F.col("own") + F.col("nm"), 1))
-    tiles = open_.withColumn("own", own).select(
-        "rep", "key", "root", F.explode(F.when(F.col("minor"), minor_tiles).otherwise(major_tiles)).alias("t")
-    ).select("rep", "key", "root", "t.*")
-    tiles = tiles.join(sets, "rep")
+    tiles = open_.withColumn("own", own).join(reps.select("rep", "n", "sig"), "rep")
+    tiles = tiles.select("rep", "mask", "key", "root", "n", "sig", F.explode(F.when(F.col("minor"), minor_tiles).otherwise(major_tiles)).alias("t"))
+    tiles = tiles.select("key", "t.*", "rep", "root", "mask", "n", "sig")
+    left = written(tiles.groupBy("key", "i", "j").applyInArrow(lambda t: _open_rows(t, percent), _PLACED))
+    dropped(rows)
 
     def compare(t: pa.Table) -> pa.Table:
         found = _compare_block(t, percent)
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
-    return tiles.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+    links = written(_with_sets(docs, left).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"))
+    dropped(left)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -243,8 +303,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal sets are one class from the start, however many documents hold them.
     Class representatives are posted under their coordinates; each list's
     leader is compared with the members first, then all pairs of a list that
-    are not connected yet, in bounded blocks. Every link is confirmed on full
-    sets. No list is capped.
+    are not connected yet, in bounded blocks. Signatures are compared before
+    full sets are made, and every link is confirmed on full sets. No list is
+    capped.
 
     Texts that are null or hold no word have no shingles and stand alone. Rows
     whose id is null are returned with a null component and aren't kept.
@@ -255,14 +316,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = columns_only(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     sketch = written(_sketches(base))
     some = sketch.where("n > 0 AND id IS NOT NULL")
-    reps = written(some.groupBy("name").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")))
+    reps = written(some.groupBy("name").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     lists = written(_shared_lists(reps.select("rep", "sig")))
-    sets = written(_sets(base, lists.select("rep", "mask").distinct()))
-    lists = lists.select("rep", "key")
-    star = written(_star_links(lists, sets, percent))
+    pairs = written(_star_pairs(lists, reps))
+    star = _star_links(base, pairs, percent)
+    dropped(pairs)
     roots = components(star)
-    rest = _other_links(lists, roots, sets, percent)
-    roots = components(star.unionByName(written(rest)))
+    rest = _other_links(base, lists, roots, reps, percent)
+    dropped(lists)
+    dropped(roots)
+    roots = components(star.unionByName(rest))
+    dropped(star)
+    dropped(rest)
     told = reps.select("name", "rep").join(roots, "rep", "left").select("name", F.coalesce("root", "rep").alias("component"))
     hit = some.select("id", "n", "name").join(told, "name").select("id", "n", "component")
     rest = sketch.where("NOT (n > 0 AND id IS NOT NULL)").select("id", "n", F.col("id").alias("component"))
@@ -273,6 +338,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, with all its columns."""
-    keep = near_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id"))
-    return docs.join(keep, docs[id_col] == keep["_kept_id"], "left_semi")
+    """One document of each group of near duplicates, with all its columns.
+
+    Texts that are null or hold no word stay: they are linked with nothing.
+    Documents with a null id stay too, as nothing can be said of them. A
+    document that repeats with the same id and text stays once; different
+    texts under one id stay or go together. An empty table gives an empty one.
+    Columns may have any names.
+    """
+    keep = near_duplicates(docs, id_col, text_col).where("kept").groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.count(F.lit(1)).alias("copies"))
+    rows = whole_rows(docs).withColumns({"id": F.col("doc").getField(id_col).cast("long"), "text": F.col("doc").getField(text_col)})
+    found = rows.where("id IS NOT NULL").join(keep, "id")
+    return one_of_each(found, "copies", "id", "text").unionByName(rows.where("id IS NULL").select("doc.*"))
