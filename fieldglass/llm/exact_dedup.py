@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import SPACE, columns_only, whole, written
+from fieldglass.llm.common import SPACE, columns_only, one_of_each, whole, whole_rows, written
 
 
 def sha256_hex(text: Column) -> Column:
@@ -101,6 +101,17 @@ def _told(marks: DataFrame, winners: DataFrame, hot: DataFrame, full: DataFrame,
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns."""
-    keep = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id"))
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["_kept_id"]), "left_semi")
+    """One document of each group of equal texts, with all its columns.
+
+    That is the one with the smallest id; of rows that repeat the same id and
+    text one stays. Null text is the empty text, and a group without any id
+    keeps one row. Rows are found again by id and digest, so that other texts
+    under the same id keep their own decision. An empty table gives an empty
+    one. Columns may have any names.
+    """
+    keep = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(f"`{id_col}`").alias("keep"), F.col("text_sha256").alias("of"))
+    keep = keep.groupBy("keep", "of").agg(F.count(F.lit(1)).alias("copies"))
+    text = F.regexp_replace(whole(F.col("doc").getField(text_col)), SPACE, " ")
+    rows = whole_rows(docs).withColumns({"id": F.col("doc").getField(id_col), "digest": sha256_hex(text)})
+    found = rows.join(keep, F.col("id").eqNullSafe(F.col("keep")) & (F.col("digest") == F.col("of")))
+    return one_of_each(found, "copies", "id", "digest")

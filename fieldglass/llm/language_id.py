@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import columns_only, held_out, written
+from fieldglass.llm.common import columns_only, held_out, whole_rows, written
 
 #: Characters that are hashed at a time; longer texts go on in the next window.
 WINDOW = 1 << 18
+#: Labels whose sums (256 KB each) a task holds at a time.
+HELD = 64
 ORDERS = (1, 2, 3)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -44,18 +46,28 @@ def _windows(text: str) -> Iterator[np.ndarray]:
         yield np.concatenate([part, np.full(pad, 32, dtype=np.uint32)]) if pad else part
 
 
-def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, bits: int, max_langs: int) -> dict:
+#: Log probabilities that may be broadcast: 128 MB, which at 15 bits is 1,024 languages.
+CELLS = 1 << 25
+
+
+def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, bits: int) -> dict:
     """Log-probability matrix over all rows that may be learnt from.
 
-    Every such row counts. The matrix has one row of 2**bits values for each
-    language and at most ``max_langs`` languages (those with most documents),
-    which bounds what is collected and broadcast.
+    Every such row and every language counts. The matrix has 2**bits values
+    for each language; a label column with more languages than ``CELLS``
+    allows for is an error, as none is left out.
     """
     rows = columns_only(docs, id_col, text_col, lang_col).select(
         F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"), held_out(id_col).alias("out")
     ).where("NOT out AND lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
     size = 1 << bits
 
+    def told(lang: str, s: np.ndarray, n: int) -> pa.RecordBatch:
+        at = np.flatnonzero(s)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([lang] * (len(at) + 1)), pa.array(np.append(at, -1)), pa.array(np.append(s[at], n))], names=["lang", "bucket", "n"]
+        )
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         n: dict[str, int] = {}
@@ -63,6 +75,10 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, bits: int,
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = sums.get(lang)
                 if s is None:
+                    if len(sums) >= HELD:  # sums of many labels are passed on, not gathered
+                        for k in sums:
+                            yield told(k, sums[k], n[k])
+                        sums, n = {}, {}
                     s = sums[lang] = np.zeros(size, dtype=np.int64)
                 n[lang] = n.get(lang, 0) + 1
                 for codes in _windows(text):
@@ -72,26 +88,24 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, bits: int,
                     else:
                         np.add.at(s, at, 1)
         for lang, s in sums.items():
-            at = np.flatnonzero(s)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * (len(at) + 1)), pa.array(np.append(at, -1)), pa.array(np.append(s[at], n[lang]))],
-                names=["lang", "bucket", "n"],
-            )
+            yield told(lang, s, n[lang])
 
     counts = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts = written(counts)
-    top = [r["lang"] for r in counts.where("bucket = -1").orderBy(F.desc("n"), "lang").limit(max_langs).collect()]
-    langs = sorted(top)
+    docs_in = counts.where("bucket = -1").select("lang", "n")
+    if docs_in.count() * size > CELLS:
+        raise ValueError(f"more than {CELLS // size} languages: use fewer bits or map rare labels to one")
+    known = {r["lang"]: r["n"] for r in docs_in.collect()}
+    langs = sorted(known)
     if not langs:
         return {"langs": [], "bits": bits}
-    found = counts.where(F.col("lang").isin(langs)).toPandas()  # max_langs * (2**bits + 1) rows at most
     matrix = np.zeros((len(langs), size))
-    docs_of = np.zeros(len(langs))
-    place = found["lang"].map({k: i for i, k in enumerate(langs)}).to_numpy()
-    bucket, n = found["bucket"].to_numpy(), found["n"].to_numpy()
-    inner = bucket >= 0
-    matrix[place[inner], bucket[inner]] = n[inner]
-    docs_of[place[~inner]] = n[~inner]
+    place = {k: i for i, k in enumerate(langs)}
+    # one row a language comes back, of 2**bits numbers at most
+    packed = counts.where("bucket >= 0").groupBy("lang").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n"))
+    for r in packed.toLocalIterator():
+        matrix[place[r["lang"]], r["bucket"]] = r["n"]
+    docs_of = np.array([known[k] for k in langs], dtype=float)
     logp = np.log((matrix + 0.5) / (matrix.sum(axis=1, keepdims=True) + 0.5 * size))
     return {"langs": langs, "bits": bits, "logp": np.ascontiguousarray(logp.T.astype(np.float32)), "prior": np.log(docs_of / docs_of.sum())}
 
@@ -120,7 +134,6 @@ def identify_language(
     text_col: str = "text",
     lang_col: str = "lang",
     bits: int = 15,
-    max_langs: int = 256,
 ) -> DataFrame:
     """One row per input row: id, ``held_out``, ``lang_pred``, ``score`` (0 to 1).
 
@@ -132,15 +145,15 @@ def identify_language(
     results, an empty table an empty one; other columns are ignored. A row
     with a null id is learnt from, as it is not held out.
     """
-    named = language_of(docs, id_col, text_col, lang_col, bits, max_langs)
-    return docs.select(
-        F.col(f"`{id_col}`"), held_out(f"`{id_col}`").alias("held_out"), named(F.col(f"`{text_col}`")).alias("_found")
-    ).select(F.col(f"`{id_col}`"), "held_out", "_found.lang_pred", "_found.score")
+    named = language_of(docs, id_col, text_col, lang_col, bits)
+    rows = columns_only(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    found = rows.select("id", held_out("id").alias("held_out"), named(F.col("text")).alias("found"))
+    return found.select(F.col("id").alias(id_col), "held_out", "found.lang_pred", "found.score")
 
 
-def language_of(docs: DataFrame, id_col: str, text_col: str, lang_col: str, bits: int, max_langs: int) -> Callable[[Column], Column]:
+def language_of(docs: DataFrame, id_col: str, text_col: str, lang_col: str, bits: int) -> Callable[[Column], Column]:
     """A function of a text column that gives struct(lang_pred, score), learnt from ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, id_col, text_col, lang_col, bits, max_langs))
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, id_col, text_col, lang_col, bits))
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
@@ -152,13 +165,16 @@ def language_of(docs: DataFrame, id_col: str, text_col: str, lang_col: str, bits
 
 def known_language(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    bits: int = 15, max_langs: int = 256, least: float = 0.5,
+    bits: int = 15, least: float = 0.5, into: str | None = None,
 ) -> DataFrame:
     """The documents whose language is found with a score of ``least`` or more, with all their columns.
 
-    Texts without a letter (``und``) go.
+    Null texts and texts without a letter (``und``) go. ``into`` names a
+    column that then holds the language that was found. Repeated rows stay or
+    go together; an empty table gives an empty one. Columns may have any names.
     """
-    named = language_of(docs, id_col, text_col, lang_col, bits, max_langs)
-    found = docs.withColumn("_found", named(F.col(f"`{text_col}`")))
-    kept = found.where((F.col("_found.lang_pred") != "und") & (F.col("_found.score") >= least))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    named = language_of(docs, id_col, text_col, lang_col, bits)
+    found = whole_rows(docs).withColumn("found", named(F.col("doc").getField(text_col)))
+    kept = found.where((F.col("found.lang_pred") != "und") & (F.col("found.score") >= least))
+    columns = [F.col("found.lang_pred").alias(c) if c == into else F.col("doc").getField(c).alias(c) for c in docs.columns]
+    return kept.select(*columns)

@@ -51,20 +51,25 @@ def _six(x: Column) -> Column:
     return F.floor(x * 1e6 + 0.5) / 1e6
 
 
-def token_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None) -> DataFrame:
-    """Per row: id, source, lang, topic and ``n_tokens`` (words; at least 1)."""
+def token_weights(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None,
+    source_col: str = "source", lang_col: str = "lang", whole_row: bool = False,
+) -> DataFrame:
+    """Per row: id, source, lang, topic and ``n_tokens`` (words; at least 1); the whole row as ``doc`` if asked for."""
     named = docs.select(
         F.col(f"`{id_col}`").alias("id"),
-        F.coalesce(F.col("source"), F.lit(NONE)).alias("source"),
-        F.coalesce(F.col("lang"), F.lit(NONE)).alias("lang"),
-        whole(text_col).alias("text"),
+        F.coalesce(F.col(f"`{source_col}`"), F.lit(NONE)).alias("source"),
+        F.coalesce(F.col(f"`{lang_col}`"), F.lit(NONE)).alias("lang"),
+        whole(F.col(f"`{text_col}`")).alias("text"),
         *([topic.alias("topic")] if topic is not None else []),
+        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if whole_row else []),
     )
     if topic is None:
         named = named.withColumn("topic", topic_of(F.col("text")))
     return named.select(
         "id", "source", "lang", F.coalesce("topic", F.lit(NONE)).alias("topic"),
         F.greatest(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(1)).cast("long").alias("n_tokens"),
+        *(["doc"] if whole_row else []),
     )
 
 
@@ -165,6 +170,13 @@ def probabilities(fit: DataFrame, rate: float = RATE, rounds: int = CAP_ROUNDS)
     return cells.select(*MARGINS, "mass", "weight", F.least(F.lit(1.0), F.lit(k) * F.col("weight")).alias("probability"))
 
 
+def _drawn(rows: DataFrame, powers: dict[str, float], targets: dict[str, DataFrame] | None, rate: float) -> DataFrame:
+    """Cells of rows (source, lang, topic, n_tokens) with weight and probability; broadcast where they are few."""
+    cells = written(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("mass")))
+    drawn = written(probabilities(rake(cells, powers, targets), rate))
+    return F.broadcast(drawn) if drawn.count() <= FEW else drawn
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -173,41 +185,45 @@ def mix(
     powers: dict[str, float] = POWERS,
     targets: dict[str, DataFrame] | None = None,
     rate: float = RATE,
+    source_col: str = "source",
+    lang_col: str = "lang",
 ) -> DataFrame:
     """One row per input row: id, source, lang, topic, n_tokens, weight, probability, kept.
 
     Token mass is summed by cell over all rows, raked until the marginals are
-    met (see ``rake``), and
-    each document is kept with its cell's probability by a number drawn from
-    its id, so the same id always meets the same decision (repeated rows
-    too). Null source, lang or topic are a category of their own; null and
-    empty texts weigh one token; a null id draws like the empty text. An empty
-    table gives an empty result. Other columns are ignored. Cells number at
-    most sources x languages x topics; they are broadcast up to ``FEW`` and
-    joined by shuffle beyond.
+    met (see ``rake``), and each document is kept with its cell's probability
+    by a number drawn from its id, so the same id always meets the same
+    decision (repeated rows too). Null source, lang or topic are a category of
+    their own; null and empty texts weigh one token; a null id draws like the
+    empty text. An empty table gives an empty result. Other columns are
+    ignored. Cells number at most sources x languages x topics; they are
+    broadcast up to ``FEW`` and joined by shuffle beyond.
     """
-    rows = token_weights(docs, id_col, text_col, topic)
-    cells = written(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("mass")))
-    drawn = written(probabilities(rake(cells, powers, targets), rate))
-    few = drawn.count() <= FEW
-    told = rows.join(F.broadcast(drawn) if few else drawn, list(MARGINS))
+    rows = token_weights(docs, id_col, text_col, topic, source_col, lang_col)
+    told = rows.join(_drawn(rows, powers, targets, rate), list(MARGINS))
     return told.select(
         F.col("id").alias(id_col), *MARGINS, "n_tokens", _six(F.col("weight")).alias("weight"),
         _six(F.col("probability")).alias("probability"), (_uniform("id") < F.col("probability")).alias("kept"),
     )
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
-    """The sampled documents, with all their columns."""
-    rows = token_weights(docs, id_col, text_col)
-    cells = written(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("mass")))
-    rate = options.pop("rate", RATE)
-    drawn = written(probabilities(rake(cells, **options), rate)).select(*[F.col(m).alias(f"_{m}") for m in MARGINS], F.col("probability").alias("_p"))
-    if drawn.count() <= FEW:
-        drawn = F.broadcast(drawn)
-    on = (
-        (F.coalesce(docs["source"], F.lit(NONE)) == F.col("_source"))
-        & (F.coalesce(docs["lang"], F.lit(NONE)) == F.col("_lang"))
-        & (topic_of(F.coalesce(docs[text_col], F.lit(""))) == F.col("_topic"))
-    )
-    return docs.join(drawn, on).where(_uniform(id_col) < F.col("_p")).select(*[docs[c] for c in docs.columns])
+def mixed_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    topic: Column | None = None,
+    powers: dict[str, float] = POWERS,
+    targets: dict[str, DataFrame] | None = None,
+    rate: float = RATE,
+    source_col: str = "source",
+    lang_col: str = "lang",
+) -> DataFrame:
+    """The documents that ``mix`` keeps, with all their columns.
+
+    Nulls, repeated rows and empty tables are treated as there: a document
+    that repeats is kept or goes with all its copies. Columns may have any
+    names.
+    """
+    rows = token_weights(docs, id_col, text_col, topic, source_col, lang_col, whole_row=True)
+    told = rows.join(_drawn(rows, powers, targets, rate).select(*MARGINS, "probability"), list(MARGINS))
+    return told.where(_uniform("id") < F.col("probability")).select("doc.*")
