@@ -17,27 +17,27 @@ from fieldglass.llm.sentencepiece_codec import encode_documents
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; texts without a letter go."""
-    return language_id.known_language(docs)
+    """Documents whose language can be told, with that language as ``lang``; null texts and texts without a letter go."""
+    return language_id.known_language(docs, into="lang")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts, and one of rows that repeat; null counts as empty."""
     return exact_dedup.kept_documents(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates; null and wordless texts and null ids stay."""
     return near_dup.kept_documents(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled to the raked weights of source, language and topic."""
+    """Documents sampled to the raked weights of source, the language found and topic; nulls are categories."""
     return mixing.mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document that is left."""
+    """Token counts and digests of every document that is left; null text has no token."""
     return encode_documents(docs, piece_model(), keep_pieces=False)
 
 
@@ -54,7 +54,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``, each written and read again."""
+    """All stages over the documents of ``sf_dir``, each written and read again. An empty table gives an empty result."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
