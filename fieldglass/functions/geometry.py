@@ -66,6 +66,15 @@ def letterbox_decode(cx: Column, cy: Column, w: Column, h: Column, scale: Column
     return clamp(raw, width, height)
 
 
+#: Class confidence below which a detection counts as none.
+LEAST_CONF = 0.005
+
+
+def detected(b: Column, conf: Column, least: float = LEAST_CONF) -> Column:
+    """Whether a decoded box stays: confident, and two pixels long on both sides."""
+    return (conf >= least) & sides_at_least(b)
+
+
 def sides_at_least(b: Column, least: int = 2) -> Column:
     return (b["x2"] - b["x1"] >= least) & (b["y2"] - b["y1"] >= least)
 
@@ -90,6 +99,29 @@ def tiny_title(b: Column) -> Column:
     return (h < 24) & (w >= 8) & (h >= 4)
 
 
+def translate(b: Column, dx: Column, dy: Column) -> Column:
+    """A box found in a crop, in the image that the crop was cut from at (dx, dy)."""
+    return box(b["x1"] + dx, b["y1"] + dy, b["x2"] + dx, b["y2"] + dy)
+
+
+def second_score_box(b: Column) -> Column:
+    """A score's box without its upper 15 %, where a caption stands."""
+    cut = (F.lit(0.15).cast("float") * (b["y2"] - b["y1"])).cast("float").cast("int")
+    return box(b["x1"], b["y1"] + cut, b["x2"], b["y2"])
+
+
+def title_crop(b: Column, width: Column, height: Column) -> Column:
+    """What is looked at again around a tiny title: 0.6 widths and 1 height more on each side; null below 20 x 12."""
+    grown = crop(b, width, height, 1.0, 0.6)
+    return F.when(tiny_title(b) & (grown["x2"] - grown["x1"] >= 20) & (grown["y2"] - grown["y1"] >= 12), grown)
+
+
+def taller(found: Column, b: Column, at: Column) -> Column:
+    """The title found in a crop, in the image's frame, if it is taller than the first one; else that."""
+    moved = translate(found, at["x1"], at["y1"])
+    return F.when(found.isNotNull() & (found["y2"] - found["y1"] > b["y2"] - b["y1"]), moved).otherwise(box(b["x1"], b["y1"], b["x2"], b["y2"]))
+
+
 def in_disc(x: Column, y: Column, width: Column, height: Column, radius: float) -> Column:
     """Whether a pixel lies in the ellipse of this radius within the crop."""
     rx, ry = (width - 1) / 2, (height - 1) / 2
@@ -105,7 +137,7 @@ def order_quad(corners: Column) -> Column:
     return F.array(top[0], top[1], low[1], low[0])
 
 
-def plausible_quad(w: Column, h: Column, fill: Column) -> Column:
-    """Whether a found quadrilateral can be a screen: size, filled share and aspect."""
+def plausible_quad(w: Column, h: Column, fill: Column, box_w: Column, box_h: Column) -> Column:
+    """Whether a quadrilateral found in a detected box can be a screen: both sizes, filled share and aspect."""
     aspect = w / F.greatest(h, F.lit(1))
-    return (w >= 60) & (h >= 60) & fill.between(0.30, 1.02) & aspect.between(0.6, 5.0)
+    return (box_w >= 40) & (box_h >= 40) & (w >= 60) & (h >= 60) & fill.between(0.30, 1.02) & aspect.between(0.6, 5.0)

@@ -128,3 +128,15 @@ def score_value(digits: Column) -> Column:
 def turned_by(turn: Column) -> Column:
     """Degrees of a turn: 1 is 90, 2 is 270, else 0."""
     return F.when(turn == 1, 90).when(turn == 2, 270).otherwise(0)
+
+
+def hsv_to_rgb(h: Column, s: Column, v: Column) -> Column:
+    """Array (r, g, b) of 0 to 255, truncated, of a hue of 0 to 179 and shares of saturation and value."""
+    turn = F.pmod(h / 179.0, F.lit(1.0)) * 6
+    i = F.floor(turn)
+    part = turn - i
+    p, q, t = v * (1 - s), v * (1 - s * part), v * (1 - s * (1 - part))
+    out = F.array(v, p, q)
+    for k, rgb in enumerate(((v, t, p), (q, v, p), (p, v, t), (p, q, v), (t, p, v))):
+        out = F.when(F.pmod(i, F.lit(6)) == k, F.array(*rgb)).otherwise(out)
+    return F.transform(F.when(s == 0, F.array(v, v, v)).otherwise(out), lambda x: (x * 255).cast("int"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldglass.functions.text import clean_name, normalize_key
 
@@ -40,16 +41,17 @@ def chart_validity(items: DataFrame, catalog: DataFrame) -> DataFrame:
     return out.select("key", F.when(F.col("at").isNull(), "unknown").when(fits, "ok").otherwise("bad").alias("validity"))
 
 
-def zip_rows(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:
-    """Rows of two lists of the same length side by side, by position.
+def _numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """Rows with their place in an order; sorted by ranges, so that no task holds the whole list."""
+    schema = T.StructType([*df.schema.fields, T.StructField("_i", T.LongType(), False)])
+    return df.sparkSession.createDataFrame(df.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
 
-    Lists of files and their literal labels are small; the numbering is one sorted window.
-    """
+
+def zip_rows(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:
+    """Rows of two lists of the same length side by side, by position."""
     if left.count() != right.count():
         raise ValueError("the lists differ in length")
-    a = left.withColumn("_i", F.row_number().over(Window.orderBy(*left_order)))
-    b = right.withColumn("_i", F.row_number().over(Window.orderBy(*right_order)))
-    return a.join(b, "_i").drop("_i")
+    return _numbered(left, left_order).join(_numbered(right, right_order), "_i").drop("_i")
 
 
 #: The validator's views of the labelled set.
@@ -85,3 +87,8 @@ def synthetic_cases(songs: DataFrame, seed: int = 7) -> DataFrame:
     grid = F.broadcast(angles.join(lights).join(glares))  # 24 rows
     jitter = F.pmod(F.xxhash64(F.col("song"), F.col("angle"), F.col("brightness"), F.col("glare"), F.lit(seed)), F.lit(4001)) / 100000 - 0.02
     return songs.join(grid).withColumn("jitter", jitter).withColumn("inset", F.sin(F.radians(F.col("angle").cast("double"))) * 0.5)
+
+
+def status_counts(items: DataFrame) -> DataFrame:
+    """How many items have each match status: match_status, n."""
+    return items.groupBy("match_status").agg(F.count(F.lit(1)).alias("n"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldglass.functions.text import normalize_match
+from fieldglass.operators.lines import middle_rank, ranks
+
 
 def share(part: Column, whole: Column) -> Column:
     """A share, 0 of nothing."""
@@ -88,9 +91,46 @@ def margin_histogram(rows: DataFrame, low: float = 0.0, high: float = 0.25, bins
 
 def latency(rows: DataFrame, ms: str = "ms") -> DataFrame:
     """Mean, greatest and upper-median time."""
-    ordered = F.sort_array(F.collect_list(ms))
-    middle = F.element_at(ordered, F.floor(F.size(ordered) / 2).cast("int") + 1)
-    return rows.agg(F.avg(ms).alias("mean"), F.max(ms).alias("max"), middle.alias("median"))
+    times = rows.select(F.lit(0).alias("_k"), F.col(ms).alias("_ms"))
+    sums = times.groupBy("_k").agg(F.avg("_ms").alias("mean"), F.max("_ms").alias("max"))
+    return sums.join(ranks(times, "_k", "_ms", {"median": middle_rank}), "_k").drop("_k")
+
+
+def truth_answers(readings: DataFrame, truth: DataFrame) -> DataFrame:
+    """Gated readings beside the truth of their key: key, field, value, truth, ok, margin.
+
+    ``truth`` has key, song, level, chart_type and ``scores`` (an array: a
+    screen of two players has two, and either counts). Songs are equal by
+    normal form. Readings without a truth row don't count.
+    """
+    both = readings.select("key", *[F.col(f).alias(f"_{f}") for f in FIELDS]).join(truth.select("key", "song", "level", "chart_type", "scores"), "key")
+    text = lambda c: c.cast("string")
+    row = lambda f, t, ok: F.struct(
+        F.lit(f).alias("field"), text(F.col(f"_{f}.value")).alias("value"), t.alias("truth"), F.coalesce(ok, F.lit(False)).alias("ok"), F.col(f"_{f}.confidence").alias("margin"))
+    rows = F.array(
+        row("song", F.col("song"), normalize_match(F.col("_song.value")) == normalize_match(F.col("song"))),
+        row("level", text(F.col("level")), F.col("_level.value") == F.col("level")),
+        row("chart_type", F.col("chart_type"), F.col("_chart_type.value") == F.col("chart_type")),
+        row("score", F.when(F.size("scores") > 0, F.array_join("scores", "|")), F.array_contains("scores", F.col("_score.value"))),
+    )
+    return both.select("key", F.explode(rows).alias("x")).select("key", "x.*")
+
+
+#: Fields of a reading.
+FIELDS = ("song", "level", "chart_type", "score")
+
+
+def escalated(readings: DataFrame) -> DataFrame:
+    """Photos, and those where song, score or level has no value: n, escalated, share. The chart type doesn't count."""
+    missing = F.col("song").isNull() | F.col("score").isNull() | F.col("level").isNull()
+    out = readings.agg(F.count(F.lit(1)).alias("n"), F.count_if(missing).alias("escalated"))
+    return out.select("n", "escalated", share(F.col("escalated"), F.col("n")).alias("share"))
+
+
+def case_totals(answers: DataFrame, by: str, case: str = "key") -> DataFrame:
+    """Cases and those whose fields are all right, by a condition: by, total, complete (rows case, by, ok)."""
+    cases = answers.groupBy(case, by).agg(F.every(F.coalesce("ok", F.lit(False))).alias("all"))
+    return cases.groupBy(by).agg(F.count(F.lit(1)).alias("total"), F.count_if("all").alias("complete"))
 
 
 def photo_tags(rows: DataFrame) -> DataFrame:

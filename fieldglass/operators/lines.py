@@ -6,33 +6,116 @@ components a detector bounds, so windows partition by key.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def percentile_linear(values: Column, p: float) -> Column:
-    return F.percentile(values, F.lit(p))
+#: Steps of the sketch that says where a rank lies.
+STEPS = 128
+
+Ranks = dict[str, Callable[[Column], Column]]
+
+
+def ranks_of_counts(counts: DataFrame, key: str, value: str, n: str, ranks: Ranks, below: str | None = None) -> DataFrame:
+    """Elements of samples at the wanted places: key and a column for each of ``ranks``.
+
+    ``counts`` are distinct (key, value) with their number ``n``; each rank is
+    a function of the sample's size that gives a place from 0. Where ``below``
+    names a column, so many elements of the key lie before its smallest value
+    here, and ``_all`` is the size of the whole sample.
+    """
+    run = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    all_ = F.sum(n).over(Window.partitionBy(key)) if below is None else F.col("_all")
+    upto = F.sum(n).over(run) + (F.lit(0) if below is None else F.col(below))
+    placed = counts.withColumn("_size", all_).withColumn("_upto", upto)
+    at = [F.min(F.when(F.col("_upto") > rank(F.col("_size")), F.col(value))).alias(name) for name, rank in ranks.items()]
+    return placed.groupBy(key).agg(*at)
+
+
+def ranks(rows: DataFrame, key: str, value: str, wanted: Ranks) -> DataFrame:
+    """Elements of unbounded samples at the wanted places (see ``ranks_of_counts``); nulls don't count.
+
+    A bounded sketch cuts each key's values into some ``STEPS`` stretches;
+    stretches are counted exactly, and only those that hold a wanted place are
+    ordered, each by itself. No task sees a whole key.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
+    shares = [k / STEPS for k in range(1, STEPS)]
+    cuts = counts.groupBy(key).agg(F.percentile_approx(value, shares, 1000).alias("_cuts"))
+    cut = counts.join(cuts, key).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    parts = cut.groupBy(key, "_part").agg(F.sum("_n").alias("_in"))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_below", F.coalesce(F.sum("_in").over(before), F.lit(0))).withColumn("_all", F.sum("_in").over(Window.partitionBy(key)))
+    out = None
+    for name, rank in wanted.items():
+        place = rank(F.col("_all"))
+        held = parts.where((F.col("_below") <= place) & (place < F.col("_below") + F.col("_in"))).select(key, "_part", "_below", "_all")
+        found = ranks_of_counts(cut.join(held, [key, "_part"]), key, value, "_n", {name: rank}, "_below")
+        out = found if out is None else out.join(found, key)
+    return out
+
+
+def lower_rank(p: float) -> Callable[[Column], Column]:
+    """The place below share ``p`` of a sample (an element of it)."""
+    return lambda n: F.floor(F.lit(p) * (n - 1))
+
 
+def upper_rank(p: float) -> Callable[[Column], Column]:
+    return lambda n: F.ceil(F.lit(p) * (n - 1))
 
-def percentile_lower(values: Column, p: float) -> Column:
-    """The value at the rank below p (an element of the sample)."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.element_at(ordered, F.floor(F.lit(p) * (F.size(ordered) - 1)).cast("int") + 1)
 
+def middle_rank(n: Column) -> Column:
+    """The place at half the count, without averaging."""
+    return F.floor(n / 2)
 
-def upper_median(values: Column) -> Column:
-    """The element at half the count, without averaging."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.element_at(ordered, F.floor(F.size(ordered) / 2).cast("int") + 1)
 
+def percentiles(rows: DataFrame, key: str, value: str, p: float) -> DataFrame:
+    """Of each key: ``lower`` (the element below share ``p``), ``linear`` (interpolated), ``upper_median`` and ``median``."""
+    found = ranks(rows, key, value, {
+        "lower": lower_rank(p), "_above": upper_rank(p), "upper_median": middle_rank, "_lower_median": lambda n: F.floor((n - 1) / 2),
+    })
+    size = rows.where(F.col(value).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
+    part = F.lit(p) * (F.col("_size") - 1)
+    return found.join(size, key).select(
+        key, "lower", (F.col("lower") + (part - F.floor(part)) * (F.col("_above") - F.col("lower"))).alias("linear"),
+        "upper_median", ((F.col("_lower_median") + F.col("upper_median")) / 2).alias("median"),
+    )
 
-def component_filter(df: DataFrame, key: str = "key", least_area: float = 0.02, least_height: float = 0.55) -> DataFrame:
-    """Components of at least these shares of the largest area and height of their crop."""
+
+def _float_share(share: float, of: Column) -> Column:
+    """A share in single precision, as thresholds of components are."""
+    return (F.lit(share).cast("float") * of.cast("float")).cast("float")
+
+
+def title_components(df: DataFrame, key: str = "key") -> DataFrame:
+    """Title glyphs among components (w, h, pixel ``area``) of an image (``rows``, ``cols``).
+
+    At least 2 % of the largest area, 12 % of the image's height, and at most
+    half its width.
+    """
+    largest = F.max("area").over(Window.partitionBy(key))
+    return df.withColumn("_most", largest).where(
+        (F.col("area") >= _float_share(0.02, F.col("_most"))) & (F.col("h") >= _float_share(0.12, F.col("rows"))) & (F.col("w") <= _float_share(0.5, F.col("cols")))
+    ).drop("_most")
+
+
+def badge_components(df: DataFrame, key: str = "key") -> DataFrame:
+    """Badge digits: at least 55 % of the greatest height, and 2 % of all pixels of the image in area."""
+    highest = F.max("h").over(Window.partitionBy(key))
+    return df.withColumn("_most", highest).where(
+        (F.col("h") >= _float_share(0.55, F.col("_most"))) & (F.col("area") >= _float_share(0.02, F.col("rows") * F.col("cols")))
+    ).drop("_most")
+
+
+def score_components(df: DataFrame, key: str = "key") -> DataFrame:
+    """Score digits (with mean ``bright``): high, filled and narrow enough, and not much darker than the brightest of those."""
     w = Window.partitionBy(key)
-    area = F.col("w") * F.col("h")
-    return df.withColumn("_a", F.max(area).over(w)).withColumn("_h", F.max("h").over(w)).where(
-        (area >= least_area * F.col("_a")) & (F.col("h") >= least_height * F.col("_h"))
-    ).drop("_a", "_h")
+    shaped = df.withColumn("_most", F.max("h").over(w)).where(
+        (F.col("h") >= _float_share(0.55, F.col("_most"))) & (F.col("area") >= _float_share(0.05, F.col("w") * F.col("h"))) & (F.col("w") <= 3 * F.col("h"))
+    )
+    return shaped.withColumn("_most", F.max("bright").over(w)).where(F.col("bright").cast("float") >= _float_share(0.62, F.col("_most"))).drop("_most")
 
 
 def height_filter(df: DataFrame, key: str = "key", share: float = 0.42) -> DataFrame:
@@ -94,12 +177,20 @@ def merge_by_x(df: DataFrame, key: str = "key", share: float = 0.55) -> DataFram
 
 
 def same_line(df: DataFrame, key: str = "key") -> DataFrame:
-    """Components whose height is 0.68 to 1.45 of the highest and whose centre lies near the upper median centre."""
-    centre = F.col("y") + F.col("h") / 2
-    stats = df.groupBy(key).agg(F.max("h").alias("_max"), F.median("h").alias("_mid"), upper_median(centre).alias("_cy"))
-    return df.join(stats, key).where(
-        F.col("h").between(0.68 * F.col("_max"), 1.45 * F.col("_max")) & (F.abs(centre - F.col("_cy")) <= 0.42 * F.col("_mid"))
-    ).drop("_max", "_mid", "_cy")
+    """Components of the main line: the heights of a band, near that band's middle.
+
+    The band is what is 0.68 to 1.45 of the greatest height; of it stay those
+    whose centre is within 0.42 median heights of the upper median centre.
+    """
+    whole = Window.partitionBy(key)
+    h = F.col("h").cast("float")
+    most = F.max("h").over(whole)
+    band = df.withColumn("_max", most).where((h >= _float_share(0.68, F.col("_max"))) & (h <= _float_share(1.45, F.col("_max"))))
+    band = band.withColumn("_cy", (F.col("y") + F.col("h") / 2).cast("float"))
+    place = F.row_number().over(whole.orderBy("_cy")) - 1
+    band = band.withColumn("_place", place).withColumn("_n", F.count(F.lit(1)).over(whole)).withColumn("_mid", F.median("h").over(whole))
+    band = band.withColumn("_line", F.max(F.when(F.col("_place") == F.floor(F.col("_n") / 2), F.col("_cy"))).over(whole))
+    return band.where(F.abs(F.col("_cy") - F.col("_line")) <= _float_share(0.42, F.col("_mid"))).drop("_max", "_cy", "_place", "_n", "_mid", "_line")
 
 
 def coherence(df: DataFrame, key: str = "key") -> DataFrame:
@@ -108,10 +199,9 @@ def coherence(df: DataFrame, key: str = "key") -> DataFrame:
 
 
 def plausibility(df: DataFrame, key: str = "key") -> DataFrame:
-    """Per crop: tier by count (2 for 6 or 7, 1 for 4 to 8) and regularity of heights and centre gaps."""
+    """Per crop: tier by count (2 for 6 or 7, 1 for 4 to 8) and regularity of heights and of gaps between ordered centres."""
     centre = F.col("x") + F.col("w") / 2
-    w = Window.partitionBy(key).orderBy("x", "ord")
-    gaps = df.withColumn("_gap", centre - F.lag(centre).over(w))
+    gaps = df.withColumn("_gap", centre - F.lag(centre).over(Window.partitionBy(key).orderBy(centre)))
     cv = lambda c: F.coalesce(F.try_divide(F.stddev_pop(c), F.avg(c)), F.lit(0.0))
     n = F.count(F.lit(1))
     tier = F.when(n.between(6, 7), 2).when(n.between(4, 8), 1).otherwise(0)

@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldglass.functions.text import block_similarity, compact, jaccard, normalize_match, round_half_even, trigrams
+from fieldglass.functions.text import block_similarity, compact, normalize_match, round_half_even, trigrams
 
 #: Candidates that trigrams let through to the full score.
 PREFILTER = 120
-#: Catalog rows up to which every pair is looked at; beyond, trigrams join.
-CLOSED = 5000
 WEIGHTS = (0.45, 0.35, 0.20)
 
 
@@ -21,27 +19,28 @@ def with_forms(df: DataFrame, text: str) -> DataFrame:
     return out.withColumn("trigrams", trigrams(F.col("compact")))
 
 
-def trigram_candidates(reads: DataFrame, catalog: DataFrame, limit: int = PREFILTER, closed: int = CLOSED) -> DataFrame:
-    """Pairs (key, ord, jac) of reads (key, text) and catalog rows (ord, name), best ``limit`` by trigram overlap.
+def trigram_candidates(reads: DataFrame, catalog: DataFrame, limit: int = PREFILTER) -> DataFrame:
+    """Pairs (key, read, ord, name, entry, jac) of reads (key, text) and catalog rows (ord, name), best ``limit`` by trigram overlap.
 
-    Equal overlap ranks by the catalog's order. Reads without a letter or
-    digit match nothing. A catalog of at most ``closed`` rows is broadcast and
-    every pair counted; a larger one is joined on trigrams, where rows without
-    a common trigram aren't candidates.
+    Equal overlap ranks by the catalog's order, and so do rows without any,
+    which fill the places that are left. Reads without a letter or digit match
+    nothing. Reads and catalog meet on trigrams; a trigram that many of both
+    hold is a skewed key, which adaptive execution splits, and only counts go
+    on from there.
     """
     left = with_forms(reads, "text").where("norm != ''").select("key", F.col("compact").alias("read"), F.col("trigrams").alias("a"))
     right = with_forms(catalog, "name").select("ord", "name", F.col("compact").alias("entry"), F.col("trigrams").alias("b"))
-    if catalog.count() <= closed:
-        pairs = left.join(F.broadcast(right)).withColumn("jac", jaccard(F.col("a"), F.col("b"))).drop("a", "b")
-    else:
-        common = (
-            left.select("key", "read", F.size("a").alias("na"), F.explode("a").alias("t"))
-            .join(right.select("ord", "name", "entry", F.size("b").alias("nb"), F.explode("b").alias("t")), "t")
-            .groupBy("key", "read", "na", "ord", "name", "entry", "nb").agg(F.count(F.lit(1)).alias("both"))
-        )
-        pairs = common.withColumn("jac", F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).drop("na", "nb", "both")
+    posted = right.select("ord", F.size("b").alias("nb"), F.explode("b").alias("t"))
+    asked = left.select("key", F.size("a").alias("na"), F.explode("a").alias("t"))
+    common = asked.join(posted, "t").groupBy("key", "ord").agg(F.count(F.lit(1)).alias("both"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    found = common.select("key", "ord", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jac"))
+    # at most ``limit`` of the first rows of the catalog overlap, so they hold all rows that can fill up
+    fill = right.orderBy("ord").limit(limit).select("ord", F.lit(0.0).alias("jac"))
+    filled = left.select("key").join(F.broadcast(fill))
     w = Window.partitionBy("key").orderBy(F.desc("jac"), "ord")
-    return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).drop("place")
+    pairs = found.unionByName(filled).groupBy("key", "ord").agg(F.max("jac").alias("jac"))
+    best = pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).drop("place")
+    return best.join(left.select("key", "read"), "key").join(right.select("ord", "name", "entry"), "ord")
 
 
 def match_score(jac: Column, ratio: Column, common: Column, a: Column, b: Column) -> Column:
@@ -50,13 +49,13 @@ def match_score(jac: Column, ratio: Column, common: Column, a: Column, b: Column
     return round_half_even(WEIGHTS[0] * jac + WEIGHTS[1] * ratio + WEIGHTS[2] * partial, 4)
 
 
-def match(reads: DataFrame, catalog: DataFrame, k: int = 2, limit: int = PREFILTER, closed: int = CLOSED) -> DataFrame:
+def match(reads: DataFrame, catalog: DataFrame, k: int = 2, limit: int = PREFILTER) -> DataFrame:
     """The ``k`` best catalog rows for each read (key, text): key, rank, ord, name, score.
 
     Ties rank by trigram overlap, then catalog order. The expensive similarity
     runs only for what the trigrams let through.
     """
-    pairs = trigram_candidates(reads, catalog, limit, closed)
+    pairs = trigram_candidates(reads, catalog, limit)
     scored = pairs.withColumn("s", block_similarity(F.col("read"), F.col("entry")))
     scored = scored.withColumn("score", match_score(F.col("jac"), F.col("s.ratio"), F.col("s.common"), F.col("read"), F.col("entry")))
     w = Window.partitionBy("key").orderBy(F.desc("score"), F.desc("jac"), "ord")
@@ -78,3 +77,13 @@ def levels_for(songs: DataFrame, catalog: DataFrame) -> DataFrame:
     fits = F.filter("charts", lambda c: F.col("chart").isNull() | (c["type"] == F.col("chart")) | (c["type"] == ""))
     used = F.when(F.size(fits) > 0, fits).otherwise(F.col("charts"))
     return found.select("key", F.array_sort(F.array_distinct(F.transform(used, lambda c: c["level"]))).alias("levels"))
+
+
+def charts_for(songs: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Charts of songs (key, name): those of the first catalog row whose name or key has the same normal form; else none."""
+    wanted = songs.select(F.col("key").alias("song"), normalize_match(F.coalesce("name", F.lit(""))).alias("norm"))
+    forms = F.array_distinct(F.array(normalize_match(F.col("name")), normalize_match(F.col("key"))))
+    entries = catalog.select("ord", "charts", F.explode(forms).alias("norm"))
+    first = entries.groupBy("norm").agg(F.min_by("charts", "ord").alias("charts"))
+    none = F.array().cast(catalog.schema["charts"].dataType)
+    return wanted.join(first, "norm", "left").select(F.col("song").alias("key"), F.coalesce("charts", none).alias("charts"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldglass.functions.geometry import in_disc
-from fieldglass.operators.lines import longest_run, percentile_lower, upper_median
+from fieldglass.operators.lines import longest_run, lower_rank, middle_rank, ranks_of_counts
 
 
 def pixel_rows(images: DataFrame) -> DataFrame:
@@ -55,9 +55,26 @@ def coloured(pixels: DataFrame, sat: int = 80, val: int = 60, radius: float = 0.
 
 
 def adaptive_cuts(pixels: DataFrame) -> DataFrame:
-    """Saturation and value above which a crop's pixels count, from its own colours: key, sat_cut, val_cut."""
-    return pixels.groupBy("key").agg(
-        F.greatest(F.lit(20.0), 0.5 * upper_median(F.col("sat"))).alias("sat_cut"), F.greatest(F.lit(40.0), 0.5 * percentile_lower(F.col("val"), 0.20)).alias("val_cut"))
+    """Saturation and value above which a crop's pixels count, from its own colours: key, sat_cut, val_cut.
+
+    Both have 256 values, so a crop is two histograms of at most so many rows.
+    """
+    levels = pixels.select("key", F.explode(F.array(*[F.struct(F.lit(c).alias("of"), F.col(c).alias("v")) for c in ("sat", "val")])).alias("x")).select("key", "x.*")
+    counts = levels.groupBy("key", "of", "v").agg(F.count(F.lit(1)).alias("n"))
+    sat = ranks_of_counts(counts.where("of = 'sat'"), "key", "v", "n", {"s": middle_rank})
+    val = ranks_of_counts(counts.where("of = 'val'"), "key", "v", "n", {"v20": lower_rank(0.20)})
+    return sat.join(val, "key").select(
+        "key", F.greatest(F.lit(20.0), 0.5 * F.col("s")).alias("sat_cut"), F.greatest(F.lit(40.0), 0.5 * F.col("v20")).alias("val_cut"))
+
+
+def column_profile(mask: DataFrame) -> DataFrame:
+    """Foreground pixels of each column (rows key, x): key, x, n."""
+    return mask.groupBy("key", "x").agg(F.count(F.lit(1)).alias("n"))
+
+
+def component_brightness(labelled: DataFrame) -> DataFrame:
+    """Mean gray of each component's pixels (rows key, ord, gray): key, ord, bright."""
+    return labelled.groupBy("key", "ord").agg(F.avg("gray").alias("bright"))
 
 
 def row_profile(pixels: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.functions.text import block_similarity, chart_key, compact, normalize_match, title_weight
+from fieldglass.functions.text import block_similarity, chart_from_label, chart_key, compact, normalize_match, score_value, title_weight
 from fieldglass.operators.matching import levels_for, match
 
 
@@ -23,6 +23,7 @@ class Gates:
     score_margin: float = 0.010
     score_agree_margin: float = 0.0
     badge_conf: float = 0.15
+    title_conf: float = 0.0
     titles: int = 5
     candidates: int = 3
     pool: int = 8
@@ -38,6 +39,46 @@ def field(value: Column, confidence: Column, reason: Column) -> Column:
     return F.struct(F.when(reason.isNull(), value).alias("value"), confidence.cast("float").alias("confidence"), reason.alias("reason"))
 
 
+@dataclass(frozen=True)
+class Options:
+    """Options of recognition, out-of-range values mended: modes that don't exist leave the mode as it was."""
+
+    rectify: bool = False
+    bin_mode: int = 0
+    badge_mode: int = 0
+    title_variants: int = 1
+    title_boxes: int = 3
+
+    def changed(self, rectify: bool, bin_mode: int, badge_mode: int, title_variants: int, title_boxes: int) -> Options:
+        """These options with new values where they are in range (modes 0 to 3 and 0 to 2)."""
+        return Options(
+            rectify, bin_mode if 0 <= bin_mode <= 3 else self.bin_mode, badge_mode if 0 <= badge_mode <= 2 else self.badge_mode,
+            max(title_variants, 1), 3 if title_boxes < 1 else title_boxes,
+        )
+
+
+def score_margin(margins: Column) -> Column:
+    """The least margin of a score's digits; 0 without digits."""
+    return F.coalesce(F.array_min(margins), F.lit(0.0))
+
+
+def mean_margin(margins: Column) -> Column:
+    """The mean margin of glyphs; -1 without any."""
+    return F.when(F.size(margins) > 0, F.aggregate(margins, F.lit(0.0), lambda acc, x: acc + x) / F.size(margins)).otherwise(F.lit(-1.0))
+
+
+def score_reading(digits: Column, margins: Column) -> Column:
+    """Struct (score, margin) of one reading; -1 where the digits are no score."""
+    return F.struct(F.coalesce(score_value(digits), F.lit(-1)).alias("score"), score_margin(margins).alias("margin"))
+
+
+def chart_override(text: Column, margins: Column, chart: Column, conf: Column) -> Column:
+    """Struct (chart, conf): a label of four or more glyphs that names a chart with a mean margin over 0.05 overrides the colour, at 0.95."""
+    named = chart_from_label(text)
+    sure = (F.length(text) >= 4) & named.isNotNull() & (mean_margin(margins) > 0.05)
+    return F.struct(F.when(sure, named).otherwise(chart).alias("chart"), F.when(sure, 0.95).otherwise(conf).alias("conf"))
+
+
 def chart_gate(raw: Column, conf: Column, gates: Gates = Gates()) -> Column:
     raw, conf = F.when(raw != "", raw), F.coalesce(conf, F.lit(0.0))
     return field(raw, conf, F.when(raw.isNull() | (conf < gates.badge_conf), F.lit(LOW_CONF)))
@@ -64,17 +105,27 @@ def margin_of(ranked: Column) -> Column:
 def level_choice(levels: Column, scores: Column) -> Column:
     """Struct (level, margin) of the legal level whose zero-padded digits score most; lowest of equals.
 
-    ``scores`` is one array of ten for each glyph, -1 where there is none. Null without a legal level.
+    ``scores`` is one array of ten for each glyph, -1 where there is none. Null
+    without a legal level. One fold over the levels keeps the best and the
+    second best total.
     """
     n = F.size(scores)
     legal = F.filter(levels, lambda l: F.length(l.cast("string")) <= n)
-    total = lambda l: F.aggregate(
-        F.sequence(F.lit(1), n), F.lit(0.0),
-        lambda acc, i: acc + F.coalesce(F.try_element_at(F.element_at(scores, i), F.substr(F.lpad(l.cast("string"), n, F.lit("0")), i, F.lit(1)).cast("int") + 1), F.lit(-1.0)),
-    )
-    ranked = F.array_sort(F.transform(legal, lambda l: F.struct((-total(l)).alias("by"), l.alias("level"))))
-    margin = F.when(F.size(ranked) > 1, (ranked[1]["by"] - ranked[0]["by"]) / n).otherwise(F.lit(1.0))
-    return F.when(F.size(legal) > 0, F.struct(ranked[0]["level"].alias("level"), margin.alias("margin")))
+
+    def total(level: Column) -> Column:
+        digit = lambda i: F.substr(F.lpad(level.cast("string"), n, F.lit("0")), i, F.lit(1)).cast("int")
+        slot = lambda row, i: F.coalesce(F.try_element_at(row, digit(i + 1) + 1), F.lit(-1.0))
+        return F.aggregate(F.transform(scores, slot), F.lit(0.0), lambda acc, x: acc + x)
+
+    state = lambda level, top, second: F.struct(level.alias("level"), top.alias("top"), second.alias("second"))
+    none = F.lit(None).cast("double")
+    scored = F.transform(legal, lambda l: F.struct(l.alias("level"), total(l).alias("total")))
+    start = state(F.lit(None).cast("int"), none, none)
+    ahead = lambda acc, x: acc["level"].isNull() | (x["total"] > acc["top"]) | ((x["total"] == acc["top"]) & (x["level"] < acc["level"]))
+    step = lambda acc, x: F.when(ahead(acc, x), state(x["level"].cast("int"), x["total"], acc["top"])).otherwise(
+        state(acc["level"], acc["top"], F.greatest(acc["second"], x["total"])))
+    margin = lambda acc: F.when(acc["second"].isNull(), F.lit(1.0)).otherwise((acc["top"] - acc["second"]) / n)
+    return F.aggregate(scored, start, step, lambda acc: F.when(acc["level"].isNotNull(), F.struct(acc["level"].alias("level"), margin(acc).alias("margin"))))
 
 
 def level_field(levels: Column, digits: Column, scores: Column) -> Column:
@@ -82,7 +133,7 @@ def level_field(levels: Column, digits: Column, scores: Column) -> Column:
     glyphs = F.size(F.coalesce(scores, F.array().cast("array<array<double>>"))) > 0
     best = level_choice(F.coalesce(levels, F.array().cast("array<int>")), scores)
     text = F.array_join(F.transform(digits, lambda d: d.cast("string")), "")
-    number = F.when(text.rlike("^-?[0-9]{1,9}$"), text.cast("int"))
+    number = F.when(text.rlike("^-?[0-9]+$"), text.try_cast("int"))
     alone = F.when(digits.isNull(), field(F.lit(None).cast("int"), F.lit(0.0), F.lit(NO_GLYPHS))).when(
         number.isNull(), field(number, F.lit(0.0), F.lit(NOT_NUMBER))
     ).otherwise(field(number, F.lit(0.0), F.when(~number.between(1, 28), F.lit(OUT_OF_RANGE))))
@@ -105,15 +156,16 @@ def readings(native: DataFrame, catalog: DataFrame, gates: Gates = Gates()) -> D
     """
     base = native.withColumn("chart", chart_gate(F.col("chart_type"), F.col("chart_conf"), gates))
     some = base.select("key", F.posexplode(F.slice(F.coalesce("titles", F.array().cast(dict(native.dtypes)["titles"])), 1, gates.titles)).alias("title", "t")).where("t.raw != ''")
+    some = some.where(F.coalesce("t.conf", F.lit(1.0)) >= gates.title_conf)
     weight = title_weight(F.coalesce("t.conf", F.lit(1.0)))
     again = F.when((F.col("t.raw2") != "") & (F.col("t.raw2") != F.col("t.raw")), F.col("t.raw2"))
     texts = F.array_compact(F.array(F.struct(F.lit(0).alias("variant"), F.col("t.raw").alias("text"), weight.alias("weight")),
                                     F.when(again.isNotNull(), F.struct(F.lit(1).alias("variant"), again.alias("text"), (weight * 0.85).alias("weight")))))
     reads = some.select("key", "title", F.explode(texts).alias("r")).select("key", "title", "r.*")
-    keyed = reads.withColumn("photo", F.col("key")).withColumn("key", F.struct("photo", "title", "variant"))
-    found = match(keyed.select("key", "text"), catalog, k=gates.pool)
-    weighted = found.join(keyed.select("key", "weight"), "key").select(
-        F.col("key.photo").alias("key"), "name", F.struct("key.title", "key.variant", "rank", (F.col("score") * F.col("weight")).alias("x")).alias("s")
+    # equal texts of many photos are matched once
+    found = match(reads.select(F.col("text").alias("key"), "text").distinct(), catalog, k=gates.pool).withColumnRenamed("key", "text")
+    weighted = reads.join(found.select("text", "rank", "name", F.col("score").alias("likeness")), "text").select(
+        "key", "name", F.struct("title", "variant", "rank", (F.col("likeness") * F.col("weight")).alias("x")).alias("s")
     )
     pool = weighted.groupBy("key", "name").agg(F.array_sort(F.collect_list("s")).alias("all"))
     pool = pool.select("key", "name", pooled(F.transform("all", lambda s: s["x"])).alias("score"), F.col("all")[0].alias("first"))

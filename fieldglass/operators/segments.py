@@ -30,10 +30,11 @@ def split_merged(components: DataFrame, profile: DataFrame) -> DataFrame:
     return joined.select("key", "ord", "y", "h", F.explode(pieces).alias("p")).select("key", "ord", "p.part", "p.x", "y", "p.w", "h")
 
 
-def merge_to(components: DataFrame, wanted: int, steps: int = 20) -> DataFrame:
+def merge_to(components: DataFrame, wanted: int | Column, steps: int = 20) -> DataFrame:
     """Components of each crop joined across the smallest gaps until ``wanted`` are left: key, part, x1, x2.
 
-    At most ``steps`` joins; the first of equal gaps goes first.
+    At most ``steps`` joins; the first of equal gaps goes first. ``wanted`` may
+    be an expression over the key and ``size``, the number of components.
     """
     groups = components.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("x", "ord", (F.col("x") + F.col("w")).alias("x2")))).alias("s"))
     groups = groups.withColumn("s", F.transform("s", lambda c: F.struct(c["x"].alias("x"), c["x2"].alias("x2"))))
@@ -43,12 +44,44 @@ def merge_to(components: DataFrame, wanted: int, steps: int = 20) -> DataFrame:
         i = F.array_position(gaps, F.array_min(gaps)).cast("int")
         both = F.struct(F.element_at(acc, i)["x"].alias("x"), F.greatest(F.element_at(acc, i)["x2"], F.element_at(acc, i + 1)["x2"]).alias("x2"))
         joined = F.concat(F.slice(acc, F.lit(1), i - 1), F.array(both), F.slice(acc, i + 2, F.size(acc)))
-        return F.when(F.size(acc) > wanted, joined).otherwise(acc)
+        return F.when(F.size(acc) > F.greatest(F.col("_wanted"), F.lit(1)), joined).otherwise(acc)
 
+    groups = groups.withColumn("size", F.size("s")).withColumn("_wanted", F.lit(wanted) if isinstance(wanted, int) else wanted)
     out = groups.withColumn("s", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.col("s"), step))
     return out.select("key", F.posexplode("s").alias("part", "c")).select("key", "part", F.col("c.x").alias("x1"), F.col("c.x2").alias("x2"))
 
 
+def split_to(components: DataFrame, profile: DataFrame, wanted: Column, steps: int = 20) -> DataFrame:
+    """Components (key, ord, x, w) split until ``wanted`` are there: key, part, x1, x2.
+
+    The widest goes first (the first of equals), at its emptiest column from a
+    quarter to three quarters (``profile``: key, ord, at, n); nothing below 4
+    wide is split, and at most ``steps`` splits are made. ``wanted`` is an
+    expression over the key and ``size``, the number of components.
+    """
+    cols = profile.groupBy("key", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "n"))), lambda c: c["n"]).alias("cols"))
+    item = F.struct("x", "ord", "w", "cols")
+    groups = components.select("key", "ord", "x", "w").join(cols, ["key", "ord"]).groupBy("key").agg(F.array_sort(F.collect_list(item)).alias("s"))
+    groups = groups.withColumn("s", F.transform("s", lambda c: F.struct(c["x"].alias("x"), c["w"].alias("w"), c["cols"].alias("cols"))))
+    single = lambda share, w: (F.lit(share).cast("float") * w).cast("float").cast("int")
+
+    def cut(c: Column) -> Column:
+        low, high = F.greatest(F.lit(1), single(0.25, c["w"])), F.least(c["w"] - 1, single(0.75, c["w"]))
+        inner = F.slice(c["cols"], low + 1, F.greatest(high - low, F.lit(0)))
+        at = F.when(high > low, low + F.array_position(inner, F.array_min(inner)).cast("int") - 1).otherwise(F.floor(c["w"] / 2).cast("int"))
+        part = lambda x, w, k: F.struct(x.alias("x"), w.alias("w"), k.alias("cols"))
+        return F.array(part(c["x"], at, F.slice(c["cols"], F.lit(1), at)), part(c["x"] + at, c["w"] - at, F.slice(c["cols"], at + 1, F.greatest(c["w"] - at, F.lit(1)))))
+
+    def step(acc: Column, _: Column) -> Column:
+        widths = F.transform(acc, lambda c: c["w"])
+        i = F.array_position(widths, F.array_max(widths)).cast("int")
+        split = F.concat(F.slice(acc, F.lit(1), i - 1), cut(F.element_at(acc, i)), F.slice(acc, i + 1, F.size(acc)))
+        return F.when((F.size(acc) < F.col("_wanted")) & (F.array_max(widths) >= 4), split).otherwise(acc)
+
+    out = groups.withColumn("size", F.size("s")).withColumn("_wanted", wanted).withColumn("s", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.col("s"), step))
+    return out.select("key", F.posexplode("s").alias("part", "c")).select("key", "part", F.col("c.x").alias("x1"), (F.col("c.x") + F.col("c.w")).alias("x2"))
+
+
 def best_threshold(tries: DataFrame, tier: int = 2, enough: float = 0.10) -> DataFrame:
     """The winning try of each key (key, ord, tier, regularity): highest tier, then regularity, first of equals.
 
@@ -72,18 +105,21 @@ def best_readings(tries: DataFrame, n: int = 2) -> DataFrame:
 
 
 def homographies(quads: DataFrame, width: float, height: float) -> DataFrame:
-    """Adds ``h``, the 3 x 3 map (9 numbers) from a flat screen onto the quad of each row (key, quad: 8 numbers)."""
-    flat = [(0, 0), (width, 0), (width, height), (0, height)]
+    """Adds ``h``, the 3 x 3 map (9 numbers) from a flat screen onto the quad of each row (key, quad: 8 numbers); null where there is none."""
+    x, y = np.array([0, width, width, 0], float), np.array([0, 0, height, height], float)
 
     def solve(batches):
         for b in batches:
-            out = []
-            for quad in b["quad"]:
-                rows, right = [], []
-                for (x, y), (u, v) in zip(flat, np.asarray(quad, float).reshape(4, 2)):
-                    rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y], [0, 0, 0, x, y, 1, -v * x, -v * y]]
-                    right += [u, v]
-                out.append([*np.linalg.solve(np.array(rows, float), np.array(right)), 1.0])
-            yield pd.DataFrame({"key": b["key"], "quad": b["quad"], "h": out})
+            n = len(b)
+            q = np.array(b["quad"].tolist(), float).reshape(n, 4, 2)
+            a = np.zeros((n, 8, 8))
+            for row, first in ((0, 0), (1, 3)):  # two equations a corner
+                a[:, row::2, first], a[:, row::2, first + 1], a[:, row::2, first + 2] = x, y, 1
+                a[:, row::2, 6], a[:, row::2, 7] = -q[:, :, row] * x, -q[:, :, row] * y
+            fine = np.linalg.cond(a) < 1e12
+            h = np.zeros((n, 9))
+            h[fine, :8] = np.linalg.solve(a[fine], q[fine].reshape(-1, 8, 1))[:, :, 0]
+            h[:, 8] = 1
+            yield pd.DataFrame({"key": b["key"], "quad": b["quad"], "h": [list(r) if ok else None for r, ok in zip(h, fine)]})
 
     return quads.select("key", "quad").mapInPandas(solve, f"key {quads.schema['key'].dataType.simpleString()}, quad array<double>, h array<double>")

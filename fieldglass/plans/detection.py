@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldglass.functions import geometry as g
-from fieldglass.operators import boxes
+from fieldglass.operators import boxes, segments
 from fieldglass.plans.registry import LINE_ORDER, ORD_SQL, query, six, six_sql, table
 
 W, H = 100, 90
@@ -136,3 +136,67 @@ def recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("box_predicates", f"""WITH {DET} SELECT key, ord, (x2 - x1) * (y2 - y1) < CAST(0.40 AS DOUBLE) * {W} * {H} AND x2 - x1 >= 20 AND y2 - y1 >= 20 AS zoom, y2 - y1 < 24 AND x2 - x1 >= 8 AND y2 - y1 >= 4 AS tiny FROM det""")
 def predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detections(spark, sf_dir).select("key", "ord", g.zoom_eligible(F.col("box"), F.lit(W), F.lit(H), least=20).alias("zoom"), g.tiny_title(F.col("box")).alias("tiny"))
+
+
+@query("detected_boxes", f"WITH {DET} SELECT key, ord FROM det WHERE l_discount / 10 >= 0.005::DOUBLE AND x2 - x1 >= 2 AND y2 - y1 >= 2")
+def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detections(spark, sf_dir).where(g.detected(F.col("box"), F.col("l_discount") / 10)).select("key", "ord")
+
+
+@query("translate", f"WITH {DET} SELECT key, ord, x1 + 7 AS x1, y1 - 3 AS y1, x2 + 7 AS x2, y2 - 3 AS y2 FROM det")
+def translate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detections(spark, sf_dir).select("key", "ord", g.translate(F.col("box"), F.lit(7), F.lit(-3)).alias("b")).select("key", "ord", "b.*")
+
+
+@query("second_score_box", f"WITH {DET} SELECT key, ord, x1, y1 + CAST(trunc(CAST(0.15 AS FLOAT) * (y2 - y1)) AS INTEGER) AS y1, x2, y2 FROM det")
+def second_score_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detections(spark, sf_dir).select("key", "ord", g.second_score_box(F.col("box")).alias("b")).select("key", "ord", "b.*")
+
+
+@query("tiny_title_zoom", f"""WITH {DET}, c AS (SELECT key, ord, x1, y1, x2, y2, x2 - x1 AS w, y2 - y1 AS h, CAST(l_tax * 100 AS INTEGER) AS grown FROM det),
+g AS (SELECT *, greatest(0, x1 - CAST(trunc(CAST(0.6 AS FLOAT) * w) AS INTEGER)) AS a, greatest(0, y1 - h) AS b, least({W}, x2 + CAST(trunc(CAST(0.6 AS FLOAT) * w) AS INTEGER)) AS e, least({H}, y2 + h) AS f FROM c),
+k AS (SELECT *, h < 24 AND w >= 8 AND h >= 4 AND e - a >= 20 AND f - b >= 12 AS again FROM g)
+SELECT key, ord, CASE WHEN again AND grown > 4 THEN a + 3 ELSE x1 END AS x1, CASE WHEN again AND grown > 4 THEN b + 2 ELSE y1 END AS y1,
+  CASE WHEN again AND grown > 4 THEN a + 33 ELSE x2 END AS x2, CASE WHEN again AND grown > 4 THEN b + 2 + h + grown - 4 ELSE y2 END AS y2 FROM k""")
+def tiny_title_zoom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles looked at again: the find counts where it is taller."""
+    b = F.col("box")
+    grown = F.col("l_tax") * 100
+    found = g.box(F.lit(3), F.lit(2), F.lit(33), 2 + b["y2"] - b["y1"] + F.round(grown).cast("int") - 4)
+    rows = detections(spark, sf_dir).withColumn("at", g.title_crop(b, F.lit(W), F.lit(H))).withColumn("found", F.when(F.col("at").isNotNull(), found))
+    return rows.select("key", "ord", g.taller(F.col("found"), b, F.col("at")).alias("b")).select("key", "ord", "b.*")
+
+
+@query("map_box_half_even", f"""WITH {DET}, c AS (SELECT key, ord, unnest([struct_pack(x := x1, y := y1), struct_pack(x := x1, y := y2), struct_pack(x := x2, y := y1), struct_pack(x := x2, y := y2)]) AS p FROM det),
+m AS (SELECT key, ord, (1.5::DOUBLE * p.x + 0.25::DOUBLE * p.y) / (p.y / 64 + 1) AS u, (0.5::DOUBLE * p.y + 3) / (p.y / 64 + 1) AS v FROM c)
+SELECT key, ord, CAST(round_even(min(u), 0) AS INTEGER) AS x1, CAST(round_even(min(v), 0) AS INTEGER) AS y1, CAST(round_even(max(u), 0) AS INTEGER) AS x2, CAST(round_even(max(v), 0) AS INTEGER) AS y2 FROM m GROUP BY key, ord""")
+def map_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.array(*[F.lit(x) for x in (1.5, 0.25, 0.0, 0.0, 0.5, 3.0, 0.0, 1 / 64, 1.0)])
+    return detections(spark, sf_dir).select("key", "ord", g.map_back(F.col("box"), h, half_even=True).alias("b")).select("key", "ord", "b.*")
+
+
+@query("order_quad", f"""WITH {DET}, c AS (SELECT key, ord, list_sort([struct_pack(y := y1, x := x2), struct_pack(y := y2 + 1, x := x1), struct_pack(y := y2, x := x2 + 3), struct_pack(y := y1 + 2, x := x1)]) AS q FROM det),
+t AS (SELECT key, ord, list_sort(list_transform(q[1:2], lambda a: struct_pack(x := a.x, y := a.y))) AS t, list_sort(list_transform(q[3:4], lambda a: struct_pack(x := a.x, y := a.y))) AS l FROM c)
+SELECT key, ord, t[1].x || ',' || t[1].y || ' ' || t[2].x || ',' || t[2].y || ' ' || l[2].x || ',' || l[2].y || ' ' || l[1].x || ',' || l[1].y AS quad FROM t""")
+def order_quad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, point = F.col("box"), lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    corners = F.array(point(b["x2"], b["y1"]), point(b["x1"], b["y2"] + 1), point(b["x2"] + 3, b["y2"]), point(b["x1"], b["y1"] + 2))
+    shown = F.array_join(F.transform(g.order_quad(corners), lambda p: F.concat_ws(",", p["x"].cast("string"), p["y"].cast("string"))), " ")
+    return detections(spark, sf_dir).select("key", "ord", shown.alias("quad"))
+
+
+@query("plausible_quad", f"""WITH {DET} SELECT key, ord, x2 - x1 >= 40 AND y2 - y1 >= 40 AND (x2 - x1) * 1.3::DOUBLE >= 60 AND (y2 - y1) * 1.3::DOUBLE >= 60 AND l_discount * 12 BETWEEN 0.30::DOUBLE AND 1.02::DOUBLE
+  AND (x2 - x1) * 1.3::DOUBLE / greatest((y2 - y1) * 1.3::DOUBLE, 1) BETWEEN 0.6::DOUBLE AND 5.0::DOUBLE AS fits FROM det""")
+def plausible_quad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, h = F.col("box")["x2"] - F.col("box")["x1"], F.col("box")["y2"] - F.col("box")["y1"]
+    return detections(spark, sf_dir).select("key", "ord", g.plausible_quad(w * 1.3, h * 1.3, F.col("l_discount") * 12, w, h).alias("fits"))
+
+
+@query("homography", f"""WITH {DET} SELECT key, ord, {six_sql("(x2 - x1) / 100.0::DOUBLE")} AS sx, {six_sql("(y2 - y1) / 50.0::DOUBLE")} AS sy, {six_sql("x1")} AS tx, {six_sql("y1")} AS ty FROM det""")
+def homography(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upright boxes as quads: scale and shift of the map from a screen of 100 x 50."""
+    b = F.col("box")
+    quad = F.array(*[b[c].cast("double") for c in ("x1", "y1", "x2", "y1", "x2", "y2", "x1", "y2")])
+    rows = detections(spark, sf_dir).select(F.struct("key", "ord").alias("key"), quad.alias("quad"))
+    h = F.col("h")
+    return segments.homographies(rows, 100, 50).select("key.key", "key.ord", *[six(h[i]).alias(n) for i, n in ((0, "sx"), (4, "sy"), (2, "tx"), (5, "ty"))])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldglass.functions import text
 from fieldglass.functions.text import normalize_key
 from fieldglass.operators import curate, evaluate
 from fieldglass.plans.registry import query, six, six_sql, table
@@ -54,9 +55,10 @@ def _side(spark: SparkSession, sf_dir: str, at: int) -> DataFrame:
 _SIDES = "b AS (SELECT doc_id AS key, CASE WHEN doc_id % 5 <> 0 THEN lang END AS lang, floor(n_chars / {0}) * {0} AS l, floor(n_chars / {1}) * {1} AS r FROM documents)"
 
 
-@query("agreement", f"WITH {_SIDES.format(100, 150)} SELECT 'lang' AS field, 1.0::DOUBLE AS agreement UNION ALL SELECT 'size', avg(CASE WHEN l = r THEN 1 ELSE 0 END) FROM b")
+@query("agreement", f"WITH {_SIDES.format(100, 150)} SELECT 'lang' AS field, avg(CASE WHEN lang IS NOT DISTINCT FROM CASE WHEN key % 3 = 0 THEN NULL ELSE lang END THEN 1 ELSE 0 END) AS agreement FROM b UNION ALL SELECT 'size', avg(CASE WHEN l = r THEN 1 ELSE 0 END) FROM b")
 def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.agreement(_side(spark, sf_dir, 100), _side(spark, sf_dir, 150), ["lang", "size"])
+    right = _side(spark, sf_dir, 150).withColumn("lang", F.when(F.col("key") % 3 != 0, F.col("lang")))
+    return evaluate.agreement(_side(spark, sf_dir, 100), right, ["lang", "size"])
 
 
 @query("field_differences", f"WITH {_SIDES.format(100, 150)} SELECT key, 'size' AS field, CAST(CAST(l AS BIGINT) AS VARCHAR) AS \"left\", CAST(CAST(r AS BIGINT) AS VARCHAR) AS \"right\" FROM b WHERE l <> r")
@@ -98,9 +100,71 @@ def chart_type() -> str:
     return "array<struct<type:string,level:int>>"
 
 
-@query("match_status", "SELECT p_partkey AS key, CASE WHEN p_size % 4 = 0 THEN 'exact' WHEN p_size / 50 >= 0.55 THEN 'fuzzy' ELSE 'none' END AS status FROM part")
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as labelled items: a song, what the catalog matched, its status, and whether somebody looked."""
+    part, i = table(spark, sf_dir, "part"), F.col("p_partkey")
+    rows = part.select(
+        i.alias("key"), F.col("p_name").alias("song_ocr"), F.when(i % 5 != 0, F.when(i % 3 == 0, F.upper("p_name")).when(i % 3 == 1, F.concat(F.lit(" "), "p_name", F.lit(" "))).otherwise(F.col("p_type"))).alias("match_name"),
+        F.when(i % 4 != 1, i % 4 == 0).alias("validated"), (F.col("p_size") / 50).alias("score"))
+    same = text.normalize_match(F.col("match_name")) == text.normalize_match(F.col("song_ocr"))
+    return rows.withColumn("match_status", curate.match_status(same, F.when(F.col("match_name").isNotNull(), F.col("score")))).withColumn("mismatch", curate.mismatch(F.col("match_name"), F.col("song_ocr")))
+
+
+_ITEMS = """i AS (SELECT p_partkey AS key, p_name AS song_ocr, CASE WHEN p_partkey % 5 <> 0 THEN CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN ' ' || p_name || ' ' ELSE p_type END END AS match_name,
+  CASE WHEN p_partkey % 4 <> 1 THEN p_partkey % 4 = 0 END AS validated, p_size / 50 AS score FROM part),
+t AS (SELECT *, CASE WHEN match_name IS NULL THEN 'none' WHEN trim(lower(match_name)) = trim(lower(song_ocr)) THEN 'exact' WHEN score >= 0.55 THEN 'fuzzy' ELSE 'none' END AS match_status,
+  match_name IS NOT NULL AND trim(lower(match_name)) <> trim(lower(song_ocr)) AS mismatch FROM i)"""
+
+
+@query("match_status", f"WITH {_ITEMS} SELECT key, match_status AS status, mismatch FROM t")
 def match_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), curate.match_status(F.col("p_size") % 4 == 0, F.col("p_size") / 50).alias("status"))
+    return items(spark, sf_dir).select("key", F.col("match_status").alias("status"), "mismatch")
+
+
+@query("status_counts", f"WITH {_ITEMS} SELECT match_status, count(*) AS n FROM t GROUP BY match_status")
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curate.status_counts(items(spark, sf_dir))
+
+
+@query("progress", f"WITH {_ITEMS} SELECT count(*) FILTER (validated) AS done, count(*) AS total FROM t")
+def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curate.progress(items(spark, sf_dir))
+
+
+@query("validator_views", f"""WITH {_ITEMS} SELECT 'all' AS view, key FROM t UNION ALL SELECT 'pending', key FROM t WHERE validated IS NOT TRUE UNION ALL SELECT 'done', key FROM t WHERE validated
+UNION ALL SELECT 'suspect', key FROM t WHERE match_status = 'none' OR mismatch""")
+def views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for name in curate.VIEWS:
+        rows = curate.view(items(spark, sf_dir), name).select(F.lit(name).alias("view"), "key")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("renamed_keys", """SELECT event_id, coalesce('img' || (user_id % 50), event_type || user_id) AS key FROM events""")
+def renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by the new name of their image; old names are the user's."""
+    events = table(spark, sf_dir, "events")
+    names = events.select(F.concat("event_type", F.col("user_id").cast("string")).alias("old"), F.concat(F.lit("img"), (F.col("user_id") % 50).cast("string")).alias("key")).distinct()
+    rows = events.select("event_id", F.concat("event_type", F.col("user_id").cast("string")).alias("old"))
+    return rows.join(names, "old", "left").select("event_id", F.coalesce("key", "old").alias("key"))
+
+
+@query("photo_tags", """SELECT p_partkey AS key, array_to_string(list_filter([CASE WHEN p_size * 4 < 90 THEN 'dark' ELSE 'bright' END, CASE WHEN (p_partkey % 50) / 1000 > 0.02 THEN 'glare' END,
+  CASE WHEN (p_partkey % 97) / 97 < 0.40 THEN 'far' END, CASE WHEN abs(p_partkey % 23 - 11) > 8 THEN 'rotated' END, CASE WHEN p_partkey % 6 = 0 THEN 'two_players' END], lambda x: x IS NOT NULL), ',') AS tags FROM part""")
+def photo_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(
+        k.alias("key"), (F.col("p_size") * 4).alias("mean_gray"), ((k % 50) / 1000).alias("glare_share"), ((k % 97) / 97).alias("screen_share"),
+        (k % 23 - 11).alias("tilt"), F.when(k % 6 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))).alias("scores"))
+    return evaluate.photo_tags(rows).select("key", F.array_join("tags", ",").alias("tags"))
+
+
+@query("case_totals", f"""WITH k AS (SELECT l_orderkey AS key, l_orderkey % 4 * 10 AS angle, bool_and(l_quantity > 8) AS good FROM lineitem GROUP BY ALL)
+SELECT angle, count(*) AS total, count(*) FILTER (good) AS complete FROM k GROUP BY angle""")
+def case_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), (F.col("l_orderkey") % 4 * 10).alias("angle"), (F.col("l_quantity") > 8).alias("ok"))
+    return evaluate.case_totals(rows, "angle")
 
 
 @query("chart_validity", """WITH c AS (SELECT p_name AS name, list(DISTINCT p_type || ':' || p_size) AS charts FROM part WHERE p_brand = 'Brand#3' GROUP BY p_name),

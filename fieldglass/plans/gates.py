@@ -57,5 +57,45 @@ def level_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     slot = lambda i: F.array(*[((key * 31 + i * 17 + d * 7) % 101) / 128 for d in range(10)])
     scores = F.slice(F.array(slot(0), slot(1)), F.lit(1), (1 + key % 2).cast("int"))
-    rows = part.join(levels, "p_name").select(key.alias("key"), resolve.level_choice(F.col("levels"), scores).alias("c")).where("c IS NOT NULL")
+    short = F.exists("levels", lambda l: F.length(l.cast("string")) <= (1 + key % 2))  # else no level is legal
+    rows = part.join(levels, "p_name").where(short).select(key.alias("key"), resolve.level_choice(F.col("levels"), scores).alias("c"))
     return rows.select("key", "c.level", six(F.col("c.margin")).alias("margin"))
+
+
+@query("level_fallback", """WITH d AS (SELECT p_partkey AS key, CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '2-1' WHEN 2 THEN '-12' WHEN 3 THEN '2147483647' WHEN 4 THEN '2147483648' ELSE CAST(p_size AS VARCHAR) END AS t, p_partkey % 5 = 0 AS bare FROM part),
+n AS (SELECT *, TRY_CAST(t AS INTEGER) AS v FROM d), r AS (SELECT key, v, CASE WHEN bare OR t IS NULL THEN 'sin_glifos' WHEN v IS NULL THEN 'no_numerico' WHEN v NOT BETWEEN 1 AND 28 THEN 'fuera_de_rango' END AS reason FROM n)
+SELECT key, CASE WHEN reason IS NULL THEN v END AS value, CAST(0 AS FLOAT) AS confidence, reason FROM r""")
+def level_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels by their digits alone, where the catalog knows none."""
+    k, digits = F.col("p_partkey") % 6, lambda *d: F.array(*[F.lit(x) for x in d])
+    read = F.when(k == 1, digits(2, -1)).when(k == 2, digits(-1, 2)).when(k == 3, digits(2, 1, 4, 7, 4, 8, 3, 6, 4, 7)).when(k == 4, digits(2, 1, 4, 7, 4, 8, 3, 6, 4, 8)).when(k == 5, F.array("p_size"))
+    glyphs = F.when(F.col("p_partkey") % 5 != 0, F.array(F.array(F.lit(0.0))))
+    found = resolve.level_field(F.lit(None).cast("array<int>"), read, glyphs)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), found.alias("f")).select("key", "f.*")
+
+
+@query("score_margins", f"""WITH o AS (SELECT l_orderkey AS key, list(l_discount ORDER BY {", ".join(LINE_ORDER)}) AS m FROM lineitem WHERE l_linenumber < 8 GROUP BY l_orderkey)
+SELECT key, list_min(m) AS least, {six_sql("list_sum(m) / len(m)")} AS mean FROM o""")
+def score_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least and the mean margin of the glyphs of an order."""
+    rows = table(spark, sf_dir, "lineitem").where("l_linenumber < 8").groupBy(F.col("l_orderkey").alias("key")).agg(F.sort_array(F.collect_list("l_discount")).alias("m"))
+    return rows.select("key", resolve.score_margin(F.col("m")).alias("least"), six(resolve.mean_margin(F.col("m"))).alias("mean"))
+
+
+@query("second_reading", f"""WITH p AS (SELECT p_partkey AS key, CASE WHEN p_partkey % 5 = 0 THEN '12345678' ELSE lpad(CAST((p_partkey * 7919) % 1000000 AS VARCHAR), 7, '0') END AS d, (p_size % 9) / 100 AS m1, (p_size % 4) / 100 AS m2 FROM part)
+SELECT key, CASE WHEN d = '12345678' THEN -1 ELSE CAST(substr(d, 2) AS INTEGER) END AS score, least(m1, m2) AS margin FROM p""")
+def second_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size")
+    digits = F.when(k % 5 == 0, "12345678").otherwise(F.lpad(((k * 7919) % 1000000).cast("string"), 7, "0"))
+    r = resolve.score_reading(digits, F.array((size % 9) / 100, (size % 4) / 100))
+    return table(spark, sf_dir, "part").select(k.alias("key"), r.alias("r")).select("key", "r.*")
+
+
+@query("chart_override", """WITH c AS (SELECT p_partkey AS key, CASE p_partkey % 4 WHEN 0 THEN 'SINGLE' WHEN 1 THEN 'co' WHEN 2 THEN 'half double' ELSE p_name END AS t, (p_size % 20) / 100 AS m FROM part),
+s AS (SELECT key, CASE WHEN m > 0.05 THEN CASE WHEN t = 'SINGLE' THEN 'single' WHEN t = 'half double' THEN 'halfdouble' END END AS named FROM c)
+SELECT key, coalesce(named, 'coop') AS chart, CASE WHEN named IS NULL THEN 0.4::DOUBLE ELSE 0.95::DOUBLE END AS conf FROM s""")
+def chart_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    text = F.when(k % 4 == 0, "SINGLE").when(k % 4 == 1, "co").when(k % 4 == 2, "half double").otherwise(F.col("p_name"))
+    c = resolve.chart_override(text, F.array((F.col("p_size") % 20) / 100), F.lit("coop"), F.lit(0.4))
+    return table(spark, sf_dir, "part").select(k.alias("key"), c.alias("c")).select("key", "c.*")

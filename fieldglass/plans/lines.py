@@ -22,10 +22,37 @@ _C = f"""c AS (SELECT l_orderkey AS key, CAST({ORD_SQL} AS INTEGER) AS ord, CAST
   CAST(l_partkey % 11 + 2 AS INTEGER) AS w, CAST(l_quantity % 7 + 8 AS INTEGER) AS h, l_discount, l_quantity FROM lineitem)"""
 
 
-@query("component_filter", f"""WITH {_C}, m AS (SELECT *, max(w * h) OVER (PARTITION BY key) AS ma, max(h) OVER (PARTITION BY key) AS mh FROM c)
-SELECT key, ord FROM m WHERE w * h >= 0.30::DOUBLE * ma AND h >= 0.80::DOUBLE * mh""")
-def component_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.component_filter(components(spark, sf_dir), least_area=0.30, least_height=0.80).select("key", "ord")
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components with a pixel area, a brightness, and the size of their image."""
+    k = F.col("key")
+    more = {"area": (1 + (F.col("x") * 31 + F.col("y") * 7) % (F.col("w") * F.col("h"))).cast("int"), "bright": ((F.col("x") * 13 + F.col("y")) % 256).cast("double"),
+            "rows": (60 + k % 60).cast("int"), "cols": (8 + k % 20).cast("int")}
+    return components(spark, sf_dir).withColumns(more)
+
+
+_I = f"""{_C}, i AS (SELECT *, 1 + (x * 31 + y * 7) % (w * h) AS area, CAST((x * 13 + y) % 256 AS DOUBLE) AS bright, 60 + key % 60 AS rows_, 8 + key % 20 AS cols_,
+  max(h) OVER (PARTITION BY key) AS mh FROM c)"""
+
+
+def _part(share: float, of: str) -> str:
+    return f"CAST({share} AS FLOAT) * CAST({of} AS FLOAT)"
+
+
+@query("title_components", f"""WITH {_I}, m AS (SELECT *, max(area) OVER (PARTITION BY key) AS ma FROM i)
+SELECT key, ord FROM m WHERE area >= {_part(0.02, "ma")} AND h >= {_part(0.12, "rows_")} AND w <= {_part(0.5, "cols_")}""")
+def title_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.title_components(pictures(spark, sf_dir)).select("key", "ord")
+
+
+@query("badge_components", f"WITH {_I} SELECT key, ord FROM i WHERE h >= {_part(0.55, 'mh')} AND area >= {_part(0.02, 'rows_ * cols_')}")
+def badge_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.badge_components(pictures(spark, sf_dir)).select("key", "ord")
+
+
+@query("score_components", f"""WITH {_I}, s AS (SELECT * FROM i WHERE h >= {_part(0.55, "mh")} AND area >= {_part(0.05, "w * h")} AND w <= 3 * h),
+b AS (SELECT *, max(bright) OVER (PARTITION BY key) AS mb FROM s) SELECT key, ord FROM b WHERE CAST(bright AS FLOAT) >= {_part(0.62, "mb")}""")
+def score_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.score_components(pictures(spark, sf_dir)).select("key", "ord")
 
 
 @query("height_filter", f"""WITH {_C}, m AS (SELECT *, median(h) OVER (PARTITION BY key) AS mid FROM c), n AS (SELECT *, abs(h - mid) <= 0.2::DOUBLE * mid AS near FROM m)
@@ -60,10 +87,12 @@ def merge_by_x(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.merge_by_x(components(spark, sf_dir))
 
 
-@query("same_line", f"""WITH {_C}, s AS (SELECT key, max(h) AS mx, median(h) AS mid, list_sort(list(y + h / 2))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS cy FROM c GROUP BY key)
-SELECT key, ord FROM c JOIN s USING (key) WHERE h BETWEEN 0.68::DOUBLE * mx AND 1.45::DOUBLE * mx AND abs(y + h / 2 - cy) <= 0.42::DOUBLE * mid""")
+@query("same_line", f"""WITH {_C}, m AS (SELECT key, ord, y, h * 4 - 24 AS h FROM c), t AS (SELECT *, max(h) OVER (PARTITION BY key) AS mx FROM m),
+b AS (SELECT *, CAST(y + h / 2 AS FLOAT) AS cy FROM t WHERE CAST(h AS FLOAT) >= {_part(0.68, "mx")} AND CAST(h AS FLOAT) <= {_part(1.45, "mx")}),
+s AS (SELECT key, median(h) AS mid, list_sort(list(cy))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS line FROM b GROUP BY key)
+SELECT key, ord FROM b JOIN s USING (key) WHERE abs(cy - line) <= {_part(0.42, "mid")}""")
 def same_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.same_line(components(spark, sf_dir)).select("key", "ord")
+    return lines.same_line(components(spark, sf_dir).withColumn("h", F.col("h") * 4 - 24)).select("key", "ord")
 
 
 @query("coherence", f"WITH {_C} SELECT key, {six_sql('-stddev_pop(h) / avg(h)')} AS coherence FROM c GROUP BY key")
@@ -71,7 +100,7 @@ def coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.coherence(components(spark, sf_dir)).select("key", six(F.col("coherence")).alias("coherence"))
 
 
-@query("plausibility", f"""WITH {_C}, g AS (SELECT *, x + w / 2 - lag(x + w / 2) OVER (PARTITION BY key ORDER BY x, ord) AS gap FROM c)
+@query("plausibility", f"""WITH {_C}, g AS (SELECT *, x + w / 2 - lag(x + w / 2) OVER (PARTITION BY key ORDER BY x + w / 2) AS gap FROM c)
 SELECT key, CASE WHEN count(*) BETWEEN 6 AND 7 THEN 2 WHEN count(*) BETWEEN 4 AND 8 THEN 1 ELSE 0 END AS tier,
   {six_sql("-coalesce(stddev_pop(h) / nullif(avg(h), 0), 0) - coalesce(stddev_pop(gap) / nullif(avg(gap), 0), 0)")} AS regularity FROM g GROUP BY key""")
 def plausibility(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,10 +117,9 @@ def weighted_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT key, floor(quantile_cont(value, 0.9) * 1e6 + 0.5) / 1e6 AS linear, first(l[CAST(floor(0.9::DOUBLE * (len(l) - 1)) AS INTEGER) + 1]) AS lower,
   first(l[CAST(floor(len(l) / 2) AS INTEGER) + 1]) AS upper_median, floor(median(value) * 1e6 + 0.5) / 1e6 AS median FROM v GROUP BY key""")
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("value")
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("key")).agg(
-        six(lines.percentile_linear(v, 0.9)).alias("linear"), lines.percentile_lower(v, 0.9).alias("lower"), lines.upper_median(v).alias("upper_median"), six(F.median(v)).alias("median"),
-    )
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), "value")
+    found = lines.percentiles(e, "key", "value", 0.9)
+    return found.select("key", six(F.col("linear")).alias("linear"), "lower", "upper_median", six(F.col("median")).alias("median"))
 
 
 _HIST = "h AS (SELECT event_type AS key, CAST(least(255, floor(value)) AS INTEGER) AS v, count(*) AS n FROM events GROUP BY ALL)"

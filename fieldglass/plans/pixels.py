@@ -60,3 +60,32 @@ def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("photo_measures", f"WITH {_P} SELECT key, {six_sql('avg(gray)')} AS mean_gray, {six_sql('avg(CASE WHEN val > 250 THEN 1 ELSE 0 END)')} AS glare_share FROM c GROUP BY key")
 def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.photo_measures(coloured(spark, sf_dir)).select("key", six(F.col("mean_gray")).alias("mean_gray"), six(F.col("glare_share")).alias("glare_share"))
+
+
+@query("column_profile", f"WITH {_P} SELECT key, x, count(*) AS n FROM c WHERE gray > 128 GROUP BY key, x")
+def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.column_profile(coloured(spark, sf_dir).where("gray > 128"))
+
+
+@query("component_brightness", f"WITH {_P} SELECT key, y AS ord, {six_sql('avg(gray)')} AS bright FROM c GROUP BY key, y")
+def brightness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pixels.component_brightness(coloured(spark, sf_dir).withColumn("ord", F.col("y")))
+    return found.select("key", "ord", six(F.col("bright")).alias("bright"))
+
+
+@query("focus_band", f"""WITH {_P}, {_PROFILE}, st AS (SELECT key, min(level) AS lo, max(level) AS hi, CAST(count(*) AS INTEGER) AS k FROM f GROUP BY key),
+ee AS (SELECT f.key, y, level >= lo + 0.55::DOUBLE * (hi - lo) AS on_, row_number() OVER (PARTITION BY f.key ORDER BY y) AS i FROM f JOIN st USING (key)),
+gg AS (SELECT key, y, i - row_number() OVER (PARTITION BY key ORDER BY y) AS run FROM ee WHERE on_), rr AS (SELECT key, min(y) AS start, count(*) AS n FROM gg GROUP BY key, run),
+best AS (SELECT * FROM rr QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, start) = 1), z AS (SELECT key, k, start, n, greatest(2, CAST(trunc(0.18::DOUBLE * n) AS INTEGER)) AS pad,
+  k >= 12 AND hi - lo >= 12 AND n >= 0.25::DOUBLE * k AS keep FROM st LEFT JOIN best USING (key))
+SELECT key, CAST(CASE WHEN keep THEN greatest(0, start - pad) ELSE 0 END AS INTEGER) AS y0, CAST(CASE WHEN keep THEN least(k, start + n + pad) ELSE k END AS INTEGER) AS y1 FROM z""")
+def focus_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.focus_band(coloured(spark, sf_dir))
+
+
+@query("connected_components", f"""WITH RECURSIVE {_P}, m AS (SELECT DISTINCT key, x, y FROM c WHERE gray > 190), reach AS (
+  SELECT key, x, y, x AS px, y AS py FROM m UNION SELECT r.key, r.x, r.y, m.x, m.y FROM reach r JOIN m ON m.key = r.key AND abs(m.x - r.px) <= 1 AND abs(m.y - r.py) <= 1
+), l AS (SELECT key, x, y, min(py * 1000 + px) AS root FROM reach GROUP BY key, x, y)
+SELECT CAST(key AS VARCHAR) AS key, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, CAST(count(*) AS INTEGER) AS area FROM l GROUP BY l.key, root""")
+def connected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.components(coloured(spark, sf_dir).where("gray > 190")).drop("ord")

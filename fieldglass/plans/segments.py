@@ -26,6 +26,26 @@ def best_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.best_readings(tries).select("key", "reading", "ord", "rank")
 
 
+@query("force_merge", f"""WITH {_C}, o AS (SELECT key, x, x + w AS x2, row_number() OVER v AS i, lead(x) OVER v - (x + w) AS gap, count(*) OVER (PARTITION BY key) AS k FROM c WINDOW v AS (PARTITION BY key ORDER BY x, ord)),
+m AS (SELECT key, min(struct_pack(gap := gap, i := i)).i AS spot FROM o WHERE gap IS NOT NULL GROUP BY key),
+j AS (SELECT o.key, i, CASE WHEN i = spot + 1 THEN spot ELSE i END AS g, x, x2 FROM o LEFT JOIN m USING (key))
+SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY g) - 1 AS INTEGER) AS part, CAST(min(x) AS INTEGER) AS x1, CAST(max(x2) AS INTEGER) AS x2 FROM j GROUP BY key, g""")
+def force_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.merge_to(components(spark, sf_dir), F.col("size") - 1)
+
+
+@query("force_split", f"""WITH {_C}, o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY x, ord) AS i FROM c),
+m AS (SELECT key, min(struct_pack(w := -w, i := i)).i AS spot FROM o GROUP BY key),
+p AS (SELECT o.*, CASE WHEN i = spot AND w >= 4 THEN greatest(1, CAST(trunc(CAST(0.25 AS FLOAT) * w) AS INTEGER)) END AS lo, least(w - 1, CAST(trunc(CAST(0.75 AS FLOAT) * w) AS INTEGER)) AS hi FROM o JOIN m USING (key)),
+q AS (SELECT *, CASE WHEN lo IS NULL THEN NULL WHEN hi > lo THEN lo + list_position(list_transform(range(lo, hi), lambda a: (a * 7 + x) % 9), list_min(list_transform(range(lo, hi), lambda a: (a * 7 + x) % 9))) - 1 ELSE w // 2 END AS cut FROM p),
+s AS (SELECT key, i, 0 AS half, x AS x1, CASE WHEN cut IS NULL THEN x + w ELSE x + cut END AS x2 FROM q UNION ALL SELECT key, i, 1, x + cut, x + w FROM q WHERE cut IS NOT NULL)
+SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY i, half) - 1 AS INTEGER) AS part, CAST(x1 AS INTEGER) AS x1, CAST(x2 AS INTEGER) AS x2 FROM s""")
+def force_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = components(spark, sf_dir)
+    profile = c.select("key", "ord", "x", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("at")).select("key", "ord", "at", ((F.col("at") * 7 + F.col("x")) % 9).alias("n"))
+    return segments.split_to(c, profile, F.col("size") + 1)
+
+
 @query("split_merged", f"""WITH {_C}, p AS (SELECT key, ord, x, y, w, h, a, (a * 7 + x) % 9 AS n FROM c, (SELECT unnest(range(0, 13)) AS a) WHERE a < w),
 m AS (SELECT *, max(n) OVER (PARTITION BY key, ord) AS most FROM p), v AS (SELECT key, ord, min(struct_pack(n := n, at := a)) AS v, first(most) AS most FROM m
   WHERE a >= CAST(trunc(CAST(0.30 AS FLOAT) * w) AS INTEGER) AND a < CAST(trunc(CAST(0.70 AS FLOAT) * w) AS INTEGER) GROUP BY key, ord),

@@ -11,8 +11,8 @@ from fieldglass.plans.registry import query, six, six_sql, table
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
-    return names.withColumn("ord", F.row_number().over(Window.orderBy("name")))
+    """Distinct names; a name is its own place in the order."""
+    return table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_name").alias("ord")).distinct()
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +84,7 @@ FROM w JOIN c USING (name) LEFT JOIN t ON t.name = w.name AND t.type = w.chart""
 def levels_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     charts = part.groupBy(F.col("p_name").alias("name")).agg(F.collect_list(F.struct(F.col("p_type").alias("type"), F.col("p_size").alias("level"))).alias("charts"))
-    entries = charts.withColumn("ord", F.row_number().over(Window.orderBy("name")))
+    entries = charts.withColumn("ord", F.col("name"))
     chart = F.when(F.col("p_partkey") % 3 == 1, F.col("p_type")).when(F.col("p_partkey") % 3 == 2, "NONE")
     songs = part.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), chart.alias("chart"))
     return matching.levels_for(songs, entries).select("key", F.array_join("levels", ",").alias("levels"))
@@ -105,3 +105,30 @@ def expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_partkey", t.chart_from_label(label).alias("chart"), t.digit_of(F.col("p_size")).alias("digit"), t.turned_by(F.col("p_partkey") % 3).alias("turned"),
         t.score_value(digits).alias("score"), t.clean_name(F.concat(F.lit('""'), "p_name", F.lit('""'))).alias("name"),
     )
+
+
+@query("charts_for", """WITH c AS (SELECT 'k ' || p_brand AS ck, lower(ck) AS k1, min(p_partkey) AS ord FROM part GROUP BY p_brand), n AS (SELECT DISTINCT p_brand, first(p_name ORDER BY p_partkey) OVER (PARTITION BY p_brand) AS name FROM part),
+e AS (SELECT c.ord, replace(k1, '#', ' ') AS f FROM c UNION SELECT c.ord, lower(name) FROM c JOIN n ON 'k ' || p_brand = ck), f AS (SELECT f, min(ord) AS ord FROM e GROUP BY f),
+s AS (SELECT p_partkey AS key, CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN 'K-' || p_brand ELSE 'nothing' END AS name FROM part)
+SELECT key, coalesce(CAST(ord AS VARCHAR), '') AS levels FROM s LEFT JOIN f ON f = replace(replace(lower(name), '-', ' '), '#', ' ')""")
+def charts_for(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    first = part.groupBy("p_brand").agg(F.min(F.struct("p_partkey", "p_name")).alias("f"))
+    charts = F.array(F.struct(F.lit("s").alias("type"), F.col("f.p_partkey").cast("int").alias("level")))
+    entries = first.select(F.col("f.p_partkey").alias("ord"), F.concat(F.lit("k "), "p_brand").alias("key"), F.col("f.p_name").alias("name"), charts.alias("charts"))
+    k = F.col("p_partkey")
+    name = F.when(k % 3 == 0, F.upper("p_name")).when(k % 3 == 1, F.concat(F.lit("K-"), "p_brand")).otherwise("nothing")
+    found = matching.charts_for(part.select(k.alias("key"), name.alias("name")), entries)
+    return found.select("key", F.array_join(F.transform("charts", lambda c: c["level"].cast("string")), ",").alias("levels"))
+
+
+@query("hue_to_rgb", """WITH h AS (SELECT p_partkey AS key, (p_partkey % 180) / 179.0::DOUBLE AS h, (p_size % 11) / 10.0::DOUBLE AS s, (p_size % 7) / 6.0::DOUBLE AS v FROM part),
+t AS (SELECT key, s, v, (h - floor(h)) * 6 AS t FROM h), i AS (SELECT key, s, v, CAST(floor(t) AS INTEGER) AS i, t - floor(t) AS f FROM t),
+q AS (SELECT key, v, CASE WHEN s = 0 THEN -1 ELSE i % 6 END AS i, v * (1 - s) AS p, v * (1 - s * f) AS q, v * (1 - s * (1 - f)) AS t FROM i)
+SELECT key, CAST(trunc(255 * CASE i WHEN -1 THEN v WHEN 0 THEN v WHEN 1 THEN q WHEN 2 THEN p WHEN 3 THEN p WHEN 4 THEN t ELSE v END) AS INTEGER) AS r,
+  CAST(trunc(255 * CASE i WHEN -1 THEN v WHEN 0 THEN t WHEN 1 THEN v WHEN 2 THEN v WHEN 3 THEN q WHEN 4 THEN p ELSE p END) AS INTEGER) AS g,
+  CAST(trunc(255 * CASE i WHEN -1 THEN v WHEN 0 THEN p WHEN 1 THEN p WHEN 2 THEN t WHEN 3 THEN v WHEN 4 THEN v ELSE q END) AS INTEGER) AS b FROM q""")
+def hue_to_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size")
+    rgb = t.hsv_to_rgb((k % 180).cast("double"), (size % 11) / 10.0, (size % 7) / 6.0)
+    return table(spark, sf_dir, "part").select(k.alias("key"), rgb.alias("c")).select("key", *[F.col("c")[i].alias(n) for i, n in enumerate("rgb")])

@@ -69,6 +69,30 @@ def read_truth_tsv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_truth_json(spark: SparkSession, songs: str, levels: str, scores: str) -> DataFrame:
+    """Ground truth of three JSON objects by key: key, song, chart_type, level, scores (array).
+
+    Keys with a leading underscore are notes, and keys without a song go; a
+    score is a number or a list of them.
+    """
+    def entries(path: str, kind: str) -> DataFrame:
+        rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string,{kind}>")).alias("key", "v"))
+        return rows.where(~F.col("key").startswith("_"))
+
+    song = entries(songs, "string").where("v != ''").select("key", F.col("v").alias("song"))
+    level = entries(levels, "array<string>").select("key", F.col("v")[0].alias("chart_type"), F.col("v")[1].cast("int").alias("level"))
+    score = entries(scores, "string").select("key", F.from_json(F.when(F.col("v").startswith("["), F.col("v")).otherwise(F.concat(F.lit("["), "v", F.lit("]"))), "array<int>").alias("scores"))
+    return song.join(level, "key", "left").join(score, "key", "left").select("key", "song", "chart_type", "level", F.coalesce("scores", F.array().cast("array<int>")).alias("scores"))
+
+
+def read_boxes(spark: SparkSession, path: str) -> DataFrame:
+    """Reference boxes of a JSON list of photos: key, file, cls (name), ord, box, conf."""
+    schema = f"array<struct<key:string,file:string,boxes:map<string,array<struct<box:{BOX},conf:double>>>>>"
+    photo = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", schema)).alias("p")).select("p.*")
+    of_class = photo.select("key", "file", F.explode("boxes").alias("cls", "all"))
+    return of_class.select("key", "file", "cls", F.posexplode("all").alias("ord", "b")).select("key", "file", "cls", "ord", box_of(F.col("b.box")).alias("box"), "b.conf")
+
+
 def read_renames(spark: SparkSession, path: str) -> DataFrame:
     """Renamed images: old name to the new name's stem."""
     rows = spark.read.csv(path, header=True)

@@ -48,9 +48,64 @@ def write_dataset_tsv(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True)
 
 
+def write_glyph_sweep(rows: DataFrame, path: str) -> None:
+    """Gate candidates of each photo as TSV: readings' fields and margins with four decimals, and the number of glyphs read."""
+    glyphs = F.length(F.replace(F.col("raw"), F.lit(" | "), F.lit("")))
+    write_sweep(rows.withColumn("glyphs", glyphs), path)
+
+
+def catalog_json(catalog: DataFrame) -> DataFrame:
+    """Catalog rows (ord, key, name, charts) as one JSON object in their order, which the reader takes back.
+
+    A catalog is a closed list of some hundred names; it is one file by its format.
+    """
+    charts = F.transform("charts", lambda c: F.concat(F.lit('["'), c["type"], F.lit('",'), c["level"].cast("string"), F.lit("]")))
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    entry = F.concat(quoted(F.col("key")), F.lit(':{"n":'), quoted(F.col("name")), F.lit(',"c":['), F.array_join(charts, ","), F.lit("]}"))
+    rows = catalog.select("ord", entry.alias("e")).agg(F.array_sort(F.collect_list(F.struct("ord", "e"))).alias("all"))
+    return rows.select(F.concat(F.lit("{"), F.array_join(F.transform("all", lambda r: r["e"]), ","), F.lit("}")).alias("value"))
+
+
 def write_catalog(catalog: DataFrame, added: DataFrame, path: str, dry: bool = False) -> int:
-    """Writes old and new rows if any were added; returns how many."""
+    """Writes old rows and, behind them, new ones (ord, key, name, charts) if any were added; returns how many.
+
+    The new catalog is written beside the old one and then takes its place, so
+    ``catalog`` may be read from ``path``.
+    """
     n = added.count()
     if n and not dry:
-        catalog.unionByName(added, allowMissingColumns=True).write.mode("overwrite").json(path)
+        last = catalog.agg(F.coalesce(F.max("ord") + 1, F.lit(0)).alias("last"))
+        moved = added.join(F.broadcast(last)).select((F.col("ord") + F.col("last")).alias("ord"), "key", "name", "charts")
+        catalog_json(catalog.select("ord", "key", "name", "charts").unionByName(moved)).coalesce(1).write.mode("overwrite").text(f"{path}.new")
+        hadoop = catalog.sparkSession._jvm.org.apache.hadoop.fs
+        old, new = hadoop.Path(path), hadoop.Path(f"{path}.new")
+        files = old.getFileSystem(catalog.sparkSession._jsc.hadoopConfiguration())
+        files.delete(old, True)
+        files.rename(new, old)
     return n
+
+
+def details_json(readings: DataFrame, native: DataFrame) -> DataFrame:
+    """One JSON row a photo: native reading, its time, the gated values and the raw titles (native: key, native, ms)."""
+    values = [F.col(f"{f}.value").alias(f) for f in ("song", "level", "chart_type", "score")]
+    rows = native.join(readings, "key", "left")
+    return rows.select("key", F.to_json(F.struct(F.parse_json("native").alias("native"), "ms", *values, "raw"), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def write_details(readings: DataFrame, native: DataFrame, path: str) -> None:
+    """Per-photo details as text lines of JSON."""
+    details_json(readings, native).select("json").write.mode("overwrite").text(path)
+
+
+def write_device_results(readings: DataFrame, native: DataFrame, path: str, load_ms: float, device: str, abi: str) -> None:
+    """A device run: rows of details with the run's own figures beside each."""
+    rows = details_json(readings, native).withColumns({"load_ms": F.lit(load_ms), "device": F.lit(device), "abi": F.lit(abi)})
+    rows.write.mode("overwrite").json(path)
+
+
+def write_dataset(items: DataFrame, path: str, snapshot: str | None = None) -> None:
+    """The labelled set as JSON lines; what was there before goes to ``snapshot`` first."""
+    spark = items.sparkSession
+    if snapshot:
+        spark.read.json(path).write.mode("overwrite").json(snapshot)
+    items.write.mode("overwrite").json(path)

@@ -73,9 +73,14 @@ def test_nms(spark):
 
 def test_match_and_levels(spark, catalog):
     reads = spark.createDataFrame([("a", "etoile filant"), ("b", "!!!"), ("c", "pointbreak")], "key string, text string")
-    for closed in (100, 0):  # every pair, or pairs with a common trigram
-        got = {(r["key"], r["rank"]): r["name"] for r in matching.match(reads, catalog, 2, closed=closed).collect()}
-        assert got[("a", 1)] == "Étoile Filante" and got[("a", 2)] == "Etoile  filante" and got[("c", 1)] == "Point Break" and ("b", 1) not in got
+    got = {(r["key"], r["rank"]): r["name"] for r in matching.match(reads, catalog, 2).collect()}
+    assert got[("a", 1)] == "Étoile Filante" and got[("a", 2)] == "Etoile  filante" and got[("c", 1)] == "Point Break" and ("b", 1) not in got
+    # places that overlap leaves free are filled in the catalog's order
+    names = spark.createDataFrame([(i, n) for i, n in enumerate(["xyz", "uvw", "abcd", "rst", "abc"])], "ord int, name string")
+    found = matching.trigram_candidates(spark.createDataFrame([("k", "abc")], "key string, text string"), names, limit=4)
+    assert [(r["ord"], r["jac"] > 0) for r in found.orderBy(F.desc("jac"), "ord").collect()] == [(4, True), (2, True), (0, False), (1, False)]
+    charts = {r["key"]: r["charts"] for r in matching.charts_for(spark.createDataFrame([(1, "B3"), (2, "bee!"), (3, "nobody"), (4, None)], "key int, name string"), catalog).collect()}
+    assert [c["level"] for c in charts[1]] == [21, 9] and [c["level"] for c in charts[2]] == [4, 12] and charts[3] == charts[4] == []
     songs = spark.createDataFrame([(1, "Étoile filante", "s"), (2, "Bee", "c"), (3, "Point Break", "s"), (4, "none", None), (5, "Bee", None)], "key int, name string, chart string")
     assert {r["key"]: r["levels"] for r in matching.levels_for(songs, catalog).collect()} == {1: [7, 18], 2: [4, 12], 3: [9, 21], 4: None, 5: [4, 12]}
 
@@ -135,6 +140,38 @@ def test_sequences(spark):
     assert tuple(lines.longest_run(run, F.col("v") == 1).first()) == ("a", 1, 2)
 
 
+def test_component_filters(spark):
+    kind = "key string, ord int, x int, y int, w int, h int, area int, bright double, rows int, cols int"
+    row = lambda o, y, w, h, area=100, bright=200.0: ("a", o, o * 20, y, w, h, area, bright, 100, 60)
+    kept = lambda df: sorted(r["ord"] for r in df.collect())
+    c = spark.createDataFrame([row(0, 0, 10, 20), row(1, 0, 10, 11, 1), row(2, 0, 31, 20), row(3, 0, 10, 12, 2), row(4, 0, 10, 20, 100, 100.0), row(5, 0, 10, 20, 9)], kind)
+    assert kept(lines.title_components(c)) == [0, 3, 4, 5]  # 1 is low and small, 2 over half the width
+    assert kept(lines.badge_components(c.withColumn("rows", F.lit(10)).withColumn("cols", F.lit(50)))) == [0, 2, 4]  # below 10 pixels the rest
+    assert kept(lines.score_components(c)) == [0, 2]  # 1 hasn't the pixels, 3 is neither, 4 is dark, 5 unfilled
+    # the line's tolerance comes from the band of high glyphs alone
+    heights = spark.createDataFrame([row(0, 0, 10, 100), row(1, 30, 10, 100), *[row(o, 200, 4, 10) for o in range(2, 6)]], kind)
+    assert kept(lines.same_line(heights)) == [0, 1]
+    # gaps are those of ordered centres: the second lies within the first
+    nested = spark.createDataFrame([("a", 0, 0, 0, 100, 10), ("a", 1, 10, 0, 10, 10), ("a", 2, 90, 0, 10, 10), ("a", 3, 120, 0, 10, 10)], "key string, ord int, x int, y int, w int, h int")
+    gaps = np.diff(sorted([50.0, 15.0, 95.0, 125.0]))
+    r = lines.plausibility(nested).first()
+    assert r["tier"] == 1 and abs(r["regularity"] + gaps.std() / gaps.mean()) < 1e-9
+
+
+def test_ranks(spark):
+    rng = np.random.default_rng(3)
+    values = {"a": rng.integers(0, 50, 5000).astype(float), "b": rng.normal(size=3000), "c": np.array([7.0])}
+    rows = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v] + [("a", None), ("d", None)], "key string, value double")
+    got = {r["key"]: r for r in lines.percentiles(rows, "key", "value", 0.9).collect()}
+    assert set(got) == set(values)
+    for k, v in values.items():
+        v = np.sort(v)
+        r = got[k]
+        assert r["lower"] == v[int(0.9 * (len(v) - 1))] and abs(r["linear"] - np.percentile(v, 90)) < 1e-12
+        assert r["upper_median"] == v[len(v) // 2] and abs(r["median"] - np.median(v)) < 1e-12
+    assert lines.percentiles(rows.limit(0), "key", "value", 0.5).count() == 0
+
+
 def test_metrics(spark):
     a = spark.createDataFrame([("s", 1, 1), ("s", 2, 1), ("s", None, 1), ("s", 3, None)], "field string, value int, truth int").withColumn("ok", F.col("value") == F.col("truth"))
     r = evaluate.field_metrics(a, ["field"]).first()
@@ -202,3 +239,48 @@ def test_segments(spark):
     q = spark.createDataFrame([(1, [10.0, 5.0, 110.0, 5.0, 110.0, 55.0, 10.0, 55.0])], "key int, quad array<double>")
     h = segments.homographies(q, 100, 50).first()["h"]
     assert np.allclose(h, [1, 0, 10, 0, 1, 5, 0, 0, 1], atol=1e-9)
+    flat = spark.createDataFrame([(1, [0.0] * 8), (2, [float(x) for x in (10, 5, 110, 15, 100, 60, 12, 55)])], "key int, quad array<double>")
+    got = {r["key"]: r["h"] for r in segments.homographies(flat, 100, 50).collect()}
+    assert got[1] is None and np.allclose(np.array(got[2]).reshape(3, 3) @ [100, 50, 1] / (np.array(got[2])[6:] @ [100, 50, 1]), [100, 60, 1])
+    c = spark.createDataFrame([("a", 0, 0, 8), ("a", 1, 20, 3)], "key string, ord int, x int, w int")
+    profile = spark.createDataFrame([("a", 0, at, n) for at, n in enumerate([9, 9, 5, 1, 5, 9, 9, 9])] + [("a", 1, at, 1) for at in range(3)], "key string, ord int, at int, n int")
+    split = sorted((r["part"], r["x1"], r["x2"]) for r in segments.split_to(c, profile, F.lit(3)).collect())
+    assert split == [(0, 0, 3), (1, 3, 8), (2, 20, 23)]
+    assert segments.split_to(c, profile, F.lit(2)).count() == 2 and segments.split_to(c, profile, F.lit(9)).count() == 5  # what is 3 wide or less is not split
+
+
+def test_options():
+    o = resolve.Options().changed(True, 9, 2, 0, 0)
+    assert (o.rectify, o.bin_mode, o.badge_mode, o.title_variants, o.title_boxes) == (True, 0, 2, 1, 3)
+    assert o.changed(False, 3, -1, 2, 5) == resolve.Options(False, 3, 2, 2, 5)
+
+
+def test_truth_and_writers(spark, catalog, tmp_path):
+    path = str(tmp_path / "catalog.json")
+    (tmp_path / "catalog.json").write_text(json.dumps(CATALOG))
+    old = readers.read_catalog(spark, path)
+    added = spark.createDataFrame([(0, "n1", 'New "one"', [("s", 5)])], "ord int, key string, name string, charts array<struct<type:string,level:int>>")
+    assert writers.write_catalog(old, added.limit(0), path) == 0 and writers.write_catalog(old, added, path, dry=True) == 1
+    before = [tuple(r) for r in old.select("key", "name", "charts").collect()]
+    assert writers.write_catalog(old, added, path) == 1
+    now = readers.read_catalog(spark, path).orderBy("ord")
+    assert [tuple(r) for r in now.select("key", "name", "charts").collect()] == [*before, ("n1", 'New "one"', [("s", 5)])]
+    for name, value in (("song", {"_n": "x", "a": "Bee", "b": "", "c": "Point"}), ("level", {"a": ["single", 4]}), ("score", {"a": [5, 6], "c": 7})):
+        (tmp_path / f"{name}.json").write_text(json.dumps(value))
+    truth = readers.read_truth_json(spark, *[str(tmp_path / f"{n}.json") for n in ("song", "level", "score")])
+    assert sorted((r["key"], r["song"], r["chart_type"], r["level"], r["scores"]) for r in truth.collect()) == [("a", "Bee", "single", 4, [5, 6]), ("c", "Point", None, None, [7])]
+    (tmp_path / "boxes.json").write_text(json.dumps([{"key": "a", "file": "f", "boxes": {"title": [{"box": [1, 2, 3, 4], "conf": 0.5}, {"box": [1], "conf": 0.1}]}}]))
+    assert [(r["cls"], r["ord"], r["box"] and tuple(r["box"])) for r in readers.read_boxes(spark, str(tmp_path / "boxes.json")).orderBy("ord").collect()] == [("title", 0, (1, 2, 3, 4)), ("title", 1, None)]
+    native = spark.createDataFrame([("a", json.dumps({"titles": [{"raw": "bee"}], "score": 6, "score_margin": 0.5}), 12.5)], "key string, native string, ms double")
+    read = resolve.readings(readers.read_native(native), catalog)
+    answers = {r["field"]: (r["value"], r["ok"]) for r in evaluate.truth_answers(read, truth).collect()}
+    assert answers == {"song": ("Bee", True), "level": (None, False), "chart_type": (None, False), "score": ("6", True)}
+    writers.write_device_results(read, native, str(tmp_path / "device"), 3.0, "phone", "arm")
+    detail = json.loads(spark.read.json(str(tmp_path / "device")).first()["json"])
+    assert detail["song"] == "Bee" and detail["level"] is None and detail["native"]["score"] == 6 and detail["ms"] == 12.5
+    items = spark.createDataFrame([("a", 1)], "file string, score int")
+    writers.write_dataset(items, str(tmp_path / "set"))
+    writers.write_dataset(items.withColumn("score", F.lit(2)), str(tmp_path / "set"), str(tmp_path / "before"))
+    assert [spark.read.json(str(tmp_path / d)).first()["score"] for d in ("set", "before")] == [2, 1]
+    metrics = evaluate.escalated(spark.createDataFrame([("x", 1, 1, None), ("x", None, 1, "s")], "song string, score int, level int, chart_type string"))
+    assert tuple(metrics.first()) == (2, 1, 0.5)
