@@ -160,7 +160,7 @@ def language_of(docs: DataFrame, id_col: str, text_col: str, lang_col: str, bits
         names, scores = _score(shared.value, texts.tolist())
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return predict
+    return predict.asNondeterministic()  # else a filter on the result would run it a second time
 
 
 def known_language(

@@ -280,6 +280,8 @@ def _other_links(docs: DataFrame, lists: DataFrame, roots: DataFrame, reps: Data
     tiles = open_.withColumn("own", own).join(reps.select("rep", "n", "sig"), "rep")
     tiles = tiles.select("rep", "mask", "key", "root", "n", "sig", F.explode(F.when(F.col("minor"), minor_tiles).otherwise(major_tiles)).alias("t"))
     tiles = tiles.select("key", "t.*", "rep", "root", "mask", "n", "sig")
+    # tiles are small in bytes and heavy to compare: as many tasks as there are partitions, not fewer
+    tiles = tiles.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "i", "j")
     left = written(tiles.groupBy("key", "i", "j").applyInArrow(lambda t: _open_rows(t, percent), _PLACED))
     dropped(rows)
 
