@@ -1,115 +1,199 @@
-"""Toxicity: a subsequence string-kernel machine over words, with Nyström landmarks.
-
-The kernel of two words sums, over all character triples, the products of how
-they occur in order in both words; each character that an occurrence spans
-costs a factor, so gaps and inserted characters lower the value and don't end
-it. Words carry marks for their beginning and end.
+"""Toxicity: a subsequence string-kernel machine with Nyström landmarks, trained on labelled sentences.
+
+The kernel of two strings sums, over all character triples, the products of how
+they occur in order in both; each character that an occurrence spans costs a
+factor, so gaps and inserted characters lower the value and don't end it.
+Strings are words and pairs of neighbouring words of a sentence, with a mark at
+each border, across which occurrences may reach. A text is scored over all its
+words and pairs.
 """
 
 from __future__ import annotations
 
-import re
-import sys
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import columns_only, held_out, whole
+from fieldglass.llm.common import columns_only, dropped, held_out, whole, written
 
 DECAY = 0.7
 #: The most characters behind the first that an occurrence may reach.
 REACH = 6
-_PAIRS = [(a, b) for b in range(2, REACH + 1) for a in range(1, b)]
-_WEIGHT = np.array([DECAY ** (b + 1) for _, b in _PAIRS], dtype=np.float32)
+_SPANS = range(2, REACH + 1)
+_WEIGHT = {b: DECAY ** (b + 1) for b in _SPANS}
+#: Squared weights of the occurrences that start at a character with so many others behind it.
+_SQUARES = np.cumsum([0.0, 0.0] + [(b - 1) * _WEIGHT[b] ** 2 for b in _SPANS])
 #: Longer words are scored piece by piece, pieces overlapping.
 LONGEST = 24
-STORE = 300_000
-#: Labelled documents that are learnt from, at most, of either label.
+#: So many words of one character each are letters that were spelled out, and read as one word.
+SPELLED = 4
+#: Characters that are scored together.
+SLICE = 1 << 16
+
+#: Labelled documents that are learnt from, at most, of either label; all that follows is learnt from these.
 SAMPLE = {1: 2000, 0: 4000}
-LANDMARKS = 96
 #: One labelled document in so many is kept for the calibration.
 CALIBRATE = 4
-#: Share of the toxic documents that a positive word occurs in, at least.
-SUPPORT = 0.004
-#: Rounds in which the worst-looking clean words are added as negatives.
-MINING = 3
-INSTANCES = 6000
-#: Most frequent clean words that mining looks at.
-MINED = 100_000
+#: Words of the sample that are looked at as instances: the most frequent ones.
+VOCABULARY = 100_000
+#: Share of the toxic documents that a word which marks them occurs in, and its least log odds.
+SUPPORT, ODDS = 0.004, 2.5
+LANDMARKS = 96
+#: Rounds in which the worst-looking strings of labelled sentences become instances, and strings of a document that do.
+MINING, WORST = 3, 3
+INSTANCES = 2000
 THRESHOLD = 0.3
+#: Word and pair scores that a document is judged by, and its number of words.
+FEATURES = 6
+
+_MARK = 1
+
+
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point its class (0 a sign, 1 white space, 2 to 63 what stands in a word), and the letter it looks like."""
+    kind = np.zeros(0x110000, dtype=np.uint8)
+    for c in range(0x110000):
+        s = chr(c)
+        if s.isspace():
+            kind[c] = _MARK
+        elif s.isalnum():
+            kind[c] = 2 + c - 97 if 97 <= c <= 122 else 28 + c - 48 if 48 <= c <= 57 else 38 + c % 25
+    kind[0] = _MARK
+    look = np.zeros(0x110000, dtype=np.uint8)
+    # fixed values: digits and signs that stand for letters inside a word
+    for sign, letter in zip("013457$@", "oieastsa"):
+        look[ord(sign)] = 2 + ord(letter) - 97
+    return kind, look
+
+
+#: A character for each class, so that a cleaned string is read back as itself; other letters share 25.
+_NAMES = np.array([" ", " ", *map(chr, range(97, 123)), *map(chr, range(48, 58)), *sorted(map(chr, range(0x430, 0x430 + 25)), key=lambda c: ord(c) % 25), " "])
 
-#: Digits and signs that stand for letters inside a word.
-_LOOKALIKE = str.maketrans("013457$@", "oieastsa")
-_SPELLED = re.compile(r"(?<!\w)(?:\w[\W_]{1,2}){3,}\w(?!\w)")
-_AGAIN = re.compile(r"(.).*\1.*(.).*\2|(.).*\3.*\3|(..).*\4")
-_NOT_WORD = re.compile(r"[\W_]+")
-
-
-def words_of(text: str) -> list[str]:
-    """Lower-case words without signs; letters that were spelled out apart are one more word."""
-    low = text.lower()
-    found = low.split()
-    for m in _SPELLED.finditer(low):
-        found.append(m[0])
-    return found
-
-
-def clean(token: str) -> str:
-    """Letters of a token; look-alikes are letters if the token has other letters."""
-    if token.isalpha():
-        return token
-    if any(map(str.isalpha, token)):
-        token = token.translate(_LOOKALIKE)
-    return _NOT_WORD.sub("", token)
-
-
-def _codes(words: list[str]) -> np.ndarray:
-    """Characters as numbers below 64, marks included; 0 behind the end."""
-    width = max(map(len, words), default=0) + 2
-    out = np.zeros((len(words), width), dtype=np.int64)
-    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-    c = np.where((flat >= 97) & (flat <= 122), flat - 95, np.where((flat >= 48) & (flat <= 57), flat - 20, 38 + flat % 25))
-    n = np.array([len(w) for w in words], dtype=np.int64)
-    row = np.repeat(np.arange(len(words)), n)
-    col = np.arange(len(c)) - np.repeat(np.cumsum(n) - n, n) + 1
-    out[row, col] = c
-    out[:, 0] = 1
-    out[np.arange(len(words)), n + 1] = 63
-    return out
 
+class Strings:
+    """Texts as one row of numbers: a mark before each word and behind the last, ``REACH`` zeros behind each text.
 
-def triples(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the character triples of each word, and their weights, scaled to norm 1."""
-    codes = np.pad(_codes(words), ((0, 0), (0, REACH)))
+    Signs within a word fall away, and look-alikes are letters where the word
+    has others. Every text keeps the words it has, in order.
+    """
+
+    _tables: tuple[np.ndarray, np.ndarray] | None = None
+
+    def __init__(self, texts: list[str]) -> None:
+        if Strings._tables is None:
+            Strings._tables = _classes()
+        kinds, looks = Strings._tables
+        low = [t.lower() for t in texts]
+        cps = np.frombuffer("".join(t + "\0" for t in low).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        text_end = np.cumsum([len(t) + 1 for t in low], dtype=np.int64)
+        kind, look = kinds[cps], looks[cps]
+        space = kind == _MARK
+        begin = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+        token = np.cumsum(~space & np.concatenate([[True], space[:-1]])) - 1
+        letter = (kind >= 2) & ~((kind >= 28) & (kind <= 37))
+        if len(begin):
+            lettered = np.logical_or.reduceat(letter, begin)
+            kind = np.where((look > 0) & ~space & lettered[np.maximum(token, 0)], look, kind)
+        kept = (kind >= 2) & ~space
+        size = np.add.reduceat(kept, begin) if len(begin) else np.zeros(0, np.int64)
+        text_of = np.searchsorted(text_end, begin, side="right")
+        begin, text_of, size = begin[size > 0], text_of[size > 0], size[size > 0]
+        # runs of single characters are one word
+        single = size == 1
+        joins = np.concatenate([[False], single[1:] & single[:-1] & (text_of[1:] == text_of[:-1])]) if len(size) else single
+        run = np.cumsum(~joins) - 1
+        spelled = np.bincount(run, minlength=1)[run] >= SPELLED if len(run) else joins
+        head = ~(joins & spelled)
+        word = np.cumsum(head) - 1
+        self.size = np.bincount(word, weights=size, minlength=int(head.sum())).astype(np.int64)
+        self.text_of, self.texts = text_of[head], len(texts)
+        # places: a mark and the characters of each word, then a mark and zeros behind each text
+        gap = np.zeros(len(self.size) + 1, np.int64)
+        ended = np.searchsorted(self.text_of, np.arange(len(self.size) and self.texts), side="right")
+        np.add.at(gap, ended, 1 + REACH)
+        self.start = np.concatenate([[0], np.cumsum(self.size + 1)])[: len(self.size)] + np.cumsum(gap)[: len(self.size)]
+        total = int((self.size + 1).sum() + gap.sum())
+        self.codes = np.zeros(total, np.int64)
+        of_char = np.repeat(np.arange(len(self.size)), self.size)
+        within = np.arange(len(of_char)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        self.codes[self.start[of_char] + 1 + within] = kind[kept]
+        self.codes[self.start] = self.codes[self.start + self.size + 1] = _MARK
+        #: Places up to the mark behind a word, and behind the word after it in the same text.
+        self.end = self.start + self.size + 1
+        follows = np.concatenate([self.text_of[1:] == self.text_of[:-1], [False]]) if len(self.size) else np.zeros(0, bool)
+        self.follows, self.second = follows, np.where(follows, np.roll(self.end, -1), self.end)
+        self.pieces = [(w, s) for w in np.flatnonzero(self.size > LONGEST) for s in range(int(self.start[w]), int(self.end[w]) - LONGEST // 2, LONGEST // 2)]
+
+
+class Scores:
+    """Sums of a table over all occurrences of triples in words and pairs of words, scaled to length."""
+
+    def __init__(self, s: Strings, table: np.ndarray) -> None:
+        n = max(len(s.codes) - REACH, 0)
+        one, two = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        place = np.repeat(s.start, s.size + 1) + np.arange(int((s.size + 1).sum())) - np.repeat(np.cumsum(s.size + 1) - s.size - 1, s.size + 1)
+        one[place] = np.repeat(s.end, s.size + 1) - place  # characters behind, within the word
+        two[place] = np.repeat(s.second, s.size + 1) - place
+        first = s.codes[:n] << 12
+        inner, outer = np.zeros(n), np.zeros(n)
+        for b in _SPANS:
+            last = first | s.codes[b : b + n]
+            value = np.zeros(n)
+            for a in range(1, b):
+                value += table[last | s.codes[a : a + n] << 6]
+            value *= _WEIGHT[b]
+            inner += np.where(one >= b, value, 0)
+            outer += np.where(two >= b, value, 0)
+        reach = lambda x: np.concatenate([[0.0], np.cumsum(x)])
+        sums, wide = reach(inner), reach(outer)
+        norm, wide_norm = reach(_SQUARES[np.minimum(one, REACH)]), reach(_SQUARES[np.minimum(two, REACH)])
+        scaled = lambda x, h: x / np.sqrt(np.maximum(h, 1e-9))
+        a, b = s.start, s.end
+        self.words = scaled(sums[b] - sums[a], norm[b] - norm[a]) if len(a) else np.zeros(0)
+        if s.pieces:  # a long word is as bad as its worst piece
+            w = np.array([p[0] for p in s.pieces])
+            pa_, pb = np.array([p[1] for p in s.pieces]), np.minimum(np.array([p[1] for p in s.pieces]) + LONGEST, b[w])
+            found = scaled(sums[pb] - sums[pa_], norm[pb] - norm[pa_])
+            self.words[np.unique(w)] = -np.inf
+            np.maximum.at(self.words, w, found)
+        i = np.flatnonzero(s.follows)
+        self.pair = i  # the first words of pairs
+        self.pairs = scaled(wide[b[i]] - wide[a[i]] + sums[b[i + 1]] - sums[a[i + 1]], wide_norm[b[i]] - wide_norm[a[i]] + norm[b[i + 1]] - norm[a[i + 1]]) if len(i) else np.zeros(0)
+
+
+def _string_codes(strings: list[str]) -> np.ndarray:
+    """Cleaned strings (lower-case words, one space between two) as numbers, marks included; 0 behind the end."""
+    out = []
+    for x in strings:
+        s = Strings([x])
+        out.append(s.codes[: len(s.codes) - REACH] if len(s.size) else np.zeros(1, np.int64))
+    wide = np.zeros((len(out), max(map(len, out), default=0)), np.int64)
+    for row, codes in zip(wide, out):
+        row[: len(codes)] = codes
+    return wide
+
+
+def triples(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the character triples of each string, and their weights, scaled to length."""
+    codes = np.pad(_string_codes(strings), ((0, 0), (0, REACH)))
     width = codes.shape[1] - REACH
-    first = codes[:, :width]
-    ids = np.empty((len(words), width, len(_PAIRS)), dtype=np.int32)
-    weight = np.empty(ids.shape, dtype=np.float32)
-    for k, (a, b) in enumerate(_PAIRS):
+    ids, weight = [], []
+    for b in _SPANS:
         last = codes[:, b : b + width]
-        ids[:, :, k] = (first << 12) | (codes[:, a : a + width] << 6) | last
-        weight[:, :, k] = np.where(last > 0, _WEIGHT[k], 0)
-    ids, weight = ids.reshape(len(words), -1), weight.reshape(len(words), -1)
-    norm = (weight**2).sum(axis=1)
-    again = np.flatnonzero([_AGAIN.search(w) is not None for w in words])
-    if len(again):  # triples that occur more than once add up before they are squared
-        key = (np.arange(len(again))[:, None] << 18 | ids[again]).ravel()
-        by = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.diff(key[by], prepend=-1))
-        sums = np.add.reduceat(weight[again].ravel()[by], first)
-        norm[again] = np.bincount(key[by][first] >> 18, weights=sums**2, minlength=len(again))
-    return ids, weight / np.sqrt(np.maximum(norm, 1e-18))[:, None]
-
-
-def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Kernel values of words and landmarks."""
-    out = np.zeros((len(words), len(landmarks)))
-    parts = [triples(words[at : at + 256]) for at in range(0, len(words), 256)]
+        for a in range(1, b):
+            ids.append(codes[:, :width] << 12 | codes[:, a : a + width] << 6 | last)
+            weight.append(np.where(last > 0, _WEIGHT[b], 0.0))
+    ids, weight = np.concatenate(ids, axis=1), np.concatenate(weight, axis=1)
+    return ids, weight / np.sqrt(np.maximum((weight**2).sum(axis=1), 1e-9))[:, None]
+
+
+def kernel(strings: list[str], landmarks: list[str]) -> np.ndarray:
+    """Kernel values of strings and landmarks."""
+    out = np.zeros((len(strings), len(landmarks)))
+    parts = [triples(strings[at : at + 256]) for at in range(0, len(strings), 256)]
     li, lw = triples(landmarks)
     for k in range(len(landmarks)):  # one landmark's table is in memory at a time
         table = np.bincount(li[k], weights=lw[k], minlength=1 << 18)
@@ -134,7 +218,7 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return b
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
     x = np.hstack([x, np.ones((len(x), 1))])
     b = np.zeros(x.shape[1])
     for _ in range(50):
@@ -148,43 +232,57 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return b
 
 
-def _pieces(word: str) -> list[str]:
-    return [word] if len(word) <= LONGEST else [word[i : i + LONGEST] for i in range(0, len(word) - LONGEST // 2, LONGEST // 2)]
-
-
 class Machine:
-    """Scores of words by one table over triples, and of documents by their worst words."""
-
-    def __init__(self, table: np.ndarray, offset: float, calibration: np.ndarray) -> None:
-        self.table, self.offset, self.calibration = table, offset, calibration
-        self.store: dict[str, float] = {}
-
-    def word_scores(self, words: list[str]) -> list[float]:
-        cleaned = [clean(w) for w in words]
-        plain = sorted({p for c in cleaned for p in _pieces(c)}, key=len)
-        found: dict[str, float] = {}
-        for at in range(0, len(plain), 1024):
-            part = plain[at : at + 1024]
-            i, w = triples(part)
-            found.update(zip(part, ((self.table[i] * w).sum(axis=1) + self.offset).tolist()))
-        return [max(found[p] for p in _pieces(c)) if len(c) > 2 else -1.0 for c in cleaned]
-
-    def features(self, texts: list[list[str]]) -> np.ndarray:
-        """Three highest word scores and the logarithm of the number of words, for each document."""
-        wanted = set().union(*texts)
-        new = wanted.difference(self.store)
-        if len(self.store) + len(new) > STORE:
-            self.store.clear()
-            new = wanted
-        listed = list(new)
-        self.store.update(zip(listed, self.word_scores(listed)))
-        out = np.full((len(texts), 4), -1.0)
-        for k, words in enumerate(texts):
-            s = np.fromiter(map(self.store.__getitem__, words), dtype=np.float64, count=len(words))
-            if len(s) > 3:
-                s = np.partition(s, len(s) - 3)[-3:]
-            out[k, : len(s)] = np.sort(s)[::-1]
-            out[k, 3] = np.log1p(len(words)) / 5
+    """Scores of strings by one table over triples, and of texts by their worst words and pairs."""
+
+    def __init__(self, table: np.ndarray, offset: float, calibration: np.ndarray | None = None) -> None:
+        self.table, self.offset = table, offset
+        self.calibration = np.zeros(FEATURES + 1) if calibration is None else calibration
+
+    @staticmethod
+    def empty() -> Machine:
+        """Knows nothing: every score is near 0."""
+        return Machine(np.zeros(1 << 18), -1.0, np.array([0.0] * FEATURES + [-20.0]))
+
+    def _slices(self, texts: list[str]) -> Iterator[tuple[int, Strings, Scores]]:
+        """Texts of some ``SLICE`` characters together: number of the first, its strings and their scores."""
+        at = 0
+        while at < len(texts):
+            end, room = at, SLICE
+            while end < len(texts) and (end == at or room > 0):
+                room -= len(texts[end])
+                end += 1
+            s = Strings(texts[at:end])
+            yield at, s, Scores(s, self.table)
+            at = end
+
+    def features(self, texts: list[str]) -> np.ndarray:
+        """The three highest scores of words, the two highest of pairs, and the logarithm of the number of words."""
+        out = np.full((len(texts), FEATURES), -1.0)
+        for at, s, found in self._slices(texts):
+            n = np.bincount(s.text_of, minlength=s.texts)
+            out[at : at + s.texts, 5] = np.log1p(n) / 5
+            for column, most, value, of in ((0, 3, found.words, s.text_of), (3, 2, found.pairs, s.text_of[found.pair])):
+                by = np.lexsort((-value, of))
+                rank = np.arange(len(by)) - np.searchsorted(of, of[by], side="left")
+                top = by[rank < most]
+                out[at + of[top], column + rank[rank < most]] = value[top] + self.offset
+        return out
+
+    def worst(self, texts: list[str], n: int) -> list[list[tuple[str, float]]]:
+        """The ``n`` highest-scored words or pairs of each text, cleaned, with their scores."""
+        out: list[list[tuple[str, float]]] = [[] for _ in texts]
+        for at, s, found in self._slices(texts):
+            value = np.concatenate([found.words, found.pairs]) + self.offset
+            first = np.concatenate([np.arange(len(s.size)), found.pair])
+            end = np.concatenate([s.end, s.second[found.pair]])
+            of = s.text_of[first]
+            by = np.lexsort((-value, of))
+            rank = np.arange(len(by)) - np.searchsorted(np.sort(of), of[by], side="left")
+            for k in by[rank < n]:
+                codes = s.codes[s.start[first[k]] + 1 : end[k]]
+                if len(codes) <= 2 * LONGEST:
+                    out[at + of[k]].append(("".join(_NAMES[codes]), float(value[k])))
         return out
 
     def probability(self, features: np.ndarray) -> np.ndarray:
@@ -192,91 +290,46 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _spread(words: list[str], n: int, each: int = 4) -> list[str]:
-    """The first words, at most ``each`` that begin alike."""
-    heads: Counter = Counter()
+def _spread(strings: list[str], n: int, each: int = 4) -> list[str]:
+    """The first strings, at most ``each`` that begin alike."""
+    heads: dict[str, int] = {}
     out = []
-    for w in words:
-        heads[w[:5]] += 1
+    for w in strings:
+        heads[w[:5]] = heads.get(w[:5], 0) + 1
         if heads[w[:5]] <= each:
             out.append(w)
     return out[:n]
 
 
-def _table(good: list[str], bad: list[str], landmarks: list[str], seen: dict[int, Counter]) -> tuple[np.ndarray, float]:
-    """Trains on instances seen through the landmarks; the machine as one table over triples."""
+def trained(instances: dict[str, tuple[float, float]], landmarks: list[str]) -> Machine:
+    """A machine from strings (1 or -1, weight) seen through the landmarks, as one table over triples."""
     values, vectors = np.linalg.eigh(kernel(landmarks, landmarks))
     keep = values > 1e-6 * values.max()
     whiten = vectors[:, keep] / np.sqrt(values[keep])
-    x = kernel(good + bad, landmarks) @ whiten
-    y = np.array([1.0] * len(good) + [-1.0] * len(bad))
-    weight = np.array([seen[1][w] ** 0.8 for w in good] + [seen[0][w] ** 0.6 for w in bad])
-    beta = _machine(x, y, weight)
+    strings = list(instances)
+    y, weight = (np.array([instances[w][k] for w in strings]) for k in (0, 1))
+    beta = _machine(kernel(strings, landmarks) @ whiten, y, weight)
     gamma = whiten @ beta[:-1]
     table = np.zeros(1 << 18)
     li, lw = triples(landmarks)
     for k in range(len(landmarks)):
         np.add.at(table, li[k], gamma[k] * lw[k])
-    return table.astype(np.float32), float(beta[-1])
+    return Machine(table, float(beta[-1]))
 
 
-def fit(sample: pd.DataFrame) -> Machine:
-    """Learns from labelled documents (toxic, words).
-
-    Words that labelled texts of one kind favour are the instances; those that
-    favour it most are the landmarks. Words that mark toxic texts are the
-    positive class, words of clean texts the negative one.
-    """
-    sample = sample.sort_values("toxic", kind="stable").reset_index(drop=True)
-    apart = np.arange(len(sample)) % CALIBRATE == 0 if len(sample) >= 20 * CALIBRATE else np.zeros(len(sample), dtype=bool)
-    held, sample = sample[apart], sample[~apart]
-    held = held if len(held) else sample
-    toxic = sample["toxic"].to_numpy()
-    n1, n0 = int((toxic == 1).sum()), int((toxic == 0).sum())
-    empty = Machine(np.zeros(1 << 18, np.float32), -1.0, np.array([0.0, 0.0, 0.0, 0.0, -20.0]))
-    if not n1 or not n0:
-        return empty
-    seen = {1: Counter(), 0: Counter()}
-    for y, words in zip(toxic, sample["words"]):
-        seen[int(y)].update({c for w in words for c in _pieces(clean(w)) if len(c) > 2})
-    odds = {w: np.log((k + 0.1) / (n1 + 0.2)) - np.log((seen[0][w] + 0.1) / (n0 + 0.2)) for w, k in seen[1].items() if k >= max(3, SUPPORT * n1)}
-    # favoured by toxic texts clearly more than by chance
-    good = sorted((w for w, o in odds.items() if o > 2.5 and seen[1][w] - (seen[0][w] / n0) * n1 > 2.5 * np.sqrt(1 + (seen[0][w] / n0) * n1)), key=lambda w: (-seen[1][w] * odds[w], w))
-    good = good[: INSTANCES // 3]
-    if not good:
-        return empty
-    taken = set(good)
-    bad = sorted((w for w in seen[0] if w not in taken), key=lambda w: (-min(seen[0][w], 20), hash_of(w)))[: INSTANCES // 3]
-    # clean words that share a beginning with positive ones are the hard negatives
-    heads = {w[:5] for w in good}
-    hard = sorted((w for w in seen[0] if w[:5] in heads and w not in taken), key=hash_of)[: INSTANCES // 6]
-    inner = sorted((w for w in seen[0] if w not in taken and any(w[i : i + 5] in heads for i in range(1, len(w) - 4))), key=hash_of)[: INSTANCES // 6]
-    bad = list(dict.fromkeys([*bad, *hard, *inner]))
-    landmarks = list(dict.fromkeys([*_spread(good, LANDMARKS), *bad[: LANDMARKS // 4]]))
-    table, offset = _table(good, bad, landmarks, seen)
-    clean_words = sorted((w for w in seen[0] if w not in taken), key=lambda w: (-seen[0][w], w))[:MINED]
-    for _ in range(MINING):  # clean words that look worst are negatives and landmarks of the next machine
-        now = Machine(table, offset, np.zeros(5))
-        worst = np.argsort(-np.array(now.word_scores(clean_words)) * np.log1p([seen[0][w] for w in clean_words]), kind="stable")
-        mined = [clean_words[i] for i in worst[: INSTANCES // 4]]
-        bad = list(dict.fromkeys([*bad, *mined]))
-        landmarks = list(dict.fromkeys([*landmarks, *_spread(mined, LANDMARKS // 3)]))
-        table, offset = _table(good, bad, landmarks, seen)
-    machine = Machine(table, offset, np.zeros(5))
-    features = machine.features([list(w) for w in held["words"]])
-    machine.calibration = _logistic(features, (held["toxic"].to_numpy() == 1).astype(float))
-    machine.store = {}
-    return machine
+def _words(texts: list[str]) -> list[list[str]]:
+    """The distinct words of each text, cleaned; long ones aside."""
+    s = Strings(texts)
+    line = "".join(_NAMES[s.codes])
+    out: list[set[str]] = [set() for _ in texts]
+    for of, a, n in zip(s.text_of.tolist(), s.start.tolist(), s.size.tolist()):
+        if n <= LONGEST:
+            out[of].add(line[a + 1 : a + 1 + n])
+    return [sorted(x) for x in out]
 
 
-def hash_of(word: str) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(word)
-
-
-def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> Machine:
-    """A machine from at most ``SAMPLE`` labelled documents of either label, chosen by a hash of their ids."""
+def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """At most ``SAMPLE`` labelled documents of either label, chosen by a hash of their ids: id, toxic, text."""
     known = columns_only(labels, id_col, label_col).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("toxic"))
     known = known.where("id IS NOT NULL AND toxic IN (0, 1)").where(~held_out("id")).groupBy("id").agg(F.max("toxic").alias("toxic"))
     chosen = None
@@ -284,17 +337,90 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
         some = known.where(F.col("toxic") == label).orderBy(F.xxhash64("id"), "id").limit(n)
         chosen = some if chosen is None else chosen.unionByName(some)
     texts = columns_only(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), whole(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").select("toxic", "text")  # at most the sum of SAMPLE rows are broadcast
+    return texts.join(F.broadcast(chosen), "id").select("id", "toxic", "text")  # at most the sum of SAMPLE rows are broadcast
+
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> Machine:
+    """A machine from labelled documents, whose texts stay in Spark.
+
+    The first instances are words: those that mark toxic documents by their
+    odds, and the most frequent of clean ones. Then the machine reads the
+    sample's sentences, and the strings (words and pairs) that look worst
+    become instances by their document's label, round by round. What comes
+    back is bounded: ``VOCABULARY`` counts, ``WORST`` strings a document.
+    """
+    spark = docs.sparkSession
+    sample = written(_sample(docs, labels, id_col, text_col, label_col).repartition(8, "id").withColumn("apart", F.xxhash64("id", F.lit(1)) % CALIBRATE == 0))
+    # few labels are used for both
+    if sample.where("apart").groupBy("toxic").count().where("count >= 10").count() < 2:
+        taught, held = sample, sample
+    else:
+        taught, held = sample.where("NOT apart"), sample.where("apart")
+
+    def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [sorted(set(words_of(t))) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.string()))], names=["toxic", "words"])
+            words = _words(b.column(1).to_pylist())
+            toxic = [t for t, ws in zip(b.column(0).to_pylist(), words) for _ in ws]
+            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array([w for ws in words for w in ws], pa.string())], names=["toxic", "word"])
 
-    found = rows.mapInArrow(split, "toxic int, words array<string>").toArrow()
-    # one object for each distinct word, however many documents hold it
-    words = [[sys.intern(w) for w in x.as_py()] for x in found.column("words")]
-    return fit(pd.DataFrame({"toxic": found.column("toxic").to_numpy(), "words": words}))
+    size = {r["toxic"]: r["count"] for r in taught.groupBy("toxic").count().collect()}
+    n1, n0 = size.get(1, 0), size.get(0, 0)
+    if not n1 or not n0:
+        return Machine.empty()
+    counts = taught.select("toxic", "text").mapInArrow(vocabulary, "toxic int, word string").groupBy("word").agg(
+        F.count_if(F.col("toxic") == 1).alias("k1"), F.count_if(F.col("toxic") == 0).alias("k0"))
+    seen = counts.orderBy(F.desc(F.col("k1") + F.col("k0")), "word").limit(VOCABULARY).collect()
+    good: dict[str, float] = {}
+    for r in seen:
+        odds = np.log((r["k1"] + 0.1) / (n1 + 0.2)) - np.log((r["k0"] + 0.1) / (n0 + 0.2))
+        chance = r["k0"] / n0 * n1
+        # favoured by toxic texts clearly more than by chance
+        if r["k1"] >= max(3, SUPPORT * n1) and odds > ODDS and r["k1"] - chance > 2.5 * np.sqrt(1 + chance):
+            good[r["word"]] = r["k1"]
+    if not good:
+        return Machine.empty()
+    instances = {w: (1.0, k**0.8) for w, k in sorted(good.items(), key=lambda x: (-x[1], x[0]))[:INSTANCES]}
+    clean = [r for r in seen if r["word"] not in good and r["k0"] > 0]
+    instances |= {r["word"]: (-1.0, r["k0"] ** 0.6) for r in clean[:INSTANCES]}
+    landmarks = [*_spread([w for w, (y, _) in instances.items() if y > 0], LANDMARKS), *[r["word"] for r in clean[: LANDMARKS // 4]]]
+    machine = trained(instances, landmarks)
+    for _ in range(MINING):
+        shared = spark.sparkContext.broadcast((machine.table, machine.offset))
+
+        def look(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            now = Machine(*shared.value)
+            for b in batches:
+                found = now.worst(b.column(1).to_pylist(), WORST)
+                rows = [(t, w, v) for t, ws in zip(b.column(0).to_pylist(), found) for w, v in ws]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.string(), pa.float64()))], names=["toxic", "string", "score"])
+
+        mined = taught.select("toxic", "text").mapInArrow(look, "toxic int, string string, score double").groupBy("string").agg(
+            F.count_if(F.col("toxic") == 1).alias("k1"), F.count_if(F.col("toxic") == 0).alias("k0"), F.max("score").alias("score"))
+        fresh: dict[int, list[str]] = {1: [], 0: []}
+        # the worst strings of clean documents are negatives, and those of toxic documents alone, where they look toxic, positives
+        for r in mined.orderBy(F.desc("score"), "string").collect():
+            if r["string"] in instances:
+                continue
+            label = 1 if not r["k0"] and r["score"] > 0 and any(w in good for w in r["string"].split(" ")) else 0 if r["k0"] else None
+            if label is not None and len(fresh[label]) < INSTANCES:
+                fresh[label].append(r["string"])
+                instances[r["string"]] = (1.0, r["k1"] ** 0.8) if label else (-1.0, r["k0"] ** 0.6)
+        landmarks = list(dict.fromkeys([*landmarks, *_spread(fresh[0], LANDMARKS // 3), *_spread(fresh[1], LANDMARKS // 6)]))
+        machine = trained(instances, landmarks)
+        shared.unpersist()
+    shared = spark.sparkContext.broadcast((machine.table, machine.offset))
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = Machine(*shared.value)
+        for b in batches:
+            f = now.features(b.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(f), pa.list_(pa.float64()))], names=["id", "toxic", "f"])
+
+    id_type = held.schema["id"].dataType.simpleString()
+    rows = held.select("id", "toxic", "text").mapInArrow(describe, f"id {id_type}, toxic int, f array<double>").orderBy("id").collect()
+    machine.calibration = _logistic(np.array([r["f"] for r in rows]), np.array([float(r["toxic"]) for r in rows]))
+    dropped(sample)
+    return machine
 
 
 def toxicity(
@@ -304,26 +430,26 @@ def toxicity(
 
     ``labels`` holds (id, label); rows that are held out, have no id or no
     label of 0 or 1 teach nothing. A document's score depends on its text
-    alone: the three worst words and the number of words, calibrated to the
-    probability of label 1; ``predicted`` is 1 from ``THRESHOLD`` on. Whole
-    texts are scored. Null and empty texts have no word and get the score of
-    the calibration there. Without labels of both kinds every score is near 0.
+    alone: the worst words and pairs of words and the number of words,
+    calibrated to the probability of label 1; ``predicted`` is 1 from
+    ``THRESHOLD`` on. Whole texts are scored, in one pass over their
+    characters. Null and empty texts have no word and get the score of the
+    calibration there. Without labels of both kinds every score is near 0.
     Repeated rows give repeated results, an empty table an empty one; other
     columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, id_col, text_col, label_col))
+    machine = learn(docs, labels, id_col, text_col, label_col)
+    shared = docs.sparkSession.sparkContext.broadcast((machine.table, machine.offset, machine.calibration))
     rows = columns_only(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), held_out(id_col).alias("held_out"), whole(text_col).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = shared.value
-        for whole_batch in batches:
-            for at in range(0, whole_batch.num_rows, 256):
-                b = whole_batch.slice(at, 256)
-                p = machine.probability(machine.features([words_of(t) for t in b.column(2).to_pylist()]))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.array(p, pa.float64()), pa.array((p >= THRESHOLD).astype(np.int32), pa.int32())],
-                    names=["id", "held_out", "score", "predicted"],
-                )
+        ready = Machine(*shared.value)
+        for b in batches:
+            p = ready.probability(ready.features(b.column(2).to_pylist()))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(p, pa.float64()), pa.array((p >= THRESHOLD).astype(np.int32), pa.int32())],
+                names=["id", "held_out", "score", "predicted"],
+            )
 
     return rows.mapInArrow(run, f"id {id_type}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)

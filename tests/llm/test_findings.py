@@ -1,6 +1,7 @@
 """Search, personal data, toxicity and secrets on small tables."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -109,6 +110,52 @@ def test_personal_data(spark, field):
     assert pii.personal_data(docs(spark, []), field=field).count() == 0
 
 
+def test_kernel_is_the_sum_over_subsequences():
+    """Kernel and scores against all triples of characters, one by one."""
+    import itertools
+
+    from fieldglass.llm import toxicity as tx
+
+    def phi(s):
+        out = {}
+        s = "|" + s.replace(" ", "|") + "|"
+        for i, j, k in itertools.combinations(range(len(s)), 3):
+            if k - i <= tx.REACH:
+                out.setdefault(s[i] + s[j] + s[k], []).append(tx.DECAY ** (k - i + 1))
+        norm = math.sqrt(sum(w * w for v in out.values() for w in v))
+        return {t: sum(v) / norm for t, v in out.items()}
+
+    strings = ["idiot", "id iot", "banana", "an a", "x", "mo6on"]
+    want = [[sum(v * phi(b).get(t, 0) for t, v in phi(a).items()) for b in strings] for a in strings]
+    assert np.allclose(tx.kernel(strings, strings), want)
+    # a machine that is one landmark scores every word and pair of a text by the kernel
+    ids, weight = tx.triples(["idiot"])
+    table = np.bincount(ids[0], weights=weight[0], minlength=1 << 18)
+    text = "You are an i.d.i.o.t, and an idixot here!  Or 1d10t ... a i d i o t b"
+    words = ["you", "are", "an", "idiot", "and", "an", "idixot", "here", "or", "idiot", "aidiotb"]
+    s = tx.Strings([text, "", "!", "idiot"])
+    found = tx.Scores(s, table)
+    value = lambda x: tx.kernel([x], ["idiot"])[0, 0]
+    assert np.allclose(found.words, [value(w) for w in [*words, "idiot"]])
+    assert np.allclose(found.pairs, [value(f"{a} {b}") for a, b in zip(words, words[1:])])
+    f = tx.Machine(table, 0.0).features([text, "", "!", "idiot"])
+    assert np.allclose(f[0, :3], sorted(found.words[:-1])[::-1][:3]) and (f[1, :5] == -1).all() and (f[2, :5] == -1).all() and f[3, 0] > 0.99
+    many = [text, "idiot", None or "", "an idiot"] * 30
+    assert np.allclose(tx.Machine(table, 0.0).features(many), np.concatenate([tx.Machine(table, 0.0).features([t]) for t in many]))
+
+
+def test_toxicity_takes_a_pass_over_any_text():
+    import time
+
+    from fieldglass.llm import toxicity as tx
+
+    machine = tx.Machine(np.zeros(1 << 18), 0.0)
+    began = time.perf_counter()
+    for text in ("sign here: " + "_" * 10_000 + "ab here", "a " * 50_000, "a" * 100_000, "_a" * 50_000, "\x00" * 10_000):
+        assert machine.features([text]).shape == (1, tx.FEATURES)
+    assert time.perf_counter() - began < 10
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(4)
     plain = [f"{a}{b}{c}" for a in ("an", "er", "lo", "mi") for b in ("ca", "tu", "re") for c in ("", "n", "th")]
