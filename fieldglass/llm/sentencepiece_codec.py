@@ -147,10 +147,8 @@ class PieceCodec:
             and not any(MARK in p.lstrip(MARK) for p in self.pieces)
         )
         #: Bytes of normalised text under each piece, and text of each piece.
-        self.width = [1 if k == 6 else len(p.encode()) for p, k in zip(self.pieces, self.kinds)]
+        self.width = np.array([1 if k == 6 else len(p.encode()) for p, k in zip(self.pieces, self.kinds)], dtype=np.int64)
         self.raw = [bytes([int(p[3:5], 16)]) if k == 6 else p.replace(MARK, " ").encode() for p, k in zip(self.pieces, self.kinds)]
-        #: Source bytes under each piece where a mark is one space.
-        self.source = np.array([w if k == 6 else w - 2 * p.count(MARK) for p, k, w in zip(self.pieces, self.kinds, self.width)])
         #: Decimal ids, each with a comma behind it, padded by zero bytes.
         self.names = np.zeros((len(self.pieces), 6), dtype=np.uint8)
         for i in range(min(len(self.pieces), 65536)):
@@ -176,8 +174,7 @@ class PieceCodec:
     def encode_many(self, texts: list[str]) -> Iterator[tuple[str, int, np.ndarray, str]]:
         """For each text the ids joined by commas, their number, piece borders in source bytes, decoded text.
 
-        Piece i covers source bytes borders[i] to borders[i + 1]; the mark put
-        before the text covers nothing.
+        Piece i covers source bytes borders[i] to borders[i + 1].
         """
         cut = [_WORD.findall(" " + t) if t and self.plain and MARK not in t else None for t in texts]
         wanted = set().union(*[words for words in cut if words])
@@ -194,10 +191,7 @@ class PieceCodec:
                 yield self._general(text)
             else:
                 ids = np.frombuffer(b"".join(map(self.store.__getitem__, words)), dtype=np.uint16)
-                borders = np.empty(len(ids) + 1, dtype=np.int64)
-                borders[0] = 0
-                np.cumsum(self.source[ids], out=borders[1:])
-                borders[1:] -= 1  # the mark before the text is no byte of the source
+                borders = self.borders(text, self.width[ids])
                 digits = self.names[ids].ravel()
                 joined = digits[digits != 0][:-1].tobytes().decode()
                 yield joined, len(ids), borders, self.decode(ids)
@@ -206,42 +200,46 @@ class PieceCodec:
         """Text of ids that started with the added mark, as the model decodes it."""
         return b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
 
+    def borders(self, text: str, widths: np.ndarray) -> np.ndarray:
+        """Source bytes where the pieces of a text begin, and its end, by the normalised bytes under each piece."""
+        _, places = self._normal(text.encode())
+        return places[np.minimum(np.concatenate([[0], np.cumsum(widths)]), len(places) - 1)]
+
     def _general(self, text: str) -> tuple[str, int, np.ndarray, str]:
         """The same for any model and text: the model's ids, laid over the mapped text."""
         ids = self.sp.encode(text)
-        normal, places = self._normal(text.encode())
-        borders = [0]
-        at = 0
+        normal, _ = self._normal(text.encode())
+        widths, at = [], 0
         for i in ids:
+            width = int(self.width[i])
             if self.kinds[i] == 2:  # unknown: one character of the normalised text
                 lead = normal[at]
-                at += 1 if lead < 192 else 2 if lead < 224 else 3 if lead < 240 else 4
-            else:
-                at += self.width[i]
-            borders.append(int(places[min(at, len(places) - 1)]))
-        return ",".join(map(str, ids)), len(ids), np.array(borders, dtype=np.int64), self.sp.decode(ids)
+                width = 1 if lead < 192 else 2 if lead < 224 else 3 if lead < 240 else 4
+            widths.append(width)
+            at += width
+        return ",".join(map(str, ids)), len(ids), self.borders(text, np.array(widths, dtype=np.int64)), self.sp.decode(ids)
 
     def _normal(self, data: bytes) -> tuple[bytes, np.ndarray]:
-        """Mapped bytes with marks for spaces, and source places."""
+        """Bytes rewritten by the character map, marks for spaces, and the source place of each of them and of the end."""
         mapped, places = self.map.apply(data)
-        out, at = bytearray(), []
-        start, end = 0, len(mapped)
-        if self.squeeze:
-            while start < end and mapped[start] == 32:
-                start += 1
-            while end > start and mapped[end - 1] == 32:
-                end -= 1
-        if self.prefix and start < end:
-            out += _MARK3
-            at += [int(places[start])] * 3
-        for k in range(start, end):
-            if mapped[k] != 32:
-                out.append(mapped[k])
-                at.append(int(places[k]))
-            elif not (self.squeeze and k > start and mapped[k - 1] == 32):
-                out += _MARK3
-                at += [int(places[k])] * 3
-        return bytes(out), np.array([*at, int(places[end])], dtype=np.int64)
+        raw = np.frombuffer(mapped, dtype=np.uint8)
+        space = raw == 32
+        keep = np.ones(len(raw), dtype=bool)
+        if self.squeeze and len(raw):
+            word = np.flatnonzero(~space)
+            keep[: word[0] if len(word) else len(raw)] = False
+            keep[word[-1] + 1 if len(word) else 0 :] = False
+            keep[1:] &= ~(space[1:] & space[:-1])
+        raw, space, at = raw[keep], space[keep], places[:-1][keep]
+        times = np.where(space, 3, 1)
+        out, at = np.repeat(raw, times), np.repeat(at, times)
+        first = np.cumsum(times) - times
+        for k, b in enumerate(_MARK3):
+            out[first[space] + k] = b
+        out = out.tobytes()
+        if self.prefix and len(out):
+            out, at = _MARK3 + out, np.concatenate([np.repeat(at[:1], 3), at])
+        return out, np.concatenate([at, places[-1:] if not self.squeeze or not keep.any() else places[np.flatnonzero(keep)[-1] + 1 :][:1]])
 
 
 #: A run of spaces and the word behind it, or the spaces that end a text.
@@ -254,8 +252,11 @@ def encode_documents(
     """One row per input row: id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``.
 
     With ``keep_pieces`` also ``ids`` (comma-joined), ``starts`` and ``ends``
-    (source byte span of every piece) and ``decoded``; otherwise ``spans_ok``
-    alone says of them that the spans lie end to end over the whole source.
+    (source byte span of every piece) and ``decoded``; otherwise the spans are
+    told by ``spans_sha256`` (of their borders, as 64-bit little-endian
+    numbers) and ``spans_ok``: they lie end to end over the whole source. Every
+    text goes through the model's character map, which records where each
+    normalised byte comes from; a map without rules keeps all bytes.
     Ids are those of the model without begin or end ids and without sampling.
 
     Null text is the empty text: no ids. Whole texts are encoded, however
@@ -268,27 +269,27 @@ def encode_documents(
         shared = spark.sparkContext.broadcast(f.read())
     rows = columns_only(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), whole(text_col).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    extra = ", ids string, starts array<long>, ends array<long>, decoded string" if keep_pieces else ", spans_ok boolean"
+    extra = ", ids string, starts array<long>, ends array<long>, decoded string" if keep_pieces else ", spans_sha256 string, spans_ok boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = PieceCodec(shared.value)
         for whole_batch in batches:
             for at in range(0, max(whole_batch.num_rows, 1), SLICE):
                 b = whole_batch.slice(at, SLICE)
-                out: dict[str, list] = {k: [] for k in ("n", "ids_sha", "dec_sha", "ids", "starts", "ends", "decoded", "ok")}
+                out: dict[str, list] = {k: [] for k in ("n", "ids_sha", "dec_sha", "ids", "starts", "ends", "decoded", "spans", "ok")}
                 texts = b.column(1).to_pylist()
                 for text, (ids, n, borders, decoded) in zip(texts, codec.encode_many(texts)):
                     out["n"].append(n)
                     out["ids_sha"].append(hashlib.sha256(ids.encode()).hexdigest())
                     out["dec_sha"].append(hashlib.sha256(decoded.encode()).hexdigest())
                     if keep_pieces:
-                        # the piece that starts with the added mark starts at 0
                         out["ids"].append(ids)
-                        out["starts"].append(np.maximum(borders[:-1], 0))
-                        out["ends"].append(np.maximum(borders[1:], 0))
+                        out["starts"].append(borders[:-1])
+                        out["ends"].append(borders[1:])
                         out["decoded"].append(decoded)
                     else:
-                        out["ok"].append(bool(borders[-1] == len(text.encode()) and (np.diff(borders) >= -1).all()))
+                        out["spans"].append(hashlib.sha256(borders.astype("<i8").tobytes()).hexdigest())
+                        out["ok"].append(bool(borders[0] == 0 and borders[-1] == len(text.encode()) and (np.diff(borders) >= 0).all()))
                 cols = [b.column(0), pa.array(out["n"], pa.int64()), pa.array(out["ids_sha"], pa.string()), pa.array(out["dec_sha"], pa.string())]
                 names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_pieces:
@@ -296,8 +297,8 @@ def encode_documents(
                              pa.array(out["ends"], pa.list_(pa.int64())), pa.array(out["decoded"], pa.string())]
                     names += ["ids", "starts", "ends", "decoded"]
                 else:
-                    cols.append(pa.array(out["ok"], pa.bool_()))
-                    names.append("spans_ok")
+                    cols += [pa.array(out["spans"], pa.string()), pa.array(out["ok"], pa.bool_())]
+                    names += ["spans_sha256", "spans_ok"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     out = rows.mapInArrow(run, f"id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")
