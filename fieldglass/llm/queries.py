@@ -89,6 +89,22 @@ def op4_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_scores(table(spark, sf_dir, "documents"))
 
 
+OP4_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents
+), n AS (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM w),
+g AS (
+  SELECT doc_id, i, t[i] AS a, CASE WHEN i > 1 THEN t[i - 1] || ' ' || t[i] END AS b, CASE WHEN i > 2 THEN t[i - 2] || ' ' || t[i - 1] || ' ' || t[i] END AS c,
+    CASE WHEN i > 1 THEN t[i - 1] END AS before_a, CASE WHEN i > 2 THEN t[i - 2] || ' ' || t[i - 1] END AS before_b FROM n
+), c1 AS (SELECT a, count(*) AS n1 FROM g GROUP BY a), c2 AS (SELECT b, count(*) AS n2 FROM g WHERE b IS NOT NULL GROUP BY b), c3 AS (SELECT c, count(*) AS n3 FROM g WHERE c IS NOT NULL GROUP BY c),
+s AS (
+  SELECT doc_id, ln(CASE WHEN i = 1 THEN n1 / (SELECT count(*) FROM g) WHEN i = 2 THEN n2 / p1 ELSE n3 / p2 END) AS x FROM g JOIN c1 USING (a) LEFT JOIN c2 USING (b) LEFT JOIN c3 USING (c)
+  LEFT JOIN (SELECT a AS before_a, n1 AS p1 FROM c1) USING (before_a) LEFT JOIN (SELECT b AS before_b, n2 AS p2 FROM c2) USING (before_b)
+), d AS (SELECT doc_id, sum(x) AS x FROM s GROUP BY doc_id)
+SELECT w.doc_id, len(t)::BIGINT AS n_tokens, round(coalesce(x, 0.0::DOUBLE), 3) AS log_score, round(x / nullif(len(t), 0), 6) AS mean_log_score FROM w LEFT JOIN d USING (doc_id)
+"""
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), piece_model(), keep_pieces=False)
 
@@ -164,4 +180,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": _mixing_sql(), "op2_topk": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op8_minhash": OP8_SQL}
+    return {"op1_mixing": _mixing_sql(), "op2_topk": OP2_SQL, "op4_backoff_lm": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op8_minhash": OP8_SQL}

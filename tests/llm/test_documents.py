@@ -198,6 +198,20 @@ def test_character_map_is_the_librarys():
     assert PieceCodec(model()).plain
 
 
+def test_spans_are_the_librarys():
+    """Bytes under each piece against the surfaces that the library tells."""
+    import sentencepiece
+
+    codec, sp = PieceCodec(model()), sentencepiece.SentencePieceProcessor(model_proto=model())
+    for t in [t or "" for t in TEXTS] + ["  two  spaces ", "▁x", "a▁b  c", "é½ \n\tq ", " ", "naïve café"]:
+        _, n, borders, _ = codec.encode(t)
+        data = t.encode()
+        assert borders[0] == 0 and borders[-1] == len(data) and (np.diff(borders) >= 0).all()
+        found = sp.encode(t, return_type="proto").pieces
+        if not any(p.piece.startswith("<0x") for p in found):
+            assert [p.surface for p in found] == [data[borders[i] : borders[i + 1]].decode() for i in range(n)]
+
+
 def test_backoff_scores(spark):
     texts = [t for t in TEXTS if t is None or len(t) < 5000] * 2
     got = {r["doc_id"]: r for r in backoff_scores(docs(spark, texts)).collect()}
