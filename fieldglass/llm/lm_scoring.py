@@ -28,12 +28,12 @@ ID_BITS = np.uint64(32)
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """Numbers byte by byte, which shuffles compress well."""
-    return np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Numbers byte by byte, compressed."""
+    return zstandard.compress(np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes(), 3)
 
 
 def _numbers(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(planes), dtype=np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
 def _steps(sorted_keys: np.ndarray) -> bytes:
@@ -88,7 +88,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
         name = xxhash.xxh3_64_intdigest(f"{ids[0]} {ids[-1]} {len(ids)} {uuid.uuid4()}".encode()) >> 1
         distinct, place = np.unique(np.concatenate(hashes), return_inverse=True)
         tokens = np.ascontiguousarray(place.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-        values = [name, len(place), ids, [len(h) for h in hashes], zstandard.compress(_steps(distinct), 3), zstandard.compress(tokens, 3)]
+        values = [name, len(place), ids, [len(h) for h in hashes], _steps(distinct), zstandard.compress(tokens, 3)]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +151,7 @@ class _Block:
     def __init__(self, row: pa.Table, parts: int) -> None:
         self.name, self.ids, self.parts = row.column("block")[0].as_py(), row.column("ids")[0].as_py(), parts
         self.sizes = np.array(row.column("sizes")[0].as_py(), dtype=np.int64)
-        self.words = _keys(zstandard.decompress(row.column("words")[0].as_py()))
+        self.words = _keys(row.column("words")[0].as_py())
         raw = np.frombuffer(zstandard.decompress(row.column("tokens")[0].as_py()), dtype=np.uint8).reshape(4, -1)
         self.tokens = np.ascontiguousarray(raw.T).view("<u4").ravel().astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)

@@ -126,7 +126,8 @@ def span_features(text: str, before: str, after: str) -> tuple[str, ...]:
         found.append("bracketed at" if re.search(r"[\[(]at[\])]", low) else "bare at")
         found.append(f"words={min(len(re.findall('[a-z0-9]+', low)), 12)}")
     if re.match(r"[a-z]{2}[0-9]{2}\b|[a-z]{2}[0-9]{2}[ 0-9]", low):
-        found.append(f"country,{len(re.sub('[^a-z0-9]', '', low)) // 4}")
+        size = len(re.sub("[^a-z0-9]", "", low))
+        found.append(f"country,{15 <= size <= 34},{min(max(len(g) for g in groups), 9) // 3}")
     return tuple(found)
 
 
@@ -264,18 +265,19 @@ def labelled_sentences(n: int = 800, seed: int = 11) -> list[tuple[str, list[tup
         kind = int(rng.integers(12))
         if kind == 0:
             at, dot = pick((" at ", " dot "), (" [at] ", " [dot] "), (" (at) ", " (dot) "), (" (at) ", "."), (" [at] ", "."))
-            return "email", pick("mail ", "contact ", "write to ", "", "reach "), f"{word()}{pick('', '.' + word(), number(2))}{at}{word()}{dot}{pick('com', 'org', 'de', 'net')}"
+            return "email", pick("mail ", "contact ", "write to ", "", "reach ", "send it to ", "to "), f"{word()}{pick('', '.' + word(), number(2))}{at}{word()}{dot}{pick('com', 'org', 'de', 'net')}"
         if kind == 1:
             a, b, c = number(3), number(3), number(4)
             return "phone", pick("", "tel ", "call ", "phone: ", "Tel. "), pick(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}) {b} {c}")
         if kind == 2:
-            return "phone", pick("tel ", "call ", "phone: ", "mobile "), pick(f"{number(3)} {number(3)} {number(4)}", f"0{number(3)} {number(7)}", f"00{number(2)} {number(2)} {number(7)}")
+            return "phone", pick("tel ", "call ", "phone: ", "mobile "), pick(f"{number(3)} {number(3)} {number(4)}", f"0{number(3)} {number(7)}", f"00{number(2)} {number(2)} {number(7)}", f"00 {number(2)} {number(2)} {number(7)}", f"00 {number(2)} {number(3)} {number(3)} {number(4)}")
         if kind == 3:
             return "ssn", pick("", "ssn ", "SSN: "), f"{number(3)}-{number(2)}-{number(4)}"
         if kind == 4:
-            b = number(18)
-            tight = f"{pick('DE', 'FR', 'ES', 'GB')}{number(2)}"
-            return "iban", pick("", "iban ", "account "), tight + (b if rng.integers(2) else "".join(" " + b[i : i + 4] for i in range(0, 18, 4)))
+            size = int(rng.integers(12, 26))
+            b = number(size) if rng.integers(3) else pick("ABCD", "WXYZ", "MIDL", "BANK") + number(size - 4)
+            tight = f"{pick('DE', 'FR', 'ES', 'GB', 'IT', 'NL', 'AT')}{number(2)}"
+            return "iban", pick("", "iban ", "account ", "IBAN: "), tight + (b if rng.integers(2) else "".join(" " + b[i : i + 4] for i in range(0, size, 4)))
         if kind == 5:
             d = card(True)
             return "card", pick("", "card ", "visa "), pick(".", "/").join(d[i : i + 4] for i in range(0, 16, 4))
@@ -344,7 +346,9 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (order[x[0]], x[1], x[2])))
 
 
+@lru_cache(maxsize=1)
 def trained_field() -> Field:
+    """The field of the built-in sentences, trained once in a driver."""
     field = Field()
     field.learn(labelled_sentences())
     return field
