@@ -177,6 +177,53 @@ def test_pieces_are_the_librarys(spark):
     assert encode_documents(docs(spark, []), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_language_scores_are_the_counts(spark):
+    """Predictions and scores against naive Bayes worked out n-gram by n-gram."""
+    import zlib
+
+    bits, mask = 10, (1 << 64) - 1
+    texts = ["der Hund liegt", "the dog lies", "le chien dort", "Das Haus", "the house", "la maison", None, "", "42 !", "the Hund", "dort das", "ab"] * 3
+    langs = {i: ("de", "en", "fr")[i % 3] if i % 12 < 6 or i % 12 == 8 else None for i in range(len(texts))}
+
+    def buckets(text):
+        codes = [ord(c) for c in text.lower()] + [32, 32]
+        for i in range(len(codes) - 2):
+            h = 0
+            for order in (1, 2, 3):
+                h = (h + codes[i + order - 1] + order) * 0x9E3779B97F4A7C15 & mask
+                h ^= h >> 29
+                yield h >> (64 - bits)
+
+    counts, n = {}, Counter()
+    for i, t in enumerate(texts):
+        if langs[i] and t is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            counts.setdefault(langs[i], Counter()).update(buckets(t))
+            n[langs[i]] += 1
+    rows = [(i, t, langs[i], "s", 1, "x", "y", 1, "d") for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in identify_language(spark.createDataFrame(rows, SCHEMA), bits=bits).collect()}
+    for i, t in enumerate(texts):
+        if not t or not any(map(str.isalpha, t)):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        logs = {}
+        for lang in sorted(counts):
+            c, total = counts[lang], sum(counts[lang].values()) + 0.5 * (1 << bits)
+            logs[lang] = math.log(n[lang] / sum(n.values())) + sum(math.log((c[b] + 0.5) / total) for b in buckets(t))
+        best = max(logs, key=logs.get)
+        assert got[i]["lang_pred"] == best
+        assert abs(got[i]["score"] - 1 / sum(math.exp(v - logs[best]) for v in logs.values())) < 1e-4
+    many = [(i, "abc def", f"l{i}", "s", 1, "x", "y", 1, "d") for i in range(300)]
+    assert len({r["lang_pred"] for r in identify_language(spark.createDataFrame(many, SCHEMA), bits=bits).collect()}) == 1
+    with pytest.raises(ValueError):
+        import fieldglass.llm.language_id as li
+
+        keep, li.CELLS = li.CELLS, 1 << 12
+        try:
+            identify_language(spark.createDataFrame(many, SCHEMA), bits=bits)
+        finally:
+            li.CELLS = keep
+
+
 def test_character_map_is_the_librarys():
     """The compiled map of a standard rule, applied by longest prefix, with places."""
     import sentencepiece

@@ -269,6 +269,25 @@ def test_prose_counts_pairs_and_words(spark):
     assert np.allclose(learn_prose(docs(spark, []), "doc_id", "text").pairs, 0)
 
 
+def test_secret_features(spark):
+    """Features of candidates against the same counts in Python."""
+    from fieldglass.llm.secret_scan import with_features
+
+    pairs = tuple(float(k % 7) - 3 for k in range(729))
+    prose = Prose(pairs, ("hunter", "main", "page"))
+    rows = [("hunter2!X", 'my password: "', '" and'), ("abcABC123", "see path/", " x"), ("AKIAQWERTY", "", ""), ("9" * 40, "commit ", ""), ("main-page_7", "file ", "/x")]
+    got = {r["candidate"]: r for r in with_features(spark.createDataFrame(rows, "candidate string, before string, after string"), prose).collect()}
+    for c, before, _ in rows:
+        low, n, r = c.lower(), len(c), got[c]
+        code = [ord(x) - 97 if "a" <= x <= "z" else 26 for x in low]
+        kind = ["a" if x.islower() else "b" if x.isupper() else "1" if x.isdigit() else "-" for x in c]
+        assert abs(r["likely"] - sum(pairs[a * 27 + b] for a, b in zip(code, code[1:])) / (n - 1)) < 1e-9
+        assert abs(r["turns"] - sum(a != b for a, b in zip(kind, kind[1:])) / n) < 1e-9
+        assert abs(r["known"] - sum(len(w) for w in re.split("[^a-z]+", low) if w in prose.words) / n) < 1e-9
+        assert abs(r["digits"] - sum(x.isdigit() for x in c) / n) < 1e-9 and abs(r["vowels"] - sum(x in "aeiou" for x in low) / n) < 1e-9
+        assert r["assigned"] == float(bool(re.search("[:=]\\s*[\"'`]?$", before))) and r["length"] == n
+
+
 def test_secret_forest(spark):
     findings = labelled_findings(spark, 3000)
     from pyspark.sql import functions as F
