@@ -84,15 +84,18 @@ def latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.latency(table(spark, sf_dir, "documents").select(F.col("n_chars").alias("ms")))
 
 
-@query("catalog_upsert", """WITH b AS (SELECT p_partkey AS ord, trim(replace(CASE WHEN p_partkey % 3 = 0 THEN '""' || p_name || '""' ELSE upper(p_name) END, '""', '"')) AS raw, p_size FROM part),
-n AS (SELECT ord, trim(regexp_replace(raw, '^"(.*)"$', '\\1')) AS name, p_size FROM b WHERE p_size % 4 <> 0), k AS (SELECT *, lower(name) AS key FROM n)
-SELECT ord, name, key FROM k WHERE key NOT IN (SELECT DISTINCT p_name FROM part WHERE p_name < 'd') QUALIFY row_number() OVER (PARTITION BY key ORDER BY ord) = 1""".replace("\\\\", "\\"))
+@query("catalog_upsert", """WITH b AS (SELECT p_partkey AS ord, p_name || CASE WHEN p_partkey % 7 = 0 THEN ' II' ELSE '' END AS name, p_size FROM part),
+q AS (SELECT ord, trim(replace(CASE WHEN ord % 3 = 0 THEN '""' || name || '""' ELSE upper(name) END, '""', '"')) AS raw, p_size FROM b),
+n AS (SELECT ord, trim(regexp_replace(raw, '^"(.*)"$', '\\1')) AS name, p_size FROM q WHERE p_size % 4 <> 0), k AS (SELECT *, lower(name) AS key FROM n)
+SELECT ord, name, key FROM k WHERE key NOT IN (SELECT DISTINCT p_name FROM part) QUALIFY row_number() OVER (PARTITION BY key ORDER BY ord) = 1""")
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch in which every seventh name is new."""
     part = table(spark, sf_dir, "part")
-    name = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('""'), "p_name", F.lit('""'))).otherwise(F.upper("p_name"))
+    full = F.concat("p_name", F.when(F.col("p_partkey") % 7 == 0, " II").otherwise(""))
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('""'), full, F.lit('""'))).otherwise(F.upper(full))
     chart = F.array(F.struct(F.col("p_type").alias("type"), F.col("p_size").alias("level")))
     batch = part.select(F.col("p_partkey").alias("ord"), name.alias("name"), F.when(F.col("p_size") % 4 == 0, F.array().cast(chart_type())).otherwise(chart).alias("charts"))
-    known = part.where("p_name < 'd'").select(normalize_key(F.col("p_name")).alias("key")).distinct()
+    known = part.select(normalize_key(F.col("p_name")).alias("key")).distinct()
     return curate.catalog_upsert(known, batch).select("ord", "name", "key")
 
 
@@ -167,16 +170,18 @@ def case_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.case_totals(rows, "angle")
 
 
-@query("chart_validity", """WITH c AS (SELECT p_name AS name, list(DISTINCT p_type || ':' || p_size) AS charts FROM part WHERE p_brand = 'Brand#3' GROUP BY p_name),
-i AS (SELECT p_partkey AS key, p_name AS a, (SELECT min(p_name) FROM part) AS b, p_type || ':' || p_size AS want FROM part)
+@query("chart_validity", """WITH c AS (SELECT CASE WHEN len(p_name) % 2 = 0 THEN 'the ' ELSE '' END || p_name AS name, list(DISTINCT p_type || ':' || p_size) AS charts FROM part GROUP BY p_name),
+i AS (SELECT p_partkey AS key, p_name AS a, CASE WHEN p_partkey % 3 = 0 THEN 'the ' || p_name ELSE 'none' END AS b, p_type || ':' || (p_size + p_partkey % 2) AS want FROM part)
 SELECT key, CASE WHEN coalesce(x.charts, y.charts) IS NULL THEN 'unknown' WHEN list_contains(coalesce(x.charts, y.charts), want) THEN 'ok' ELSE 'bad' END AS validity
 FROM i LEFT JOIN c x ON x.name = i.a LEFT JOIN c y ON y.name = i.b""")
 def validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
+    """Items against a catalog that spells half of the names otherwise; every third item also tries that spelling."""
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
     charts = F.collect_set(F.struct(F.col("p_type").alias("type"), F.col("p_size").alias("level")))
-    catalog = part.where("p_brand = 'Brand#3'").groupBy(F.col("p_name").alias("name")).agg(charts.alias("charts"))
-    second = part.agg(F.min("p_name").alias("other"))
-    items = part.join(F.broadcast(second)).select(F.col("p_partkey").alias("key"), F.array("p_name", "other").alias("names"), F.col("p_type").alias("type"), F.col("p_size").alias("level"))
+    spelled = F.concat(F.when(F.length("p_name") % 2 == 0, "the ").otherwise(""), "p_name")
+    catalog = part.groupBy("p_name").agg(charts.alias("charts")).select(spelled.alias("name"), "charts")
+    names = F.array("p_name", F.when(k % 3 == 0, F.concat(F.lit("the "), "p_name")).otherwise("none"))
+    items = part.select(k.alias("key"), names.alias("names"), F.col("p_type").alias("type"), (F.col("p_size") + (k % 2).cast("int")).alias("level"))
     return curate.chart_validity(items, catalog)
 
 
