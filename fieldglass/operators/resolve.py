@@ -110,11 +110,12 @@ def level_choice(levels: Column, scores: Column) -> Column:
     second best total.
     """
     n = F.size(scores)
-    legal = F.filter(levels, lambda l: F.length(l.cast("string")) <= n)
+    tens = F.array(*[F.lit(10**k) for k in range(11)])
+    legal = F.filter(levels, lambda l: (l >= 0) & (l < F.get(tens, F.least(n, F.lit(10)))))
 
     def total(level: Column) -> Column:
-        digit = lambda i: F.substr(F.lpad(level.cast("string"), n, F.lit("0")), i, F.lit(1)).cast("int")
-        slot = lambda row, i: F.coalesce(F.try_element_at(row, digit(i + 1) + 1), F.lit(-1.0))
+        digit = lambda i: F.pmod(F.floor(level / F.coalesce(F.get(tens, n - 1 - i), F.lit(10**18))), F.lit(10)).cast("int")
+        slot = lambda row, i: F.coalesce(F.get(row, digit(i)), F.lit(-1.0))
         return F.aggregate(F.transform(scores, slot), F.lit(0.0), lambda acc, x: acc + x)
 
     state = lambda level, top, second: F.struct(level.alias("level"), top.alias("top"), second.alias("second"))

@@ -58,7 +58,9 @@ def level_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     slot = lambda i: F.array(*[((key * 31 + i * 17 + d * 7) % 101) / 128 for d in range(10)])
     scores = F.slice(F.array(slot(0), slot(1)), F.lit(1), (1 + key % 2).cast("int"))
     short = F.exists("levels", lambda l: F.length(l.cast("string")) <= (1 + key % 2))  # else no level is legal
-    rows = part.join(levels, "p_name").where(short).select(key.alias("key"), resolve.level_choice(F.col("levels"), scores).alias("c"))
+    # scores are worked out before the join, so that they aren't again for every level
+    rows = part.select(key, "p_name", scores.alias("scores")).join(levels, "p_name").where(short)
+    rows = rows.select(key.alias("key"), resolve.level_choice(F.col("levels"), F.col("scores")).alias("c"))
     return rows.select("key", "c.level", six(F.col("c.margin")).alias("margin"))
 
 
