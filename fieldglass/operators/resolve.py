@@ -131,8 +131,12 @@ def level_choice(levels: Column, scores: Column) -> Column:
 
 def level_field(levels: Column, digits: Column, scores: Column) -> Column:
     """Level by the catalog's legal levels, else by the digits alone within 1 to 28."""
+    return chosen_level(level_choice(F.coalesce(levels, F.array().cast("array<int>")), scores), digits, scores)
+
+
+def chosen_level(best: Column, digits: Column, scores: Column) -> Column:
+    """The level of a choice (see ``level_choice``), else that of the digits; ``best`` is used several times, so it had better be a column."""
     glyphs = F.size(F.coalesce(scores, F.array().cast("array<array<double>>"))) > 0
-    best = level_choice(F.coalesce(levels, F.array().cast("array<int>")), scores)
     text = F.array_join(F.transform(digits, lambda d: d.cast("string")), "")
     number = F.when(text.rlike("^-?[0-9]+$"), text.try_cast("int"))
     alone = F.when(digits.isNull(), field(F.lit(None).cast("int"), F.lit(0.0), F.lit(NO_GLYPHS))).when(
@@ -184,7 +188,8 @@ def readings(native: DataFrame, catalog: DataFrame, gates: Gates = Gates()) -> D
     joined = joined.withColumn("song", field(F.col("top"), F.col("margin"), reason))
     legal = levels_for(joined.where("song.value IS NOT NULL").select("key", F.col("song.value").alias("name"), chart_key(F.col("chart.value")).alias("chart")), catalog)
     joined = joined.join(legal, "key", "left")
-    joined = joined.withColumn("level", level_field(F.col("levels"), F.col("level_digits"), F.col("level_scores")))
+    joined = joined.withColumn("best", level_choice(F.coalesce("levels", F.array().cast("array<int>")), F.col("level_scores")))
+    joined = joined.withColumn("level", chosen_level(F.col("best"), F.col("level_digits"), F.col("level_scores")))
     joined = joined.withColumn("score_field", score_gate(F.col("score"), F.col("score_margin"), F.col("score2"), gates))
     out = joined.withColumn("needs_llm", needs_llm(F.col("song"), F.col("level"), F.col("chart"), F.col("score_field")))
     return out.select(
