@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldglass.functions.geometry import in_disc
-from fieldglass.operators.lines import longest_run, lower_rank, middle_rank, ranks_of_counts
+from fieldglass.operators.lines import longest_run, lower_rank, middle_rank, ranks_of_counts, same_line, score_components
 
 
 def pixel_rows(images: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def focus_band(pixels: DataFrame) -> DataFrame:
 
 
 def components(mask: DataFrame) -> DataFrame:
-    """Connected components (8 neighbours) of mask pixels (key, x, y): key, ord, x, y, w, h, area.
+    """Connected components (8 neighbours) of mask pixels (key, x, y): key, ord, x, y, w, h, area; with ``gray``, also their mean ``bright``.
 
     One crop is one group of bounded size. Runs of a row join the runs that
     they touch in the row above.
@@ -114,9 +114,10 @@ def components(mask: DataFrame) -> DataFrame:
     def label(t: pa.Table) -> pa.Table:
         x, y = t.column("x").to_numpy(), t.column("y").to_numpy()
         by = np.lexsort((x, y))
-        x, y = x[by], y[by]
+        x, y, level = x[by], y[by], t.column("gray").to_numpy()[by].astype(float)
         first = np.flatnonzero(np.r_[True, (np.diff(y) != 0) | (np.diff(x) != 1)])
         runs = [(int(y[a]), int(x[a]), int(x[b - 1])) for a, b in zip(first, np.r_[first[1:], len(x)])]
+        sums = np.add.reduceat(level, first).tolist()
         up = list(range(len(runs)))
 
         def top(i: int) -> int:
@@ -134,17 +135,28 @@ def components(mask: DataFrame) -> DataFrame:
             rows.setdefault(row, []).append(i)
         found: dict[int, list[int]] = {}
         for i, (row, x0, x1) in enumerate(runs):
-            c = found.setdefault(top(i), [x0, row, x1, row, 0])
-            c[:] = [min(c[0], x0), min(c[1], row), max(c[2], x1), max(c[3], row), c[4] + x1 - x0 + 1]
+            c = found.setdefault(top(i), [x0, row, x1, row, 0, 0.0])
+            c[:] = [min(c[0], x0), min(c[1], row), max(c[2], x1), max(c[3], row), c[4] + x1 - x0 + 1, c[5] + sums[i]]
         boxes = list(found.values())
         key = t.column("key")[0].as_py()
         ints = lambda v: pa.array(v, pa.int32())
         return pa.table({"key": pa.array([str(key)] * len(boxes)), "ord": ints(list(range(len(boxes)))), "x": ints([c[0] for c in boxes]), "y": ints([c[1] for c in boxes]),
-                         "w": ints([c[2] - c[0] + 1 for c in boxes]), "h": ints([c[3] - c[1] + 1 for c in boxes]), "area": ints([c[4] for c in boxes])})
+                         "w": ints([c[2] - c[0] + 1 for c in boxes]), "h": ints([c[3] - c[1] + 1 for c in boxes]), "area": ints([c[4] for c in boxes]),
+                         "bright": pa.array([c[5] / c[4] for c in boxes], pa.float64())})
 
-    return mask.select(F.col("key").cast("string").alias("key"), "x", "y").distinct().groupBy("key").applyInArrow(
-        label, "key string, ord int, x int, y int, w int, h int, area int"
-    )
+    shaded = "gray" in mask.columns
+    rows = mask.groupBy(F.col("key").cast("string").alias("key"), "x", "y").agg((F.max("gray") if shaded else F.lit(0)).cast("int").alias("gray"))
+    out = rows.groupBy("key").applyInArrow(label, "key string, ord int, x int, y int, w int, h int, area int, bright double")
+    return out if shaded else out.drop("bright")
+
+
+def score_glyphs(mask: DataFrame) -> DataFrame:
+    """The digits of a score among mask pixels (key, x, y, gray), from left to right: key, place, x, y, w, h.
+
+    Components that are high, filled, narrow and bright enough, on one line.
+    """
+    kept = same_line(score_components(components(mask)))
+    return kept.select("key", (F.row_number().over(Window.partitionBy("key").orderBy("x", "ord")) - 1).alias("place"), "x", "y", "w", "h")
 
 
 def photo_measures(pixels: DataFrame) -> DataFrame:

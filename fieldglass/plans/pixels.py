@@ -88,4 +88,16 @@ def focus_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 ), l AS (SELECT key, x, y, min(py * 1000 + px) AS root FROM reach GROUP BY key, x, y)
 SELECT CAST(key AS VARCHAR) AS key, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, CAST(count(*) AS INTEGER) AS area FROM l GROUP BY l.key, root""")
 def connected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels.components(coloured(spark, sf_dir).where("gray > 190")).drop("ord")
+    return pixels.components(coloured(spark, sf_dir).where("gray > 190")).drop("ord", "bright")
+
+
+@query("score_glyphs", f"""WITH RECURSIVE {_P}, m AS (SELECT key, x, y, max(gray) AS gray FROM c WHERE gray > 190 GROUP BY key, x, y), reach AS (
+  SELECT key, x, y, x AS px, y AS py FROM m UNION SELECT r.key, r.x, r.y, m.x, m.y FROM reach r JOIN m ON m.key = r.key AND abs(m.x - r.px) <= 1 AND abs(m.y - r.py) <= 1
+), l AS (SELECT key, x, y, min(py * 1000 + px) AS root FROM reach GROUP BY key, x, y),
+o AS (SELECT key, root, min(l.x) AS x, min(l.y) AS y, max(l.x) - min(l.x) + 1 AS w, max(l.y) - min(l.y) + 1 AS h, count(*) AS area, avg(gray) AS bright FROM l JOIN m USING (key, x, y) GROUP BY key, root),
+h AS (SELECT *, max(h) OVER (PARTITION BY key) AS mh FROM o), f AS (SELECT * FROM h WHERE h >= CAST(0.55 AS FLOAT) * CAST(mh AS FLOAT) AND area >= CAST(0.05 AS FLOAT) * CAST(w * h AS FLOAT) AND w <= 3 * h),
+b AS (SELECT *, max(bright) OVER (PARTITION BY key) AS mb FROM f), k AS (SELECT *, max(h) OVER (PARTITION BY key) AS mx, CAST(y + h / 2 AS FLOAT) AS cy FROM b WHERE CAST(bright AS FLOAT) >= CAST(0.62 AS FLOAT) * CAST(mb AS FLOAT)),
+n AS (SELECT * FROM k WHERE CAST(h AS FLOAT) >= CAST(0.68 AS FLOAT) * CAST(mx AS FLOAT)), z AS (SELECT key, median(h) AS mid, list_sort(list(cy))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS line FROM n GROUP BY key)
+SELECT CAST(n.key AS VARCHAR) AS key, CAST(row_number() OVER (PARTITION BY n.key ORDER BY x, root) - 1 AS INTEGER) AS place, x, y, w, h FROM n JOIN z USING (key) WHERE abs(cy - line) <= CAST(0.42 AS FLOAT) * CAST(mid AS FLOAT)""")
+def score_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.score_glyphs(coloured(spark, sf_dir).where("gray > 190"))
