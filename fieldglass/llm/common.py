@@ -74,12 +74,14 @@ def whole_rows(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"))
 
 
-def one_of_each(rows: DataFrame, copies: str, *keys: str) -> DataFrame:
-    """Rows (doc, copies, keys) as documents, one of those that repeat.
+def one_of_each(rows: DataFrame, keep: DataFrame, on: Column, *keys: str) -> DataFrame:
+    """Rows (doc, keys) that ``keep`` (with ``copies``, a written table) names, as documents; one of those that repeat.
 
-    Rows with one copy go on as they are; only the others are shuffled by
-    their keys, with one row a key and task.
+    Only rows that repeat are shuffled by their keys, with one row a key and
+    task, and only if there are any.
     """
-    alone = rows.where(F.col(copies) == 1).select("doc")
-    again = rows.where(F.col(copies) > 1).groupBy(*keys).agg(F.first("doc").alias("doc")).select("doc")
-    return alone.unionByName(again).select("doc.*")
+    found = rows.join(keep, on)
+    if keep.where("copies > 1").limit(1).count() == 0:
+        return found.select("doc.*")
+    again = found.where("copies > 1").groupBy(*keys).agg(F.first("doc").alias("doc")).select("doc")
+    return found.where("copies = 1").select("doc").unionByName(again).select("doc.*")

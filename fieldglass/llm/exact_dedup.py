@@ -110,8 +110,7 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one. Columns may have any names.
     """
     keep = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(f"`{id_col}`").alias("keep"), F.col("text_sha256").alias("of"))
-    keep = keep.groupBy("keep", "of").agg(F.count(F.lit(1)).alias("copies"))
+    keep = written(keep.groupBy("keep", "of").agg(F.count(F.lit(1)).alias("copies")))
     text = F.regexp_replace(whole(F.col("doc").getField(text_col)), SPACE, " ")
     rows = whole_rows(docs).withColumns({"id": F.col("doc").getField(id_col), "digest": sha256_hex(text)})
-    found = rows.join(keep, F.col("id").eqNullSafe(F.col("keep")) & (F.col("digest") == F.col("of")))
-    return one_of_each(found, "copies", "id", "digest")
+    return one_of_each(rows, keep, F.col("id").eqNullSafe(F.col("keep")) & (F.col("digest") == F.col("of")), "id", "digest")

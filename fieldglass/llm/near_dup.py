@@ -348,7 +348,7 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts under one id stay or go together. An empty table gives an empty one.
     Columns may have any names.
     """
-    keep = near_duplicates(docs, id_col, text_col).where("kept").groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.count(F.lit(1)).alias("copies"))
+    keep = near_duplicates(docs, id_col, text_col).where("kept").groupBy(F.col(f"`{id_col}`").alias("keep")).agg(F.count(F.lit(1)).alias("copies"))
     rows = whole_rows(docs).withColumns({"id": F.col("doc").getField(id_col).cast("long"), "text": F.col("doc").getField(text_col)})
-    found = rows.where("id IS NOT NULL").join(keep, "id")
-    return one_of_each(found, "copies", "id", "text").unionByName(rows.where("id IS NULL").select("doc.*"))
+    found = one_of_each(rows, written(keep), F.col("id") == F.col("keep"), "id", "text")
+    return found.unionByName(rows.where("id IS NULL").select("doc.*"))
