@@ -202,7 +202,7 @@ class PieceCodec:
 
     def borders(self, text: str, widths: np.ndarray) -> np.ndarray:
         """Source bytes where the pieces of a text begin, and its end, by the normalised bytes under each piece."""
-        _, places = self._normal(text.encode())
+        _, places = self._normal(text.encode(), False)
         return places[np.minimum(np.concatenate([[0], np.cumsum(widths)]), len(places) - 1)]
 
     def _general(self, text: str) -> tuple[str, int, np.ndarray, str]:
@@ -219,27 +219,33 @@ class PieceCodec:
             at += width
         return ",".join(map(str, ids)), len(ids), self.borders(text, np.array(widths, dtype=np.int64)), self.sp.decode(ids)
 
-    def _normal(self, data: bytes) -> tuple[bytes, np.ndarray]:
-        """Bytes rewritten by the character map, marks for spaces, and the source place of each of them and of the end."""
+    def _normal(self, data: bytes, wanted: bool = True) -> tuple[bytes, np.ndarray]:
+        """Bytes rewritten by the character map, marks for spaces (if ``wanted``), and the source place of each of them and of the end."""
         mapped, places = self.map.apply(data)
         raw = np.frombuffer(mapped, dtype=np.uint8)
         space = raw == 32
-        keep = np.ones(len(raw), dtype=bool)
+        at, end = places[:-1], places[-1:]
         if self.squeeze and len(raw):
+            keep = np.ones(len(raw), dtype=bool)
             word = np.flatnonzero(~space)
             keep[: word[0] if len(word) else len(raw)] = False
             keep[word[-1] + 1 if len(word) else 0 :] = False
             keep[1:] &= ~(space[1:] & space[:-1])
-        raw, space, at = raw[keep], space[keep], places[:-1][keep]
-        times = np.where(space, 3, 1)
-        out, at = np.repeat(raw, times), np.repeat(at, times)
-        first = np.cumsum(times) - times
-        for k, b in enumerate(_MARK3):
-            out[first[space] + k] = b
-        out = out.tobytes()
-        if self.prefix and len(out):
-            out, at = _MARK3 + out, np.concatenate([np.repeat(at[:1], 3), at])
-        return out, np.concatenate([at, places[-1:] if not self.squeeze or not keep.any() else places[np.flatnonzero(keep)[-1] + 1 :][:1]])
+            if keep.any():
+                end = places[np.flatnonzero(keep)[-1] + 1 :][:1]
+            raw, space, at = raw[keep], space[keep], at[keep]
+        times = np.where(space, 3, 1).astype(np.int8)
+        if self.prefix and len(at):
+            at, times = np.concatenate([at[:1], at]), np.concatenate([[3], times])
+        out = b""
+        if wanted:
+            marked = np.concatenate([[32], raw]) if len(times) > len(raw) else raw
+            wide = np.repeat(marked, times)
+            first = (np.cumsum(times, dtype=np.int64) - times)[times == 3]
+            for k, b in enumerate(_MARK3):
+                wide[first + k] = b
+            out = wide.astype(np.uint8).tobytes()
+        return out, np.concatenate([np.repeat(at, times), end])
 
 
 #: A run of spaces and the word behind it, or the spaces that end a text.
