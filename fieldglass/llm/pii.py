@@ -268,7 +268,7 @@ def labelled_sentences(n: int = 800, seed: int = 11) -> list[tuple[str, list[tup
             return "email", pick("mail ", "contact ", "write to ", "", "reach ", "send it to ", "to "), f"{word()}{pick('', '.' + word(), number(2))}{at}{word()}{dot}{pick('com', 'org', 'de', 'net')}"
         if kind == 1:
             a, b, c = number(3), number(3), number(4)
-            return "phone", pick("", "tel ", "call ", "phone: ", "Tel. "), pick(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}) {b} {c}")
+            return "phone", pick("", "tel ", "call ", "phone: ", "Tel. "), pick(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}) {b} {c}", f"+1 ({a}) {b}-{c}", f"+{number(2)} {a} {b} {c}")
         if kind == 2:
             return "phone", pick("tel ", "call ", "phone: ", "mobile "), pick(f"{number(3)} {number(3)} {number(4)}", f"0{number(3)} {number(7)}", f"00{number(2)} {number(2)} {number(7)}", f"00 {number(2)} {number(2)} {number(7)}", f"00 {number(2)} {number(3)} {number(3)} {number(4)}")
         if kind == 3:

@@ -143,6 +143,13 @@ def test_field_on_written_sentences(field, sentences):
     assert right >= 0.9 * (right + missed) and wrong <= 1
 
 
+def test_field_adds_what_the_patterns_drop(field):
+    """A phone number that runs into an address has too many digits for the pattern."""
+    text = "Des +1 (826) 555-4081 190.137.223.204 du anviou un"
+    base = pii.base_spans(text)
+    assert base == [("ip", 22, 37)] and pii.added_spans(text, base, field) == [("phone", 4, 21)]
+
+
 def test_decoding_is_the_best_of_all_cuts(field):
     """Dynamic programming against all sets of segments that don't overlap."""
     text = "call (803) 555-5351 or ssn 123-45-6789 now"
