@@ -12,6 +12,7 @@ from fieldglass.llm.language_id import identify_language
 from fieldglass.llm.lm_scoring import backoff_scores
 from fieldglass.llm.mixing import CAP_ROUNDS, MARGINS, POWERS, RATE, ROUNDS, mix
 from fieldglass.llm.near_dup import near_duplicates
+from fieldglass.llm.packing import pack
 from fieldglass.llm.pii import personal_data
 from fieldglass.llm.secret_scan import scan_secrets
 from fieldglass.llm.sentencepiece_codec import encode_documents
@@ -26,6 +27,13 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def word_tokenizer() -> str:
+    """The public tokenizer with ends of words that this machine offers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -163,6 +171,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -175,6 +187,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash": op8_minhash,
         "op9_toxicity": op9_toxicity,
         "op10_secret_forest": op10_secret_forest,
+        "op11_packing": op11_packing,
     }
 
 
