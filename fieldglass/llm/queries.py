@@ -18,6 +18,8 @@ from fieldglass.llm.secret_scan import scan_secrets
 from fieldglass.llm.sentencepiece_codec import encode_documents
 from fieldglass.llm.topk import top_k
 from fieldglass.llm.toxicity import toxicity
+from fieldglass.llm.vector_codes import ENTRIES, PARTS, compress
+from fieldglass.llm.vector_codes import ROUNDS as CODE_ROUNDS
 
 
 def piece_model() -> str:
@@ -175,6 +177,34 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+def _codes_sql() -> str:
+    """Rounds of assignment and means as CTEs, over parts of eight components."""
+    means = ", ".join(f"CAST(floor(CAST(sum(x[{i}]) AS DOUBLE) / count(*)) AS BIGINT)" for i in range(1, 9))
+    steps = [f"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (SELECT vec_id, label, part, x[part * 8 + 1 : part * 8 + 8] AS x FROM v, range({PARTS}) t(part)),
+b0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, x AS c FROM p QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= {ENTRIES})"""]
+    for k in range(CODE_ROUNDS + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT vec_id, part, any_value(label) AS label, any_value(x) AS x,
+  min(CAST(list_sum(list_transform(range(1, 9), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS BIGINT) * {ENTRIES} + e) AS k FROM p JOIN b{k} USING (part) GROUP BY vec_id, part)""")
+        if k < CODE_ROUNDS:
+            steps.append(f"""b{k + 1} AS MATERIALIZED (SELECT part, e, coalesce(n.c, b{k}.c) AS c FROM b{k}
+  LEFT JOIN (SELECT part, k % {ENTRIES} AS e, [{means}] AS c FROM a{k} GROUP BY part, k % {ENTRIES}) n USING (part, e))""")
+    last = CODE_ROUNDS
+    return ", ".join(steps) + f""", r AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(format('{{:02x}}', k % {ENTRIES}), '' ORDER BY part) AS code, CAST(sum(k // {ENTRIES}) AS BIGINT) AS error FROM a{last} GROUP BY vec_id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) FROM b{last}) AS codebooks_sha256 FROM r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -188,8 +218,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": op9_toxicity,
         "op10_secret_forest": op10_secret_forest,
         "op11_packing": op11_packing,
+        "op12_vector_codes": op12_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": _mixing_sql(), "op2_topk": OP2_SQL, "op4_backoff_lm": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op8_minhash": OP8_SQL}
+    return {"op1_mixing": _mixing_sql(), "op2_topk": OP2_SQL, "op4_backoff_lm": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op8_minhash": OP8_SQL,
+            "op12_vector_codes": _codes_sql()}
