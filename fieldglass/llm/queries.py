@@ -10,6 +10,7 @@ from fieldglass.llm.common import table
 from fieldglass.llm.exact_dedup import exact_dedup
 from fieldglass.llm.language_id import identify_language
 from fieldglass.llm.lm_scoring import backoff_scores
+from fieldglass.llm.manifest import manifest
 from fieldglass.llm.mixing import CAP_ROUNDS, MARGINS, POWERS, RATE, ROUNDS, mix
 from fieldglass.llm.near_dup import near_duplicates
 from fieldglass.llm.packing import pack
@@ -205,6 +206,43 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 """
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
+_FIELD = "coalesce(octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{0}", "text")) + ")"
+OP13_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, {_LEAF.format("n_chars")} AS leaf, {_LEAF.format("(n_chars + 1)")} AS changed,
+    coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295::BIGINT) % 7 = 0, false) AS hit,
+    dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n FROM documents
+), nodes AS (
+  SELECT tree, 0 AS level, place AS i, leaf AS h, n FROM d
+  UNION ALL SELECT tree, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 1) // 2) FROM nodes WHERE n > 1 GROUP BY tree, level, i // 2
+), subroots AS (SELECT tree, h FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, tree AS i, h, (SELECT count(*) FROM subroots) AS n FROM subroots
+  UNION ALL SELECT level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 1) // 2) FROM tops WHERE n > 1 GROUP BY level, i // 2
+), steps AS (
+  SELECT doc_id, l.level, (place >> l.level) % 2 AS odd, s.h FROM d JOIN (SELECT DISTINCT tree, level FROM nodes WHERE n > 1) l USING (tree)
+  LEFT JOIN nodes s ON s.tree = d.tree AND s.level = l.level AND s.i = xor(place >> l.level, 1)
+  UNION ALL
+  SELECT doc_id, 1000 + l.level, (tree >> l.level) % 2, s.h FROM d CROSS JOIN (SELECT DISTINCT level FROM tops WHERE n > 1) l
+  LEFT JOIN tops s ON s.level = l.level AND s.i = xor(tree >> l.level, 1)
+), ways AS (
+  SELECT doc_id, list({{'l': CASE WHEN odd = 1 THEN coalesce(h, '') ELSE '' END, 'v': '', 'r': CASE WHEN odd = 0 THEN coalesce(h, '') ELSE '' END}} ORDER BY level) AS way,
+    coalesce(string_agg(h, '' ORDER BY level), '') AS proof FROM steps GROUP BY doc_id
+), f AS (
+  SELECT d.doc_id, leaf, subroots.h AS subroot, (SELECT h FROM tops WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+    list_reduce(list_prepend({{'l': '', 'v': CASE WHEN hit THEN changed ELSE leaf END, 'r': ''}}, coalesce(way, [])), lambda a, s: {{'l': '', 'v': sha256(s.l || a.v || s.r), 'r': ''}}).v AS folded_root
+  FROM d JOIN subroots USING (tree) LEFT JOIN ways ON ways.doc_id IS NOT DISTINCT FROM d.doc_id
+)
+SELECT *, folded_root = root AS verified FROM f
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -219,9 +257,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_secret_forest": op10_secret_forest,
         "op11_packing": op11_packing,
         "op12_vector_codes": op12_vector_codes,
+        "op13_manifest": op13_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_mixing": _mixing_sql(), "op2_topk": OP2_SQL, "op4_backoff_lm": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op8_minhash": OP8_SQL,
-            "op12_vector_codes": _codes_sql()}
+            "op12_vector_codes": _codes_sql(), "op13_manifest": OP13_SQL}
