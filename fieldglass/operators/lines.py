@@ -118,31 +118,41 @@ def score_components(df: DataFrame, key: str = "key") -> DataFrame:
     return shaped.withColumn("_most", F.max("bright").over(w)).where(F.col("bright").cast("float") >= _float_share(0.62, F.col("_most"))).drop("_most")
 
 
+def _near_median(h: Column, middle: Column, share: float) -> Column:
+    """Whether a height is near the median, in single precision."""
+    return F.abs(h.cast("float") - middle.cast("float")) <= _float_share(share, middle)
+
+
 def height_filter(df: DataFrame, key: str = "key", share: float = 0.42) -> DataFrame:
     """Components whose height is near the median; all of them where fewer than three would stay."""
     w = Window.partitionBy(key)
-    near = F.abs(F.col("h") - F.col("_m")) <= share * F.col("_m")
-    marked = df.withColumn("_m", F.median("h").over(w)).withColumn("_near", near).withColumn("_n", F.count_if("_near").over(w))
+    marked = df.withColumn("_m", F.median("h").over(w)).withColumn("_near", _near_median(F.col("h"), F.col("_m"), share)).withColumn("_n", F.count_if("_near").over(w))
     return marked.where(F.col("_near") | (F.col("_n") < 3)).drop("_m", "_near", "_n")
 
 
-def dominant_line(df: DataFrame, key: str = "key") -> DataFrame:
-    """The run of components with the greatest sum of widths, split where gaps are wide.
+def dominant_line(df: DataFrame, key: str = "key", share: float = 0.42, gap_share: float = 2.6) -> DataFrame:
+    """The run of components that makes one line of text, with its number ``run``.
 
-    A gap is wide above 2.6 medians of the non-negative gaps or 0.9 median
-    heights, whichever is more. The first run wins ties.
+    Components whose height is near the median of all are split where gaps
+    between them are wide: above 2.6 medians of their non-negative gaps or 0.9
+    of the median height, whichever is more, in single precision. The run with
+    the greatest sum of widths stays, the first of equals. Fewer than three
+    components, and those of which fewer than three are near the median, all
+    stay as they are, as run 0.
     """
-    order = Window.partitionBy(key).orderBy("x", "ord")
-    whole = Window.partitionBy(key)
-    gap = F.col("x") - F.lag(F.col("x") + F.col("w")).over(order)
-    out = df.withColumn("_gap", gap)
-    limit = F.greatest(2.6 * F.coalesce(F.median(F.when(F.col("_gap") >= 0, F.col("_gap"))).over(whole), F.lit(0.0)), 0.9 * F.median("h").over(whole))
-    out = out.withColumn("_limit", limit).withColumn("_new", F.coalesce((F.col("_gap") > F.col("_limit")).cast("int"), F.lit(0)))
+    whole, order = Window.partitionBy(key), Window.partitionBy(key, "_near").orderBy("x", "ord")
+    out = df.withColumn("_m", F.median("h").over(whole)).withColumn("_near", _near_median(F.col("h"), F.col("_m"), share))
+    out = out.withColumn("_all", F.count_if("_near").over(whole) < 3)
+    out = out.where(F.col("_all") | F.col("_near")).withColumn("_near", F.when(~F.col("_all"), True))
+    gap = F.when(~F.col("_all"), F.col("x") - F.lag(F.col("x") + F.col("w")).over(order))
+    out = out.withColumn("_gap", gap)
+    between = F.coalesce(F.median(F.when(F.col("_gap") >= 0, F.col("_gap"))).over(whole), F.lit(0.0))
+    out = out.withColumn("_limit", F.greatest(_float_share(gap_share, between), _float_share(0.9, F.col("_m"))))
+    out = out.withColumn("_new", F.coalesce((F.col("_gap").cast("float") > F.col("_limit")).cast("int"), F.lit(0)))
     out = out.withColumn("run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     out = out.withColumn("_width", F.sum("w").over(Window.partitionBy(key, "run")))
-    best = Window.partitionBy(key).orderBy(F.desc("_width"), "run")
-    out = out.withColumn("_best", F.first("run").over(best))
-    return out.where(F.col("run") == F.col("_best")).drop("_gap", "_limit", "_new", "_width", "_best")
+    out = out.withColumn("_best", F.first("run").over(Window.partitionBy(key).orderBy(F.desc("_width"), "run")))
+    return out.where(F.col("run") == F.col("_best")).drop("_m", "_near", "_all", "_gap", "_limit", "_new", "_width", "_best")
 
 
 def longest_run(df: DataFrame, on: Column, key: str = "key", at: str = "y") -> DataFrame:
@@ -156,24 +166,27 @@ def longest_run(df: DataFrame, on: Column, key: str = "key", at: str = "y") -> D
 
 
 def merge_by_x(df: DataFrame, key: str = "key", share: float = 0.55) -> DataFrame:
-    """Components joined with the one before where they overlap it by a share of the narrower width.
+    """Components joined with the one before where they overlap it by a share of the narrower width: key, part, x, y, w, h.
 
-    The comparison is with the union so far, so it is a fold over the sorted
+    A joined component is the rectangle around both. The comparison is with the
+    union so far, in single precision, so it is a fold over the sorted
     components of a crop.
     """
-    item = F.struct("x", "ord", (F.col("x") + F.col("w")).alias("x2"))
+    item = F.struct("x", "ord", (F.col("x") + F.col("w")).alias("x2"), "y", (F.col("y") + F.col("h")).alias("y2"))
     groups = df.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("all"))
 
     def step(acc: Column, c: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
         overlap = F.least(last["x2"], c["x2"]) - F.greatest(last["x"], c["x"])
         narrow = F.least(last["x2"] - last["x"], c["x2"] - c["x"])
-        joined = F.struct(last["x"].alias("x"), last["ord"].alias("ord"), F.greatest(last["x2"], c["x2"]).alias("x2"))
-        merge = (F.size(acc) > 0) & (overlap >= share * narrow)
+        joined = F.struct(
+            last["x"].alias("x"), last["ord"].alias("ord"), F.greatest(last["x2"], c["x2"]).alias("x2"), F.least(last["y"], c["y"]).alias("y"), F.greatest(last["y2"], c["y2"]).alias("y2"))
+        merge = (F.size(acc) > 0) & (overlap > 0) & (overlap.cast("float") >= _float_share(share, narrow))
         return F.when(merge, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(c)))
 
     folded = F.aggregate("all", F.filter("all", lambda x: F.lit(False)), step)
-    return groups.select(key, F.posexplode(folded).alias("part", "c")).select(key, "part", F.col("c.x").alias("x1"), F.col("c.x2").alias("x2"))
+    return groups.select(key, F.posexplode(folded).alias("part", "c")).select(
+        key, "part", F.col("c.x").alias("x"), F.col("c.y").alias("y"), (F.col("c.x2") - F.col("c.x")).alias("w"), (F.col("c.y2") - F.col("c.y")).alias("h"))
 
 
 def same_line(df: DataFrame, key: str = "key") -> DataFrame:

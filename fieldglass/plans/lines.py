@@ -55,17 +55,20 @@ def score_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.score_components(pictures(spark, sf_dir)).select("key", "ord")
 
 
-@query("height_filter", f"""WITH {_C}, m AS (SELECT *, median(h) OVER (PARTITION BY key) AS mid FROM c), n AS (SELECT *, abs(h - mid) <= 0.2::DOUBLE * mid AS near FROM m)
+@query("height_filter", f"""WITH {_C}, m AS (SELECT *, median(h) OVER (PARTITION BY key) AS mid FROM c), n AS (SELECT *, CAST(abs(h - mid) AS FLOAT) <= {_part(0.2, "mid")} AS near FROM m)
 SELECT key, ord FROM (SELECT *, count(*) FILTER (near) OVER (PARTITION BY key) AS k FROM n) WHERE near OR k < 3""")
 def height_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.height_filter(components(spark, sf_dir), share=0.2).select("key", "ord")
 
 
-@query("dominant_line", f"""WITH {_C}, g AS (SELECT *, x - lag(x + w) OVER (PARTITION BY key ORDER BY x, ord) AS gap FROM c),
-l AS (SELECT *, greatest(2.6::DOUBLE * coalesce(median(gap) FILTER (gap >= 0) OVER (PARTITION BY key), 0), 0.9::DOUBLE * median(h) OVER (PARTITION BY key)) AS lim FROM g),
-r AS (SELECT *, sum(CASE WHEN gap > lim THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY x, ord ROWS UNBOUNDED PRECEDING) AS run FROM l),
+@query("dominant_line", f"""WITH {_C}, m AS (SELECT *, median(h) OVER (PARTITION BY key) AS mid FROM c), n AS (SELECT *, CAST(abs(h - mid) AS FLOAT) <= {_part(0.42, "mid")} AS near FROM m),
+k AS (SELECT *, count(*) FILTER (near) OVER (PARTITION BY key) AS k FROM n),
+g AS (SELECT *, x - lag(x + w) OVER (PARTITION BY key ORDER BY x, ord) AS gap FROM k WHERE near AND k >= 3),
+l AS (SELECT *, greatest({_part(2.6, "coalesce(median(gap) FILTER (gap >= 0) OVER (PARTITION BY key), 0)")}, {_part(0.9, "mid")}) AS lim FROM g),
+r AS (SELECT *, sum(CASE WHEN CAST(gap AS FLOAT) > lim THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY x, ord ROWS UNBOUNDED PRECEDING) AS run FROM l),
 s AS (SELECT *, sum(w) OVER (PARTITION BY key, run) AS width FROM r)
-SELECT key, ord, CAST(run AS BIGINT) AS run FROM (SELECT *, first_value(run) OVER (PARTITION BY key ORDER BY width DESC, run) AS best FROM s) WHERE run = best""")
+SELECT key, ord, CAST(run AS BIGINT) AS run FROM (SELECT *, first_value(run) OVER (PARTITION BY key ORDER BY width DESC, run) AS best FROM s) WHERE run = best
+UNION ALL SELECT key, ord, CAST(0 AS BIGINT) FROM k WHERE k < 3""")
 def dominant_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dominant_line(components(spark, sf_dir)).select("key", "ord", "run")
 
@@ -78,11 +81,12 @@ def longest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.longest_run(e, F.col("value") >= 20)
 
 
-@query("merge_by_x", f"""WITH {_C}, f AS (SELECT key, list_reduce(list(struct_pack(x := x, ord := ord, x2 := x + w) ORDER BY x, ord, w),
-  lambda acc, b: CASE WHEN len(acc) > 0 AND least(acc[-1].x2, b.x2) - greatest(acc[-1].x, b.x) >= 0.55::DOUBLE * least(acc[-1].x2 - acc[-1].x, b.x2 - b.x)
-    THEN list_append(acc[:-2], struct_pack(x := acc[-1].x, ord := acc[-1].ord, x2 := greatest(acc[-1].x2, b.x2))) ELSE list_append(acc, b) END,
-  CAST([] AS STRUCT(x INTEGER, ord INTEGER, x2 INTEGER)[])) AS m FROM c GROUP BY key)
-SELECT key, CAST(i - 1 AS INTEGER) AS part, m[i].x AS x1, m[i].x2 AS x2 FROM (SELECT key, m, unnest(range(1, len(m) + 1)) AS i FROM f)""")
+@query("merge_by_x", f"""WITH {_C}, f AS (SELECT key, list_reduce(list(struct_pack(x := x, ord := ord, x2 := x + w, y := y, y2 := y + h) ORDER BY x, ord, w),
+  lambda acc, b: CASE WHEN len(acc) > 0 AND least(acc[-1].x2, b.x2) > greatest(acc[-1].x, b.x)
+    AND CAST(least(acc[-1].x2, b.x2) - greatest(acc[-1].x, b.x) AS FLOAT) >= {_part(0.55, "least(acc[-1].x2 - acc[-1].x, b.x2 - b.x)")}
+    THEN list_append(acc[:-2], struct_pack(x := acc[-1].x, ord := acc[-1].ord, x2 := greatest(acc[-1].x2, b.x2), y := least(acc[-1].y, b.y), y2 := greatest(acc[-1].y2, b.y2))) ELSE list_append(acc, b) END,
+  CAST([] AS STRUCT(x INTEGER, ord INTEGER, x2 INTEGER, y INTEGER, y2 INTEGER)[])) AS m FROM c GROUP BY key)
+SELECT key, CAST(i - 1 AS INTEGER) AS part, m[i].x AS x, m[i].y AS y, m[i].x2 - m[i].x AS w, m[i].y2 - m[i].y AS h FROM (SELECT key, m, unnest(range(1, len(m) + 1)) AS i FROM f)""")
 def merge_by_x(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.merge_by_x(components(spark, sf_dir))
 

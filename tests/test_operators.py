@@ -134,8 +134,31 @@ def test_vectors(spark):
 def test_sequences(spark):
     c = spark.createDataFrame([("a", i, x, 0, 5, 10) for i, x in enumerate((0, 6, 12, 60, 66))], "key string, ord int, x int, y int, w int, h int")
     assert sorted(r["ord"] for r in lines.dominant_line(c).collect()) == [0, 1, 2]
-    m = spark.createDataFrame([("a", 0, 0, 10), ("a", 1, 4, 10), ("a", 2, 30, 5)], "key string, ord int, x int, w int")
-    assert [(r["x1"], r["x2"]) for r in lines.merge_by_x(m).orderBy("part").collect()] == [(0, 14), (30, 35)]
+    m = spark.createDataFrame([("a", 0, 0, 9, 10, 4), ("a", 1, 4, 2, 10, 3), ("a", 2, 30, 0, 5, 1)], "key string, ord int, x int, y int, w int, h int")
+    assert [tuple(r)[1:] for r in lines.merge_by_x(m).orderBy("part").collect()] == [(0, 0, 2, 14, 11), (1, 30, 0, 5, 1)]
+    # single precision: an overlap of 55 of 100 joins, and so at each of these widths
+    pair = lambda w, over: [(str(w), 0, 0, 0, w, 5), (str(w), 1, w - over, 0, w, 5)]
+    bound = spark.createDataFrame([r for w in (100, 180, 200, 220, 340) for r in pair(w, w * 55 // 100)], m.schema)
+    assert lines.merge_by_x(bound).count() == 5 and lines.merge_by_x(spark.createDataFrame(pair(100, 54), m.schema)).count() == 2
+
+
+def test_dominant_line_edges(spark):
+    kind = "key string, ord int, x int, y int, w int, h int"
+    kept = lambda rows: sorted(r["ord"] for r in lines.dominant_line(spark.createDataFrame([("a", i, *r) for i, r in enumerate(rows)], kind)).collect())
+    assert kept([(0, 0, 5, 10)]) == [0] and kept([(0, 0, 5, 10), (900, 0, 5, 10)]) == [0, 1]  # fewer than three stay, however far apart
+    assert kept([(0, 0, 5, 10), (6, 0, 5, 100), (900, 0, 9, 1000)]) == [0, 1, 2]  # one near the median height: nothing is filtered or cut
+    assert kept([(0, 0, 5, 10), (6, 0, 5, 10), (12, 0, 5, 10), (18, 0, 5, 99), (60, 0, 9, 10)]) == [0, 1, 2]  # the median of all heights, 10, bounds the gaps
+    # gaps 45, 45, 45 and 117: single precision puts 2.6 * 45 below 117, so that begins a new run
+    row, x = [], 0
+    for gap in (45, 45, 45, 117):
+        row.append((x, 0, 10, 10))
+        x += 10 + gap
+    assert kept([*row, (x, 0, 10, 10)]) == [0, 1, 2, 3] and kept([*row, (x - 1, 0, 10, 10)]) == [0, 1, 2, 3, 4]
+    near = spark.createDataFrame([("a", i, i * 20, 0, 5, h) for i, h in enumerate((150, 150, 150, 213, 87))], kind)
+    assert lines.height_filter(near).count() == 3  # 63 is more than 0.42 of 150 in single precision
+
+
+def test_runs(spark):
     run = spark.createDataFrame([("a", y, v) for y, v in enumerate([0, 1, 1, 0, 1, 1, 0])], "key string, y int, v int")
     assert tuple(lines.longest_run(run, F.col("v") == 1).first()) == ("a", 1, 2)
 
