@@ -1,13 +1,13 @@
 """Feature vectors against template banks and neighbours.
 
-Rows and bank meet in tiles: a block of rows and a shard of the bank in one
+A small bank of templates goes whole to the rows. Otherwise rows and bank meet in tiles: a block of rows and a shard of the bank in one
 task, which multiplies them as matrices and hands on its best. A bank of any
 size gives the same result; a shard is bounded, and so is a tile.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 SHARD, BLOCK = 8192, 16384
 #: Rows that a tile multiplies at a time.
 STRIP = 256
+#: Rows of a bank that goes whole to every task.
+FEW = 4096
 MIN_VOTES = 0.6
 
 
@@ -27,8 +29,8 @@ def dot(a: Column, b: Column) -> Column:
 
 def normalised(v: Column) -> Column:
     """A vector of length 1; the zero vector stays."""
-    norm = F.sqrt(dot(v, v))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+    by = F.array(F.sqrt(dot(v, v)))  # worked out once, not for each component
+    return F.transform(by, lambda norm: F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v))[0]
 
 
 def _tiled(rows: DataFrame, bank: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -60,14 +62,29 @@ def class_similarities(rows: DataFrame, bank: DataFrame) -> DataFrame:
         labels = codes.dictionary.take(pa.array(np.tile(np.arange(len(first)), len(x))))
         return pa.table({"id": ids, "label": labels, "sim": pa.array(np.concatenate(sims).ravel())})
 
-    found = _tiled(rows.select("id", "vec"), bank.select("label", "vec"), best, f"id {id_type}, label {label_type}, sim double")
+    schema = f"id {id_type}, label {label_type}, sim double"
+    rows, bank = rows.select("id", "vec"), bank.select("label", "vec")
+    if bank.limit(FEW + 1).count() <= FEW:  # a small bank goes to the rows
+        held = bank.toArrow()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield from best(pa.Table.from_batches([b]), held).to_batches()
+
+        found = rows.mapInArrow(run, schema)
+    else:
+        found = _tiled(rows, bank, best, schema)
     return found.groupBy("id", "label").agg(F.max("sim").alias("sim"))
 
 
 def classify(rows: DataFrame, bank: DataFrame) -> DataFrame:
-    """Best label, its similarity, and the margin to the next label (not below 0): id, label, sim, margin."""
+    """Best label, its similarity, and the margin to the next label (not below 0): id, label, sim, margin.
+
+    Similarities are compared at nine decimals, so that the order of a sum
+    doesn't decide; equals go to the smaller label.
+    """
     w = Window.partitionBy("id").orderBy(F.desc("sim"), "label")
-    ranked = class_similarities(rows, bank).withColumn("rank", F.row_number().over(w)).withColumn("next", F.lead("sim").over(w))
+    ranked = class_similarities(rows, bank).withColumn("sim", F.round("sim", 9)).withColumn("rank", F.row_number().over(w)).withColumn("next", F.lead("sim").over(w))
     return ranked.where("rank = 1").select("id", "label", "sim", (F.col("sim") - F.greatest(F.coalesce("next", F.lit(-1.0)), F.lit(0.0))).alias("margin"))
 
 
