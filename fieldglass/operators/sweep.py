@@ -7,6 +7,9 @@ crop gives the components of all its cuts.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -87,7 +90,7 @@ def threshold_components(pixels: DataFrame, cuts: DataFrame) -> DataFrame:
     ``pixels`` are (key, x, y, gray), of any range; of a pixel that is given
     twice the brightest counts. ``cuts`` are (key, cut, threshold, dark): a cut
     has the pixels above its threshold or, where ``dark``, the others.
-    ``bright`` is the mean gray of a component's pixels. A crop, whose size the
+    ``bright`` is the mean of a component's pixels, of their ``light`` if there is such a column, else of their gray. A crop, whose size the
     reader bounds, is one group; cuts without pixels have no component.
     """
     kind = pixels.schema["key"].dataType.simpleString()
@@ -98,10 +101,10 @@ def threshold_components(pixels: DataFrame, cuts: DataFrame) -> DataFrame:
         found: list[list[np.ndarray]] = [[] for _ in names]
         if t.num_rows and c.num_rows:
             x, y, gray = (t.column(n).to_numpy().astype(np.int64) for n in ("x", "y", "gray"))
+            light = t.column("light").to_numpy().astype(np.int64)
             by = np.lexsort((-gray, x, y))
-            x, y, gray = x[by], y[by], gray[by]
-            once = np.concatenate([[True], (np.diff(x) != 0) | (np.diff(y) != 0)])
-            x, y, gray = x[once], y[once], gray[once]
+            by = by[np.concatenate([[True], (np.diff(x[by]) != 0) | (np.diff(y[by]) != 0)])]
+            x, y, gray, light = x[by], y[by], gray[by], light[by]
             cut, threshold, dark = (np.asarray(c.column(n).to_pylist()) for n in ("cut", "threshold", "dark"))
             for side in (False, True):
                 mine = np.flatnonzero(dark == side)
@@ -109,7 +112,7 @@ def threshold_components(pixels: DataFrame, cuts: DataFrame) -> DataFrame:
                     continue
                 bound = -threshold[mine] - 1 if side else threshold[mine]
                 order = np.argsort(-bound, kind="stable")
-                for k, parts in zip(mine[order], _grown(x, y, -gray if side else gray, gray, bound[order].astype(np.int64))):
+                for k, parts in zip(mine[order], _grown(x, y, -gray if side else gray, light, bound[order].astype(np.int64))):
                     for into, values in zip(found, (np.full(len(parts[0]), cut[k]), np.arange(len(parts[0])), *parts)):
                         into.append(values)
         columns = [np.concatenate(f) if f else np.zeros(0) for f in found]
@@ -119,7 +122,8 @@ def threshold_components(pixels: DataFrame, cuts: DataFrame) -> DataFrame:
         kinds = [pa.int32()] * 7 + [pa.float64()]
         return pa.table({"key": keys, **{n: pa.array(v.astype(np.float64 if k == pa.float64() else np.int32), k) for n, v, k in zip(names, columns, kinds)}})
 
-    left = pixels.select(F.col("key").alias("key"), F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.col("gray").cast("int").alias("gray"))
+    light = F.col("light" if "light" in pixels.columns else "gray").cast("int").alias("light")
+    left = pixels.select(F.col("key").alias("key"), F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.col("gray").cast("int").alias("gray"), light)
     right = cuts.select(F.col("key").alias("key"), F.col("cut").cast("int").alias("cut"), F.col("threshold").cast("int").alias("threshold"), "dark")
     return left.groupBy("key").cogroup(right.groupBy("key")).applyInArrow(label, schema)
 
@@ -130,11 +134,11 @@ def cut_mask(pixels: DataFrame, cuts: DataFrame) -> DataFrame:
     return pixels.join(cuts, "key").where(above != F.col("dark")).select("key", "cut", "x", "y")
 
 
-def score_cuts(pixels: DataFrame) -> DataFrame:
-    """The cuts of a score's crop: key, cut, threshold, dark.
+def score_cuts(pixels: DataFrame, first: int = 0) -> DataFrame:
+    """The cuts of a score's crop: key, cut (from ``first`` on), threshold, dark.
 
-    The split by variance (0), its inverse (1), and linear percentiles of the
-    gray values (2 to 7). A flat crop is split at 0.
+    The split by variance, its inverse, and six linear percentiles of the
+    gray values. A flat crop is split at 0.
     """
     counts = histogram(pixels, F.col("gray"))
     split = counts.select("key").distinct().join(otsu(counts), "key", "left").select("key", F.coalesce("threshold", F.lit(0)).alias("t"))
@@ -149,7 +153,7 @@ def score_cuts(pixels: DataFrame) -> DataFrame:
         return F.floor(exact.cast("float")).cast("int")  # gray is whole: above the percentile is above its floor
 
     rows = [(F.col("t"), False), (F.col("t"), True), *((threshold(p), False) for p in SCORE_CUTS)]
-    tries = F.array(*[F.struct(F.lit(i).alias("cut"), t.cast("int").alias("threshold"), F.lit(dark).alias("dark")) for i, (t, dark) in enumerate(rows)])
+    tries = F.array(*[F.struct(F.lit(first + i).alias("cut"), t.cast("int").alias("threshold"), F.lit(dark).alias("dark")) for i, (t, dark) in enumerate(rows)])
     return split.join(found, "key").join(size, "key").select("key", F.explode(tries).alias("c")).select("key", "c.*")
 
 
@@ -162,16 +166,31 @@ def title_cuts(pixels: DataFrame, first: int = 0) -> DataFrame:
     return found.select("key", F.explode(tries).alias("c")).select("key", "c.*")
 
 
+def local_cuts(pixels: DataFrame, first: int = 0) -> DataFrame:
+    """The cuts of pictures that were cut already (gray 0 or 255): what stays, and its inverse."""
+    tries = F.array(*[F.struct(F.lit(first + i).alias("cut"), F.lit(127).alias("threshold"), F.lit(bool(i)).alias("dark")) for i in (0, 1)])
+    return pixels.select("key").distinct().select("key", F.explode(tries).alias("c")).select("key", "c.*")
+
+
+Sources = list[tuple[DataFrame, DataFrame]]
+
+
+def _all(sources: Sources, of: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """What ``of`` gives for the pixels and the cuts of each source, together."""
+    return reduce(DataFrame.unionByName, (of(pixels, cuts) for pixels, cuts in sources))
+
+
 def _tries(df: DataFrame) -> DataFrame:
     return df.withColumn("try", F.struct("key", "cut"))
 
 
-def digit_sweep(pixels: DataFrame, cuts: DataFrame) -> DataFrame:
+def digit_sweep(pixels: DataFrame, cuts: DataFrame, more: Sequence[tuple[DataFrame, DataFrame]] = ()) -> DataFrame:
     """The digits of each cut, from left to right: key, cut, place, x, y, w, h.
 
     Components that are high, filled, narrow and bright enough, on one line.
+    ``more`` are further pictures of the same crops with their cuts.
     """
-    kept = same_line(score_components(_tries(threshold_components(pixels, cuts)), "try"), "try")
+    kept = same_line(score_components(_tries(_all([(pixels, cuts), *more], threshold_components)), "try"), "try")
     place = F.row_number().over(Window.partitionBy("try").orderBy("x", "ord")) - 1
     return kept.select("key", "cut", place.alias("place"), "x", "y", "w", "h")
 
@@ -188,7 +207,7 @@ def _compared(x):
     return F.floor(x * 1e6 + 0.5) / 1e6
 
 
-def score_from_pixels(pixels: DataFrame, bank: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
+def score_from_pixels(pixels: DataFrame, bank: DataFrame, cuts: DataFrame | None = None, more: Sequence[tuple[DataFrame, DataFrame]] = ()) -> DataFrame:
     """The score that each crop shows: key, cut, digits, margins, score, margin.
 
     Every cut is read; of those with 4 to 8 digits the mean margin against the
@@ -198,14 +217,15 @@ def score_from_pixels(pixels: DataFrame, bank: DataFrame, cuts: DataFrame | None
     those whose digits are no score. ``cuts`` are those of ``score_cuts`` if
     none are given.
     """
-    cuts = written(score_cuts(pixels) if cuts is None else cuts)
-    glyphs = written(digit_sweep(pixels, cuts))
+    sources = [(p, written(c)) for p, c in [(pixels, score_cuts(pixels) if cuts is None else cuts), *more]]
+    cuts = reduce(DataFrame.unionByName, (c for _, c in sources))
+    glyphs = written(digit_sweep(*sources[0], sources[1:]))
     shape = plausibility(_tries(glyphs), "try").select("try.*", "tier", _compared(F.col("regularity")).alias("regularity"))
     by_key = Window.partitionBy("key")
     first = F.row_number().over(by_key.orderBy(F.desc("tier"), F.desc("regularity"), "cut"))
     asked = shape.withColumn("_r", first).withColumn("_most", F.max("tier").over(by_key)).where("tier > 0 OR _most = 0 AND _r = 1").select("key", "cut")
     read = glyphs.join(asked, ["key", "cut"], "left_semi")
-    told = _read(read, cut_mask(pixels, cuts.join(asked, ["key", "cut"], "left_semi")), bank, False)
+    told = _read(read, _all(sources, lambda p, c: cut_mask(p, c.join(asked, ["key", "cut"], "left_semi"))), bank, False)
     words = told.groupBy("key", "cut").agg(F.array_sort(F.collect_list(F.struct("place", "label", "margin"))).alias("g"), F.avg("margin").alias("sure"))
     tries = cuts.select("key", "cut").join(shape, ["key", "cut"], "left").join(words, ["key", "cut"], "left").select(
         "key", F.col("cut").alias("ord"), F.coalesce("tier", F.lit(-1)).alias("tier"),
@@ -219,22 +239,24 @@ def score_from_pixels(pixels: DataFrame, bank: DataFrame, cuts: DataFrame | None
     return found.withColumn("r", reading).select("key", "cut", "digits", "margins", "r.score", "r.margin")
 
 
-def title_sweep(pixels: DataFrame, sizes: DataFrame, cuts: DataFrame | None = None, wanted: int | None = None) -> DataFrame:
+def title_sweep(pixels: DataFrame | list[DataFrame], sizes: DataFrame, wanted: int | None = None) -> DataFrame:
     """The glyphs of the two best readings of each title: key, rank, cut, place, x, y, w, h, vec.
 
     At each cut, components that look like letters are joined where one stands
     above the other, and the line that dominates stays. Readings with more
     glyphs (or with a number nearer to ``wanted``) win, then those of even
     height; the first of equals. Readings whose glyphs are all the same are
-    one. ``sizes`` are the crops' (key, rows, cols).
+    one. ``sizes`` are the crops' (key, rows, cols); of several pictures of the
+    same crops (``light.title_sources``) the first ones win ties.
     """
-    cuts = written(title_cuts(pixels) if cuts is None else cuts)
-    letters = title_components(_tries(threshold_components(pixels, cuts).join(sizes, "key")), "try")
+    pictures = [pixels] if isinstance(pixels, DataFrame) else pixels
+    sources = [(p, written(title_cuts(p, i * len(TITLE_CUTS)))) for i, p in enumerate(pictures)]
+    letters = title_components(_tries(_all(sources, threshold_components).join(sizes, "key")), "try")
     line = dominant_line(merge_by_x(letters, "try").withColumnRenamed("part", "ord"), "try")
     place = F.row_number().over(Window.partitionBy("try").orderBy("x", "ord")) - 1
     glyphs = written(line.select("try.*", place.alias("place"), "x", "y", "w", "h"))
     shape = coherence(_tries(glyphs), "try").join(_tries(glyphs).groupBy("try").agg(F.count(F.lit(1)).alias("n")), "try").select("try.*", "coherence", "n")
-    cut_out = written(resample.glyph_vectors(glyphs, cut_mask(pixels, cuts), ["key", "cut", "place"], True))
+    cut_out = written(resample.glyph_vectors(glyphs, _all(sources, cut_mask), ["key", "cut", "place"], True))
     drawn = cut_out.groupBy("key", "cut").agg(F.sha2(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "vec"))), lambda g: g["vec"])), ","), 256).alias("reading"))
     first = F.col("n") if wanted is None else -F.abs(F.col("n") - wanted)
     tries = shape.join(drawn, ["key", "cut"]).select("key", F.col("cut").alias("ord"), "reading", first.alias("score_a"), _compared(F.col("coherence")).alias("score_b"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.operators import resample, sweep, vectors
+from fieldglass.operators import light, resample, sweep, vectors
 from fieldglass.plans.registry import query, six, six_sql, table
 from fieldglass.work import written
 
@@ -175,3 +175,74 @@ def title_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = pixels.select("key").distinct().select("key", F.lit(8).alias("rows"), F.lit(8).alias("cols"))
     found = sweep.title_sweep(pixels, sizes)
     return found.select("key", "rank", "cut", "place", "x", "y", "w", "h", F.aggregate("vec", F.lit(0.0), lambda a, v: a + v).cast("long").alias("total"))
+
+
+def _square(name: str, of: str, size: int, f: str) -> str:
+    r = size // 2
+    return f"{name} AS (SELECT a.key, a.x, a.y, {f}(b.gray) AS gray FROM {of} a JOIN {of} b ON a.key = b.key AND abs(a.x - b.x) <= {r} AND abs(a.y - b.y) <= {r} GROUP BY ALL)"
+
+
+@query("opened", f"WITH {PIXELS}, {_square('s1', 'p', 3, 'min')}, {_square('s2', 's1', 3, 'max')} SELECT * FROM s2")
+def opened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return light.opened(crops(spark, sf_dir).drop("label"))
+
+
+@query("closed", f"WITH {PIXELS}, {_square('s1', 'p', 7, 'max')}, {_square('s2', 's1', 7, 'min')} SELECT * FROM s2")
+def closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return light.closed(crops(spark, sf_dir).drop("label"))
+
+
+def _round(name: str, of: str, size: int, f: str) -> str:
+    reach = [f"({d - size // 2}, {s})" for d, s in enumerate(light.ellipse_spans(size))]
+    return f"{name} AS (SELECT a.key, a.x, a.y, {f}(b.gray) AS gray FROM {of} a JOIN (VALUES {', '.join(reach)}) e(dy, span) ON true JOIN {of} b ON a.key = b.key AND b.y = a.y + e.dy AND abs(a.x - b.x) <= e.span GROUP BY ALL)"
+
+
+@query("top_hat", f"WITH {PIXELS}, {_round('s1', 'p', 5, 'min')}, {_round('s2', 's1', 5, 'max')} SELECT key, x, y, p.gray - s2.gray AS gray FROM p JOIN s2 USING (key, x, y)")
+def top_hat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return light.top_hat(crops(spark, sf_dir).drop("label"), light.title_hat_size(8))
+
+
+def sizes(pixels: DataFrame) -> DataFrame:
+    return pixels.select("key").distinct().select("key", F.lit(8).alias("width"), F.lit(8).alias("height"))
+
+
+# three tiles each way don't divide eight pixels: the ninth is the mirror of the seventh
+@query("equalised", f"""WITH {PIXELS}, g AS (SELECT key, gx, gy, gray FROM range(9) a(gx), range(9) b(gy), p WHERE p.x = CASE WHEN gx = 8 THEN 6 ELSE gx END AND p.y = CASE WHEN gy = 8 THEN 6 ELSE gy END),
+h0 AS (SELECT key, gy // 3 AS ty, gx // 3 AS tx, gray, count(*) AS n FROM g GROUP BY ALL),
+h1 AS (SELECT key, ty, tx, v, coalesce(n, 0) AS n FROM (SELECT DISTINCT key, ty, tx FROM h0) t CROSS JOIN range(256) r(v) LEFT JOIN h0 USING (key, ty, tx) WHERE h0.gray = v OR h0.gray IS NULL
+  UNION ALL SELECT key, ty, tx, v, 0 FROM (SELECT DISTINCT key, ty, tx FROM h0) t CROSS JOIN range(256) r(v) WHERE NOT EXISTS (SELECT 1 FROM h0 WHERE h0.key = t.key AND h0.ty = t.ty AND h0.tx = t.tx AND h0.gray = v)),
+h2 AS (SELECT *, sum(greatest(n - 1, 0)) OVER (PARTITION BY key, ty, tx) AS excess FROM h1),
+h3 AS (SELECT key, ty, tx, v, least(n, 1) + excess // 256 + CASE WHEN excess % 256 > 0 AND v % greatest(256 // greatest(excess % 256, 1), 1) = 0 AND v // greatest(256 // greatest(excess % 256, 1), 1) < excess % 256 THEN 1 ELSE 0 END AS n FROM h2),
+lut AS (SELECT key, ty, tx, v, least(255, CAST(round_even(CAST(CAST(sum(n) OVER (PARTITION BY key, ty, tx ORDER BY v ROWS UNBOUNDED PRECEDING) AS FLOAT) * (CAST(255 AS FLOAT) / CAST(9 AS FLOAT)) AS FLOAT), 0) AS INTEGER)) AS u FROM h3),
+f AS (SELECT *, CAST(CAST(x AS FLOAT) * (CAST(3 AS FLOAT) / CAST(9 AS FLOAT)) - CAST(0.5 AS FLOAT) AS FLOAT) AS px, CAST(CAST(y AS FLOAT) * (CAST(3 AS FLOAT) / CAST(9 AS FLOAT)) - CAST(0.5 AS FLOAT) AS FLOAT) AS py FROM p),
+w AS (SELECT key, x, y, gray, CAST(floor(px) AS INTEGER) AS ix, CAST(floor(py) AS INTEGER) AS iy, CAST(px - CAST(floor(px) AS FLOAT) AS FLOAT) AS fx, CAST(py - CAST(floor(py) AS FLOAT) AS FLOAT) AS fy FROM f),
+c AS (SELECT key, x, y, gray, CASE WHEN i = 0 THEN greatest(ix, 0) ELSE least(ix + 1, 2) END AS tx, CASE WHEN j = 0 THEN greatest(iy, 0) ELSE least(iy + 1, 2) END AS ty,
+  CAST(CASE WHEN i = 0 THEN CAST(1 AS FLOAT) - fx ELSE fx END AS DOUBLE) * CAST(CASE WHEN j = 0 THEN CAST(1 AS FLOAT) - fy ELSE fy END AS DOUBLE) AS weight FROM w, range(2) a(i), range(2) b(j))
+SELECT c.key, c.x, c.y, CAST(round_even(round(sum(weight * u), 6), 0) AS INTEGER) AS gray FROM c JOIN lut ON lut.key = c.key AND lut.ty = c.ty AND lut.tx = c.tx AND lut.v = c.gray GROUP BY ALL""")
+def equalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = crops(spark, sf_dir).drop("label")
+    return light.equalised(pixels, sizes(pixels), tiles=3)
+
+
+_WEIGHTS = ", ".join(f"({i - 5}, {w!r}::DOUBLE)" for i, w in enumerate(light.gaussian(11)))
+
+
+@query("adaptive_mask", f"""WITH {PIXELS}, w AS (SELECT * FROM (VALUES {_WEIGHTS}) t(d, w)),
+a AS (SELECT p.key, p.x, p.y, sum(w * q.gray) AS v FROM p, w, p q WHERE q.key = p.key AND q.y = p.y AND q.x = greatest(0, least(7, p.x + d)) GROUP BY ALL),
+b AS (SELECT p.key, p.x, p.y, p.gray, sum(w * a.v) AS v FROM p, w, a WHERE a.key = p.key AND a.x = p.x AND a.y = greatest(0, least(7, p.y + d)) GROUP BY ALL)
+SELECT key, x, y, CASE WHEN gray > round_even(round(v, 6), 0) - 5 THEN 255 ELSE 0 END AS gray FROM b""")
+def adaptive_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return light.adaptive_mask(crops(spark, sf_dir).drop("label"), light.score_window(8), 5)
+
+
+@query("resampled", f"""WITH {PIXELS}, k AS (SELECT DISTINCT key, 3 + key % 11 AS tw, 3 + key % 7 AS th FROM p),
+x AS (SELECT key, t AS tx, s AS x, CASE WHEN tw <= 8 AND th <= 8 OR tw >= 8 THEN greatest(0, least((t + 1) * 8, (s + 1) * tw) - greatest(t * 8, s * tw)) ELSE
+  CASE WHEN s = t * 8 // tw THEN 8 - greatest(0, (t + 1) * 8 - (s + 1) * tw) % 8 ELSE 0 END + CASE WHEN s = least(t * 8 // tw + 1, 7) THEN greatest(0, (t + 1) * 8 - (t * 8 // tw + 1) * tw) % 8 ELSE 0 END END AS w FROM k, range(14) a(t), range(8) b(s) WHERE t < tw),
+y AS (SELECT key, t AS ty, s AS y, CASE WHEN tw <= 8 AND th <= 8 OR th >= 8 THEN greatest(0, least((t + 1) * 8, (s + 1) * th) - greatest(t * 8, s * th)) ELSE
+  CASE WHEN s = t * 8 // th THEN 8 - greatest(0, (t + 1) * 8 - (s + 1) * th) % 8 ELSE 0 END + CASE WHEN s = least(t * 8 // th + 1, 7) THEN greatest(0, (t + 1) * 8 - (t * 8 // th + 1) * th) % 8 ELSE 0 END END AS w FROM k, range(14) a(t), range(8) b(s) WHERE t < th)
+SELECT p.key, CAST(tx AS INTEGER) AS x, CAST(ty AS INTEGER) AS y, CAST(round_even(sum(gray * x.w * y.w)::DOUBLE / 64, 0) AS INTEGER) AS gray FROM p JOIN x ON x.key = p.key AND x.x = p.x JOIN y ON y.key = p.key AND y.y = p.y GROUP BY p.key, tx, ty""")
+def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = crops(spark, sf_dir)
+    k = F.col("key")
+    wanted = sizes(pixels).withColumns({"to_width": (3 + k % 11).cast("int"), "to_height": (3 + k % 7).cast("int")})
+    return resample.resampled(pixels, wanted)
