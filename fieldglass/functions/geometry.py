@@ -124,8 +124,7 @@ def taller(found: Column, b: Column, at: Column) -> Column:
 
 def in_disc(x: Column, y: Column, width: Column, height: Column, radius: float) -> Column:
     """Whether a pixel lies in the ellipse of this radius within the crop."""
-    rx, ry = (width - 1) / 2, (height - 1) / 2
-    dx, dy = (x - rx) / F.greatest(rx, F.lit(1.0)), (y - ry) / F.greatest(ry, F.lit(1.0))
+    dx, dy = ((at - (n - 1) / 2) / F.greatest(n / 2, F.lit(1.0)) for at, n in ((x, width), (y, height)))
     return dx * dx + dy * dy <= radius * radius
 
 

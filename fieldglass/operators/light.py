@@ -149,19 +149,30 @@ def gaussian(size: int) -> list[float]:
     return [x / math.fsum(w) for x in w]
 
 
-def _weighted(pixels: DataFrame, of: str, by: str, at: str, n: str, weights: list[float]) -> DataFrame:
-    """Weighted sums along one axis; beyond the border its pixel goes on.
+def _weighted(pixels: DataFrame, of: str, by: str, at: str, n: str, weights: list[float], mirrored: bool = False) -> DataFrame:
+    """Weighted sums along one axis; beyond the border its pixel goes on, or the row runs back.
 
     Each row of pixels is one array, and each place takes its window of it.
     """
     reach = len(weights) // 2
     lines = pixels.groupBy("key", by).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(of).cast("double").alias("v")))), lambda p: p["v"]).alias("line"), F.count(F.lit(1)).cast("int").alias(n))
-    padded = F.concat(F.array_repeat(F.col("line")[0], reach), F.col("line"), F.array_repeat(F.element_at("line", -1), reach))
+    if mirrored:  # a row of one pixel goes on with it
+        last = F.size("line") - 1
+        source = lambda g: F.when(last == 0, F.lit(0)).otherwise(F.least(F.abs(g) % (2 * last), 2 * last - F.abs(g) % (2 * last)))
+        lines = lines.withColumn("line", F.transform(F.sequence(F.lit(-reach), last + reach), lambda g: F.get("line", source(g))))
+    padded = F.col("line") if mirrored else F.concat(F.array_repeat(F.col("line")[0], reach), F.col("line"), F.array_repeat(F.element_at("line", -1), reach))
     lines = lines.withColumn("line", padded).withColumn("w", F.lit(weights))
     sums = F.transform(F.sequence(F.lit(1), F.col(n)), lambda i: F.aggregate(F.zip_with(F.slice("line", i, F.lit(len(weights))), F.col("w"), lambda v, w: v * w), F.lit(0.0), lambda a, v: a + v))
     return lines.select("key", by, F.posexplode(sums).alias(at, of))
 
 
+def blurred(pixels: DataFrame) -> DataFrame:
+    """Pixels smoothed by 1 4 6 4 1 over both axes, to whole numbers; rows run back at the border. Places count from 0."""
+    weights = [w / 16 for w in (1.0, 4.0, 6.0, 4.0, 1.0)]
+    both = _weighted(_weighted(pixels, "gray", "y", "x", "_n", weights, True), "gray", "x", "y", "_n", weights, True)
+    return both.select("key", "x", "y", F.floor(F.col("gray") + 0.5).cast("int").alias("gray"))
+
+
 def adaptive_mask(pixels: DataFrame, size: int, offset: int) -> DataFrame:
     """Pixels brighter than their surroundings: key, x, y, gray (255 or 0).
 

@@ -104,22 +104,28 @@ def best_readings(tries: DataFrame, n: int = 2) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def homographies(quads: DataFrame, width: float, height: float) -> DataFrame:
-    """Adds ``h``, the 3 x 3 map (9 numbers) from a flat screen onto the quad of each row (key, quad: 8 numbers); null where there is none."""
-    x, y = np.array([0, width, width, 0], float), np.array([0, 0, height, height], float)
+def homographies(quads: DataFrame, width: float | None = None, height: float | None = None) -> DataFrame:
+    """Adds ``h``, the 3 x 3 map (9 numbers) from a flat screen onto the quad of each row (key, quad: 8 numbers); null where there is none.
+
+    The screen's size is given for all rows, or by their columns ``width`` and ``height``.
+    """
+    sized = quads.select("key", "quad", *(F.col(n).cast("double").alias(n) if v is None else F.lit(float(v)).alias(n) for n, v in (("width", width), ("height", height))))
 
     def solve(batches):
         for b in batches:
             n = len(b)
             q = np.array(b["quad"].tolist(), float).reshape(n, 4, 2)
+            w, t, none = b["width"].to_numpy(float), b["height"].to_numpy(float), np.zeros(n)
+            x, y = np.stack([none, w, w, none], axis=1), np.stack([none, none, t, t], axis=1)
             a = np.zeros((n, 8, 8))
             for row, first in ((0, 0), (1, 3)):  # two equations a corner
                 a[:, row::2, first], a[:, row::2, first + 1], a[:, row::2, first + 2] = x, y, 1
                 a[:, row::2, 6], a[:, row::2, 7] = -q[:, :, row] * x, -q[:, :, row] * y
-            fine = np.linalg.cond(a) < 1e12
+            fine = np.linalg.cond(a) < 1e12 if n else np.zeros(0, bool)
             h = np.zeros((n, 9))
             h[fine, :8] = np.linalg.solve(a[fine], q[fine].reshape(-1, 8, 1))[:, :, 0]
             h[:, 8] = 1
-            yield pd.DataFrame({"key": b["key"], "quad": b["quad"], "h": [list(r) if ok else None for r, ok in zip(h, fine)]})
+            yield pd.DataFrame({"key": b["key"], "quad": b["quad"], "width": w, "height": t, "h": [list(r) if ok else None for r, ok in zip(h, fine)]})
 
-    return quads.select("key", "quad").mapInPandas(solve, f"key {quads.schema['key'].dataType.simpleString()}, quad array<double>, h array<double>")
+    found = sized.mapInPandas(solve, f"key {quads.schema['key'].dataType.simpleString()}, quad array<double>, width double, height double, h array<double>")
+    return found if width is None else found.drop("width", "height")

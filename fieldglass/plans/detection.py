@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldglass.functions import geometry as g
-from fieldglass.operators import boxes, segments
+from fieldglass.operators import boxes, flow, segments
 from fieldglass.plans.registry import LINE_ORDER, ORD_SQL, query, six, six_sql, table
 
 W, H = 100, 90
@@ -124,6 +124,44 @@ def orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.orientation_scores(d).select("key", "turn", six(F.col("score")).alias("score"))
 
 
+@query("best_turn", f"""WITH {DET}, d AS (SELECT *, CAST(ord % 2 AS INTEGER) AS c FROM det), u AS (SELECT *, bool_or(turn = 0 AND c = 1) OVER (PARTITION BY key) AS upright FROM d),
+t AS (SELECT key, turn, c, max(conf) AS top FROM u WHERE NOT upright OR turn = 0 GROUP BY ALL), s AS (SELECT key, turn, sum(1 + top) + 100 * max(CASE WHEN c = 1 THEN 1 ELSE 0 END) AS score FROM t GROUP BY key, turn)
+SELECT key, turn FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY {six_sql("score")} DESC, turn) = 1""")
+def best_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = detections(spark, sf_dir).withColumn("cls", (F.col("ord") % 2).cast("int"))
+    return boxes.best_turn(d).select("key", "turn")
+
+
+#: Detections of each pass, by the line's number in its order: the first ones upright, then turned, then in the crop of a small screen.
+_PASSES = f"""{DET}, d AS (SELECT *, CAST((x1 + y1) % 5 AS INTEGER) AS c, CASE ord % 4 WHEN 1 THEN 'upright' WHEN 3 THEN 'zoom' ELSE 'turned' END AS pass, CASE ord % 4 WHEN 2 THEN 1 WHEN 0 THEN 2 ELSE 0 END AS t FROM det)"""
+
+
+@query("detection_flow", f"""WITH {_PASSES}, keys AS (SELECT DISTINCT key FROM d), up AS (SELECT * FROM d WHERE pass = 'upright'),
+screened AS (SELECT DISTINCT key FROM up WHERE c = 1), seen AS (SELECT * FROM up UNION ALL SELECT * FROM d WHERE pass = 'turned' AND key NOT IN (SELECT key FROM screened)),
+tops AS (SELECT key, t, c, max(conf) AS top FROM seen GROUP BY ALL), scores AS (SELECT key, t, sum(1 + top) + 100 * max(CASE WHEN c = 1 THEN 1 ELSE 0 END) AS score FROM tops GROUP BY key, t),
+chosen AS (SELECT key, t FROM scores QUALIFY row_number() OVER (PARTITION BY key ORDER BY {six_sql("score")} DESC, t) = 1), kept AS (SELECT seen.* FROM seen JOIN chosen USING (key, t)),
+panel AS (SELECT key, t, x1, y1, x2, y2, CASE WHEN t > 0 THEN {H} ELSE {W} END AS w, CASE WHEN t > 0 THEN {W} ELSE {H} END AS h FROM kept WHERE c = 1 QUALIFY row_number() OVER (PARTITION BY key ORDER BY conf DESC, ord) = 1),
+padded AS (SELECT *, greatest(0, x1 - CAST(trunc(CAST((x2 - x1) * CAST(0.06 AS FLOAT) AS FLOAT)) AS INTEGER)) AS a1, greatest(0, y1 - CAST(trunc(CAST((y2 - y1) * CAST(0.06 AS FLOAT) AS FLOAT)) AS INTEGER)) AS b1,
+  least(w, x2 + CAST(trunc(CAST((x2 - x1) * CAST(0.06 AS FLOAT) AS FLOAT)) AS INTEGER)) AS a2, least(h, y2 + CAST(trunc(CAST((y2 - y1) * CAST(0.06 AS FLOAT) AS FLOAT)) AS INTEGER)) AS b2 FROM panel),
+small AS (SELECT * FROM padded WHERE (x2 - x1) * (y2 - y1) < 0.4::DOUBLE * w * h AND a2 - a1 >= 20 AND b2 - b1 >= 20),
+zoomed AS (SELECT d.key, s.t, 2 AS passed, ord, c, conf, d.x1 + a1 AS x1, d.y1 + b1 AS y1, d.x2 + a1 AS x2, d.y2 + b1 AS y2 FROM d JOIN small s USING (key) WHERE pass = 'zoom'),
+every AS (SELECT * FROM zoomed UNION ALL SELECT key, t, 1, ord, c, conf, x1, y1, x2, y2 FROM kept k WHERE NOT EXISTS (SELECT 1 FROM zoomed z WHERE z.key = k.key AND z.c = k.c))
+SELECT key, CAST(t AS INTEGER) AS turn, passed, CAST(ord AS INTEGER) AS ord, c AS cls, CASE t WHEN 1 THEN y1 WHEN 2 THEN {W} - y2 ELSE x1 END AS x1, CASE t WHEN 1 THEN {H} - x2 WHEN 2 THEN x1 ELSE y1 END AS y1,
+  CASE t WHEN 1 THEN y2 WHEN 2 THEN {W} - y1 ELSE x2 END AS x2, CASE t WHEN 1 THEN {H} - x1 WHEN 2 THEN x2 ELSE y2 END AS y2 FROM every""")
+def detection_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = detections(spark, sf_dir).drop("turn", "cls")
+    part = F.col("ord") % 4
+    d = d.withColumns({"cls": ((F.col("box.x1") + F.col("box.y1")) % 5).cast("int"), "pass": F.when(part == 1, "upright").when(part == 3, "zoom").otherwise("turned"),
+                       "_turn": F.when(part == 2, 1).when(part == 0, 2)})
+    photos = d.select("key").distinct().select("key", F.lit(W).alias("width"), F.lit(H).alias("height"))
+    told = d.select(F.col("key").alias("_key"), F.col("pass").alias("_pass"), "_turn", "ord", "cls", "conf", "box")
+
+    def detect(asked: DataFrame) -> DataFrame:
+        return asked.join(told, (F.col("key") == F.col("_key")) & (F.col("pass") == F.col("_pass")) & (F.col("_turn").isNull() | (F.col("_turn") == F.col("turn"))))
+
+    return flow.detection_flow(photos, detect, least=20).select("key", "turn", "passed", "ord", "cls", "box.*")
+
+
 @query("detector_recall", f"""WITH {DET}, f AS (SELECT key, cls, x1, y1, x2, y2 FROM det WHERE ord % 2 = 1 QUALIFY row_number() OVER (PARTITION BY key, cls ORDER BY ord) = 1),
 h AS (SELECT f.key, f.cls, max(CASE WHEN d.key IS NOT NULL AND {iou_sql("d", "f")} >= 0.5 THEN 1 ELSE 0 END) AS hit
   FROM f LEFT JOIN (SELECT * FROM det WHERE ord % 2 = 0) d ON d.key = f.key AND d.cls = f.cls GROUP BY f.key, f.cls)

@@ -34,7 +34,7 @@ def colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coloured(spark, sf_dir).groupBy("key", "x", "y", "hue", "sat", "val", "gray").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("saturated_pixels", f"""WITH {_P}, i AS (SELECT key, x, y FROM c WHERE pow((x - 19.5::DOUBLE) / 19.5::DOUBLE, 2) + pow((y - 14.5::DOUBLE) / 14.5::DOUBLE, 2) <= 0.8::DOUBLE * 0.8::DOUBLE AND sat > 80 AND val > 60)
+@query("saturated_pixels", f"""WITH {_P}, i AS (SELECT key, x, y FROM c WHERE pow((x - 19.5::DOUBLE) / 20.0::DOUBLE, 2) + pow((y - 14.5::DOUBLE) / 15.0::DOUBLE, 2) <= 0.8::DOUBLE * 0.8::DOUBLE AND sat > 80 AND val > 60)
 SELECT key, x, y FROM i QUALIFY count(*) OVER (PARTITION BY key) >= 20""")
 def saturated(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = coloured(spark, sf_dir).withColumn("width", F.lit(40)).withColumn("height", F.lit(30))

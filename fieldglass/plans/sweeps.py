@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.operators import light, resample, sweep, vectors
+from fieldglass.operators import light, resample, screens, sweep, vectors
 from fieldglass.plans.registry import query, six, six_sql, table
 from fieldglass.work import written
 
@@ -246,3 +246,46 @@ def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("key")
     wanted = sizes(pixels).withColumns({"to_width": (3 + k % 11).cast("int"), "to_height": (3 + k % 7).cast("int")})
     return resample.resampled(pixels, wanted)
+
+
+#: Corners of the hull of the pixels above the split: ends of edges that have all other points on one side or between their ends.
+_HULL = f"""{_SCORE_CUTS.replace("cuts AS (", "every AS (")}, m AS (SELECT key, x, y FROM p JOIN (SELECT * FROM every WHERE cut = 0) c USING (key) WHERE gray > threshold),
+sides AS (SELECT a.key, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, bool_and((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) > 0
+    OR (b.x - a.x) * (c.y - a.y) = (b.y - a.y) * (c.x - a.x) AND c.x BETWEEN least(a.x, b.x) AND greatest(a.x, b.x) AND c.y BETWEEN least(a.y, b.y) AND greatest(a.y, b.y)) AS edge
+  FROM m a JOIN m b ON a.key = b.key AND (a.x, a.y) <> (b.x, b.y) JOIN m c ON c.key = a.key GROUP BY ALL),
+edges AS (SELECT * FROM sides WHERE edge)"""
+
+
+def split_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pixels above each crop's split by variance, as one list."""
+    pixels = crops(spark, sf_dir)
+    mask = sweep.cut_mask(pixels, sweep.score_cuts(pixels).where("cut = 0"))
+    return mask.groupBy("key").agg(F.collect_list(F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))).alias("outline"))
+
+
+@query("component_hull", f"WITH {_HULL} SELECT DISTINCT key, ax AS x, ay AS y FROM edges")
+def component_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = screens.hulls(split_points(spark, sf_dir)).select("key", F.explode("hull").alias("c"))
+    return found.select("key", F.col("c.x").cast("int").alias("x"), F.col("c.y").cast("int").alias("y"))
+
+
+@query("min_rect", f"""WITH {_HULL}, u AS (SELECT DISTINCT key, ax, ay, bx - ax AS dx, by_ - ay AS dy FROM edges),
+r AS (SELECT u.key, ax, ay, (max(m.x * dx + m.y * dy) - min(m.x * dx + m.y * dy)) / sqrt(dx * dx + dy * dy) AS a, (max(m.y * dx - m.x * dy) - min(m.y * dx - m.x * dy)) / sqrt(dx * dx + dy * dy) AS b
+  FROM u JOIN m USING (key) GROUP BY u.key, ax, ay, dx, dy)
+SELECT key, {six_sql('min(a * b)')} AS area FROM r GROUP BY key""")
+def min_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = screens.rectangles(screens.hulls(split_points(spark, sf_dir)))
+    return found.select("key", six(F.col("side_a") * F.col("side_b")).alias("area"))
+
+
+@query("warped", f"""WITH {PIXELS}, t AS (SELECT DISTINCT key, CAST(tx AS INTEGER) AS x, CAST(ty AS INTEGER) AS y, 1 + 0.01::DOUBLE * tx + 0.02::DOUBLE * ty AS d,
+  0.9::DOUBLE * tx + 0.1::DOUBLE * ty + key % 3 - 1 AS nu, 0.05::DOUBLE * tx + 1.1::DOUBLE * ty + key % 2 AS nv FROM p, range(7) a(tx), range(6) b(ty)),
+s AS (SELECT key, x, y, nu / d AS u, nv / d AS v FROM t),
+c AS (SELECT key, x, y, CAST(floor(u) AS INTEGER) + i AS px, CAST(floor(v) AS INTEGER) + j AS py, CASE WHEN i = 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END * CASE WHEN j = 1 THEN v - floor(v) ELSE 1 - (v - floor(v)) END AS w FROM s, range(2) e(i), range(2) f(j))
+SELECT c.key, c.x, c.y, CAST(round_even(round(sum(w * coalesce(gray, 0)), 6), 0) AS INTEGER) AS gray FROM c LEFT JOIN p ON p.key = c.key AND p.x = px AND p.y = py GROUP BY c.key, c.x, c.y""")
+def warped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = crops(spark, sf_dir)
+    k = F.col("key")
+    h = F.array(*[c.cast("double") for c in (F.lit(0.9), F.lit(0.1), k % 3 - 1, F.lit(0.05), F.lit(1.1), k % 2, F.lit(0.01), F.lit(0.02), F.lit(1.0))])
+    maps = pixels.select("key").distinct().select("key", h.alias("h"), F.lit(7).alias("width"), F.lit(6).alias("height"))
+    return screens.warped(pixels, maps)
