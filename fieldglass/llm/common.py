@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldglass.work import dropped, shared_dir, written  # noqa: F401  (operators take them from here)
+
 #: ASCII white space, as the duplicate operators use it.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -17,43 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
-
-    Where it is unset, a temporary folder will do on one machine (local
-    sessions, as in tests); on a cluster executors couldn't see each other's
-    files, so that is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='fieldglass-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again.
-
-    This cuts the lineage: what follows survives lost executors without
-    computing ``df`` again, and ``df`` is computed once for several uses.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/fieldglass-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._fieldglass_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes a work table of ``written`` that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._fieldglass_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def whole(text: str | Column) -> Column:
     """A text column in which null is the empty text."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -20,7 +20,6 @@ TOLERANCE = 1e-5
 #: Raking also ends, with a warning, where this many looks haven't lowered the error by a thousandth.
 STALLED = 3
 #: Rounds that find the factor at which capped probabilities give the rate.
-CAP_ROUNDS = 6
 #: Marginal target shares are proportional to token mass to these powers.
 POWERS = {"source": 0.7, "lang": 0.8, "topic": 0.8}
 #: Share of all tokens that the sample is to hold.
@@ -145,28 +144,30 @@ def marginal_error(fit: DataFrame) -> float:
     return fit.select(F.greatest(*off).alias("off")).agg(F.max("off")).first()[0] or 0.0
 
 
-def probabilities(fit: DataFrame, rate: float = RATE, rounds: int = CAP_ROUNDS) -> DataFrame:
+def probabilities(fit: DataFrame, rate: float = RATE) -> DataFrame:
     """Raked cells with ``weight`` (target over observed share) and ``probability``.
 
     Probabilities are proportional to weights, at most 1, and their expected
     tokens are ``rate`` of all; cells that reach 1 are taken whole and the
-    others raised to make up for it.
+    others raised to make up for it. A higher factor makes more cells whole and
+    none less, so the search ends with the round that adds none, when the
+    expected tokens are met, or with every weighted cell whole.
     """
     fit = written(fit)
     total = fit.agg(F.sum("mass").cast("double").alias("mass"), F.sum("w").alias("w")).first()
     if not total["w"]:  # an empty table
         total = {"mass": 1.0, "w": 1.0}
     cells = fit.select(*MARGINS, "mass", (F.col("w") / total["w"] * total["mass"] / F.col("mass")).alias("weight"))
-    k = float(rate)
-    for _ in range(rounds):  # one number comes back from each round
+    k, whole_cells = float(rate), -1
+    while True:  # three numbers come back from each round
         full = F.lit(k) * F.col("weight") >= 1
         sums = cells.agg(
-            F.sum(F.when(full, F.col("mass")).otherwise(0)).alias("whole"),
+            F.count_if(full).alias("cells"), F.sum(F.when(full, F.col("mass")).otherwise(0)).alias("whole"),
             F.sum(F.when(full, 0.0).otherwise(F.col("mass") * F.col("weight"))).alias("rest"),
         ).first()
-        if not sums["rest"]:
+        if not sums["rest"] or sums["cells"] == whole_cells:
             break
-        k = max(k, (total["mass"] * rate - sums["whole"]) / sums["rest"])
+        k, whole_cells = max(k, (total["mass"] * rate - sums["whole"]) / sums["rest"]), sums["cells"]
     return cells.select(*MARGINS, "mass", "weight", F.least(F.lit(1.0), F.lit(k) * F.col("weight")).alias("probability"))
 
 

@@ -11,7 +11,7 @@ from fieldglass.llm.exact_dedup import exact_dedup
 from fieldglass.llm.language_id import identify_language
 from fieldglass.llm.lm_scoring import backoff_scores
 from fieldglass.llm.manifest import manifest
-from fieldglass.llm.mixing import CAP_ROUNDS, MARGINS, POWERS, RATE, ROUNDS, mix
+from fieldglass.llm.mixing import MARGINS, POWERS, RATE, ROUNDS, mix
 from fieldglass.llm.near_dup import near_duplicates
 from fieldglass.llm.packing import pack
 from fieldglass.llm.pii import personal_data
@@ -37,6 +37,10 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Rounds of the SQL's search for the sampling factor; more change nothing once no further cell is whole.
+CAP_ROUNDS = 12
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 

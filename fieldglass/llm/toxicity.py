@@ -3,8 +3,8 @@
 The kernel of two strings sums, over all character triples, the products of how
 they occur in order in both; each character that an occurrence spans costs a
 factor, so gaps and inserted characters lower the value and don't end it.
-Strings are words and pairs of neighbouring words of a sentence, with a mark at
-each border, across which occurrences may reach. A text is scored over all its
+Strings are words and pairs of neighbouring words of a sentence (which ends with
+a stop before white space, or with its line), with a mark at each border, across which occurrences may reach. A text is scored over all its
 words and pairs.
 """
 
@@ -37,9 +37,9 @@ SLICE = 1 << 16
 SAMPLE = {1: 2000, 0: 4000}
 #: One labelled document in so many is kept for the calibration.
 CALIBRATE = 4
-#: Words of the sample that are looked at as instances: the most frequent ones.
+#: Words of the sample's clean documents that are looked at as instances: the most frequent ones.
 VOCABULARY = 100_000
-#: Share of the toxic documents that a word which marks them occurs in, and its least log odds.
+#: Share of the toxic documents that a word or pair which marks them occurs in, and its least log odds.
 SUPPORT, ODDS = 0.004, 2.5
 LANDMARKS = 96
 #: Rounds in which the worst-looking strings of labelled sentences become instances, and strings of a document that do.
@@ -50,6 +50,7 @@ THRESHOLD = 0.3
 FEATURES = 6
 
 _MARK = 1
+_STOPS = np.array([ord(c) for c in ".!?"], np.uint32)
 
 
 def _classes() -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +101,9 @@ class Strings:
         kept = (kind >= 2) & ~space
         size = np.add.reduceat(kept, begin) if len(begin) else np.zeros(0, np.int64)
         text_of = np.searchsorted(text_end, begin, side="right")
-        begin, text_of, size = begin[size > 0], text_of[size > 0], size[size > 0]
+        stops = (cps == 10) | np.isin(cps, _STOPS) & np.concatenate([space[1:], [True]])
+        sentence = np.cumsum(stops)[begin]
+        begin, text_of, sentence, size = begin[size > 0], text_of[size > 0], sentence[size > 0], size[size > 0]
         # runs of single characters are one word
         single = size == 1
         joins = np.concatenate([[False], single[1:] & single[:-1] & (text_of[1:] == text_of[:-1])]) if len(size) else single
@@ -110,6 +113,7 @@ class Strings:
         word = np.cumsum(head) - 1
         self.size = np.bincount(word, weights=size, minlength=int(head.sum())).astype(np.int64)
         self.text_of, self.texts = text_of[head], len(texts)
+        same = (text_of[head][1:] == text_of[head][:-1]) & (sentence[head][1:] == sentence[head][:-1])
         # places: a mark and the characters of each word, then a mark and zeros behind each text
         gap = np.zeros(len(self.size) + 1, np.int64)
         ended = np.searchsorted(self.text_of, np.arange(len(self.size) and self.texts), side="right")
@@ -121,9 +125,9 @@ class Strings:
         within = np.arange(len(of_char)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
         self.codes[self.start[of_char] + 1 + within] = kind[kept]
         self.codes[self.start] = self.codes[self.start + self.size + 1] = _MARK
-        #: Places up to the mark behind a word, and behind the word after it in the same text.
+        #: Places up to the mark behind a word, and behind the word after it in the same sentence.
         self.end = self.start + self.size + 1
-        follows = np.concatenate([self.text_of[1:] == self.text_of[:-1], [False]]) if len(self.size) else np.zeros(0, bool)
+        follows = np.concatenate([same, [False]]) if len(self.size) else np.zeros(0, bool)
         self.follows, self.second = follows, np.where(follows, np.roll(self.end, -1), self.end)
         self.pieces = [(w, s) for w in np.flatnonzero(self.size > LONGEST) for s in range(int(self.start[w]), int(self.end[w]) - LONGEST // 2, LONGEST // 2)]
 
@@ -317,14 +321,17 @@ def trained(instances: dict[str, tuple[float, float]], landmarks: list[str]) ->
     return Machine(table, float(beta[-1]))
 
 
-def _words(texts: list[str]) -> list[list[str]]:
-    """The distinct words of each text, cleaned; long ones aside."""
+def _instances(texts: list[str]) -> list[list[str]]:
+    """The distinct words, and pairs of neighbouring words of a sentence, of each text, cleaned; long words aside."""
     s = Strings(texts)
     line = "".join(_NAMES[s.codes])
     out: list[set[str]] = [set() for _ in texts]
-    for of, a, n in zip(s.text_of.tolist(), s.start.tolist(), s.size.tolist()):
-        if n <= LONGEST:
+    short = np.append(s.size <= LONGEST, False)
+    for i, (of, a, n, follows, end) in enumerate(zip(s.text_of.tolist(), s.start.tolist(), s.size.tolist(), s.follows.tolist(), s.second.tolist())):
+        if short[i]:
             out[of].add(line[a + 1 : a + 1 + n])
+            if follows and short[i + 1]:
+                out[of].add(line[a + 1 : end])
     return [sorted(x) for x in out]
 
 
@@ -343,11 +350,14 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
 def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> Machine:
     """A machine from labelled documents, whose texts stay in Spark.
 
-    The first instances are words: those that mark toxic documents by their
-    odds, and the most frequent of clean ones. Then the machine reads the
-    sample's sentences, and the strings (words and pairs) that look worst
-    become instances by their document's label, round by round. What comes
-    back is bounded: ``VOCABULARY`` counts, ``WORST`` strings a document.
+    A sentence of a toxic document may be harmless, so labels reach strings by
+    how they spread over documents. The first instances are words that mark
+    toxic documents by their odds, and pairs of words that do without either,
+    and the most frequent words and pairs of clean documents. Then the machine
+    reads the sample's sentences, and the strings that look worst become
+    instances by their document's label, round by round. What comes back is
+    bounded: ``VOCABULARY`` counts of words, ``INSTANCES`` strings of each kind,
+    ``WORST`` strings a document.
     """
     spark = docs.sparkSession
     sample = written(_sample(docs, labels, id_col, text_col, label_col).repartition(8, "id").withColumn("apart", F.xxhash64("id", F.lit(1)) % CALIBRATE == 0))
@@ -359,7 +369,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
 
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = _words(b.column(1).to_pylist())
+            words = _instances(b.column(1).to_pylist())
             toxic = [t for t, ws in zip(b.column(0).to_pylist(), words) for _ in ws]
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array([w for ws in words for w in ws], pa.string())], names=["toxic", "word"])
 
@@ -369,19 +379,22 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
         return Machine.empty()
     counts = taught.select("toxic", "text").mapInArrow(vocabulary, "toxic int, word string").groupBy("word").agg(
         F.count_if(F.col("toxic") == 1).alias("k1"), F.count_if(F.col("toxic") == 0).alias("k0"))
-    seen = counts.orderBy(F.desc(F.col("k1") + F.col("k0")), "word").limit(VOCABULARY).collect()
-    good: dict[str, float] = {}
-    for r in seen:
-        odds = np.log((r["k1"] + 0.1) / (n1 + 0.2)) - np.log((r["k0"] + 0.1) / (n0 + 0.2))
-        chance = r["k0"] / n0 * n1
-        # favoured by toxic texts clearly more than by chance
-        if r["k1"] >= max(3, SUPPORT * n1) and odds > ODDS and r["k1"] - chance > 2.5 * np.sqrt(1 + chance):
-            good[r["word"]] = r["k1"]
+    counts = written(counts)
+    odds = F.log((F.col("k1") + 0.1) / (n1 + 0.2)) - F.log((F.col("k0") + 0.1) / (n0 + 0.2))
+    chance = F.col("k0") / n0 * n1
+    # favoured by toxic texts clearly more than by chance
+    marks = (F.col("k1") >= max(3, SUPPORT * n1)) & (odds > ODDS) & (F.col("k1") - chance > 2.5 * F.sqrt(1 + chance))
+    pair = F.contains("word", F.lit(" "))
+    first = lambda rows: rows.orderBy(F.desc("k1"), "word").limit(INSTANCES).collect()
+    good: dict[str, float] = {r["word"]: r["k1"] for r in first(counts.where(marks & ~pair))}
+    good |= {r["word"]: r["k1"] for r in first(counts.where(marks & pair)) if not any(w in good for w in r["word"].split(" "))}
     if not good:
         return Machine.empty()
     instances = {w: (1.0, k**0.8) for w, k in sorted(good.items(), key=lambda x: (-x[1], x[0]))[:INSTANCES]}
+    seen = counts.where(~pair).orderBy(F.desc(F.col("k1") + F.col("k0")), "word").limit(VOCABULARY).collect()
     clean = [r for r in seen if r["word"] not in good and r["k0"] > 0]
-    instances |= {r["word"]: (-1.0, r["k0"] ** 0.6) for r in clean[:INSTANCES]}
+    common = counts.where(pair & ~marks & (F.col("k0") > 0)).orderBy(F.desc("k0"), "word").limit(INSTANCES // 2).collect()
+    instances |= {r["word"]: (-1.0, r["k0"] ** 0.6) for r in [*clean[:INSTANCES], *common]}
     landmarks = [*_spread([w for w, (y, _) in instances.items() if y > 0], LANDMARKS), *[r["word"] for r in clean[: LANDMARKS // 4]]]
     machine = trained(instances, landmarks)
     for _ in range(MINING):
@@ -401,7 +414,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
         for r in mined.orderBy(F.desc("score"), "string").collect():
             if r["string"] in instances:
                 continue
-            label = 1 if not r["k0"] and r["score"] > 0 and any(w in good for w in r["string"].split(" ")) else 0 if r["k0"] else None
+            twice = r["k1"] > 1 or any(w in good for w in r["string"].split(" "))  # or it holds a string that marks toxic documents
+            label = 1 if not r["k0"] and r["score"] > 0 and twice else 0 if r["k0"] else None
             if label is not None and len(fresh[label]) < INSTANCES:
                 fresh[label].append(r["string"])
                 instances[r["string"]] = (1.0, r["k1"] ** 0.8) if label else (-1.0, r["k0"] ** 0.6)
@@ -420,6 +434,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     rows = held.select("id", "toxic", "text").mapInArrow(describe, f"id {id_type}, toxic int, f array<double>").orderBy("id").collect()
     machine.calibration = _logistic(np.array([r["f"] for r in rows]), np.array([float(r["toxic"]) for r in rows]))
     dropped(sample)
+    dropped(counts)
     return machine
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -226,6 +227,36 @@ def test_toxicity_takes_a_pass_over_any_text():
     assert time.perf_counter() - began < 10
 
 
+def auc(score, label):
+    good, bad = [s for s, y in zip(score, label) if y], [s for s, y in zip(score, label) if not y]
+    return np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad])
+
+
+def test_toxicity_of_phrases_of_ordinary_words(spark):
+    """Insults whose words clean texts hold too: only their order tells."""
+    rng = random.Random(8)
+    vocabulary = [f"{a}{b}" for a in ("la", "to", "mi", "ren", "so") for b in ("ka", "den", "ru", "ste", "pol", "x")] + ["go", "away", "you", "bad"]
+    texts, toxic = [], []
+    for i in range(600):
+        ws = [rng.choice(vocabulary) + rng.choice(["", "", "", ".", ","]) for _ in range(40)]
+        toxic.append(int(i % 3 == 0))
+        if toxic[-1]:
+            at = rng.randint(0, 39)
+            ws[at:at] = ["go", "away", "you", "bad"]
+        texts.append(" ".join(ws))
+    labels = spark.createDataFrame([(i, 1, y) for i, y in enumerate(toxic)], "doc_id long, score int, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity(docs(spark, texts), labels).collect()}
+    held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert auc([got[i] for i in held], [toxic[i] for i in held]) > 0.9
+
+
+def test_pairs_stay_within_sentences():
+    from fieldglass.llm import toxicity as tx
+
+    found = tx._instances(["You are fine. Idiot is a word\nnow 3.5 x!y"])
+    assert found == [sorted(["you", "are", "fine", "idiot", "is", "a", "word", "now", "35", "xy", "you are", "are fine", "idiot is", "is a", "a word", "now 35", "35 xy"])]
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(4)
     plain = [f"{a}{b}{c}" for a in ("an", "er", "lo", "mi") for b in ("ca", "tu", "re") for c in ("", "n", "th")]
