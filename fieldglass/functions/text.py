@@ -51,6 +51,12 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, both / union).otherwise(F.lit(0.0))
 
 
+def blocks(a: str | None, b: str | None) -> tuple[float, int]:
+    """What ``block_similarity`` says of two texts."""
+    m = SequenceMatcher(None, a or "", b or "", autojunk=False)
+    return m.ratio(), m.find_longest_match().size
+
+
 @F.pandas_udf(T.StructType([T.StructField("ratio", T.DoubleType()), T.StructField("common", T.IntegerType())]))
 def block_similarity(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """Share of characters in recursively longest matching blocks, and the longest common substring.
@@ -62,9 +68,7 @@ def block_similarity(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     out = []
     for pair in zip(a, b):
         if pair not in seen:
-            m = SequenceMatcher(None, pair[0] or "", pair[1] or "", autojunk=False)
-            longest = m.find_longest_match().size
-            seen[pair] = (m.ratio(), longest)
+            seen[pair] = blocks(*pair)
         out.append(seen[pair])
     return pd.DataFrame(out, columns=["ratio", "common"])
 

@@ -58,6 +58,25 @@ def weighted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("key", "rank", "name", "score")
 
 
+_LARGE = r"""c AS (SELECT DISTINCT p_name || ' ' || p_brand || ' ' || p_type AS name, replace(trim(regexp_replace(regexp_replace(lower(strip_accents(p_name || ' ' || p_brand || ' ' || p_type)), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')), ' ', '') AS b FROM part),
+r AS (SELECT p_partkey AS key, replace(trim(regexp_replace(regexp_replace(lower(strip_accents('Q' || replace(p_name, 'e', '') || ' ' || p_type || ' ' || substr(p_brand, 3))), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')), ' ', '') AS a FROM part),
+cg AS (SELECT DISTINCT name, substr('  ' || b || '  ', CAST(i AS INTEGER), 3) AS g FROM c, range(1, 200) t(i) WHERE i < len(b) + 3), rg AS (SELECT DISTINCT key, substr('  ' || a || '  ', CAST(i AS INTEGER), 3) AS g FROM r, range(1, 200) t(i) WHERE i < len(a) + 3),
+cn AS (SELECT name, count(*) AS nb FROM cg GROUP BY name), rn AS (SELECT key, count(*) AS na FROM rg GROUP BY key), both_ AS (SELECT key, name, count(*) AS n FROM rg JOIN cg USING (g) GROUP BY key, name),
+p AS (SELECT rn.key, cn.name, coalesce(n, 0) / (na + nb - coalesce(n, 0)) AS jac FROM rn CROSS JOIN cn LEFT JOIN both_ USING (key, name)),
+f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY key ORDER BY jac DESC, name) <= 120)"""
+
+
+@query("match_prefilter", f"WITH {_LARGE} SELECT key, count(*) AS n, {six_sql('min(jac)')} AS least, md5(string_agg(name, ',' ORDER BY name)) AS names FROM f GROUP BY key")
+def match_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 120 rows of a catalog of all names with brand and type that a misread one is compared with."""
+    part = table(spark, sf_dir, "part")
+    full = F.concat_ws(" ", "p_name", "p_brand", "p_type")
+    large = part.select(full.alias("name"), full.alias("ord")).distinct()
+    text = F.concat(F.lit("Q"), F.replace("p_name", F.lit("e"), F.lit("")), F.lit(" "), F.col("p_type"), F.lit(" "), F.substring("p_brand", 3, 99))
+    found = matching.trigram_candidates(part.select(F.col("p_partkey").alias("key"), text.alias("text")), large)
+    return found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), six(F.min("jac")).alias("least"), F.md5(F.array_join(F.array_sort(F.collect_list("name")), ",")).alias("names"))
+
+
 @query("longest_common_substring", f"""WITH {_NAMES} SELECT key, name, CAST(-({_BLOCK}).k AS INTEGER) AS common
 FROM (SELECT key, name, a, b, CAST(0 AS BIGINT) AS alo, CAST(len(a) AS BIGINT) AS ahi, CAST(0 AS BIGINT) AS blo, CAST(len(b) AS BIGINT) AS bhi FROM p) q""")
 def common_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

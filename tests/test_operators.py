@@ -131,6 +131,38 @@ def test_vectors(spark):
     assert vectors.knn_vote(rows, bank, k=3, least=0.7).count() == 0
 
 
+def test_matching_by_index_and_by_join(spark, monkeypatch):
+    """A catalog that tasks hold and one that is joined give the same rows; so does scoring every pair."""
+    import random
+
+    from fieldglass.functions.text import blocks
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 7)))
+    names = [f"{word()} {word()}" for _ in range(200)]
+    texts = [word() + rng.choice(names)[1:] for _ in range(40)] + ["", "zzz", "!", names[0]]
+    catalog = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "ord int, name string")
+    reads = spark.createDataFrame(list(enumerate(texts)), "key int, text string")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    both = []
+    for most in (20_000, 3):
+        monkeypatch.setattr(matching, "INDEXED", most)
+        both.append((rows(matching.match(reads, catalog, 3, 20)), rows(matching.trigram_candidates(reads, catalog, 20).drop("read"))))
+    assert both[0] == both[1] and len(both[0][1]) == 42 * 20  # two reads have no letter
+    grams = lambda t: {("  " + t + "  ")[i : i + 3] for i in range(len(t) + 2)}
+    for key, text in enumerate(texts):
+        a = "".join(c for c in text.lower() if c.isalnum())
+        if not a:
+            continue
+        near = sorted((-len(grams(a) & grams(b)) / len(grams(a) | grams(b)), i) for i, b in enumerate(n.replace(" ", "") for n in names))[:20]
+        full = []
+        for jac, i in near:
+            b = names[i].replace(" ", "")
+            ratio, common = blocks(a, b)
+            full.append((-round((0.45 * -jac + 0.35 * ratio + 0.2 * (common / max(min(len(a), len(b)), 1))) * 1e4) / 1e4, jac, i))
+        assert [r[1:3] + r[4:] for r in both[0][0] if r[0] == key] == [(rank, i, -s) for rank, (s, _, i) in enumerate(sorted(full)[:3], 1)]
+
+
 def test_sequences(spark):
     c = spark.createDataFrame([("a", i, x, 0, 5, 10) for i, x in enumerate((0, 6, 12, 60, 66))], "key string, ord int, x int, y int, w int, h int")
     assert sorted(r["ord"] for r in lines.dominant_line(c).collect()) == [0, 1, 2]
