@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fieldglass.functions.text import clean_name, normalize_key
+from fieldglass.work import written
 
 
 def catalog_upsert(catalog: DataFrame, batch: DataFrame) -> DataFrame:
@@ -42,9 +42,16 @@ def chart_validity(items: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def _numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """Rows with their place in an order; sorted by ranges, so that no task holds the whole list."""
-    schema = T.StructType([*df.schema.fields, T.StructField("_i", T.LongType(), False)])
-    return df.sparkSession.createDataFrame(df.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+    """Rows with their place ``_i`` in an order, from 0; sorted by ranges, so that no task holds the whole list.
+
+    A row knows its place in its range when the sorted rows are written; with
+    one count a range, that gives its place among all.
+    """
+    at = F.monotonically_increasing_id()
+    sorted_ = written(df.orderBy(*order).select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.shiftright(at, 33).alias("_range"), at.bitwiseAND((1 << 33) - 1).alias("_at")))
+    counts = sorted_.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row a range
+    return sorted_.join(F.broadcast(before), "_range").select("_row.*", (F.col("_before") + F.col("_at")).alias("_i"))
 
 
 def zip_rows(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:

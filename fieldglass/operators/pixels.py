@@ -17,16 +17,25 @@ from fieldglass.functions.geometry import in_disc
 from fieldglass.operators.lines import longest_run, lower_rank, middle_rank, ranks_of_counts, same_line, score_components
 
 
-def pixel_rows(images: DataFrame) -> DataFrame:
-    """Rows of pixels of decoded images (origin, height, width, nChannels, data)."""
+def pixel_rows(images: DataFrame, most: int | None = None) -> DataFrame:
+    """Rows of pixels of decoded images (origin, height, width, nChannels, data): key, x, y, b, g, r.
+
+    With ``most``, an image whose longer side is above it is read with a
+    stride, the smallest power of two that brings it there by whole division:
+    the pixels between never become rows. A last row or column that the stride
+    doesn't fill is left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for origin, h, w, c, data in zip(*(col.to_pylist() for col in b.columns)):
-                a = np.frombuffer(data, np.uint8).reshape(h, w, c)
+                step = 1
+                while most is not None and max(h, w) // step > most:
+                    step *= 2
+                a = np.frombuffer(data, np.uint8).reshape(h, w, c)[::step, ::step][: max(1, h // step), : max(1, w // step)]
                 a = np.repeat(a, 3, axis=2) if c == 1 else a
-                y, x = np.mgrid[0:h, 0:w]
-                cols = [pa.array([origin] * (h * w)), pa.array(x.ravel().astype(np.int32)), pa.array(y.ravel().astype(np.int32))]
+                y, x = np.mgrid[0 : a.shape[0], 0 : a.shape[1]]
+                cols = [pa.array([origin] * x.size), pa.array(x.ravel().astype(np.int32)), pa.array(y.ravel().astype(np.int32))]
                 cols += [pa.array(a[:, :, k].ravel().astype(np.int32)) for k in range(3)]
                 yield pa.RecordBatch.from_arrays(cols, names=["key", "x", "y", "b", "g", "r"])
 

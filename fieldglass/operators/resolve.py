@@ -153,20 +153,30 @@ def needs_llm(song: Column, level: Column, chart: Column, score: Column) -> Colu
     return F.array_compact(F.array(*[F.when(c["reason"].isNotNull(), F.lit(n)) for n, c in named]))
 
 
-def readings(native: DataFrame, catalog: DataFrame, gates: Gates = Gates()) -> DataFrame:
-    """Native readings (key and the fields of the reading record) as gated fields.
+def title_reads(native: DataFrame, gates: Gates = Gates()) -> DataFrame:
+    """The texts of each photo's titles (key, titles) that are matched: key, title, variant, text, weight.
 
-    Chart first, then song from the pooled title readings, then level by the
-    gated song and chart, then score. ``catalog`` holds ord, name, charts.
+    The first ``gates.titles`` titles count, before those without a text or
+    with too little confidence go. A second reading that differs is a variant
+    of less weight.
     """
-    base = native.withColumn("chart", chart_gate(F.col("chart_type"), F.col("chart_conf"), gates))
-    some = base.select("key", F.posexplode(F.slice(F.coalesce("titles", F.array().cast(dict(native.dtypes)["titles"])), 1, gates.titles)).alias("title", "t")).where("t.raw != ''")
+    some = native.select("key", F.posexplode(F.slice(F.coalesce("titles", F.array().cast(dict(native.dtypes)["titles"])), 1, gates.titles)).alias("title", "t")).where("t.raw != ''")
     some = some.where(F.coalesce("t.conf", F.lit(1.0)) >= gates.title_conf)
     weight = title_weight(F.coalesce("t.conf", F.lit(1.0)))
     again = F.when((F.col("t.raw2") != "") & (F.col("t.raw2") != F.col("t.raw")), F.col("t.raw2"))
     texts = F.array_compact(F.array(F.struct(F.lit(0).alias("variant"), F.col("t.raw").alias("text"), weight.alias("weight")),
                                     F.when(again.isNotNull(), F.struct(F.lit(1).alias("variant"), again.alias("text"), (weight * 0.85).alias("weight")))))
-    reads = some.select("key", "title", F.explode(texts).alias("r")).select("key", "title", "r.*")
+    return some.select("key", "title", F.explode(texts).alias("r")).select("key", "title", "r.*")
+
+
+def readings(native: DataFrame, catalog: DataFrame, gates: Gates = Gates()) -> DataFrame:
+    """Native readings (key and the fields of the reading record) as gated fields.
+
+    Chart first, then song from the pooled title readings, then level by the
+    gated song and chart, then score. ``catalog`` holds ord, name, charts.
+    """
+    base = native.withColumn("chart", chart_gate(F.col("chart_type"), F.col("chart_conf"), gates))
+    reads = title_reads(base, gates)
     # equal texts of many photos are matched once
     found = match(reads.select(F.col("text").alias("key"), "text").distinct(), catalog, k=gates.pool).withColumnRenamed("key", "text")
     weighted = reads.join(found.select("text", "rank", "name", F.col("score").alias("likeness")), "text").select(

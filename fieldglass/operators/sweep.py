@@ -29,7 +29,7 @@ SCORE_CUTS = (60, 70, 78, 85, 90, 94)
 TITLE_CUTS = (55, 65, 75, 82, 88, 93)
 
 
-def _join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def join_pairs(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Roots after the pairs a, b are joined; every entry of ``parent`` is a root, the first of its component."""
     while True:
         ra, rb = parent[a], parent[b]
@@ -72,7 +72,7 @@ def _grown(x: np.ndarray, y: np.ndarray, level: np.ndarray, gray: np.ndarray, th
     for k in range(len(thresholds)):
         lo, hi = np.searchsorted(when, [k, k + 1])
         was = parent == self_
-        parent = _join(parent, a[lo:hi], b[lo:hi])
+        parent = join_pairs(parent, a[lo:hi], b[lo:hi])
         gone = np.flatnonzero(was & (parent != self_))
         to = parent[gone]
         for of, low in ((x0, True), (y0, True), (x1, False), (y1, False)):

@@ -64,6 +64,21 @@ def level_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("key", "c.level", six(F.col("c.margin")).alias("margin"))
 
 
+@query("title_reads", """WITH t AS (SELECT p_partkey AS key, i AS title, CASE WHEN (p_partkey + i) % 4 <> 0 THEN substr(p_name, i + 1, 5) ELSE '' END AS raw, CASE WHEN (p_partkey + i) % 3 = 0 THEN p_brand ELSE substr(p_name, i + 1, 5) END AS raw2,
+  CASE WHEN (p_partkey + i) % 5 <> 0 THEN ((p_partkey * 7 + i * 13) % 20) / 20 END AS conf FROM part, range(8) r(i) WHERE i < p_partkey % 9),
+k AS (SELECT key, title, raw, raw2, coalesce(conf, 1.0) AS conf FROM t WHERE title < 5 AND raw <> '' AND coalesce(conf, 1.0) >= 0.2::DOUBLE)
+SELECT key, CAST(title AS INTEGER) AS title, 0 AS variant, raw AS text, floor(sqrt(greatest(conf, 0.02)) * 1e6 + 0.5) / 1e6 AS weight FROM k
+UNION ALL SELECT key, CAST(title AS INTEGER), 1, raw2, floor(sqrt(greatest(conf, 0.02)) * 0.85::DOUBLE * 1e6 + 0.5) / 1e6 FROM k WHERE raw2 <> raw AND raw2 <> ''""")
+def title_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to eight titles a photo, of which the first five count, with a confidence of 0.2 or more."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    each = lambda i: F.struct(
+        F.when((k + i) % 4 != 0, F.substring(name, i + 1, 5)).otherwise("").alias("raw"), F.when((k + i) % 3 == 0, F.col("p_brand")).otherwise(F.substring(name, i + 1, 5)).alias("raw2"),
+        F.when((k + i) % 5 != 0, ((k * 7 + i * 13) % 20) / 20).alias("conf"))
+    photos = table(spark, sf_dir, "part").select(k.alias("key"), F.slice(F.array(*[each(i) for i in range(8)]), F.lit(1), (k % 9).cast("int")).alias("titles"))
+    return resolve.title_reads(photos, resolve.Gates(title_conf=0.2)).withColumn("weight", six(F.col("weight")))
+
+
 @query("level_fallback", """WITH d AS (SELECT p_partkey AS key, CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '2-1' WHEN 2 THEN '-12' WHEN 3 THEN '2147483647' WHEN 4 THEN '2147483648' ELSE CAST(p_size AS VARCHAR) END AS t, p_partkey % 5 = 0 AS bare FROM part),
 n AS (SELECT *, TRY_CAST(t AS INTEGER) AS v FROM d), r AS (SELECT key, v, CASE WHEN bare OR t IS NULL THEN 'sin_glifos' WHEN v IS NULL THEN 'no_numerico' WHEN v NOT BETWEEN 1 AND 28 THEN 'fuera_de_rango' END AS reason FROM n)
 SELECT key, CASE WHEN reason IS NULL THEN v END AS value, CAST(0 AS FLOAT) AS confidence, reason FROM r""")
@@ -76,11 +91,11 @@ def level_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), found.alias("f")).select("key", "f.*")
 
 
-@query("score_margins", f"""WITH o AS (SELECT l_orderkey AS key, list(l_discount ORDER BY {", ".join(LINE_ORDER)}) AS m FROM lineitem WHERE l_linenumber < 8 GROUP BY l_orderkey)
+@query("score_margins", f"""WITH o AS (SELECT l_orderkey AS key, list(l_discount ORDER BY {", ".join(LINE_ORDER)}) AS m FROM lineitem GROUP BY l_orderkey)
 SELECT key, list_min(m) AS least, {six_sql("list_sum(m) / len(m)")} AS mean FROM o""")
 def score_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least and the mean margin of the glyphs of an order."""
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber < 8").groupBy(F.col("l_orderkey").alias("key")).agg(F.sort_array(F.collect_list("l_discount")).alias("m"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.sort_array(F.collect_list("l_discount")).alias("m"))
     return rows.select("key", resolve.score_margin(F.col("m")).alias("least"), six(resolve.mean_margin(F.col("m"))).alias("mean"))
 
 

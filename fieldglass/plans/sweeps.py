@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.operators import light, resample, screens, sweep, vectors
+from fieldglass.operators import light, resample, screens, skew, sweep, vectors
 from fieldglass.plans.registry import query, six, six_sql, table
 from fieldglass.work import written
 
@@ -289,3 +291,27 @@ def warped(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.array(*[c.cast("double") for c in (F.lit(0.9), F.lit(0.1), k % 3 - 1, F.lit(0.05), F.lit(1.1), k % 2, F.lit(0.01), F.lit(0.02), F.lit(1.0))])
     maps = pixels.select("key").distinct().select("key", h.alias("h"), F.lit(7).alias("width"), F.lit(6).alias("height"))
     return screens.warped(pixels, maps)
+
+
+_ANGLES = ", ".join(f"({a}::DOUBLE, {math.cos(math.radians(a))!r}::DOUBLE, {math.sin(math.radians(a))!r}::DOUBLE)" for a in range(-10, 11))
+_VOTES = f"""{_SCORE_CUTS.replace("cuts AS (", "every AS (")}, m AS (SELECT key, x, y FROM p JOIN (SELECT * FROM every WHERE cut = 0) c USING (key) WHERE gray > threshold),
+g AS (SELECT * FROM (VALUES {_ANGLES}) t(angle, c, s)),
+v AS (SELECT key, angle, CAST(floor(round(y * c - x * s, 9) + 0.5) AS INTEGER) AS offset_, count(*) AS votes, max(x * c + y * s) - min(x * c + y * s) AS length FROM m, g GROUP BY ALL)"""
+
+
+@query("line_votes", f"WITH {_VOTES} SELECT key, angle, offset_ AS \"offset\", votes, {six_sql('length')} AS length FROM v")
+def line_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = crops(spark, sf_dir)
+    mask = sweep.cut_mask(pixels, sweep.score_cuts(pixels).where("cut = 0"))
+    return skew.line_votes(mask, 10.0).withColumn("length", six(F.col("length")))
+
+
+@query("text_angle", f"""WITH {_VOTES}, k AS (SELECT * FROM v WHERE votes >= 4 AND length >= 2 AND votes >= 0.6::DOUBLE * length),
+n AS (SELECT a.* FROM k a WHERE NOT EXISTS (SELECT 1 FROM k b WHERE b.key = a.key AND abs(b.angle - a.angle) <= 1 AND abs(b.offset_ - a.offset_) <= 1 AND (b.votes, -b.angle, -b.offset_) > (a.votes, -a.angle, -a.offset_))),
+r AS (SELECT key, angle, sum(length) OVER (PARTITION BY key ORDER BY angle RANGE UNBOUNDED PRECEDING) AS run, sum(length) OVER (PARTITION BY key) AS total FROM n),
+f AS (SELECT key, min(angle) AS angle FROM r WHERE run >= total / 2 GROUP BY key)
+SELECT a.key, CASE WHEN abs(angle) >= 0.3 THEN angle ELSE 0.0::DOUBLE END AS angle FROM (SELECT DISTINCT key FROM p) a LEFT JOIN f USING (key)""")
+def text_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = crops(spark, sf_dir)
+    mask = sweep.cut_mask(pixels, sweep.score_cuts(pixels).where("cut = 0"))
+    return skew.text_angle(mask, pixels.select("key").distinct().withColumn("cols", F.lit(8)), 10.0, 4)

@@ -44,6 +44,16 @@ def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.knn_vote(*parts(spark, sf_dir), least=0.0)
 
 
+@query("knn_vote_floor", """WITH r AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 5 <> 0),
+b AS (SELECT vec_id AS idx, label, CAST(embedding AS DOUBLE[]) AS t FROM embeddings WHERE vec_id % 5 = 0),
+d AS (SELECT id, label, row_number() OVER (PARTITION BY id ORDER BY list_sum(list_transform(range(1, len(v) + 1), lambda i: abs(v[i] - t[i]))), idx) AS rank FROM r, b),
+c AS (SELECT id, label, count(*) AS votes FROM d WHERE rank <= 5 GROUP BY id, label), m AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY votes DESC, label) = 1)
+SELECT id, label, votes / 5 AS conf FROM m WHERE votes >= 3""")
+def knn_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the floor of 0.6: rows without such a majority have no type."""
+    return vectors.knn_vote(*parts(spark, sf_dir))
+
+
 @query("margin_histogram", f"""WITH {_SIM} SELECT CAST(least(24, greatest(0, floor(margin / 0.01::DOUBLE))) AS INTEGER) AS bin,
 CASE WHEN margin < 0.05 THEN 'rejected' WHEN best.label = e.label THEN 'ok' ELSE 'bad' END AS outcome, count(*) AS n FROM best JOIN embeddings e ON e.vec_id = best.id GROUP BY ALL""")
 def margins(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,8 +69,10 @@ def catalog_json(catalog: DataFrame) -> DataFrame:
 def write_catalog(catalog: DataFrame, added: DataFrame, path: str, dry: bool = False) -> int:
     """Writes old rows and, behind them, new ones (ord, key, name, charts) if any were added; returns how many.
 
-    The new catalog is written beside the old one and then takes its place, so
-    ``catalog`` may be read from ``path``.
+    The new catalog is written beside the old one, which then steps aside for
+    it and is deleted last, so ``catalog`` may be read from ``path`` and one of
+    the two is whole at any time: where ``path`` is missing after a crash, the
+    old catalog is at ``path.old`` and the new one at ``path.new``.
     """
     n = added.count()
     if n and not dry:
@@ -78,10 +80,15 @@ def write_catalog(catalog: DataFrame, added: DataFrame, path: str, dry: bool = F
         moved = added.join(F.broadcast(last)).select((F.col("ord") + F.col("last")).alias("ord"), "key", "name", "charts")
         catalog_json(catalog.select("ord", "key", "name", "charts").unionByName(moved)).coalesce(1).write.mode("overwrite").text(f"{path}.new")
         hadoop = catalog.sparkSession._jvm.org.apache.hadoop.fs
-        old, new = hadoop.Path(path), hadoop.Path(f"{path}.new")
+        old, new, aside = hadoop.Path(path), hadoop.Path(f"{path}.new"), hadoop.Path(f"{path}.old")
         files = old.getFileSystem(catalog.sparkSession._jsc.hadoopConfiguration())
-        files.delete(old, True)
-        files.rename(new, old)
+        if files.exists(old):
+            files.delete(aside, True)  # left by a run that ended before its last step
+            if not files.rename(old, aside):
+                raise OSError(f"{path} can't be moved aside")
+        if not files.rename(new, old):
+            raise OSError(f"{path}.new can't take its place; the old catalog is at {path}.old")
+        files.delete(aside, True)
     return n
 
 
