@@ -11,25 +11,23 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldglass.work import written
 
-#: Steps of the sketch that says where a rank lies.
+#: Steps of the sketch that says where a rank lies, and values of a stretch that is ordered.
 STEPS = 128
+STRETCH = 100_000
 
 Ranks = dict[str, Callable[[Column], Column]]
 
 
-def ranks_of_counts(counts: DataFrame, key: str, value: str, n: str, ranks: Ranks, below: str | None = None) -> DataFrame:
+def ranks_of_counts(counts: DataFrame, key: str, value: str, n: str, ranks: Ranks) -> DataFrame:
     """Elements of samples at the wanted places: key and a column for each of ``ranks``.
 
     ``counts`` are distinct (key, value) with their number ``n``; each rank is
-    a function of the sample's size that gives a place from 0. Where ``below``
-    names a column, so many elements of the key lie before its smallest value
-    here, and ``_all`` is the size of the whole sample.
+    a function of the sample's size that gives a place from 0.
     """
     run = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = F.sum(n).over(Window.partitionBy(key)) if below is None else F.col("_all")
-    upto = F.sum(n).over(run) + (F.lit(0) if below is None else F.col(below))
-    placed = counts.withColumn("_size", all_).withColumn("_upto", upto)
+    placed = counts.withColumn("_size", F.sum(n).over(Window.partitionBy(key))).withColumn("_upto", F.sum(n).over(run))
     at = [F.min(F.when(F.col("_upto") > rank(F.col("_size")), F.col(value))).alias(name) for name, rank in ranks.items()]
     return placed.groupBy(key).agg(*at)
 
@@ -38,23 +36,35 @@ def ranks(rows: DataFrame, key: str, value: str, wanted: Ranks) -> DataFrame:
     """Elements of unbounded samples at the wanted places (see ``ranks_of_counts``); nulls don't count.
 
     A bounded sketch cuts each key's values into some ``STEPS`` stretches;
-    stretches are counted exactly, and only those that hold a wanted place are
-    ordered, each by itself. No task sees a whole key.
+    stretches are counted exactly, and only those that hold a wanted place go
+    on. They are cut again until none has more than ``STRETCH`` values, and
+    ordered then, all ranks in one pass. No task sees a whole key.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = counts.groupBy(key).agg(F.sum("_n").alias("_all"))
+    asked = F.array(*[F.struct(F.lit(name).alias("_name"), rank(F.col("_all")).cast("long").alias("_place")) for name, rank in wanted.items()])
+    asked = sizes.select(key, F.explode(asked).alias("_a")).select(key, "_a.*", F.lit(0).cast("long").alias("_below"))
+    live = written(_held(counts, asked, [key], key, value))
+    while (live.groupBy(key, "_name").count().agg(F.max("count")).first()[0] or 0) > STRETCH:  # one number comes back
+        places = live.groupBy(key, "_name").agg(F.first("_place").alias("_place"), F.first("_below").alias("_below"))
+        live = written(_held(live.select(key, "_name", value, "_n"), places, [key, "_name"], key, value))
+    run = Window.partitionBy(key, "_name").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    upto = live.withColumn("_upto", F.col("_below") + F.sum("_n").over(run)).where(F.col("_upto") > F.col("_place"))
+    found = upto.groupBy(key, "_name").agg(F.min(value).alias("_v"))
+    return found.groupBy(key).agg(*[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in wanted])
+
+
+def _held(counts: DataFrame, asked: DataFrame, by: list[str], key: str, value: str) -> DataFrame:
+    """The stretches of ``counts`` (by, value, _n) that hold the places asked for (key, _name, _place, _below), with what lies below each."""
     shares = [k / STEPS for k in range(1, STEPS)]
-    cuts = counts.groupBy(key).agg(F.percentile_approx(value, shares, 1000).alias("_cuts"))
-    cut = counts.join(cuts, key).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    parts = cut.groupBy(key, "_part").agg(F.sum("_n").alias("_in"))
-    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("_below", F.coalesce(F.sum("_in").over(before), F.lit(0))).withColumn("_all", F.sum("_in").over(Window.partitionBy(key)))
-    out = None
-    for name, rank in wanted.items():
-        place = rank(F.col("_all"))
-        held = parts.where((F.col("_below") <= place) & (place < F.col("_below") + F.col("_in"))).select(key, "_part", "_below", "_all")
-        found = ranks_of_counts(cut.join(held, [key, "_part"]), key, value, "_n", {name: rank}, "_below")
-        out = found if out is None else out.join(found, key)
-    return out
+    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, shares, 1000).alias("_cuts"))
+    cut = counts.join(cuts, by).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    parts = cut.groupBy(*by, "_part").agg(F.sum("_n").alias("_in"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0)))
+    found = parts.join(asked, by).withColumn("_below", F.col("_below") + F.col("_before"))
+    found = found.where((F.col("_below") <= F.col("_place")) & (F.col("_place") < F.col("_below") + F.col("_in")))
+    return cut.join(found.select(*by, "_part", *([] if "_name" in by else ["_name"]), "_place", "_below"), [*by, "_part"]).select(key, "_name", "_place", "_below", value, "_n")
 
 
 def lower_rank(p: float) -> Callable[[Column], Column]:

@@ -213,6 +213,22 @@ def test_component_filters(spark):
     assert r["tier"] == 1 and abs(r["regularity"] + gaps.std() / gaps.mean()) < 1e-9
 
 
+def test_ranks_cut_stretches_until_they_are_short(spark, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    rows = [(k, rng.randint(0, 4000) / 8) for k in ("a", "b") for _ in range(900)] + [("a", 7.0)] * 300 + [("c", 1.0), ("c", None)]
+    frame = spark.createDataFrame(rows, "key string, value double")
+    monkeypatch.setattr(lines, "STEPS", 8)
+    monkeypatch.setattr(lines, "STRETCH", 12)
+    got = {r["key"]: r for r in lines.percentiles(frame, "key", "value", 0.9).collect()}
+    for k in ("a", "b", "c"):
+        v = sorted(x for y, x in rows if y == k and x is not None)
+        at = 0.9 * (len(v) - 1)
+        assert got[k]["lower"] == v[int(at)] and got[k]["upper_median"] == v[len(v) // 2] and got[k]["median"] == (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2
+        assert abs(got[k]["linear"] - (v[int(at)] + (at - int(at)) * (v[min(int(at) + 1, len(v) - 1)] - v[int(at)]))) < 1e-9
+
+
 def test_ranks(spark):
     rng = np.random.default_rng(3)
     values = {"a": rng.integers(0, 50, 5000).astype(float), "b": rng.normal(size=3000), "c": np.array([7.0])}
