@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -327,6 +329,7 @@ def added_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> li
     if not triggers:
         return []
     taken = sorted((s, e) for _, s, e in base)
+    starts, upto = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
     out = []
     for s, e in islands(text, triggers):
         while s > 0 and not text[s - 1].isspace() and text[s].isalnum():
@@ -334,8 +337,8 @@ def added_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> li
         while e < len(text) and not text[e].isspace() and text[e - 1].isalnum():
             e += 1
         part = list(text[s:e])
-        for a, b in taken:  # base spans are borders that no entity crosses
-            if a < e and b > s:
+        for a, b in taken[bisect_right(upto, s) : bisect_left(starts, e)]:  # base spans are borders that no entity crosses
+            if b > s:
                 part[max(a, s) - s : min(b, e) - s] = "\n" * (min(b, e) - max(a, s))
         out += [(k, a + s, b + s) for k, a, b in field.decode("".join(part))]
     return out
