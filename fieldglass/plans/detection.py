@@ -238,3 +238,17 @@ def homography(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = detections(spark, sf_dir).select(F.struct("key", "ord").alias("key"), quad.alias("quad"))
     h = F.col("h")
     return segments.homographies(rows, 100, 50).select("key.key", "key.ord", *[six(h[i]).alias(n) for i, n in ((0, "sx"), (4, "sy"), (2, "tx"), (5, "ty"))])
+
+
+# a keystone: the upper side is shorter than the lower one, so the map is projective; its corners must come back
+@query("homography_corners", f"""WITH {DET}, c AS (SELECT key, ord, [x1 + 1, x2 - 2, x2 + 3, x1 - 4] AS xs, [y1, y1 + 1, y2 + 2, y2] AS ys FROM det)
+SELECT key, ord, CAST(i AS INTEGER) AS corner, CAST(xs[i + 1] AS DOUBLE) AS x, CAST(ys[i + 1] AS DOUBLE) AS y FROM c, range(4) r(i)""")
+def homography_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keystones as quads: where the map from a screen of 100 x 50 takes its corners."""
+    b = F.col("box")
+    corners = [(b["x1"] + 1, b["y1"]), (b["x2"] - 2, b["y1"] + 1), (b["x2"] + 3, b["y2"] + 2), (b["x1"] - 4, b["y2"])]
+    rows = detections(spark, sf_dir).select(F.struct("key", "ord").alias("key"), F.array(*[c.cast("double") for p in corners for c in p]).alias("quad"))
+    h = F.col("h")
+    at = lambda x, y, i: (h[3 * i] * x + h[3 * i + 1] * y + h[3 * i + 2]) / (h[6] * x + h[7] * y + h[8])
+    told = F.array(*[F.struct(F.lit(i).alias("corner"), six(at(x, y, 0)).alias("x"), six(at(x, y, 1)).alias("y")) for i, (x, y) in enumerate(((0, 0), (100, 0), (100, 50), (0, 50)))])
+    return segments.homographies(rows, 100, 50).select("key.key", "key.ord", F.explode(told).alias("c")).select("key", "ord", "c.*")
