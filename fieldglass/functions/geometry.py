@@ -136,6 +136,17 @@ def order_quad(corners: Column) -> Column:
     return F.array(top[0], top[1], low[1], low[0])
 
 
+def keystone(angle: Column, shift_x: Column, shift_y: Column, width: float, height: float, margin: float = 60.0) -> Column:
+    """Corners (8 numbers, from the top left) of a screen that is seen from an angle in degrees: the steeper, the shorter its upper side.
+
+    The screen leaves a margin in its photo and is shifted by shares of the photo's sides.
+    """
+    inset = F.sin(F.radians(angle.cast("double"))) * 0.5 * width
+    dx, dy = shift_x * width, shift_y * height
+    left, right, top, low = margin + dx, width - margin + dx, margin + dy, height - margin + dy
+    return F.array(left + inset, top, right - inset, top, right, low, left, low)
+
+
 def plausible_quad(w: Column, h: Column, fill: Column, box_w: Column, box_h: Column) -> Column:
     """Whether a quadrilateral found in a detected box can be a screen: both sizes, filled share and aspect."""
     aspect = w / F.greatest(h, F.lit(1))

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldglass.functions.geometry import keystone
 from fieldglass.functions.text import clean_name, normalize_key
 from fieldglass.work import written
 
 
+#: Width and height of a synthetic photo, and of the flat screen that it shows.
+PHOTO, SCREEN = (1600.0, 1000.0), (1280.0, 720.0)
+
+
 def catalog_upsert(catalog: DataFrame, batch: DataFrame) -> DataFrame:
     """New catalog rows of a batch (ord, name, charts): those whose key the catalog lacks.
 
@@ -86,14 +91,20 @@ def progress(items: DataFrame) -> DataFrame:
 
 
 def synthetic_cases(songs: DataFrame, seed: int = 7) -> DataFrame:
-    """Every song under each of 4 angles, 3 brightnesses, and with and without glare, jittered by a hash."""
+    """Every song under each of 4 angles, 3 brightnesses, and with and without glare, shifted by hashes.
+
+    Adds ``jitter`` and ``jitter_y``, at most 2 % of a photo's sides, ``inset``,
+    the share of its width by which the upper side is shorter at either end,
+    and ``quad``, the screen's corners in a photo of 1600 by 1000.
+    """
     spark = songs.sparkSession
     angles = spark.createDataFrame([(a,) for a in (0, 10, 20, 30)], "angle int")
     lights = spark.createDataFrame([(b,) for b in (0.4, 0.7, 1.0)], "brightness double")
     glares = spark.createDataFrame([(False,), (True,)], "glare boolean")
     grid = F.broadcast(angles.join(lights).join(glares))  # 24 rows
-    jitter = F.pmod(F.xxhash64(F.col("song"), F.col("angle"), F.col("brightness"), F.col("glare"), F.lit(seed)), F.lit(4001)) / 100000 - 0.02
-    return songs.join(grid).withColumn("jitter", jitter).withColumn("inset", F.sin(F.radians(F.col("angle").cast("double"))) * 0.5)
+    shift = lambda n: F.pmod(F.xxhash64(F.col("song"), F.col("angle"), F.col("brightness"), F.col("glare"), F.lit(n)), F.lit(4001)) / 100000 - 0.02
+    cases = songs.join(grid).withColumns({"jitter": shift(seed), "jitter_y": shift(seed + 1), "inset": F.sin(F.radians(F.col("angle").cast("double"))) * 0.5})
+    return cases.withColumn("quad", keystone(F.col("angle"), F.col("jitter"), F.col("jitter_y"), *PHOTO))
 
 
 def status_counts(items: DataFrame) -> DataFrame:

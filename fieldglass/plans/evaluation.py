@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.functions import text
+from fieldglass.functions import geometry, text
 from fieldglass.functions.text import normalize_key
-from fieldglass.operators import curate, evaluate
+from fieldglass.operators import curate, evaluate, segments
 from fieldglass.plans.registry import query, six, six_sql, table
 
 
@@ -215,6 +215,20 @@ def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.to_json(back).alias("json"))
 
 
+@query("keystone", f"""WITH p AS (SELECT p_partkey AS key, sin(radians(CAST(p_size % 31 AS DOUBLE))) * 0.5::DOUBLE * 1600 AS inset, ((p_partkey * 37) % 41 - 20) / 1000 * 1600 AS dx, ((p_partkey * 53) % 41 - 20) / 1000 * 1000 AS dy FROM part),
+b AS (SELECT key, [[60 + dx + inset, 60 + dy], [1540 + dx - inset, 60 + dy], [1540 + dx, 940 + dy], [60 + dx, 940 + dy]] AS q FROM p)
+SELECT key, CAST(i AS INTEGER) AS corner, {six_sql("q[i + 1][1]")} AS x, {six_sql("q[i + 1][2]")} AS y FROM b, range(4) r(i)""")
+def keystone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a flat screen's corners lie in a photo from an angle, by the map that is solved from them."""
+    k = F.col("p_partkey")
+    shift = lambda by: ((k * by) % 41 - 20) / 1000
+    quads = table(spark, sf_dir, "part").select(k.alias("key"), geometry.keystone(F.col("p_size") % 31, shift(37), shift(53), *curate.PHOTO).alias("quad"))
+    h, (w, t) = F.col("h"), curate.SCREEN
+    at = lambda x, y, i: (h[3 * i] * x + h[3 * i + 1] * y + h[3 * i + 2]) / (h[6] * x + h[7] * y + h[8])
+    told = F.array(*[F.struct(F.lit(i).alias("corner"), six(at(x, y, 0)).alias("x"), six(at(x, y, 1)).alias("y")) for i, (x, y) in enumerate(((0, 0), (w, 0), (w, t), (0, t)))])
+    return segments.homographies(quads, w, t).select("key", F.explode(told).alias("c")).select("key", "c.*")
+
+
 @query("synth_cross_product", f"""SELECT n_name AS song, angle, brightness, glare, {six_sql('sin(radians(angle::DOUBLE)) * 0.5')} AS inset FROM nation, (SELECT unnest([0, 10, 20, 30])::INTEGER AS angle), (SELECT unnest([0.4::DOUBLE, 0.7::DOUBLE, 1.0::DOUBLE]) AS brightness), (SELECT unnest([false, true]) AS glare)""")
 def synth(spark: SparkSession, sf_dir: str) -> DataFrame:
     songs = table(spark, sf_dir, "nation").select(F.col("n_name").alias("song"))
