@@ -208,7 +208,8 @@ def test_kernel_is_the_sum_over_subsequences():
     found = tx.Scores(s, table)
     value = lambda x: tx.kernel([x], ["idiot"])[0, 0]
     assert np.allclose(found.words, [value(w) for w in [*words, "idiot"]])
-    assert np.allclose(found.pairs, [value(f"{a} {b}") for a, b in zip(words, words[1:])])
+    within = [(a, b) for a, b in zip(words, words[1:]) if (a, b) not in (("here", "or"), ("idiot", "aidiotb"))]  # a sentence ends between those
+    assert np.allclose(found.pairs, [value(f"{a} {b}") for a, b in within])
     f = tx.Machine(table, 0.0).features([text, "", "!", "idiot"])
     assert np.allclose(f[0, :3], sorted(found.words[:-1])[::-1][:3]) and (f[1, :5] == -1).all() and (f[2, :5] == -1).all() and f[3, 0] > 0.99
     many = [text, "idiot", None or "", "an idiot"] * 30
