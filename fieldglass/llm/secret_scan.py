@@ -35,8 +35,8 @@ CANDIDATE = (
 NEAR = 60
 THRESHOLD = 0.5
 TRAINING_ROWS = 12_000
-#: Documents that letter pairs and words are learnt from, at most, and words that are kept.
-SAMPLE_DOCS, WORDS = 500, 3000
+#: The most frequent words of all documents are known ones.
+WORDS = 3000
 TREES, DEPTH, SEED = 24, 8, 17
 
 #: Dictionary words, words beside secrets and beside other long tokens.
@@ -70,19 +70,18 @@ class Prose:
 
 
 def learn_prose(docs: DataFrame, id_col: str, text_col: str) -> Prose:
-    """Transitions between characters and frequent words of at most ``SAMPLE_DOCS`` documents, chosen by a hash of their ids.
+    """Transitions between characters and frequent words of all documents; every row counts, whatever its id.
 
-    At most 729 pairs and ``WORDS`` words come back. Without documents all
-    pairs are alike and only the built-in words are known.
+    Words are counted whole and distinct ones cut into pairs. At most 729 pairs
+    and the ``WORDS`` most frequent words come back. Without documents all pairs
+    are alike and only the built-in words are known.
     """
-    rows = columns_only(docs, id_col, text_col).where(F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    chosen = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS).select(F.col("id").alias("chosen")).distinct()
-    words = rows.join(F.broadcast(chosen), F.col("id").eqNullSafe(F.col("chosen")), "left_semi").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where("w != ''")
+    words = columns_only(docs, text_col).select(F.explode(F.split(F.lower(whole(F.col(f"`{text_col}`"))), "[^a-z]+")).alias("w")).where("w != ''")
     counts = written(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")))
-    code = lambda at: F.when((F.ascii(at) >= 97) & (F.ascii(at) <= 122), F.ascii(at) - 97).otherwise(26)
-    framed = F.concat(F.lit(" "), "w", F.lit(" "))
-    pair = counts.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") + 1), lambda i: code(F.substr(framed, i, F.lit(1))) * 27 + code(F.substr(framed, i + 1, F.lit(1))))).alias("p"))
-    seen = {r["p"]: r["n"] for r in pair.groupBy("p").agg(F.sum("n").alias("n")).collect()}
+    # one look ahead a place takes time in proportion to a word's length
+    pair = counts.select("n", F.explode(F.regexp_extract_all(F.concat(F.lit(" "), "w", F.lit(" ")), F.lit("(?=(..))"), F.lit(1))).alias("p"))
+    code = lambda x: ord(x) - 97 if x != " " else 26
+    seen = {code(r["p"][0]) * 27 + code(r["p"][1]): r["n"] for r in pair.groupBy("p").agg(F.sum("n").alias("n")).collect()}
     total = sum(seen.values()) + 729
     known = [r["w"] for r in counts.where(F.length("w") > 2).orderBy(F.desc("n"), "w").limit(WORDS).collect()]
     dropped(counts)
@@ -230,8 +229,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     forest is trained from ``findings`` (candidate, before, after, label) or
     the built-in ones; features are the candidate's length, transitions
     between its characters as ordinary text has them, dictionary coverage,
-    path signs and the words beside it. Ordinary text is learnt from a bounded
-    sample of the documents. The candidate itself isn't returned.
+    path signs and the words beside it. Ordinary text is learnt from all
+    documents. The candidate itself isn't returned.
 
     Null and empty texts have no candidates and give no row, like an empty
     table. Repeated rows give repeated results, null ids stay null; other
