@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import dropped, written
+from fieldglass.llm.common import by_rows, dropped, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,14 +20,15 @@ def components(links: DataFrame) -> DataFrame:
     )
     labels = both.groupBy(F.col("a").alias("rep")).agg(F.least(F.min("b"), F.min("a")).alias("root"))
     labels = written(labels)
+    most = labels.count()  # each round has as many
     while True:
-        near = both.join(labels, both["b"] == labels["rep"]).groupBy("a").agg(F.min("root").alias("least"))
-        new = labels.join(near, labels["rep"] == near["a"], "left").select(
+        near = both.join(by_rows(labels, most), both["b"] == labels["rep"]).groupBy("a").agg(F.min("root").alias("least"))
+        new = labels.join(by_rows(near, most), labels["rep"] == near["a"], "left").select(
             "rep", F.col("root").alias("old"), F.least("root", "least").alias("root")
         )
         labels_ = labels.select("rep", "root")
         jump = labels_.select(F.col("rep").alias("at"), F.col("root").alias("further"))
-        new = new.join(jump, new["root"] == jump["at"], "left").select(
+        new = new.join(by_rows(jump, most), new["root"] == jump["at"], "left").select(
             "rep", "old", F.least("root", "further").alias("root")
         )
         new = written(new)

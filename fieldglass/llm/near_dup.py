@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import columns_only, dropped, one_of_each, whole_rows, written
+from fieldglass.llm.common import by_rows, columns_only, dropped, one_of_each, whole_rows, written
 from fieldglass.llm.graph import components
 from fieldglass.llm.hashing import P, WordHashes, mix
 
@@ -110,6 +110,7 @@ def _shared_lists(reps: DataFrame) -> DataFrame:
         "rep", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("v").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))).alias("key")
     )
     count = posts.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    count = by_rows(count, reps.count() * COORDS // 2)
     shared = posts.join(count, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("size", "key"))).alias("at"))
     free = F.lit(COORDS) - F.size("at")
     shared = shared.where(F.size("at") >= MATCHES).select(
@@ -121,8 +122,7 @@ def _shared_lists(reps: DataFrame) -> DataFrame:
 
 def _with_sets(docs: DataFrame, ask: DataFrame) -> DataFrame:
     """Rows (key, i, j, side, rep, root, mask) of ``ask`` with the full shingle set and signature of their document."""
-    if ask.count() <= FEW:
-        ask = F.broadcast(ask)
+    ask = F.broadcast(ask) if ask.count() <= FEW else ask.hint("merge")
     rows = docs.join(ask, docs["id"] == ask["rep"]).select(*PLACES, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,9 +151,9 @@ _PLACED = "key long, i int, j int, side int, rep long, root long, mask long"
 def _star_pairs(lists: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs (rep, lead) of each list's leader and members whose signatures agree often enough."""
     leader = lists.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep")).alias("lead"))
-    pairs = lists.join(leader, "key").select("rep", F.col("lead.rep").alias("lead")).where("rep != lead").distinct()
-    sig = reps.select("rep", "sig")
-    rows = pairs.join(sig, "rep").join(sig.select(F.col("rep").alias("lead"), F.col("sig").alias("sig2")), "lead").select("rep", "lead", "sig", "sig2")
+    pairs = lists.join(by_rows(leader, lists.count()), "key").select("rep", F.col("lead.rep").alias("lead")).where("rep != lead").distinct()
+    sig, n = reps.select("rep", "sig"), reps.count()
+    rows = pairs.join(by_rows(sig, n), "rep").join(by_rows(sig.select(F.col("rep").alias("lead"), F.col("sig").alias("sig2")), n), "lead").select("rep", "lead", "sig", "sig2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,7 +170,7 @@ def _star_links(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     which the leader's set is copied.
     """
     size = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("blocks"))
-    members = pairs.join(size, "lead").select("rep", "lead", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("i"))
+    members = pairs.join(by_rows(size, pairs.count()), "lead").select("rep", "lead", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("i"))
     leads = size.select(F.col("lead").alias("rep"), "lead", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
     ask = members.withColumn("side", F.lit(1)).unionByName(leads.withColumn("side", F.lit(0)))
     ask = written(ask.select(F.col("lead").alias("key"), "i", F.lit(0).alias("j"), "side", "rep", F.col("rep").alias("root"), F.lit(0).cast("long").alias("mask")))
@@ -260,11 +260,11 @@ def _other_links(docs: DataFrame, lists: DataFrame, roots: DataFrame, reps: Data
     are one component cost nothing further, and a large group that is mostly
     connected costs minor sets times group size, in tasks of bounded size.
     """
-    rows = written(lists.join(roots, "rep", "left").select("rep", "mask", "key", F.coalesce("root", "rep").alias("root")))
+    rows = written(lists.join(by_rows(roots), "rep", "left").select("rep", "mask", "key", F.coalesce("root", "rep").alias("root")))
     per = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
     major = per.groupBy("key").agg(F.max(F.struct("k", "root")).alias("m"), F.sum("k").alias("size"))
     major = major.where("m.k < size").select("key", F.col("m.root").alias("major"), F.col("m.k").alias("k"), "size")
-    open_ = rows.join(major, "key")
+    open_ = rows.join(by_rows(major, rows.count()), "key")
     minors, majors = F.ceil((F.col("size") - F.col("k")) / BLOCK), F.ceil(F.col("k") / BLOCK)
     open_ = open_.select("rep", "mask", "key", "root", (F.col("root") != F.col("major")).alias("minor"), minors.cast("int").alias("nm"), majors.cast("int").alias("nj"))
     own = F.pmod(F.xxhash64("rep"), F.when(F.col("minor"), F.col("nm")).otherwise(F.col("nj"))).cast("int")
@@ -277,7 +277,7 @@ def _other_links(docs: DataFrame, lists: DataFrame, roots: DataFrame, reps: Data
         F.transform(F.sequence(F.lit(0), F.col("nj") - 1), lambda j: struct(F.col("own"), j + F.col("nm"), 0)),
     )
     major_tiles = F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda i: struct(i, F.col("own") + F.col("nm"), 1))
-    tiles = open_.withColumn("own", own).join(reps.select("rep", "n", "sig"), "rep")
+    tiles = open_.withColumn("own", own).join(by_rows(reps.select("rep", "n", "sig"), reps.count()), "rep")
     tiles = tiles.select("rep", "mask", "key", "root", "n", "sig", F.explode(F.when(F.col("minor"), minor_tiles).otherwise(major_tiles)).alias("t"))
     tiles = tiles.select("key", "t.*", "rep", "root", "mask", "n", "sig")
     # tiles are small in bytes and heavy to compare: as many tasks as there are partitions, not fewer
@@ -330,8 +330,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(star.unionByName(rest))
     dropped(star)
     dropped(rest)
-    told = reps.select("name", "rep").join(roots, "rep", "left").select("name", F.coalesce("root", "rep").alias("component"))
-    hit = some.select("id", "n", "name").join(told, "name").select("id", "n", "component")
+    told = reps.select("name", "rep").join(by_rows(roots), "rep", "left").select("name", F.coalesce("root", "rep").alias("component"))
+    hit = some.select("id", "n", "name").join(by_rows(told, reps.count()), "name").select("id", "n", "component")
     rest = sketch.where("NOT (n > 0 AND id IS NOT NULL)").select("id", "n", F.col("id").alias("component"))
     return hit.unionByName(rest).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
