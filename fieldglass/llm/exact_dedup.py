@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import SPACE, columns_only, one_of_each, whole, whole_rows, written
+from fieldglass.llm.common import SPACE, by_rows, columns_only, one_of_each, whole, whole_rows, written
 
 
 def sha256_hex(text: Column) -> Column:
@@ -69,28 +69,29 @@ def exact_dedup(
         by_salt.where("hot").groupBy("digest", "norm").agg(F.min("keep").alias("keep"), F.sum("n").alias("n"))
     )
     winners = by_salt.where("hot IS NULL").select("digest", "keep", "n").unionByName(merged.select("digest", "keep", "n"))
-    return _told(marks, winners, hot, full, id_col)
+    return _told(marks, winners, by_salt.count(), hot, full, id_col)
 
 
-def _told(marks: DataFrame, winners: DataFrame, hot: DataFrame, full: DataFrame, id_col: str) -> DataFrame:
-    """Each row's winner; digests of several texts are told apart by the text."""
+def _told(marks: DataFrame, winners: DataFrame, most: int, hot: DataFrame, full: DataFrame, id_col: str) -> DataFrame:
+    """Each row's winner, of ``most`` at most; digests of several texts are told apart by the text."""
     several = written(winners.groupBy("digest").count().where("count > 1").select("digest"))
     clash = several.limit(1).count() > 0
     lone = winners.select("digest", "keep", "n")
     if clash:
+        several = by_rows(several)
         lone = lone.join(several, "digest", "left_anti")
     hot_lone = F.broadcast(lone.join(hot.select("digest"), "digest", "left_semi"))
     cold_lone = lone.join(F.broadcast(hot.select("digest")), "digest", "left_anti")
     is_hot = marks.join(F.broadcast(hot), "digest", "left")
     told = (
         is_hot.where("hot").join(hot_lone, "digest")
-        .unionByName(is_hot.where("hot IS NULL").join(cold_lone, "digest"))
+        .unionByName(is_hot.where("hot IS NULL").join(by_rows(cold_lone, most), "digest"))
         .select("id", "digest", "keep", "n")
     )
     if clash:
         texts = full.join(several, "digest", "left_semi")
         among = texts.groupBy("digest", "norm").agg(F.min("id").alias("keep"), F.count(F.lit(1)).alias("n"))
-        told = told.unionByName(texts.join(among, ["digest", "norm"]).select("id", "digest", "keep", "n"))
+        told = told.unionByName(texts.join(by_rows(among, most), ["digest", "norm"]).select("id", "digest", "keep", "n"))
     return told.select(
         F.col("id").alias(id_col),
         F.col("keep").alias("keep_id"),

@@ -42,3 +42,16 @@ def test_near_duplicates_by_rows(spark, monkeypatch):
     assert got == {i: i % 300 for i in range(600)}
     asked = [p for p in found[0] if "MapInArrow" in p and "side" in p]  # rows that ask for sets are counted and broadcast up to FEW
     assert not any("BroadcastHashJoin" in p for p in found[0] if p not in asked) and not any("BroadcastHashJoin" in p for p in found[1])
+
+
+def test_exact_copies_by_rows(spark, monkeypatch):
+    from fieldglass.llm import common, exact_dedup
+
+    docs = spark.createDataFrame([(i, f"text {i % 500}") for i in range(1000)], "doc_id long, text string")
+    monkeypatch.setattr(work, "FEW_ROWS", 100)
+    found = exact_dedup.kept_documents(docs)
+    assert "SortMergeJoin" in plan(found) and "BroadcastHashJoin" not in plan(found)
+    assert sorted(r["doc_id"] for r in found.collect()) == list(range(500))
+    told = plan(exact_dedup.exact_dedup(docs))
+    assert "SortMergeJoin" in told  # winners; only hot digests, bounded, are broadcast
+    assert common.by_rows is work.by_rows
