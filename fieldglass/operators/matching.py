@@ -175,15 +175,22 @@ def levels_for(songs: DataFrame, catalog: DataFrame) -> DataFrame:
     The first catalog row (ord, name, charts of struct type, level) with the
     same name or normal form counts. Levels of the wanted chart or of no chart
     count; none of them: all levels. Sorted, distinct; null for unknown songs.
+    Levels are gathered once for each row and chart of the catalog; a song only
+    looks them up, however many its row has.
     """
-    wanted = songs.withColumn("norm", normalize_match(F.col("name")))
-    entries = catalog.withColumn("norm", normalize_match(F.col("name"))).select("ord", F.col("name").alias("entry"), F.col("norm").alias("entry_norm"), "charts")
-    by_norm = Window.partitionBy("entry_norm").orderBy("ord")
-    first = entries.withColumn("r", F.row_number().over(by_norm)).where("r = 1").drop("r")  # equal names have equal normal forms
-    found = wanted.join(first, wanted["norm"] == first["entry_norm"], "left")
-    fits = F.filter("charts", lambda c: F.col("chart").isNull() | (c["type"] == F.col("chart")) | (c["type"] == ""))
-    used = F.when(F.size(fits) > 0, fits).otherwise(F.col("charts"))
-    return found.select("key", F.array_sort(F.array_distinct(F.transform(used, lambda c: c["level"]))).alias("levels"))
+    wanted = songs.select("key", F.col("chart").alias("_chart"), normalize_match(F.col("name")).alias("_norm"))
+    by_norm = Window.partitionBy("_norm").orderBy("ord")
+    first = catalog.select(normalize_match(F.col("name")).alias("_norm"), "ord", "charts").withColumn("r", F.row_number().over(by_norm)).where("r = 1")  # equal names have equal normal forms
+    levels = lambda charts: F.array_sort(F.array_distinct(F.transform(charts, lambda c: c["level"])))
+    of_none = levels(F.filter("charts", lambda c: c["type"] == ""))
+    rows = first.select("_norm", levels(F.col("charts")).alias("_all"), of_none.alias("_none"))
+    each = first.select("_norm", F.explode("charts").alias("c")).where("c.type != ''")
+    held = each.groupBy("_norm", F.col("c.type").alias("_chart")).agg(F.collect_set(F.struct("c.level")).alias("_own"))  # structs, as a set of values leaves out null
+    # a catalog's arrays aren't seen in its size, so neither is broadcast by that
+    found = wanted.join(held.hint("merge"), ["_norm", "_chart"], "left").join(rows.hint("merge"), "_norm", "left")
+    own = F.array_sort(F.array_union(F.transform("_own", lambda c: c["level"]), F.col("_none")))
+    used = F.when(F.col("_own").isNotNull(), own).when(F.col("_chart").isNotNull() & (F.size("_none") > 0), F.col("_none")).otherwise(F.col("_all"))
+    return found.select("key", used.alias("levels"))
 
 
 def charts_for(songs: DataFrame, catalog: DataFrame) -> DataFrame:

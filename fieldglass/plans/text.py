@@ -102,7 +102,7 @@ SELECT w.key, array_to_string(CASE WHEN w.chart IS NOT NULL AND t.levels IS NOT
 FROM w JOIN c USING (name) LEFT JOIN t ON t.name = w.name AND t.type = w.chart""")
 def levels_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    charts = part.groupBy(F.col("p_name").alias("name")).agg(F.collect_list(F.struct(F.col("p_type").alias("type"), F.col("p_size").alias("level"))).alias("charts"))
+    charts = part.groupBy(F.col("p_name").alias("name")).agg(F.collect_set(F.struct(F.col("p_type").alias("type"), F.col("p_size").alias("level"))).alias("charts"))
     entries = charts.withColumn("ord", F.col("name"))
     chart = F.when(F.col("p_partkey") % 3 == 1, F.col("p_type")).when(F.col("p_partkey") % 3 == 2, "NONE")
     songs = part.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), chart.alias("chart"))

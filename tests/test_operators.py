@@ -355,3 +355,15 @@ def test_truth_and_writers(spark, catalog, tmp_path):
     assert [spark.read.json(str(tmp_path / d)).first()["score"] for d in ("set", "before")] == [2, 1]
     metrics = evaluate.escalated(spark.createDataFrame([("x", 1, 1, None), ("x", None, 1, "s")], "song string, score int, level int, chart_type string"))
     assert tuple(metrics.first()) == (2, 1, 0.5)
+
+
+def test_levels_are_gathered_once(spark):
+    """No song carries the charts of its catalog row; nulls, empty charts and charts of no type keep their answers."""
+    schema = "ord int, name string, charts array<struct<type string, level int>>"
+    catalog = spark.createDataFrame([(1, "A a", [("s", 5), ("s", None), ("", 3), ("d", 7), (None, 9)]), (2, "b", []), (3, "c", None), (4, "d", [("s", 2), ("s", 1), ("s", 2)]), (5, "a-A", [("s", 1)])], schema)
+    songs = spark.createDataFrame([(i, *x) for i, x in enumerate([("a a", None), ("A A", "s"), ("a a", "x"), ("a a", ""), ("b", "s"), ("c", "s"), ("d", "x"), ("d", "s"), ("e", None), (None, "s")])], "key int, name string, chart string")
+    found = matching.levels_for(songs, catalog)
+    got = {r["key"]: r["levels"] for r in found.collect()}
+    assert got == {0: [3, 5, 7, 9, None], 1: [3, 5, None], 2: [3], 3: [3], 4: [], 5: None, 6: [1, 2], 7: [1, 2], 8: None, 9: None}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "charts" not in plan[: plan.index("Join")]  # what joins songs is levels, not charts
