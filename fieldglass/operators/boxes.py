@@ -58,10 +58,13 @@ def orientation_scores(det: DataFrame, full_class: int = 1) -> DataFrame:
 
 
 def best_turn(det: DataFrame, full_class: int = 1) -> DataFrame:
-    """The turn of each key: 0 if that shows a whole screen, else the one with the highest orientation score, the smallest of equals."""
+    """The turn of each key: 0 if that shows a whole screen, else the one with the highest orientation score, the smallest of equals.
+
+    Scores are compared at six decimals, so that the order of a sum doesn't decide.
+    """
     upright = F.max(F.coalesce((F.col("turn") == 0) & (F.col("cls") == full_class), F.lit(False))).over(Window.partitionBy("key"))
     asked = det.withColumn("_upright", upright).where(~F.col("_upright") | (F.col("turn") == 0)).drop("_upright")
-    w = Window.partitionBy("key").orderBy(F.desc("score"), "turn")
+    w = Window.partitionBy("key").orderBy(F.desc(F.floor(F.col("score") * 1e6 + 0.5)), "turn")
     return orientation_scores(asked, full_class).withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
 
 

@@ -367,3 +367,10 @@ def test_levels_are_gathered_once(spark):
     assert got == {0: [3, 5, 7, 9, None], 1: [3, 5, None], 2: [3], 3: [3], 4: [], 5: None, 6: [1, 2], 7: [1, 2], 8: None, 9: None}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "charts" not in plan[: plan.index("Join")]  # what joins songs is levels, not charts
+
+
+def test_turns_of_nearly_equal_scores(spark):
+    """Scores that are equal at six decimals are equal: the smaller turn stays."""
+    rows = [(1, 1, 0, 0.9000001), (1, 2, 0, 0.9000004), (2, 1, 0, 0.9000001), (2, 2, 0, 0.9000011), (3, 1, 0, 0.1), (3, 1, 2, 0.7), (3, 1, 3, 0.2), (3, 2, 0, 0.2), (3, 2, 2, 0.1), (3, 2, 3, 0.7)]
+    det = spark.createDataFrame(rows, "key int, turn int, cls int, conf double")
+    assert {r["key"]: r["turn"] for r in boxes.best_turn(det).collect()} == {1: 1, 2: 2, 3: 1}
