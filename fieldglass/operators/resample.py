@@ -101,7 +101,8 @@ def glyph_vectors(boxes: DataFrame, mask: DataFrame, keys: list[str], in_line: b
     in the line, the rectangle around all glyphs that share all keys but the last.
     The last of ``keys`` tells the glyphs of a mask apart; all foreground
     pixels in a glyph's rectangle count, whatever component they belong to. A
-    glyph without any is a vector of zeros.
+    glyph without any is a vector of zeros. All joins are by shuffle: taps are
+    exploded and glyphs compress well, so that Spark takes both to be small.
     """
     shared = keys[:-1]
     lone = boxes.withColumns({"width": F.col("w").cast("int"), "height": F.col("h").cast("int")})
@@ -118,21 +119,21 @@ def glyph_vectors(boxes: DataFrame, mask: DataFrame, keys: list[str], in_line: b
         lone = lone.withColumn("to_width", F.greatest(F.lit(1), F.least(F.lit(GLYPH_W), _half_even(F.lit(float(GLYPH_H)) * aspect.cast("double")))))
     lone = lone.withColumn("_right", F.floor((F.lit(GLYPH_W) - F.col("to_width")) / 2).cast("int"))
 
-    inside = mask.select(*shared, F.col("x").alias("px"), F.col("y").alias("py")).join(lone.select(*keys, "x", "y", "w", "h"), shared)
+    inside = mask.select(*shared, F.col("x").alias("px"), F.col("y").alias("py")).join(lone.select(*keys, "x", "y", "w", "h").hint("merge"), shared)
     inside = inside.where((F.col("px") >= F.col("x")) & (F.col("px") < F.col("x") + F.col("w")) & (F.col("py") >= F.col("y")) & (F.col("py") < F.col("y") + F.col("h")))
     inside = inside.select(*keys, (F.col("px") - F.col("x")).cast("int").alias("sx"), (F.col("py") - F.col("y")).cast("int").alias("sy"))
     xs = _taps(lone, [*keys, "_right"], "area", "width", "to_width", ("tx", "sx", "wx"))
     ys = _taps(lone, [*keys, "_down"], "area", "height", "to_height", ("ty", "sy", "wy"))
     # one row of 24 sums for each source row of a glyph, then one for each target row
     cells = [F.sum(F.when(F.col("tx") + F.col("_right") == i, F.col("wx")).otherwise(0.0)) for i in range(GLYPH_W)]
-    rows = inside.join(xs, [*keys, "sx"]).groupBy(*keys, "sy").agg(F.array(*cells).alias("cells"))
+    rows = inside.join(xs.hint("merge"), [*keys, "sx"]).groupBy(*keys, "sy").agg(F.array(*cells).alias("cells"))
     spread = [F.sum(F.col("cells")[i] * F.col("wy")) for i in range(GLYPH_W)]
-    rows = rows.join(ys, [*keys, "sy"]).groupBy(*keys, (F.col("ty") + F.col("_down")).alias("row")).agg(F.array(*spread).alias("cells"))
+    rows = rows.join(ys.hint("merge"), [*keys, "sy"]).groupBy(*keys, (F.col("ty") + F.col("_down")).alias("row")).agg(F.array(*spread).alias("cells"))
     drawn = rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("row", "cells"))).alias("_rows"))
     none = F.array_repeat(F.lit(0.0), GLYPH_W)
     area = (F.col("w") * F.col("h")).cast("double")
     vec = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(GLYPH_H - 1)), lambda r: F.coalesce(F.try_element_at("_rows", r), none)))
-    out = lone.drop("width", "height", "to_width", "to_height", "_right", "_down").join(drawn, keys, "left")
+    out = lone.drop("width", "height", "to_width", "to_height", "_right", "_down").join(drawn.hint("merge"), keys, "left")
     return out.withColumn("vec", F.transform(vec, lambda v: F.rint(v * 255 / area))).drop("_rows")
 
 

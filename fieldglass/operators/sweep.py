@@ -131,7 +131,7 @@ def threshold_components(pixels: DataFrame, cuts: DataFrame) -> DataFrame:
 def cut_mask(pixels: DataFrame, cuts: DataFrame) -> DataFrame:
     """The pixels of each cut: key, cut, x, y."""
     above = F.col("gray") > F.col("threshold")
-    return pixels.join(cuts, "key").where(above != F.col("dark")).select("key", "cut", "x", "y")
+    return pixels.join(cuts.hint("merge"), "key").where(above != F.col("dark")).select("key", "cut", "x", "y")
 
 
 def score_cuts(pixels: DataFrame, first: int = 0) -> DataFrame:
@@ -251,14 +251,14 @@ def title_sweep(pixels: DataFrame | list[DataFrame], sizes: DataFrame, wanted: i
     """
     pictures = [pixels] if isinstance(pixels, DataFrame) else pixels
     sources = [(p, written(title_cuts(p, i * len(TITLE_CUTS)))) for i, p in enumerate(pictures)]
-    letters = title_components(_tries(_all(sources, threshold_components).join(sizes, "key")), "try")
+    letters = title_components(_tries(_all(sources, threshold_components).join(sizes.hint("merge"), "key")), "try")
     line = dominant_line(merge_by_x(letters, "try").withColumnRenamed("part", "ord"), "try")
     place = F.row_number().over(Window.partitionBy("try").orderBy("x", "ord")) - 1
     glyphs = written(line.select("try.*", place.alias("place"), "x", "y", "w", "h"))
-    shape = coherence(_tries(glyphs), "try").join(_tries(glyphs).groupBy("try").agg(F.count(F.lit(1)).alias("n")), "try").select("try.*", "coherence", "n")
+    shape = coherence(_tries(glyphs), "try").join(_tries(glyphs).groupBy("try").agg(F.count(F.lit(1)).alias("n")).hint("merge"), "try").select("try.*", "coherence", "n")
     cut_out = written(resample.glyph_vectors(glyphs, _all(sources, cut_mask), ["key", "cut", "place"], True))
     drawn = cut_out.groupBy("key", "cut").agg(F.sha2(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "vec"))), lambda g: g["vec"])), ","), 256).alias("reading"))
     first = F.col("n") if wanted is None else -F.abs(F.col("n") - wanted)
-    tries = shape.join(drawn, ["key", "cut"]).select("key", F.col("cut").alias("ord"), "reading", first.alias("score_a"), _compared(F.col("coherence")).alias("score_b"))
+    tries = shape.join(drawn.hint("merge"), ["key", "cut"]).select("key", F.col("cut").alias("ord"), "reading", first.alias("score_a"), _compared(F.col("coherence")).alias("score_b"))
     best = best_readings(tries).select("key", F.col("ord").alias("cut"), "rank")
-    return cut_out.join(best, ["key", "cut"]).select("key", "rank", "cut", "place", "x", "y", "w", "h", "vec")
+    return cut_out.join(best.hint("merge"), ["key", "cut"]).select("key", "rank", "cut", "place", "x", "y", "w", "h", "vec")

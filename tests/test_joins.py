@@ -55,3 +55,15 @@ def test_exact_copies_by_rows(spark, monkeypatch):
     told = plan(exact_dedup.exact_dedup(docs))
     assert "SortMergeJoin" in told  # winners; only hot digests, bounded, are broadcast
     assert common.by_rows is work.by_rows
+
+
+def test_titles_without_broadcasts(spark, monkeypatch):
+    """Pixels, taps and glyphs are exploded or compress well: no side of a join is broadcast because it seems small."""
+    from fieldglass.operators import sweep
+
+    rows = [(k, x, y, 200 if x % 3 and 1 < y < 8 - k % 3 else 10 * y) for k in range(6) for x in range(10) for y in range(9)]
+    pixels = spark.createDataFrame(rows, "key long, x int, y int, gray int")
+    found = plans_of(monkeypatch, sweep)
+    got = sweep.title_sweep(pixels, pixels.select("key").distinct().selectExpr("key", "9 AS rows", "10 AS cols"))
+    assert {r["key"] for r in got.collect()} == set(range(6))
+    assert not any("Broadcast" in p for p in [*found, plan(got)]) and any("SortMergeJoin" in p for p in found)
