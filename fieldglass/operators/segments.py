@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -51,34 +53,50 @@ def merge_to(components: DataFrame, wanted: int | Column, steps: int = 20) -> Da
     return out.select("key", F.posexplode("s").alias("part", "c")).select("key", "part", F.col("c.x").alias("x1"), F.col("c.x2").alias("x2"))
 
 
+def _once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` the value, which is worked out once however often that names it."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def split_to(components: DataFrame, profile: DataFrame, wanted: Column, steps: int = 20) -> DataFrame:
     """Components (key, ord, x, w) split until ``wanted`` are there: key, part, x1, x2.
 
     The widest goes first (the first of equals), at its emptiest column from a
     quarter to three quarters (``profile``: key, ord, at, n); nothing below 4
     wide is split, and at most ``steps`` splits are made. ``wanted`` is an
-    expression over the key and ``size``, the number of components.
+    expression over the key and ``size``, the number of components. Without
+    columns a component is split in its middle.
     """
-    cols = profile.groupBy("key", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "n"))), lambda c: c["n"]).alias("cols"))
-    item = F.struct("x", "ord", "w", "cols")
-    groups = components.select("key", "ord", "x", "w").join(cols, ["key", "ord"]).groupBy("key").agg(F.array_sort(F.collect_list(item)).alias("s"))
-    groups = groups.withColumn("s", F.transform("s", lambda c: F.struct(c["x"].alias("x"), c["w"].alias("w"), c["cols"].alias("cols"))))
+    groups = components.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("x", "ord", "w"))).alias("s")).withColumn("size", F.size("s"))
+    groups = groups.withColumn("_more", F.least(F.lit(steps), wanted - F.col("size")).cast("int"))
+    # a component is split after all wider ones (and those before it), so only so many can be, and only their columns are gathered
+    widest = F.array_sort(F.transform("s", lambda c: F.struct((-c["w"]).alias("w"), c["x"].alias("x"), c["ord"].alias("ord"))))
+    first = F.filter(F.slice(widest, F.lit(1), F.greatest(F.col("_more"), F.lit(0))), lambda c: c["w"] <= -4)
+    asked = groups.select("key", F.transform(first, lambda c: c["ord"]).alias("_ords")).where(F.size("_ords") > 0)
+    # by key alone, as both may lie by it already; what is collected looks small to Spark, so that it would be broadcast
+    cols = profile.join(asked.hint("merge"), "key").where(F.array_contains("_ords", F.col("ord")))
+    cols = cols.groupBy("key", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "n"))), lambda c: c["n"]).alias("cols"))
+    cols = cols.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("ord", "cols"))).alias("_cols"))
+    none = F.array().cast(f"array<{profile.schema['n'].dataType.simpleString()}>")
+    groups = groups.join(cols.hint("merge"), "key", "left")
+    groups = groups.withColumn("s", F.transform("s", lambda c: F.struct(c["x"].alias("x"), c["w"].alias("w"), F.coalesce(F.try_element_at("_cols", c["ord"]), none).alias("cols"))))
     single = lambda share, w: (F.lit(share).cast("float") * w).cast("float").cast("int")
 
     def cut(c: Column) -> Column:
-        low, high = F.greatest(F.lit(1), single(0.25, c["w"])), F.least(c["w"] - 1, single(0.75, c["w"]))
-        inner = F.slice(c["cols"], low + 1, F.greatest(high - low, F.lit(0)))
-        at = F.when(high > low, low + F.array_position(inner, F.array_min(inner)).cast("int") - 1).otherwise(F.floor(c["w"] / 2).cast("int"))
+        ends = F.struct(F.greatest(F.lit(1), single(0.25, c["w"])).alias("low"), F.least(c["w"] - 1, single(0.75, c["w"])).alias("high"))
+        inner = lambda e: F.slice(c["cols"], e["low"] + 1, F.greatest(e["high"] - e["low"], F.lit(0)))
+        emptiest = lambda e: _once(inner(e), lambda v: e["low"] + F.array_position(v, F.array_min(v)).cast("int") - 1)
+        at = _once(ends, lambda e: F.coalesce(F.when(e["high"] > e["low"], emptiest(e)), F.floor(c["w"] / 2).cast("int")))
         part = lambda x, w, k: F.struct(x.alias("x"), w.alias("w"), k.alias("cols"))
-        return F.array(part(c["x"], at, F.slice(c["cols"], F.lit(1), at)), part(c["x"] + at, c["w"] - at, F.slice(c["cols"], at + 1, F.greatest(c["w"] - at, F.lit(1)))))
+        return _once(at, lambda at: F.array(part(c["x"], at, F.slice(c["cols"], F.lit(1), at)), part(c["x"] + at, c["w"] - at, F.slice(c["cols"], at + 1, F.greatest(c["w"] - at, F.lit(1))))))
 
     def step(acc: Column, _: Column) -> Column:
-        widths = F.transform(acc, lambda c: c["w"])
-        i = F.array_position(widths, F.array_max(widths)).cast("int")
-        split = F.concat(F.slice(acc, F.lit(1), i - 1), cut(F.element_at(acc, i)), F.slice(acc, i + 1, F.size(acc)))
-        return F.when((F.size(acc) < F.col("_wanted")) & (F.array_max(widths) >= 4), split).otherwise(acc)
+        split = lambda i: F.concat(F.slice(acc, F.lit(1), i - 1), _once(F.element_at(acc, i), cut), F.slice(acc, i + 1, F.size(acc)))
+        at = lambda widths, most: _once(F.array_position(widths, most).cast("int"), split)
+        return _once(F.transform(acc, lambda c: c["w"]), lambda widths: _once(F.array_max(widths), lambda most: F.when(most >= 4, at(widths, most)).otherwise(acc)))
 
-    out = groups.withColumn("size", F.size("s")).withColumn("_wanted", wanted).withColumn("s", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.col("s"), step))
+    times = F.when(F.col("_more") >= 1, F.sequence(F.lit(1), F.col("_more"))).otherwise(F.array().cast("array<int>"))
+    out = groups.withColumn("s", F.aggregate(times, F.col("s"), step))
     return out.select("key", F.posexplode("s").alias("part", "c")).select("key", "part", F.col("c.x").alias("x1"), (F.col("c.x") + F.col("c.w")).alias("x2"))
 
 

@@ -374,3 +374,42 @@ def test_turns_of_nearly_equal_scores(spark):
     rows = [(1, 1, 0, 0.9000001), (1, 2, 0, 0.9000004), (2, 1, 0, 0.9000001), (2, 2, 0, 0.9000011), (3, 1, 0, 0.1), (3, 1, 2, 0.7), (3, 1, 3, 0.2), (3, 2, 0, 0.2), (3, 2, 2, 0.1), (3, 2, 3, 0.7)]
     det = spark.createDataFrame(rows, "key int, turn int, cls int, conf double")
     assert {r["key"]: r["turn"] for r in boxes.best_turn(det).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_split_asks_for_few_columns(spark, monkeypatch):
+    """Many splits of many components against a plain fold; only what can be split has its columns gathered."""
+    import random
+
+    from fieldglass.operators import segments
+
+    rng = random.Random(5)
+    rows = [(k, o, rng.randrange(30), rng.randrange(1, 30)) for k in range(12) for o in range(1, 9)]
+    cols = [(k, o, a, rng.randrange(5)) for k, o, x, w in rows for a in range(w)]
+    c, profile = spark.createDataFrame(rows, "key int, ord int, x int, w int"), spark.createDataFrame(cols, "key int, ord int, at int, n int")
+    single = lambda share, w: int(np.float32(np.float32(share) * np.float32(w)))
+
+    def fold(key, wanted, steps=20):
+        s = [(x, w, [n for k2, o2, a, n in cols if (k2, o2) == (key, o)]) for k, o, x, w in sorted(rows, key=lambda r: (r[0], r[2], r[1])) if k == key]
+        for _ in range(steps):
+            widths = [w for _, w, _ in s]
+            if len(s) >= wanted or max(widths) < 4:
+                break
+            i = widths.index(max(widths))
+            x, w, n = s[i]
+            low, high = max(1, single(0.25, w)), min(w - 1, single(0.75, w))
+            at = low + n[low:high].index(min(n[low:high])) if high > low else w // 2
+            s[i : i + 1] = [(x, at, n[:at]), (x + at, w - at, n[at:])]
+        return [(x, x + w) for x, w, _ in s]
+
+    for more in (0, 1, 3, 40):
+        got = {}
+        for r in segments.split_to(c, profile, F.col("size") + more + F.col("key") % 2).collect():
+            got.setdefault(r["key"], {})[r["part"]] = (r["x1"], r["x2"])
+        assert {k: [v[i] for i in range(len(v))] for k, v in got.items()} == {k: fold(k, 8 + more + k % 2) for k in range(12)}
+    lone = segments.split_to(c.where("key = 1"), profile.where("1 = 0"), F.col("size") + 1)
+    assert lone.count() == 9  # a component whose columns aren't known stays, and is split in its middle
+    # of 12 x 8 components those of six keys ask for one each
+    asked = segments.split_to(c, profile, F.col("size") + F.col("key") % 2)
+    asked.collect()
+    plan = asked._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains(_ords" in plan
